@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def batch_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> It
     if not batch.num_rows:
         return
     sizes = batch.column(column)
-    ends = np.cumsum(np.nan_to_num(pa.compute.binary_length(sizes).to_numpy(zero_copy_only=False), nan=0.0))
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(sizes).to_numpy(zero_copy_only=False), nan=0.0))
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
