@@ -70,17 +70,18 @@ def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     kept = [F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)]
     names = [f"k_{i}" for i in range(len(keep))]
     held = docs.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("t"))
-    held = held.select(*names, "t", F.filter(F.split("t", SPACES), lambda w: w != "").alias("w"), F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(WORD))).alias("l"))
-    n = F.size("w")
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+    # Each measurement stands on the text alone and binds what it needs with let(), so that it costs one pass wherever the optimizer puts it, in a filter too.
+    words = F.filter(F.split("t", SPACES), lambda w: w != "")
+    lines = F.filter(F.split("t", "\n"), lambda x: F.rlike(x, F.lit(WORD)))
+    windows = lambda w: F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
     return held.select(
         *[F.col(x).alias(c) for x, c in zip(names, keep)],
-        n.cast("long").alias("n_words"),
+        F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"),
         F.length(F.regexp_replace("t", SPACES, "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        F.size("l").cast("long").alias("n_lines"),
-        (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("n_dup_lines"),
-        let(windows, _covered).alias("n_repeat_words"),
+        F.size(lines).cast("long").alias("n_lines"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(words, lambda w: let(windows(w), _covered)).alias("n_repeat_words"),
     )
 
 
