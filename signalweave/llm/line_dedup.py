@@ -196,7 +196,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
                 joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype("i4")), flat), " ")
                 yield pa.record_batch({"d": pa.array(doc, pa.int64()), "l": pa.array(line, pa.int32()), "norm": joined})
 
-    norms = rows.join(wanted, F.col("doc_id") == F.col("want")).select("doc_id", "text", "lines").mapInArrow(cut, "d long, l int, norm string").dropDuplicates(["d", "l"])
+    norms = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("want")).select("doc_id", "text", "lines").mapInArrow(cut, "d long, l int, norm string").dropDuplicates(["d", "l"])
     pairs = met
     for end in ("a", "b"):
         side = norms.select(F.col("d").alias(f"doc_{end}"), F.col("l").alias(f"line_{end}"), F.col("norm").alias(f"norm_{end}"))
@@ -222,7 +222,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     left as they are. Repeated rows lose the same lines each. Texts keep every other byte.
     """
     gone = line_groups(docs, id_col, text, min_words, percent).groupBy(F.col("doc_id").alias("q_doc")).agg(F.collect_set("line").alias("q_lines"))
-    out = docs.join(gone, F.col(id_col) == F.col("q_doc"), "left")
+    out = docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("q_doc"), "left")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
