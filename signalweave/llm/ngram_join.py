@@ -7,6 +7,8 @@
    the incidence matrix are dealt by shingle; a column that many documents are in is cut into blocks, and pairs of
    blocks are dealt. Pairs whose sizes or positions rule out enough overlap are discarded at once.
 4. What is left is multiplied: block by block of documents and shingles, overlaps are accumulated and held to the bound.
+   Few documents of a shingle go there as pairs, many as a group whose links are found in the product and thinned to a
+   forest, so that a large group of near copies costs rows in proportion to its size.
 5. Links make components.
 """
 
@@ -23,10 +25,10 @@ from pyspark.sql import functions as F
 
 from signalweave.llm.common import SKETCH_BITS, Sketch, batch_slices, parts, sketch_total, staged
 from signalweave.llm.components import components
-from signalweave.llm.text import shingle_sets, word_hashes, words_of
+from signalweave.llm.text import mixed, shingle_sets, word_hashes, words_of
 
-#: Documents of one shingle that are compared in one block; rows of a block of the product; its columns.
-BLOCK, ROWS, COLUMNS = 1024, 256, 4096
+#: Documents of one shingle that are compared in one block; those that pair off one by one; rows and columns of a block of the product.
+BLOCK, FEW, ROWS, COLUMNS = 2048, 64, 256, 4096
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
 
 
@@ -105,7 +107,10 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
 
 
 def candidates(columns: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, s) of documents with different sets that meet in a shingle and that sizes and positions don't rule out. Each task's pairs are different."""
+    """Pairs (a, b, s) of documents with different sets that meet in a shingle and that sizes and positions don't rule out; each task's pairs are different.
+
+    Where more than FEW documents meet, the rows are (a, null, s) for each of them that has such a partner; s names the group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _gathered(batches)
@@ -116,6 +121,8 @@ def candidates(columns: DataFrame, percent: int) -> DataFrame:
         same = (c["s"][1:] == c["s"][:-1]) & (c["x"][1:] == c["x"][:-1]) & (c["y"][1:] == c["y"][:-1])
         group = np.concatenate([[0], np.cumsum(~same)])
         last = np.searchsorted(group, group, side="right") - 1
+        size = np.bincount(group)[group]
+        busy = np.zeros(len(group), bool)
         left, step, found = np.flatnonzero(np.arange(len(group)) < last), 1, []
         while len(left):
             right = left + step
@@ -124,9 +131,11 @@ def candidates(columns: DataFrame, percent: int) -> DataFrame:
             left, right, na, nb = left[fits], right[fits], na[fits], nb[fits]
             room = np.minimum(na - c["i"][left], nb - c["i"][right])
             good = (c["fp"][left] != c["fp"][right]) & (room >= least_overlap(na, nb, percent)) & ((c["x"][left] == c["y"][left]) | (c["own"][left] != c["own"][right]))
-            if good.any():
-                a, b = c["doc_id"][left[good]], c["doc_id"][right[good]]
-                found.append(np.stack([np.minimum(a, b), np.maximum(a, b), c["s"][left[good]]]))
+            few = good & (size[left] <= FEW)
+            busy[left[good & ~few]] = busy[right[good & ~few]] = True
+            if few.any():
+                a, b = c["doc_id"][left[few]], c["doc_id"][right[few]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b), c["s"][left[few]]]))
             step += 1
             left = left[left + step <= last[left]]
         if found:
@@ -135,31 +144,59 @@ def candidates(columns: DataFrame, percent: int) -> DataFrame:
             f = f[:, np.concatenate([[True], (f[0, 1:] != f[0, :-1]) | (f[1, 1:] != f[1, :-1])])]
             for i in range(0, f.shape[1], 50_000):
                 yield pa.record_batch([pa.array(x[i : i + 50_000]) for x in f], names=["a", "b", "s"])
+        if busy.any():
+            name = mixed(c["s"][busy].view("u8") ^ mixed(c["x"][busy].astype("u8") << np.uint64(32) | c["y"][busy].astype("u8"))).view("i8")
+            yield pa.record_batch([pa.array(c["doc_id"][busy]), pa.nulls(len(name), pa.int64()), pa.array(name)], names=["a", "b", "s"])
 
     return columns.repartition(parts(columns.sparkSession), "s", "x", "y").mapInArrow(run, "a long, b long, s long")
 
 
-def block_product(sets: list[np.ndarray]) -> np.ndarray:
-    """Overlaps of all pairs of sets: the incidence matrix times its transpose, accumulated over blocks of columns."""
-    total = np.zeros((len(sets), len(sets)), "i8")
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+def block_product(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlaps of all sets of left with all of right: one incidence matrix times the other's transpose, accumulated over blocks of columns."""
+    both = [*left, *right]
+    total = np.zeros((len(left), len(right)), "i8")
+    rows = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    _, column = np.unique(np.concatenate(both), return_inverse=True)
     for start in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
         inside = (column >= start) & (column < start + COLUMNS)
-        dense = np.zeros((len(sets), COLUMNS), "f4")
+        dense = np.zeros((len(both), COLUMNS), "f4")
         dense[rows[inside], column[inside] - start] = 1
-        total += (dense @ dense.T).astype("i8")
+        total += (dense[: len(left)] @ dense[len(left) :].T).astype("i8")
     return total
 
 
-def links(rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap reaches the bound. Pairs are grouped by the shingle where they met and blocks of ROWS documents; each block's sets are multiplied once."""
+def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect all that is connected, by products of blocks of ROWS sets; two blocks that already hang together are left out."""
+    root = np.arange(len(sets))
+    n = np.array([len(s) for s in sets])
+    out: list[tuple[int, int]] = []
+    for i in range(0, len(sets), ROWS):
+        for j in range(i, len(sets), ROWS):
+            a, b = slice(i, i + ROWS), slice(j, j + ROWS)
+            if len(np.unique(np.concatenate([root[a], root[b]]))) == 1:
+                continue
+            overlap = block_product(sets[a], sets[b])
+            x, y = np.nonzero(100 * overlap >= percent * (n[a][:, None] + n[b][None, :] - overlap))
+            apart = root[x + i] != root[y + j]
+            for u, v in zip((x[apart] + i).tolist(), (y[apart] + j).tolist()):
+                if root[u] != root[v]:
+                    root[root == root[v]] = root[u]
+                    out.append((u, v))
+    return out
+
+
+def links(rows: DataFrame, sizes: DataFrame, pairs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b, s) those whose overlap reaches the bound, and of the groups (s, doc_id) enough links to connect what is connected.
+
+    Pairs are gathered by the shingle where they met, in blocks of ROWS documents, so that a block's sets travel once.
+    """
     spark = rows.sparkSession
     size = pairs.groupBy("s").agg(F.count("*").alias("m"))
     blocks = F.expr(f"cast(ceil(sqrt(2 * m) / {ROWS}) as int)")  # m pairs that all meet come from about sqrt(2m) documents
     split = pairs.join(size, "s").withColumn("nb", blocks).select("a", "b", F.xxhash64("s", F.expr("pmod(xxhash64(a), nb)"), F.expr("pmod(xxhash64(b), nb)")).alias("g"))
     split = staged(split, "pairs")
-    members = split.select("g", F.col("a").alias("doc_id")).unionByName(split.select("g", F.col("b").alias("doc_id"))).distinct()
+    members = split.select("g", F.col("a").alias("doc_id")).unionByName(split.select("g", F.col("b").alias("doc_id"))).distinct().withColumn("whole", F.lit(False))
+    members = staged(members.unionByName(groups.select(F.col("s").alias("g"), "doc_id", F.lit(True).alias("whole"))), "members")
     needed = members.select("doc_id").distinct()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,62 +204,68 @@ def links(rows: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
             for part in batch_slices(batch, "text"):
                 yield pa.record_batch({"d": part.column("doc_id"), "blob": pa.array([s.tobytes() for s in _sets(part, k)], pa.binary())})
 
-    sets = rows.join(needed, "doc_id", "left_semi").mapInArrow(make, "d long, blob binary").dropDuplicates(["d"])
-    held = members.join(sets, F.col("doc_id") == F.col("d")).select(F.col("g").alias("h"), "doc_id", "blob")
-    n = max(parts(spark), -(-held.select(F.lit(1)).count() // 8192))
+    sets = rows.join(needed.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(make, "d long, blob binary").dropDuplicates(["d"])
+    held = members.join(sets, F.col("doc_id") == F.col("d")).select(F.col("g").alias("h"), "doc_id", "whole", "blob")
+    total = members.join(sizes, "doc_id").agg(F.sum("n")).first()[0] or 0
+    n = max(parts(spark), -(-8 * total // (8 << 20)))
 
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-        g, docs, blobs = right.column("h").to_numpy(), right.column("doc_id").to_numpy(), right.column("blob").to_pylist()
+        g, docs, whole, blobs = right.column("h").to_numpy(), right.column("doc_id").to_numpy(), right.column("whole").to_numpy(), right.column("blob").combine_chunks()
         pg, pa_, pb = (left.column(c).to_numpy() for c in ("g", "a", "b"))
-        by, pby = np.argsort(g, kind="stable"), np.argsort(pg, kind="stable")
-        out_a, out_b = [], []
-        for one in np.unique(pg).tolist():
-            mine = by[np.searchsorted(g, one, "left", by) : np.searchsorted(g, one, "right", by)]
-            wanted = pby[np.searchsorted(pg, one, "left", pby) : np.searchsorted(pg, one, "right", pby)]
-            mine = mine[np.argsort(docs[mine])]
-            sets = [np.frombuffer(blobs[i], "u8") for i in mine.tolist()]
-            a, b = np.searchsorted(docs[mine], pa_[wanted]), np.searchsorted(docs[mine], pb[wanted])
-            n = np.array([len(s) for s in sets])
-            if len(sets) > 3:
-                overlap = block_product(sets)[a, b]
+        by, pby = np.lexsort((docs, whole, g)), np.argsort(pg, kind="stable")
+        g, docs, whole, pg = g[by], docs[by], whole[by], pg[pby]
+        first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (whole[1:] != whole[:-1])])) if len(g) else np.zeros(0, "i8")
+        out_a, out_b = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
+        for s, e in zip(first.tolist(), [*first[1:].tolist(), len(g)]):
+            sets = [np.frombuffer(x, "u8") for x in blobs.take(pa.array(by[s:e])).to_pylist()]
+            mine = docs[s:e]
+            if whole[s]:
+                found = np.array(forest(sets, percent), "i8").reshape(-1, 2)
+                a, b = mine[found[:, 0]], mine[found[:, 1]]
             else:
-                overlap = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist())], "i8")
-            good = 100 * overlap >= percent * (n[a] + n[b] - overlap)
-            out_a.append(pa_[wanted][good])
-            out_b.append(pb[wanted][good])
-        return pa.table({"a": pa.array(np.concatenate(out_a or [np.zeros(0, "i8")])), "b": pa.array(np.concatenate(out_b or [np.zeros(0, "i8")]))})
+                wanted = pby[np.searchsorted(pg, g[s], "left") : np.searchsorted(pg, g[s], "right")]
+                a, b = pa_[wanted], pb[wanted]
+                i, j = np.searchsorted(mine, a), np.searchsorted(mine, b)
+                n = np.array([len(x) for x in sets])
+                if len(sets) > 3:
+                    overlap = block_product(sets, sets)[i, j]
+                else:
+                    overlap = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist())], "i8")
+                good = 100 * overlap >= percent * (n[i] + n[j] - overlap)
+                a, b = a[good], b[good]
+            out_a.append(np.minimum(a, b))
+            out_b.append(np.maximum(a, b))
+        return pa.table({"a": pa.array(np.concatenate(out_a)), "b": pa.array(np.concatenate(out_b))})
 
     left, right = split.withColumn("bucket", F.expr(f"cast(pmod(g, {n}) as int)")), held.withColumn("held_bucket", F.expr(f"cast(pmod(h, {n}) as int)"))
     return left.groupBy("bucket").cogroup(right.groupBy("held_bucket")).applyInArrow(multiply, "a long, b long")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """Rows (doc_id, n_shingles, class_id, component_id, n_links) for each row of docs.
+    """Rows (doc_id, n_shingles, class_id, component_id) for each row of docs.
 
     Two documents link when 100 * intersection >= percent * union of their sets of k-word shingles; a text with fewer
     words is one shingle, one without words or null has none and links with nothing. class_id: the smallest id with the
-    same set; component_id: the smallest id reachable; n_links: how many other rows this one links with, its class
-    included. Words are lower-cased for A-Z. Repeated rows link with each other; rows without an id get their counts and
-    no class, component or links. Other columns are ignored; an empty table gives no rows.
+    same set; component_id: the smallest id reachable by links. Words are lower-cased for A-Z. Repeated rows link with
+    each other; rows without an id get their count and no class or component. Other columns are ignored; an empty table
+    gives no rows. Different classes are never expanded into all pairs, but every link between two of them is decided.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first = fingerprints(rows, k)
     of = first.where("part IS NULL").select("doc_id", "n", "fp")
-    classes = staged(of.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "classes")
+    classes = staged(of.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("class_id")), "classes")
     counts = sketch_total(first.where("part IS NOT NULL"))
     met = staged(candidates(prefixes(rows, counts, k, percent), percent), "candidates")
     # a class may be met by several of its copies, one from each task
-    named = of.where("fp IS NOT NULL").select("doc_id", "fp").join(classes.select("fp", "class_id"), "fp").select("doc_id", "class_id").distinct()
-    pairs = met
+    named = of.where("fp IS NOT NULL AND doc_id IS NOT NULL").join(classes, "fp").select("doc_id", "class_id", "n").distinct()
+    pairs = met.where("b IS NOT NULL")
     for end in ("a", "b"):
         pairs = pairs.join(named.select(F.col("doc_id").alias(end), F.col("class_id").alias(f"{end}_c")), end).drop(end).withColumnRenamed(f"{end}_c", end)
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").groupBy("a", "b").agg(F.min("s").alias("s"))
-    linked = staged(links(rows, pairs, k, percent), "links")
-    both = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = classes.select(F.col("class_id").alias("b"), "copies")
-    near = both.join(copies, "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("copies").alias("near"))
+    groups = met.where("b IS NULL").join(named.withColumnRenamed("doc_id", "a"), "a").select("s", F.col("class_id").alias("doc_id")).distinct()
+    linked = staged(links(rows, named.select("doc_id", "n"), pairs, groups, k, percent), "links")
     reach = components(linked).withColumnRenamed("node", "class_id")
-    known = classes.join(near, "class_id", "left").join(reach, "class_id", "left").select("fp", "class_id", F.coalesce("component", "class_id").alias("component"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    known = classes.join(reach, "class_id", "left").select("fp", "class_id", F.coalesce("component", "class_id").alias("component"))
     with_id = F.col("doc_id").isNotNull()
     out = of.join(known, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(with_id, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(with_id, F.coalesce("component", "doc_id")).alias("component_id"), F.when(with_id, F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(with_id, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(with_id, F.coalesce("component", "doc_id")).alias("component_id"))
