@@ -17,6 +17,7 @@ from signalweave.params import Params
 from signalweave.plans import testviews as tv
 from signalweave.sources import registry
 from signalweave.streaming import streams
+from signalweave.tables import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -445,13 +446,9 @@ def theme_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _digest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The period's events with signals and evidence, as a written table: several parts of the digest read it."""
     rows = _period(spark, sf_dir).join(_signals(spark, sf_dir), "event_id", "left").withColumn("theme_relevance", F.lit(None).cast("double"))
-    return feeds.with_evidence(rows, cv.coverage_sources(tv.graph_items(spark, sf_dir)))
-
-
-def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _digest_items(spark, sf_dir)
-    return dg.sections(items, P)
+    return staged(feeds.with_evidence(rows, cv.coverage_sources(tv.graph_items(spark, sf_dir))), "digest-items")
 
 
 _has = lambda words: "(" + " OR ".join(f"contains(words, '{w}')" for w in words.split()) + ")"
@@ -478,12 +475,13 @@ _COUNTS = """cnt AS (SELECT (SELECT count(*) FROM it) AS total_events, (SELECT c
 
 @query(f"WITH {_SECTIONS} SELECT section, pos, event_id FROM sec")
 def digest_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sections(spark, sf_dir)
+    return dg.sections(_digest_items(spark, sf_dir), P)
 
 
 @query(f"WITH {_SECTIONS}, {_COUNTS} SELECT * FROM cnt")
 def digest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = dg.digest_counts(_digest_items(spark, sf_dir), _sections(spark, sf_dir), P)
+    items = _digest_items(spark, sf_dir)
+    c = dg.digest_counts(items, dg.sections(items, P), P)
     return c.select("total_events", "item_count", "noise_count", "n_must_know", "n_should_read", "n_weak_signals", F.array_join(F.transform("event_ids", lambda x: x.cast("string")), ",").alias("event_ids"))
 
 
@@ -500,7 +498,8 @@ SELECT '# Weekly digest — ' || (SELECT strftime(min(published_at), '%Y-%m-%d')
 
 @query(_MARKDOWN)
 def digest_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items, listed = _digest_items(spark, sf_dir), _sections(spark, sf_dir)
+    items = _digest_items(spark, sf_dir)
+    listed = staged(dg.sections(items, P), "digest-sections")
     lines = dg.bullets(listed.join(items, "event_id")).select("section", "pos", "line")
     return dg.markdown(lines, dg.digest_counts(items, listed, P), dg.period_bounds(items))
 
