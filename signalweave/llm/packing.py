@@ -13,6 +13,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ CAPACITY = 2048
 END = 0
 #: A chunk of letters and then marks; its two parts are tokens of their own for a tokenizer that splits letters from marks.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&()\[\]\"+=/-]*)")
-_CACHED = 300_000
+_CACHED = 700_000
 
 
 class ChunkEncoder:
@@ -51,10 +52,10 @@ class ChunkEncoder:
         for i in range(0, len(words), 2000):
             some = words[i : i + 2000]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(stops) == len(some):
-                for w, part in zip(some, np.split(ids, stops[:-1])):
-                    self.known[w] = part.tobytes()
+                raw = ids.tobytes()
+                self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *stops], stops)]))
             else:
                 self._learn_singly(some)
 
@@ -64,14 +65,17 @@ class ChunkEncoder:
 
     def encode(self, chunks: list[str]) -> list[bytes]:
         """Each chunk's ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > _CACHED:
-            self.known = {"": b""}
-        split = [_SIMPLE.fullmatch(c) for c in chunks]
-        parts = [(m[1].lower(), m[2]) if m else (c, "") for m, c in zip(split, chunks)]
+        if len(self.known) > _CACHED:  # the longest known half goes
+            self.known = {"": b""} | dict(islice(self.known.items(), _CACHED // 2, None))
         known = self.known
-        self._learn(list({w: 0 for m, (w, _) in zip(split, parts) if m and w not in known}))
-        self._learn_singly(list({x: 0 for m, p in zip(split, parts) for x in ((p[1],) if m else (p[0],)) if x not in known}))
-        return [known[w] + known[p] for w, p in parts]
+        new = [c for c in chunks if c not in known]
+        split = [(c, m[1].lower(), m[2]) for c in new if (m := _SIMPLE.fullmatch(c))]
+        simple = {c for c, _, _ in split}
+        self._learn(list({w: 0 for _, w, _ in split if w not in known}))
+        self._learn_singly(list({x: 0 for x in (*(p for _, _, p in split), *(c for c in new if c not in simple)) if x not in known}))
+        for c, w, p in split:
+            known[c] = known[w] + known[p]
+        return [known[c] for c in chunks]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
