@@ -17,18 +17,21 @@ What is told to chunks goes through files in the shared folder, written and read
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalweave.llm.common import batch_slices, new_path, parts, staged
+from signalweave.llm.common import batch_slices, parts, staged
 from signalweave.llm.text import filled, mixed
+from signalweave.tables import new_path
 
 LENGTH, GRAM, LONGEST = 50, 16, 64
 #: Bytes hashed at a time; runs that enter one collection.
@@ -207,6 +210,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
             yield int(chunk[a]), batch.slice(a, b - a)
 
 
+def run_hashes(strings: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, strings), "u8", len(strings))
+
+
 class _Wanted:
     """Runs of a chunk whose hashes are shared, and the hash of each one's bytes."""
 
@@ -224,28 +231,46 @@ class _Wanted:
         return first, many, h, [raw[a:b] for a, b in zip(first.tolist(), (first + many + LENGTH - 1).tolist())]
 
 
-def sent(docs: DataFrame, folder: str) -> DataFrame:
-    """Rows (h, of, low, high, chunk, bytes): runs with shared hashes, equal ones of a part of a chunk once, with their smallest and largest document."""
+def _boxed(chunk: int, h: np.ndarray, low: np.ndarray, high: np.ndarray, strings: list[bytes]) -> bytes:
+    """Runs in the order of h as one compressed value."""
+    sizes = np.fromiter(map(len, strings), "<u1", len(strings))
+    head = np.array([chunk, len(h)], "<i8").tobytes()
+    return zlib.compress(b"".join([head, np.diff(h, prepend=np.zeros(1, "u8")).astype("<u8").tobytes(), low.astype("<i8").tobytes(), (high - low).astype("<i8").tobytes(), sizes.tobytes(), *strings]), 1)
+
+
+def _unboxed(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """chunk, h, low, high, sizes and bytes of the runs."""
+    raw = zlib.decompress(blob)
+    chunk, n = np.frombuffer(raw, "<i8", 2).tolist()
+    h, low, more = (np.frombuffer(raw, kind, n, 16 + 8 * n * i) for i, kind in enumerate(("<u8", "<i8", "<i8")))
+    sizes = np.frombuffer(raw, "<u1", n, 16 + 24 * n)
+    return chunk, np.cumsum(h, dtype="u8"), low, low + more, sizes, np.frombuffer(raw, "<u1", offset=16 + 25 * n)
+
+
+def sent(docs: DataFrame, folder: str, n_places: int) -> DataFrame:
+    """Rows (place, blob): a chunk part's runs with shared hashes of one range of hashes, equal ones once, with their smallest and largest document."""
+    bits = np.uint64(64 - n_places.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = _Wanted(folder)
         for chunk, part in _chunks(batches):
-            ids = np.asarray(part.column("doc_id").to_numpy(zero_copy_only=False), "f8" if part.column("doc_id").null_count else "i8")
+            known = pc.is_valid(part.column("doc_id")).to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(part.column("doc_id"), 0).to_numpy()
             raw, bounds = _data(part.column("text"))
             first, _, h, strings = wanted(chunk, raw, bounds)
-            if not len(first):
-                continue
-            doc = ids[np.searchsorted(bounds, first, side="right") - 1]
-            of = np.fromiter(map(xxhash.xxh3_64_intdigest, strings), "u8", len(strings))
-            real = np.flatnonzero(~np.isnan(doc)) if doc.dtype.kind == "f" else np.arange(len(doc))
-            order = real[np.lexsort((doc[real], of[real]))]
-            if not len(order):
+            at = np.searchsorted(bounds, first, side="right") - 1
+            real = np.flatnonzero(known[at])
+            if not len(real):
                 continue
-            at = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
-            low, high = order[at], order[np.append(at[1:], len(order)) - 1]
-            yield pa.record_batch({"h": pa.array(h[low].view("i8")), "of": pa.array(of[low].view("i8")), "low": pa.array(doc[low].astype("i8")), "high": pa.array(doc[high].astype("i8")), "chunk": pa.array(np.full(len(low), chunk)), "bytes": pa.array([strings[i] for i in low.tolist()], pa.binary())})
+            doc, of = ids[at], run_hashes(strings)
+            order = real[np.lexsort((doc[real], of[real], h[real]))]
+            new = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
+            low, high = order[new], order[np.append(new[1:], len(order)) - 1]
+            edges = np.searchsorted(h[low] >> bits, np.arange(n_places + 1, dtype="u8"))
+            out = [(i, _boxed(chunk, h[low[a:b]], doc[low[a:b]], doc[high[a:b]], [strings[j] for j in low[a:b].tolist()])) for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
+            yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["place", "blob"])
 
-    return docs.mapInArrow(run, "h long, of long, low long, high long, chunk long, bytes binary")
+    return docs.mapInArrow(run, "place int, blob binary")
 
 
 def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -314,58 +339,79 @@ def least_documents(strings: list[bytes], low: np.ndarray) -> list[np.ndarray]:
 def answers(rows: DataFrame) -> DataFrame:
     """Rows (chunk, place, blob): for runs that a smaller document may have, the hash of their bytes and the smallest document, once or for each start."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        h, of, low, high, chunk = (table.column(x).to_numpy() for x in ("h", "of", "low", "high", "chunk"))
+    def solved(place: int, blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        boxes = [_unboxed(b) for b in blobs]
+        count = [len(x[1]) for x in boxes]
+        chunk = np.repeat(np.array([x[0] for x in boxes]), count)
+        h, low, high, sizes, data = (np.concatenate([x[i] for x in boxes]) for i in range(1, 6))
+        ends = np.cumsum(sizes, dtype="i8")
+        raw = data.tobytes()
+        bytes_of = lambda rows: [raw[a:b] for a, b in zip((ends[rows] - sizes[rows]).tolist(), ends[rows].tolist())]
+        of = run_hashes(bytes_of(np.arange(len(h))))
         order = np.lexsort((low, of, h))
-        h, of, low, high, chunk = h[order], of[order], low[order], high[order], chunk[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
-        first = np.flatnonzero(new)
-        same = np.cumsum(new) - 1  # which run a row holds
-        low_of, h_of = low[first], h[first]
-        high_of = np.maximum.reduceat(high, first)
-        group = np.concatenate([[0], np.cumsum(h_of[1:] != h_of[:-1])])
-        many = np.bincount(group)
-        least: dict[int, np.ndarray] = {}
-        mixed_up = np.flatnonzero(many[group] > 1)
-        lowest = np.minimum.reduceat(low_of, np.flatnonzero(np.concatenate([[True], h_of[1:] != h_of[:-1]])))
-        mixed_up = mixed_up[high_of[np.concatenate([mixed_up])] >= lowest[group[mixed_up]]] if len(mixed_up) else mixed_up
-        texts = table.column("bytes").combine_chunks()
+        chunk, h, low, high, of = chunk[order], h[order], low[order], high[order], of[order]
+        first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]))
+        same = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))  # the run that a row holds
+        head = np.flatnonzero(np.concatenate([[True], h[first][1:] != h[first][:-1]]))
+        group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(first))))
+        low_of, high_of = low[first], np.maximum.reduceat(high, first)
+        lowest = np.minimum.reduceat(low_of, head)[group]
+        several = np.bincount(group)[group] > 1
+        least = low_of.copy()  # right where all equal starts are in equal runs
+        parts: dict[int, np.ndarray] = {}
+        # a group of one document has nothing to take from a smaller one
+        unlike = np.flatnonzero(several & (np.maximum.reduceat(high_of, head)[group] > lowest))
         start = 0
-        while start < len(mixed_up):
-            stop = min(start + COLLECTION, len(mixed_up))
-            while stop < len(mixed_up) and group[mixed_up[stop]] == group[mixed_up[stop - 1]]:
+        while start < len(unlike):
+            stop = min(start + COLLECTION, len(unlike))
+            while stop < len(unlike) and group[unlike[stop]] == group[unlike[stop - 1]]:
                 stop += 1
-            some = mixed_up[start:stop]
-            found = least_documents(texts.take(pa.array(order[first[some]])).to_pylist(), low_of[some])
-            least.update(zip(some.tolist(), found))
+            some = unlike[start:stop]
+            for r, m in zip(some.tolist(), least_documents(bytes_of(order[first[some]]), low_of[some])):
+                least[r] = m[0]
+                if (m != m[0]).any():
+                    least[r] = m.min()
+                    parts[r] = m
             start = stop
-        out_chunk, out_blob = [], []
-        alone = many[group] == 1
-        for r in range(len(h)):
-            s = int(same[r])
-            m = low_of[s : s + 1] if alone[s] else least[s]
-            if m.min() < high[r]:
-                if len(m) > 1 and (m == m[0]).all():
-                    m = m[:1]
-                out_chunk.append(chunk[r])
-                out_blob.append(np.concatenate([[of[r], len(m)], m]).astype("<i8").tobytes())
-        for i in range(0, len(out_chunk), 20_000):
-            yield pa.record_batch([pa.array(out_chunk[i : i + 20_000], pa.int64()), pa.nulls(len(out_chunk[i : i + 20_000]), pa.int32()), pa.array(out_blob[i : i + 20_000], pa.binary())], names=["chunk", "place", "blob"])
-
-    return rows.repartition(parts(rows.sparkSession), "h").mapInArrow(run, "chunk long, place int, blob binary")
-
-
-def _answered(blob: bytes) -> dict[int, np.ndarray]:
-    numbers, out, i = np.frombuffer(blob, "<i8"), {}, 0
-    while i < len(numbers):
-        n = int(numbers[i + 1])
-        out[int(numbers[i])] = numbers[i + 2 : i + 2 + n]
-        i += 2 + n
-    return out
+        tell = np.flatnonzero(least[same] < high)
+        tell = tell[np.argsort(chunk[tell], kind="stable")]
+        for rows in np.split(tell, np.flatnonzero(np.diff(chunk[tell])) + 1):
+            if len(rows):
+                odd = np.isin(same[rows], np.fromiter(parts, "i8", len(parts)))
+                plain, split = rows[~odd], rows[odd]
+                told = [np.array([len(plain), len(split)]), of[plain].view("i8"), least[same[plain]]]
+                for r in split.tolist():
+                    m = parts[int(same[r])]
+                    told += [of[r : r + 1].view("i8"), np.array([len(m)]), m]
+                yield int(chunk[rows[0]]), np.concatenate(told).astype("<i8").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for place, blob in zip(batch.column("place").to_pylist(), batch.column("blob").to_pylist()):
+                held.setdefault(place, []).append(blob)
+        for place, blobs in held.items():
+            out = list(solved(place, blobs))
+            yield pa.record_batch([pa.array([c for c, _ in out], pa.int64()), pa.array([place] * len(out), pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["chunk", "place", "blob"])
+
+    return rows.repartition(parts(rows.sparkSession), "place").mapInArrow(run, "chunk long, place int, blob binary")
+
+
+def _answered(blob: bytes) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """Hashes of runs in order with their smallest documents, and the runs that have one for each start."""
+    n, i, of, least, split = np.frombuffer(blob, "<i8"), 0, [np.zeros(0, "i8")], [np.zeros(0, "i8")], {}
+    while i < len(n):
+        plain, odd = int(n[i]), int(n[i + 1])
+        of.append(n[i + 2 : i + 2 + plain])
+        least.append(n[i + 2 + plain : i + 2 + 2 * plain])
+        i += 2 + 2 * plain
+        for _ in range(odd):
+            size = int(n[i + 1])
+            split[int(n[i])] = n[i + 2 : i + 2 + size]
+            i += 2 + size
+    every, docs = np.concatenate(of), np.concatenate(least)
+    order = np.argsort(every)
+    return every[order], docs[order], split
 
 
 def cut(docs: DataFrame, hashes: str, answered: str) -> DataFrame:
@@ -373,26 +419,28 @@ def cut(docs: DataFrame, hashes: str, answered: str) -> DataFrame:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, known, known_chunk = _Wanted(hashes), {}, None
+        wanted, known, known_chunk = _Wanted(hashes), _answered(b""), None
         for chunk, part in _chunks(batches):
             if chunk != known_chunk:
                 known_chunk, known = chunk, _answered(_read(answered, chunk))
-            ids = part.column("doc_id").to_pylist()
             raw, bounds = _data(part.column("text"))
-            first, many, _, strings = wanted(chunk, raw, bounds) if known else (np.zeros(0, "i8"),) * 3 + ([],)
-            doc = (np.searchsorted(bounds, first, side="right") - 1).tolist()
             cover = np.zeros(len(raw) + 1, "i4")
-            for s, n, d, x in zip(first.tolist(), many.tolist(), doc, strings):
-                m = known.get(np.uint64(xxhash.xxh3_64_intdigest(x)).astype("i8").item())
-                if m is None or ids[d] is None:
-                    continue
-                hit = m < ids[d]
-                if len(m) == 1:
-                    if hit[0]:
-                        cover[s] += 1
-                        cover[s + n + LENGTH - 1] -= 1
-                elif hit.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype("i1")))
+            of, least, split = known
+            if len(of) or split:
+                first, many, _, strings = wanted(chunk, raw, bounds)
+                doc = np.searchsorted(bounds, first, side="right") - 1
+                mine = pc.fill_null(part.column("doc_id"), -(1 << 63)).to_numpy()[doc]  # no document is smaller than that
+                hashed = run_hashes(strings).view("i8")
+                at = np.searchsorted(of, hashed)
+                hit = np.zeros(len(hashed), bool)
+                if len(of):
+                    at = np.minimum(at, len(of) - 1)
+                    hit = (of[at] == hashed) & (least[at] < mine)
+                np.add.at(cover, first[hit], 1)
+                np.add.at(cover, first[hit] + many[hit] + LENGTH - 1, -1)
+                for i in np.flatnonzero(np.isin(hashed, np.fromiter(split, "i8", len(split)))).tolist():
+                    s = int(first[i])
+                    edge = np.flatnonzero(np.diff(np.concatenate([[False], split[int(hashed[i])] < mine[i], [False]]).astype("i1")))
                     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
                         cover[s + a] += 1
                         cover[s + b + LENGTH - 1] -= 1
@@ -416,9 +464,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     from others. Rows that repeat an id take nothing from each other, as neither is smaller. Other columns are ignored.
     """
     spark = docs.sparkSession
-    table = chunked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), 1 << max(6, parts(spark).bit_length()))
+    n_places = 1 << max(6, (4 * parts(spark)).bit_length())
+    table = chunked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), n_places)
     texts = table.where("place IS NULL").select("chunk", "doc_id", "text")
     hashes, answered = new_path(spark, "shared-hashes"), new_path(spark, "answers")
     _told(shared(table.where("place IS NOT NULL")), hashes)
-    _told(answers(sent(texts, hashes)), answered)
+    _told(answers(sent(texts, hashes, n_places)), answered)
     return cut(texts, hashes, answered)

@@ -15,7 +15,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalweave.llm.common import batch_slices, new_path, parts, staged
+from signalweave.llm.common import batch_slices, parts, staged
+from signalweave.tables import new_path
 
 #: Records with smaller payloads are never revisits.
 LEAST = 100
