@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group: the one with the smallest id. Documents without words or id stay."""
     found = ngram_join.ngram_jaccard_join(docs, k=5, percent=80)
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("q_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("q_gone"), "left_anti")
+    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("q_gone"), "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
