@@ -2,7 +2,7 @@
 
 A line is normalised to its words, A-Z lowered, one space apart. Lines of fewer than min_words words are never touched.
 Equal normalised lines are one class. Classes link when their SimHashes differ in at most DISTANCE bits and their edit
-similarity, 1 - edits / longer length, reaches the bound; groups are connected classes. The first line of each group
+similarity, 1 - edits / longer length in words, reaches the bound; groups are connected classes. The first line of each group
 (smallest document id, then line number) stays, all other lines of it go.
 """
 
@@ -28,49 +28,108 @@ from signalweave.llm.text import filled, mixed, word_hashes, words_of
 DISTANCE, FIELDS = 3, 5
 EDGES = [round(64 * i / FIELDS) for i in range(FIELDS + 1)]
 MASKS = [sum(((1 << EDGES[i + 1]) - (1 << EDGES[i])) for i in pick) for pick in combinations(range(FIELDS), FIELDS - DISTANCE)]
-#: Lines of one block that are compared in one group.
-BLOCK = 1024
+#: Words of at most so many bytes give no vote where a line has longer ones: the most frequent words are short, and lines that share only those should not look alike.
+SHORT = 3
+#: Classes of one block of a bucket; those of a bucket that pair off one by one.
+BLOCK, FEW = 1024, 16
+PAIRS = "doc_a long, line_a int, doc_b long, line_b int, g long"
 
 
 def simhashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit SimHash for each run of words; runs must not be empty."""
+    """A 64-bit SimHash for each run of words; runs must not be empty. Votes are summed as bytes, eight in a number, over at most 255 words at a time."""
     out = np.zeros(len(bounds) - 1, "u8")
-    if not len(out):
-        return out
-    for start in range(0, len(out), 4096):  # 64 bytes a word at a time
-        stop = min(start + 4096, len(out))
-        h = hashes[bounds[start] : bounds[stop]]
-        bits = np.unpackbits(h.view("u1").reshape(-1, 8), axis=1, bitorder="little")
-        votes = np.add.reduceat(bits, (bounds[start:stop] - bounds[start]), axis=0, dtype="i4")
-        n = np.diff(bounds[start : stop + 1])[:, None]
-        out[start:stop] = np.packbits(2 * votes > n, axis=1, bitorder="little").view("u8").ravel()
+    for start in range(0, len(out), 2048):
+        edge = bounds[start : start + 2049] - bounds[start]
+        n = np.diff(edge)
+        pieces = -(-n // 255)
+        first = np.cumsum(pieces) - pieces
+        at = np.repeat(edge[:-1], pieces) + (np.arange(int(pieces.sum())) - np.repeat(first, pieces)) * 255
+        bits = np.unpackbits(hashes[bounds[start] : bounds[start] + edge[-1]].view("u1").reshape(-1, 8), axis=1, bitorder="little").view("u8")
+        sums = np.stack([np.add.reduceat(np.ascontiguousarray(bits[:, j]), at) for j in range(8)], axis=1).view("u1").reshape(-1, 64)
+        votes = sums[first].astype("i4")
+        for i in np.flatnonzero(pieces > 1).tolist():
+            votes[i] = sums[first[i] : first[i] + pieces[i]].sum(axis=0, dtype="i4")
+        out[start : start + 2048] = np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view("u8").ravel()
     return out
 
 
-def edits(a: str, b: str) -> int:
-    """Edit distance, a column of bits at a time (Hyyro's form of Myers' method)."""
+def edits(a: list, b: list, most: int | None = None) -> int:
+    """Edit distance of two sequences, a column of bits at a time (Hyyro's form of Myers' method), without what both share at the ends; more than most is told as most + 1."""
+    same = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        same += 1
+    a, b, same = a[same:], b[same:], 0
+    for x, y in zip(reversed(a), reversed(b)):
+        if x != y:
+            break
+        same += 1
+    a, b = (a[: len(a) - same], b[: len(b) - same]) if same else (a, b)
     if len(a) < len(b):
         a, b = b, a
+    if most is not None and len(a) - len(b) > most:
+        return most + 1
     if not b:
         return len(a)
-    at: dict[str, int] = {}
+    at: dict = {}
     for i, c in enumerate(b):
         at[c] = at.get(c, 0) | 1 << i
     full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
-    plus, minus, score = full, 0, len(b)
+    plus, minus, score, left = full, 0, len(b), len(a)
     for c in a:
         eq = at.get(c, 0)
         diagonal = (((eq & plus) + plus) ^ plus) | eq | minus
         up, down = minus | (full & ~(diagonal | plus)), plus & diagonal
         score += bool(up & top) - bool(down & top)
+        left -= 1
+        if most is not None and score - left > most:
+            return most + 1
         up, down = (up << 1 | 1) & full, (down << 1) & full
         plus, minus = down | (full & ~(diagonal | up)), up & diagonal
     return score
 
 
-def similar(a: str, b: str, percent: int) -> bool:
-    longer = max(len(a), len(b))
-    return 100 * (longer - min(len(a), len(b))) <= (100 - percent) * longer and 100 * edits(a, b) <= (100 - percent) * longer
+def similar(a: list, b: list, percent: int) -> bool:
+    most = (100 - percent) * max(len(a), len(b)) // 100
+    return abs(len(a) - len(b)) <= most and edits(a, b, most) <= most
+
+
+class Lines:
+    """Lines of a group as columns of bits: for each line and word the places where the word stands, 64 in a number. One line is compared with many at once."""
+
+    def __init__(self, lines: list[list[str]]) -> None:
+        names: dict[str, int] = {}
+        self.words = [np.array([names.setdefault(w, len(names)) for w in x], "i8") for x in lines]
+        self.size = np.array([len(x) for x in lines], "i8")
+        lanes = -(-int(self.size.max()) // 64)
+        self.at = np.zeros((lanes, len(names), len(lines)), "u8")
+        for j, x in enumerate(self.words):
+            i = np.arange(len(x))
+            np.bitwise_or.at(self.at, (i // 64, x, j), np.uint64(1) << (i % 64).astype("u8"))
+
+    def edits(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Edit distances of line i to the others, by Hyyro's block form of Myers' method: a lane hands its last row's step to the next."""
+        one, zero = np.uint64(1), np.uint64(0)
+        lanes = -(-int(self.size[others].max()) // 64)
+        last, bit = (self.size[others] - 1) // 64, ((self.size[others] - 1) % 64).astype("u8")
+        plus, minus = np.full((lanes, len(others)), ~zero), np.zeros((lanes, len(others)), "u8")
+        score = self.size[others].copy()
+        for w in self.words[i].tolist():
+            rise, fall = np.full(len(others), one), np.zeros(len(others), "u8")  # the top row grows by one a column
+            for k in range(lanes):
+                eq, p, m = self.at[k, w][others], plus[k], minus[k]
+                x = eq | m
+                eq = eq | fall
+                d = (((eq & p) + p) ^ p) | eq
+                up, down = m | ~(d | p), p & d
+                mine = last == k
+                score += np.where(mine, ((up >> bit) & one).astype("i8") - ((down >> bit) & one).astype("i8"), 0)
+                next_rise, next_fall = up >> np.uint64(63), down >> np.uint64(63)
+                up, down = (up << one) | rise, (down << one) | fall
+                plus[k], minus[k] = down | ~(x | up), up & x
+                rise, fall = next_rise, next_fall
+        return score
 
 
 def _lines(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -79,7 +138,7 @@ def _lines(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def line_rows(rows: DataFrame, min_words: int) -> DataFrame:
-    """A row (doc_id, line, key, sim, length) for each line of min_words words or more; length counts characters of the normalised line."""
+    """A row (doc_id, line, key, sim, length) for each line of min_words words or more; length counts its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,13 +149,15 @@ def line_rows(rows: DataFrame, min_words: int) -> DataFrame:
                 if not len(long):
                     continue
                 hashes = word_hashes(flat)
-                size = pc.utf8_length(flat).to_numpy(zero_copy_only=False)
-                chars = np.concatenate([[0], np.cumsum(size)])
-                take = np.arange(int(np.diff(at)[long].sum())) - np.repeat(np.cumsum(np.diff(at)[long]) - np.diff(at)[long], np.diff(at)[long]) + np.repeat(at[long], np.diff(at)[long])
-                sims = simhashes(mixed(hashes[take]), np.concatenate([[0], np.cumsum(np.diff(at)[long])]))
+                n = np.diff(at)[long]
+                take = np.arange(int(n.sum())) + np.repeat(at[long] - (np.cumsum(n) - n), n)
+                line = np.repeat(np.arange(len(long)), n)
+                votes = pc.binary_length(flat).to_numpy(zero_copy_only=False)[take] > SHORT
+                votes |= (np.bincount(line, votes, len(long)) == 0)[line]
+                sims = simhashes(mixed(hashes[take[votes]]), np.concatenate([[0], np.cumsum(np.bincount(line[votes], minlength=len(long)))]))
                 keys = [xxhash.xxh3_128_digest(hashes[at[i] : at[i + 1]].data) for i in long.tolist()]
                 doc = np.searchsorted(doc_at, long, side="right") - 1
-                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(doc)), "line": pa.array((long - doc_at[doc]).astype("i4")), "key": pa.array(keys, pa.binary()), "sim": pa.array(sims.view("i8")), "length": pa.array((chars[at[long + 1]] - chars[at[long]] + np.diff(at)[long] - 1).astype("i4"))})
+                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(doc)), "line": pa.array((long - doc_at[doc]).astype("i4")), "key": pa.array(keys, pa.binary()), "sim": pa.array(sims.view("i8")), "length": pa.array(n.astype("i4"))})
 
     return rows.mapInArrow(run, "doc_id long, line int, key binary, sim long, length int")
 
@@ -108,7 +169,10 @@ def _buckets(sims: np.ndarray) -> np.ndarray:
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes, as the places (doc_id, line) of their first lines, that share enough fields of bits, differ in at most DISTANCE bits and have fitting lengths.
+    """Pairs of classes, as the places (doc_id, line) of their first lines, that share enough fields of bits, differ in at most DISTANCE bits and have fitting lengths; g is null.
+
+    Where more than FEW classes meet in a bucket, the rows are its classes that have such a partner, g names the group
+    and the second place is null.
 
     Each class goes to one bucket for each choice of FIELDS - DISTANCE fields. A fixed-size sketch bounds how many
     classes a bucket holds; large buckets are cut into blocks, and pairs of blocks are dealt.
@@ -153,6 +217,8 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         last = np.searchsorted(group, group, side="right") - 1
         same = (c["xy"] >> 20) == (c["xy"] & ((1 << 20) - 1))
         sim, masks = c["sim"].view("u8"), np.array(MASKS, "u8")
+        size = np.bincount(group)[group]
+        busy = np.zeros(len(group), bool)
         left, step = np.flatnonzero(np.arange(len(group)) < last), 1
         while len(left):
             right = left + step
@@ -160,16 +226,39 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             left, right = left[fits], right[fits]
             x = sim[left] ^ sim[right]
             good = (np.bitwise_count(x) <= DISTANCE) & (same[left] | (own[left] != own[right]))
+            many = good & (size[left] > FEW)
+            busy[left[many]] = busy[right[many]] = True
+            good &= ~many
             g, x = left[good], x[good]
             if len(g):  # a pair is told by the first choice of fields that it shares
                 g = g[np.argmax((x[:, None] & masks[None, :]) == 0, axis=1) == t[g]]
                 h = g + step
-                yield pa.record_batch([pa.array(c["doc_id"][g]), pa.array(c["line"][g]), pa.array(c["doc_id"][h]), pa.array(c["line"][h])], names=["doc_a", "line_a", "doc_b", "line_b"])
+                yield pa.record_batch([pa.array(c["doc_id"][g]), pa.array(c["line"][g]), pa.array(c["doc_id"][h]), pa.array(c["line"][h]), pa.nulls(len(g), pa.int64())], names=["doc_a", "line_a", "doc_b", "line_b", "g"])
             step += 1
             left = left[left + step <= last[left]]
+        if busy.any():
+            b = np.flatnonzero(busy)
+            name = mixed(c["bucket"][b].view("u8") ^ mixed(c["xy"][b].view("u8"))).view("i8")
+            yield pa.record_batch([pa.array(c["doc_id"][b]), pa.array(c["line"][b]), pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int32()), pa.array(name)], names=["doc_a", "line_a", "doc_b", "line_b", "g"])
 
     dealt = classes.select("doc_id", "line", "sim", "length").mapInArrow(deal, "bucket long, xy long, ot long, doc_id long, line int, sim long, length int")
-    return dealt.repartition(parts(spark), "bucket", "xy").mapInArrow(meet, "doc_a long, line_a int, doc_b long, line_b int")
+    return dealt.repartition(parts(spark), "bucket", "xy").mapInArrow(meet, PAIRS)
+
+
+def forest(sims: np.ndarray, lines: list[list[str]], percent: int) -> list[tuple[int, int]]:
+    """Links that connect all lines of a group that are connected. Lines that already hang together are not compared again."""
+    root, out, held = np.arange(len(sims)), [], Lines(lines)
+    for i in range(len(sims)):
+        later = np.arange(i + 1, len(sims))
+        most = (100 - percent) * np.maximum(held.size[later], held.size[i]) // 100
+        near = (np.bitwise_count(sims[later] ^ sims[i]) <= DISTANCE) & (root[later] != root[i]) & (np.abs(held.size[later] - held.size[i]) <= most)
+        later, most = later[near], most[near]
+        if len(later):
+            for j in later[held.edits(i, later) <= most].tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    out.append((i, j))
+    return out
 
 
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 5, percent: int = 90) -> DataFrame:
@@ -179,7 +268,8 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     place = F.struct("doc_id", "line")
     classes = staged(lines.groupBy("key").agg(F.min(place).alias("p"), F.first("sim").alias("sim"), F.first("length").alias("length"), F.count("*").alias("n")).select("key", "p.doc_id", "p.line", "sim", "length", "n"), "line-classes")
     met = staged(candidates(classes, percent), "line-pairs")
-    needed = met.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).unionByName(met.select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line"))).distinct()
+    ends = [met.select(F.col(f"doc_{e}").alias("doc_id"), F.col(f"line_{e}").alias("line")) for e in "ab"]
+    needed = ends[0].unionByName(ends[1]).where("doc_id IS NOT NULL").distinct()
     wanted = needed.groupBy(F.col("doc_id").alias("want")).agg(F.collect_list("line").alias("lines"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +287,8 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
                 yield pa.record_batch({"d": pa.array(doc, pa.int64()), "l": pa.array(line, pa.int32()), "norm": joined})
 
     norms = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("want")).select("doc_id", "text", "lines").mapInArrow(cut, "d long, l int, norm string").dropDuplicates(["d", "l"])
-    pairs = met
+    norms = staged(norms, "line-texts")
+    pairs = met.where("g IS NULL")
     for end in ("a", "b"):
         side = norms.select(F.col("d").alias(f"doc_{end}"), F.col("l").alias(f"line_{end}"), F.col("norm").alias(f"norm_{end}"))
         pairs = pairs.join(side, [f"doc_{end}", f"line_{end}"])
@@ -205,9 +296,19 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("norm_a").to_pylist(), batch.column("norm_b").to_pylist()
-            yield batch.select(["doc_a", "line_a", "doc_b", "line_b"]).filter(pa.array([similar(x, y, percent) for x, y in zip(a, b)], pa.bool_()))
-
-    linked = pairs.mapInArrow(check, "doc_a long, line_a int, doc_b long, line_b int")
+            yield batch.select(["doc_a", "line_a", "doc_b", "line_b"]).filter(pa.array([similar(x.split(" "), y.split(" "), percent) for x, y in zip(a, b)], pa.bool_()))
+
+    def connect(group: pa.Table) -> pa.Table:
+        order = np.lexsort((group.column("l").to_numpy(), group.column("d").to_numpy()))
+        rows = group.take(pa.array(order))
+        found = np.array(forest(rows.column("sim").to_numpy().view("u8"), [x.split(" ") for x in rows.column("norm").to_pylist()], percent), "i8").reshape(-1, 2)
+        d, line = rows.column("d").to_numpy(), rows.column("l").to_numpy()
+        return pa.table({"doc_a": d[found[:, 0]], "line_a": line[found[:, 0]], "doc_b": d[found[:, 1]], "line_b": line[found[:, 1]]})
+
+    few = pairs.mapInArrow(check, "doc_a long, line_a int, doc_b long, line_b int")
+    seen = classes.select(F.col("doc_id").alias("c_doc"), F.col("line").alias("c_line"), "sim")
+    members = met.where("g IS NOT NULL").select("g", F.col("doc_a").alias("d"), F.col("line_a").alias("l")).join(norms, ["d", "l"]).join(seen, (F.col("d") == F.col("c_doc")) & (F.col("l") == F.col("c_line"))).select("g", "d", "l", "sim", "norm")
+    linked = few.unionByName(members.groupBy("g").applyInArrow(connect, "doc_a long, line_a int, doc_b long, line_b int"))
     linked = linked.select(F.struct(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).alias("a"), F.struct(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")).alias("b"))
     groups = components(staged(linked, "line-links")).select(F.col("node.doc_id").alias("g_doc"), F.col("node.line").alias("g_line"), F.col("component.doc_id").alias("c_doc"), F.col("component.line").alias("c_line"))
     stays = classes.join(groups, (F.col("doc_id") == F.col("g_doc")) & (F.col("line") == F.col("g_line")), "left")
