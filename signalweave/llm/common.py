@@ -52,6 +52,7 @@ def batch_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> It
         stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()  # workers stay; what they have freed should not
 
 
 class Sketch:

@@ -29,7 +29,7 @@ CAPACITY = 2048
 END = 0
 #: A chunk of letters and then marks; its two parts are tokens of their own for a tokenizer that splits letters from marks.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&()\[\]\"+=/-]*)")
-_CACHED = 700_000
+_CACHED = 250_000
 
 
 class ChunkEncoder:
