@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def fuzzy_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier line; those left without any word because of that go."""
-    out = line_dedup.line_dedup(docs)
+    out = line_dedup.line_dedup(docs, unit="chars")
     left = F.coalesce(F.rlike(F.col("text"), F.lit(quality.WORD)), F.lit(False))
     out = out.where((F.col("lines_removed") == 0) | left)
     size = F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col(LENGTH)) if LENGTH in docs.columns else None

@@ -32,6 +32,11 @@ MASKS = [sum(((1 << EDGES[i + 1]) - (1 << EDGES[i])) for i in pick) for pick in
 SHORT = 3
 #: Classes of one block of a bucket; those of a bucket that pair off one by one.
 BLOCK, FEW = 1024, 16
+#: With unit "chars", lines meet by bands of ROWS minima each: of word pairs for lines of at least LONG characters, of 4-byte pieces for those of at most SMALL. SMALL * 0.9 >= LONG, so two alike lines have one kind in common.
+BANDS, ROWS, LONG, SMALL = 10, 3, 90, 100
+#: Bits in which the SimHashes of two lines over SMALL characters may differ that meet so.
+RADIUS = 22
+ODD = mixed(np.arange(1, BANDS * ROWS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 PAIRS = "doc_a long, line_a int, doc_b long, line_b int, g long"
 
 
@@ -53,6 +58,37 @@ def simhashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def banded(features: np.ndarray, first: np.ndarray, kind: int) -> np.ndarray:
+    """For each run of features (rows) BANDS hashes of 40 bits, each of ROWS minima; runs start at first and must not be empty."""
+    out = np.zeros((len(first), BANDS), "u8")
+    for t in range(BANDS if len(first) else 0):
+        h = np.full(len(first), 1 + kind * BANDS + t, "u8")
+        for k in range(ROWS):
+            h = mixed(h ^ np.minimum.reduceat(features * ODD[t * ROWS + k], first))
+        out[:, t] = h >> np.uint64(24)
+    return out
+
+
+def word_bands(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Bands of each run's pairs of words, from the words' hashes; runs hold two words at least."""
+    pair = mixed(hashes[:-1] * np.uint64(3) + (hashes[1:] ^ (hashes[1:] >> np.uint64(29))))
+    ends = np.ones(len(hashes), bool)
+    ends[bounds[1:] - 1] = False
+    return banded(pair[ends[:-1]], bounds[:-1] - np.arange(len(bounds) - 1), 0)
+
+
+def piece_bands(lines: pa.Array) -> np.ndarray:
+    """Bands of each line's 4-byte pieces; lines hold four bytes at least."""
+    offsets = np.frombuffer(lines.buffers()[1], "i4", len(lines) + 1, lines.offset * 4).astype("i8")
+    data = np.frombuffer(lines.buffers()[2] or b"", "u1")[offsets[0] : offsets[-1]].astype("u8")
+    offsets = offsets - offsets[0]
+    piece = sum(data[i : len(data) - 3 + i] << np.uint64(8 * i) for i in range(4))
+    inside = np.ones(len(data), bool)
+    for i in range(1, 4):
+        inside[offsets[1:] - i] = False
+    return banded(mixed(mixed(piece[inside[: len(piece)]] + np.uint64(1))), offsets[:-1] - 3 * np.arange(len(lines)), 1)
+
+
 def edits(a: list, b: list, most: int | None = None) -> int:
     """Edit distance of two sequences, a column of bits at a time (Hyyro's form of Myers' method), without what both share at the ends; more than most is told as most + 1."""
     same = 0
@@ -90,7 +126,7 @@ def edits(a: list, b: list, most: int | None = None) -> int:
     return score
 
 
-def similar(a: list, b: list, percent: int) -> bool:
+def similar(a: list | str, b: list | str, percent: int) -> bool:
     most = (100 - percent) * max(len(a), len(b)) // 100
     return abs(len(a) - len(b)) <= most and edits(a, b, most) <= most
 
@@ -137,8 +173,8 @@ def _lines(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype("i8")
 
 
-def line_rows(rows: DataFrame, min_words: int) -> DataFrame:
-    """A row (doc_id, line, key, sim, length) for each line of min_words words or more; length counts its words."""
+def line_rows(rows: DataFrame, min_words: int, unit: str = "words") -> DataFrame:
+    """A row (doc_id, line, key, sim, length, bands) for each line of min_words words or more; length counts its words or characters, and bands has 5 bytes for each band where unit is "chars"."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,9 +193,27 @@ def line_rows(rows: DataFrame, min_words: int) -> DataFrame:
                 sims = simhashes(mixed(hashes[take[votes]]), np.concatenate([[0], np.cumsum(np.bincount(line[votes], minlength=len(long)))]))
                 keys = [xxhash.xxh3_128_digest(hashes[at[i] : at[i + 1]].data) for i in long.tolist()]
                 doc = np.searchsorted(doc_at, long, side="right") - 1
-                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(doc)), "line": pa.array((long - doc_at[doc]).astype("i4")), "key": pa.array(keys, pa.binary()), "sim": pa.array(sims.view("i8")), "length": pa.array(n.astype("i4"))})
-
-    return rows.mapInArrow(run, "doc_id long, line int, key binary, sim long, length int")
+                length, bands = n, pa.nulls(len(long), pa.binary())
+                if unit == "chars":
+                    bound = np.concatenate([[0], np.cumsum(n)])
+                    length = np.add.reduceat(pc.utf8_length(flat).to_numpy(zero_copy_only=False)[take], bound[:-1]).astype("i8") + n - 1
+                    big, small = np.flatnonzero((length >= LONG) & (n > 1)), np.flatnonzero((length <= SMALL) | (n == 1))
+                    blobs = np.full(len(long), b"", object)
+                    for some, kind in ((big, 0), (small, 1)):
+                        if not len(some):
+                            continue
+                        edge = np.concatenate([[0], np.cumsum(n[some])])
+                        words = take[np.arange(edge[-1]) + np.repeat(bound[some] - edge[:-1], n[some])]
+                        if kind:
+                            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge.astype("i4")), flat.take(pa.array(words))), " ")
+                            joined = pc.if_else(pc.less(pc.binary_length(joined), 4), pc.binary_join_element_wise(joined, "   ", ""), joined)
+                        found = piece_bands(joined) if kind else word_bands(hashes[words], edge)
+                        raw = np.ascontiguousarray(found.view("u1").reshape(len(some), BANDS, 8)[:, :, :5]).tobytes()
+                        blobs[some] += np.array([raw[i : i + 5 * BANDS] for i in range(0, len(raw), 5 * BANDS)], object)
+                    bands = pa.array(blobs.tolist(), pa.binary())
+                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(doc)), "line": pa.array((long - doc_at[doc]).astype("i4")), "key": pa.array(keys, pa.binary()), "sim": pa.array(sims.view("i8")), "length": pa.array(length.astype("i4")), "bands": bands})
+
+    return rows.mapInArrow(run, "doc_id long, line int, key binary, sim long, length int, bands binary")
 
 
 def _buckets(sims: np.ndarray) -> np.ndarray:
@@ -168,25 +222,40 @@ def _buckets(sims: np.ndarray) -> np.ndarray:
     return mixed((sims[None, :] & masks) ^ mixed(np.arange(1, len(MASKS) + 1, dtype="u8"))[:, None])
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
+def _places(batch: pa.RecordBatch, unit: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Choices, rows and their buckets in a batch of classes."""
+    if unit == "chars":
+        blobs = batch.column("bands").to_pylist()
+        n = np.fromiter(map(len, blobs), "i8", len(blobs)) // 5
+        wide = np.zeros((int(n.sum()), 8), "u1")
+        wide[:, :5] = np.frombuffer(b"".join(blobs), "u1").reshape(-1, 5)
+        yield 0, np.repeat(np.arange(len(n)), n), wide.view("u8").ravel()
+    else:
+        for t, b in enumerate(_buckets(batch.column("sim").to_numpy().view("u8"))):
+            yield t, np.arange(len(b)), b
+
+
+def candidates(classes: DataFrame, percent: int, unit: str = "words") -> DataFrame:
     """Pairs of classes, as the places (doc_id, line) of their first lines, that share enough fields of bits, differ in at most DISTANCE bits and have fitting lengths; g is null.
 
     Where more than FEW classes meet in a bucket, the rows are its classes that have such a partner, g names the group
     and the second place is null.
 
-    Each class goes to one bucket for each choice of FIELDS - DISTANCE fields. A fixed-size sketch bounds how many
+    Each class goes to one bucket for each choice of FIELDS - DISTANCE fields; with unit "chars" to one for each of its
+    bands, lines over SMALL characters may differ in RADIUS bits, shorter ones in any, and a pair may come more than once. A fixed-size sketch bounds how many
     classes a bucket holds; large buckets are cut into blocks, and pairs of blocks are dealt.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch()
         for batch in batches:
-            sketch.add(_buckets(batch.column(0).to_numpy().view("u8")).ravel())
+            for _, _, b in _places(batch, unit):
+                sketch.add(b)
         for part, blob in sketch.blobs():
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
 
     spark = classes.sparkSession
-    fixed = spark.sparkContext.broadcast(zlib.compress(sketch_total(classes.select("sim").mapInArrow(count, "part int, blob binary")).tobytes(), 1))
+    fixed = spark.sparkContext.broadcast(zlib.compress(sketch_total(classes.select("sim", "bands").mapInArrow(count, "part int, blob binary")).tobytes(), 1))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(zlib.decompress(fixed.value), "u4")
@@ -194,13 +263,13 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             sims = batch.column("sim").to_numpy()
             doc, line, length = (batch.column(x).to_numpy() for x in ("doc_id", "line", "length"))
-            for t, b in enumerate(_buckets(sims.view("u8"))):
+            for t, row, b in _places(batch, unit):
                 nb = np.maximum(1, -(-(counts[(b & np.uint64(len(counts) - 1)).astype("i8")].astype("i8") - noise) // BLOCK))
-                own = mixed(doc.view("u8") * np.uint64(31) + line.astype("u8")) % nb.astype("u8")
+                own = mixed(doc[row].view("u8") * np.uint64(31) + line[row].astype("u8")) % nb.astype("u8")
                 at = np.repeat(np.arange(len(b)), nb)
                 other = np.arange(len(at)) - np.repeat(np.cumsum(nb) - nb, nb)
-                o = own.astype("i8")[at]
-                cols = [b.view("i8")[at], np.minimum(o, other) << 20 | np.maximum(o, other), o << 4 | t, doc[at], line[at], sims[at], length[at]]
+                o, b, at = own.astype("i8")[at], b[at], row[at]
+                cols = [b.view("i8"), np.minimum(o, other) << 20 | np.maximum(o, other), o << 4 | t, doc[at], line[at], sims[at], length[at]]
                 yield pa.record_batch([pa.array(x) for x in cols], names=["bucket", "xy", "ot", "doc_id", "line", "sim", "length"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,13 +294,17 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             fits = 100 * c["length"][left].astype("i8") >= percent * c["length"][right].astype("i8")  # lengths rise: beyond one that doesn't fit none does
             left, right = left[fits], right[fits]
             x = sim[left] ^ sim[right]
-            good = (np.bitwise_count(x) <= DISTANCE) & (same[left] | (own[left] != own[right]))
+            close = np.bitwise_count(x) <= (RADIUS if unit == "chars" else DISTANCE)
+            if unit == "chars":
+                close |= c["length"][left] <= SMALL
+            good = close & (same[left] | (own[left] != own[right]))
             many = good & (size[left] > FEW)
             busy[left[many]] = busy[right[many]] = True
             good &= ~many
             g, x = left[good], x[good]
             if len(g):  # a pair is told by the first choice of fields that it shares
-                g = g[np.argmax((x[:, None] & masks[None, :]) == 0, axis=1) == t[g]]
+                if unit == "words":
+                    g = g[np.argmax((x[:, None] & masks[None, :]) == 0, axis=1) == t[g]]
                 h = g + step
                 yield pa.record_batch([pa.array(c["doc_id"][g]), pa.array(c["line"][g]), pa.array(c["doc_id"][h]), pa.array(c["line"][h]), pa.nulls(len(g), pa.int64())], names=["doc_a", "line_a", "doc_b", "line_b", "g"])
             step += 1
@@ -241,7 +314,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             name = mixed(c["bucket"][b].view("u8") ^ mixed(c["xy"][b].view("u8"))).view("i8")
             yield pa.record_batch([pa.array(c["doc_id"][b]), pa.array(c["line"][b]), pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int32()), pa.array(name)], names=["doc_a", "line_a", "doc_b", "line_b", "g"])
 
-    dealt = classes.select("doc_id", "line", "sim", "length").mapInArrow(deal, "bucket long, xy long, ot long, doc_id long, line int, sim long, length int")
+    dealt = classes.select("doc_id", "line", "sim", "length", "bands").mapInArrow(deal, "bucket long, xy long, ot long, doc_id long, line int, sim long, length int")
     return dealt.repartition(parts(spark), "bucket", "xy").mapInArrow(meet, PAIRS)
 
 
@@ -261,13 +334,14 @@ def forest(sims: np.ndarray, lines: list[list[str]], percent: int) -> list[tuple
     return out
 
 
-def line_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 5, percent: int = 90) -> DataFrame:
+def line_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 5, percent: int = 90, unit: str = "words") -> DataFrame:
     """Rows (doc_id, line, first_doc, first_line) for each line that goes and the line of its group that stays."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    lines = staged(line_rows(rows, min_words), "lines")
+    lines = staged(line_rows(rows, min_words, unit), "lines")
     place = F.struct("doc_id", "line")
-    classes = staged(lines.groupBy("key").agg(F.min(place).alias("p"), F.first("sim").alias("sim"), F.first("length").alias("length"), F.count("*").alias("n")).select("key", "p.doc_id", "p.line", "sim", "length", "n"), "line-classes")
-    met = staged(candidates(classes, percent), "line-pairs")
+    classes = staged(lines.groupBy("key").agg(F.min(place).alias("p"), F.first("sim").alias("sim"), F.first("length").alias("length"), F.first("bands").alias("bands"), F.count("*").alias("n")).select("key", "p.doc_id", "p.line", "sim", "length", "bands", "n"), "line-classes")
+    met = candidates(classes, percent, unit)
+    met = staged(met.distinct() if unit == "chars" else met, "line-pairs")
     ends = [met.select(F.col(f"doc_{e}").alias("doc_id"), F.col(f"line_{e}").alias("line")) for e in "ab"]
     needed = ends[0].unionByName(ends[1]).where("doc_id IS NOT NULL").distinct()
     wanted = needed.groupBy(F.col("doc_id").alias("want")).agg(F.collect_list("line").alias("lines"))
@@ -296,12 +370,15 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("norm_a").to_pylist(), batch.column("norm_b").to_pylist()
-            yield batch.select(["doc_a", "line_a", "doc_b", "line_b"]).filter(pa.array([similar(x.split(" "), y.split(" "), percent) for x, y in zip(a, b)], pa.bool_()))
+            good = [similar(x.split(" "), y.split(" "), percent) for x, y in zip(a, b)]
+            yield batch.select(["doc_a", "line_a", "doc_b", "line_b"]).filter(pa.array(good, pa.bool_()))
 
     def connect(group: pa.Table) -> pa.Table:
         order = np.lexsort((group.column("l").to_numpy(), group.column("d").to_numpy()))
         rows = group.take(pa.array(order))
-        found = np.array(forest(rows.column("sim").to_numpy().view("u8"), [x.split(" ") for x in rows.column("norm").to_pylist()], percent), "i8").reshape(-1, 2)
+        norms = rows.column("norm").to_pylist()
+        found = forest(rows.column("sim").to_numpy().view("u8"), [x.split(" ") for x in norms], percent)
+        found = np.array(found, "i8").reshape(-1, 2)
         d, line = rows.column("d").to_numpy(), rows.column("l").to_numpy()
         return pa.table({"doc_a": d[found[:, 0]], "line_a": line[found[:, 0]], "doc_b": d[found[:, 1]], "line_b": line[found[:, 1]]})
 
@@ -316,13 +393,13 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     return lines.join(stays, F.col("key") == F.col("of")).where("doc_id <> first_doc OR line <> first_line").select("doc_id", "line", "first_doc", "first_line")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 5, percent: int = 90) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 5, percent: int = 90, unit: str = "words") -> DataFrame:
     """docs with the columns it has, its text without the lines that go, and the columns lines_removed and lines_kept (both long).
 
     Null texts stay null and have no lines kept or removed; an empty text has one empty line. Rows without an id are
     left as they are. Repeated rows lose the same lines each. Texts keep every other byte.
     """
-    gone = line_groups(docs, id_col, text, min_words, percent).groupBy(F.col("doc_id").alias("q_doc")).agg(F.collect_set("line").alias("q_lines"))
+    gone = line_groups(docs, id_col, text, min_words, percent, unit).groupBy(F.col("doc_id").alias("q_doc")).agg(F.collect_set("line").alias("q_lines"))
     out = docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("q_doc"), "left")
 
     @F.pandas_udf("string")

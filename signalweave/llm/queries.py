@@ -40,7 +40,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = line_dedup.line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = line_dedup.line_dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), unit="chars")
     return docs.select("doc_id", "lines_kept", "lines_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -334,6 +334,35 @@ def test_lines_keep_other_columns(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def edited(r, line):
+    """line with up to 10% of its characters edited: words replaced, left out or put in, or single letters."""
+    most, w = len(line) // 10, line.split(" ")
+    for _ in range(r.randint(1, max(1, len(w) // 12))):
+        i, kind = r.randrange(len(w)), r.random()
+        v = w[:i] + w[i + 1 :] if kind < 0.2 else w[:i] + ["".join(r.choices("abcdefgh", k=5))] + w[i + (kind < 0.6) :] if kind < 0.7 else w[:i] + [w[i][:-1] + "z"] + w[i + 1 :]
+        w = v if line_dedup.edits(line, " ".join(v), most) <= most else w
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("n_words", [5, 9, 15, 30, 60, 300])
+def test_bands_find_lines_that_edits_would_link(n_words):
+    r = random.Random(n_words)
+    lines = [" ".join("".join(r.choices("abcdefghijklmno", k=r.randint(2, 9))) for _ in range(n_words)) for _ in range(90)]
+    lines += [edited(r, x) for x in lines]
+    links = {(i, j) for i in range(len(lines)) for j in range(i) if lines[i] != lines[j] and 10 * abs(len(lines[i]) - len(lines[j])) <= len(lines[i]) and line_dedup.similar(lines[i], lines[j], 90)}
+
+    class Rows:
+        def mapInArrow(self, f, schema):
+            return pa.Table.from_batches(f(iter([pa.record_batch({"doc_id": pa.array(range(len(lines))), "text": pa.array(lines)})])))
+
+    got = line_dedup.line_rows(Rows(), 1, "chars")
+    bands = [{x[k : k + 5] for k in range(0, len(x), 5)} for x in got.column("bands").to_pylist()]
+    sims = got.column("sim").to_numpy().view("u8")
+    met = [(i, j) for i, j in links if bands[i] & bands[j] and (min(len(lines[i]), len(lines[j])) <= line_dedup.SMALL or int(sims[i] ^ sims[j]).bit_count() <= line_dedup.RADIUS)]
+    assert got.column("length").to_pylist() == list(map(len, lines))
+    assert len(links) > 20 and len(met) >= 0.95 * len(links)
+
+
 # --- 7
 
 
