@@ -363,6 +363,30 @@ def test_bands_find_lines_that_edits_would_link(n_words):
     assert len(links) > 20 and len(met) >= 0.95 * len(links)
 
 
+@pytest.mark.parametrize("few", [2, 16])
+def test_op6_links_lines_by_characters(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(line_dedup, "FEW", few)
+    r = random.Random(2)
+    short = "invoice number 10234 was paid in full on monday"
+    long = " ".join("".join(r.choices("abcdefghijklmnopé", k=r.randint(2, 9))) for _ in range(40)).split(" ")
+    other = " ".join("".join(r.choices("abcdefghijklmnopé", k=r.randint(2, 9))) for _ in range(40))
+    texts = [short, short.replace("10234", "10239"), short.replace("monday", "mondax"), short.replace("paid in full", "never settled"), " ".join(long), other]
+    texts += [" ".join([*long[:i], "qqqqq", *long[i + 1 :]]) for i in range(0, 40, 4)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    gone = {x.doc_id for x in queries.QUERIES["op6_line_dedup"](spark, str(tmp_path)).where("lines_removed > 0").collect()}
+    assert gone == {1, 2, *range(6, len(texts))}
+
+
+def test_char_forest():
+    r = random.Random(8)
+    lines = ["".join(r.choices("abcé ", k=r.randint(0, 60))) for _ in range(12)]
+    lines = list(dict.fromkeys(lines + [x[: (k := r.randint(0, len(x)))] + r.choice(["", "q", "qq"]) + x[k + r.randint(0, 3) :] for x in lines for _ in range(4)]))
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if 10 * distance(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j]))]
+    assert roots(len(lines), line_dedup.char_forest(lines, 90)) == roots(len(lines), links)
+    a, b = [lines[i] for i in range(len(lines)) for _ in lines], lines * len(lines)
+    assert line_dedup.alike(a, b, 90) == [10 * distance(x, y) <= max(len(x), len(y)) for x, y in zip(a, b)]
+
+
 # --- 7
 
 
