@@ -61,8 +61,8 @@ class Sketch:
     def __init__(self) -> None:
         self.counts = np.zeros(1 << SKETCH_BITS, "u4")
 
-    def add(self, hashes: np.ndarray) -> None:
-        np.add.at(self.counts, (hashes & np.uint64((1 << SKETCH_BITS) - 1)).astype("i8"), 1)
+    def add(self, hashes: np.ndarray, weight: int | np.ndarray = 1) -> None:
+        np.add.at(self.counts, (hashes & np.uint64((1 << SKETCH_BITS) - 1)).astype("i8"), weight)
 
     def blobs(self) -> list[tuple[int, bytes]]:
         return [(i, zlib.compress(part.tobytes(), 1)) for i, part in enumerate(np.split(self.counts, SKETCH_RANGES))]

@@ -32,6 +32,8 @@ MASKS = [sum(((1 << EDGES[i + 1]) - (1 << EDGES[i])) for i in pick) for pick in
 SHORT = 3
 #: Classes of one block of a bucket; those of a bucket that pair off one by one.
 BLOCK, FEW = 1024, 16
+#: A class counts once more for each WEIGHT of its length, so that blocks of long lines hold fewer; numbers of one block of bit columns.
+WEIGHT, CELLS = 2048, 1 << 22
 #: With unit "chars", lines meet by bands of ROWS minima each: of word pairs for lines of at least LONG characters, of 4-byte pieces for those of at most SMALL. SMALL * 0.9 >= LONG, so two alike lines have one kind in common.
 BANDS, ROWS, LONG, SMALL = 10, 3, 90, 100
 #: Bits in which the SimHashes of two lines over SMALL characters may differ that meet so.
@@ -132,29 +134,39 @@ def similar(a: list | str, b: list | str, percent: int) -> bool:
 
 
 class Lines:
-    """Lines of a group as columns of bits: for each line and word the places where the word stands, 64 in a number. One line is compared with many at once."""
+    """Lines of a group by numbers of their words. One line is compared with many at once, as columns of bits: for each of them and each word of the one the places where the word stands, 64 in a number, in blocks of at most CELLS numbers."""
 
     def __init__(self, lines: list[list[str]]) -> None:
         names: dict[str, int] = {}
         self.words = [np.array([names.setdefault(w, len(names)) for w in x], "i8") for x in lines]
         self.size = np.array([len(x) for x in lines], "i8")
-        lanes = -(-int(self.size.max()) // 64)
-        self.at = np.zeros((lanes, len(names), len(lines)), "u8")
-        for j, x in enumerate(self.words):
-            i = np.arange(len(x))
-            np.bitwise_or.at(self.at, (i // 64, x, j), np.uint64(1) << (i % 64).astype("u8"))
+        self.code = np.full(len(names), -1)
 
     def edits(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Edit distances of line i to the others, by Hyyro's block form of Myers' method: a lane hands its last row's step to the next."""
+        """Edit distances of line i to the others."""
+        own = np.unique(self.words[i])
+        step = max(1, CELLS // (-(-int(self.size[others].max()) // 64) * len(own)))
+        return np.concatenate([self._edits(i, own, others[a : a + step]) for a in range(0, len(others), step)])
+
+    def _edits(self, i: int, own: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """The same for one block, by Hyyro's block form of Myers' method: a lane hands its last row's step to the next."""
         one, zero = np.uint64(1), np.uint64(0)
         lanes = -(-int(self.size[others].max()) // 64)
+        self.code[own] = np.arange(len(own))
+        at = np.zeros((lanes, len(own), len(others)), "u8")
+        for j, o in enumerate(others.tolist()):
+            code = self.code[self.words[o]]
+            place = np.flatnonzero(code >= 0)
+            np.bitwise_or.at(at, (place // 64, code[place], j), np.uint64(1) << (place % 64).astype("u8"))
+        column = self.code[self.words[i]].tolist()
+        self.code[own] = -1
         last, bit = (self.size[others] - 1) // 64, ((self.size[others] - 1) % 64).astype("u8")
         plus, minus = np.full((lanes, len(others)), ~zero), np.zeros((lanes, len(others)), "u8")
         score = self.size[others].copy()
-        for w in self.words[i].tolist():
+        for w in column:
             rise, fall = np.full(len(others), one), np.zeros(len(others), "u8")  # the top row grows by one a column
             for k in range(lanes):
-                eq, p, m = self.at[k, w][others], plus[k], minus[k]
+                eq, p, m = at[k, w], plus[k], minus[k]
                 x = eq | m
                 eq = eq | fall
                 d = (((eq & p) + p) ^ p) | eq
@@ -274,19 +286,20 @@ def candidates(classes: DataFrame, percent: int, unit: str = "words") -> DataFra
 
     Each class goes to one bucket for each choice of FIELDS - DISTANCE fields; with unit "chars" to one for each of its
     bands, lines over SMALL characters may differ in RADIUS bits, shorter ones in any, and a pair may come more than once. A fixed-size sketch bounds how many
-    classes a bucket holds; large buckets are cut into blocks, and pairs of blocks are dealt.
+    classes a bucket holds, long ones weighted; large buckets are cut into blocks, and pairs of blocks are dealt.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch()
         for batch in batches:
-            for _, _, b in _places(batch, unit):
-                sketch.add(b)
+            weight = 1 + batch.column("length").to_numpy() // WEIGHT
+            for _, row, b in _places(batch, unit):
+                sketch.add(b, weight[row])
         for part, blob in sketch.blobs():
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
 
     spark = classes.sparkSession
-    fixed = spark.sparkContext.broadcast(zlib.compress(sketch_total(classes.select("sim", "bands").mapInArrow(count, "part int, blob binary")).tobytes(), 1))
+    fixed = spark.sparkContext.broadcast(zlib.compress(sketch_total(classes.select("sim", "length", "bands").mapInArrow(count, "part int, blob binary")).tobytes(), 1))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(zlib.decompress(fixed.value), "u4")
