@@ -1,45 +1,43 @@
-"""Fuzzy line dedup: SimHash of normalised lines, a join on pigeonhole blocks, a check of edit similarity, groups.
-
-A line is normalised to its words, A-Z lowered, one space apart. Lines of fewer than min_words words are never touched.
-Equal normalised lines are one class. Classes link when their SimHashes differ in at most DISTANCE bits and their edit
-similarity, 1 - edits / longer length in words, reaches the bound; groups are connected classes. The first line of each group
-(smallest document id, then line number) stays, all other lines of it go.
+"""Fuzzy line dedup: hashes of normalised lines, a join on blocks of them, a check of edit similarity, groups.
+
+A line is normalised to its words, A-Z lowered, one space apart. Equal normalised lines are one class, however short.
+Lines of min_words words or more also meet when one of BANDS blocks of their hashes is equal; a block is ROWS minima over
+the line's pairs of words or, for short lines, its 4-byte pieces. Classes that meet link when their SimHashes differ in at
+most RADIUS bits (lines over SMALL characters) and their edit similarity, 1 - edits / longer length in characters, reaches
+the bound; groups are connected classes. The first line of each group (smallest document id, null last, then row, then line
+number) stays, all other lines of it go.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalweave.llm.common import Sketch, batch_slices, parts, sketch_total, staged
+from signalweave.llm.common import Sketch, batch_slices, dropped, fresh, parts, quoted, sketch_total, staged
 from signalweave.llm.components import components
+from signalweave.llm.edits import within
 from signalweave.llm.text import filled, mixed, word_hashes, words_of
 
-#: Bits that may differ. With FIELDS fields of bits, any DISTANCE bits leave at least FIELDS - DISTANCE fields equal.
-DISTANCE, FIELDS = 3, 5
-EDGES = [round(64 * i / FIELDS) for i in range(FIELDS + 1)]
-MASKS = [sum(((1 << EDGES[i + 1]) - (1 << EDGES[i])) for i in pick) for pick in combinations(range(FIELDS), FIELDS - DISTANCE)]
-#: Words of at most so many bytes give no vote where a line has longer ones: the most frequent words are short, and lines that share only those should not look alike.
+#: Words of at most so many bytes give no vote to the SimHash where a line has longer ones: the most frequent words are short, and lines that share only those should not look alike.
 SHORT = 3
 #: Classes of one block of a bucket; those of a bucket that pair off one by one.
 BLOCK, FEW = 1024, 16
-#: A class counts once more for each WEIGHT of its length, so that blocks of long lines hold fewer; numbers of one block of bit columns.
-WEIGHT, CELLS = 2048, 1 << 22
-#: With unit "chars", lines meet by bands of ROWS minima each: of word pairs for lines of at least LONG characters, of 4-byte pieces for those of at most SMALL. SMALL * 0.9 >= LONG, so two alike lines have one kind in common.
+#: A class counts once more for each WEIGHT of its length, so that blocks of long lines hold fewer.
+WEIGHT = 2048
+#: Lines meet by bands of ROWS minima each: of word pairs for lines of at least LONG characters, of 4-byte pieces for those of at most SMALL. SMALL * 0.9 >= LONG, so two alike lines have one kind in common.
 BANDS, ROWS, LONG, SMALL = 10, 3, 90, 100
-#: Bits in which the SimHashes of two lines over SMALL characters may differ that meet so.
+#: Bits in which the SimHashes of two lines over SMALL characters may differ.
 RADIUS = 22
 ODD = mixed(np.arange(1, BANDS * ROWS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-PAIRS = "doc_a long, line_a int, doc_b long, line_b int, g long"
+#: Groups are compared together up to so many characters.
+TOGETHER = 1 << 21
 
 
 def simhashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -91,124 +89,72 @@ def piece_bands(lines: pa.Array) -> np.ndarray:
     return banded(mixed(mixed(piece[inside[: len(piece)]] + np.uint64(1))), offsets[:-1] - 3 * np.arange(len(lines)), 1)
 
 
-def edits(a: list, b: list, most: int | None = None) -> int:
-    """Edit distance of two sequences, a column of bits at a time (Hyyro's form of Myers' method), without what both share at the ends; more than most is told as most + 1."""
-    same = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        same += 1
-    a, b, same = a[same:], b[same:], 0
-    for x, y in zip(reversed(a), reversed(b)):
-        if x != y:
-            break
-        same += 1
-    a, b = (a[: len(a) - same], b[: len(b) - same]) if same else (a, b)
-    if len(a) < len(b):
-        a, b = b, a
-    if most is not None and len(a) - len(b) > most:
-        return most + 1
-    if not b:
-        return len(a)
-    at: dict = {}
-    for i, c in enumerate(b):
-        at[c] = at.get(c, 0) | 1 << i
-    full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
-    plus, minus, score, left = full, 0, len(b), len(a)
-    for c in a:
-        eq = at.get(c, 0)
-        diagonal = (((eq & plus) + plus) ^ plus) | eq | minus
-        up, down = minus | (full & ~(diagonal | plus)), plus & diagonal
-        score += bool(up & top) - bool(down & top)
-        left -= 1
-        if most is not None and score - left > most:
-            return most + 1
-        up, down = (up << 1 | 1) & full, (down << 1) & full
-        plus, minus = down | (full & ~(diagonal | up)), up & diagonal
-    return score
-
-
-def similar(a: list | str, b: list | str, percent: int) -> bool:
-    most = (100 - percent) * max(len(a), len(b)) // 100
-    return abs(len(a) - len(b)) <= most and edits(a, b, most) <= most
-
-
-class Lines:
-    """Lines of a group by numbers of their words. One line is compared with many at once, as columns of bits: for each of them and each word of the one the places where the word stands, 64 in a number, in blocks of at most CELLS numbers."""
-
-    def __init__(self, lines: list[list[str]]) -> None:
-        names: dict[str, int] = {}
-        self.words = [np.array([names.setdefault(w, len(names)) for w in x], "i8") for x in lines]
-        self.size = np.array([len(x) for x in lines], "i8")
-        self.code = np.full(len(names), -1)
-
-    def edits(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Edit distances of line i to the others."""
-        own = np.unique(self.words[i])
-        step = max(1, CELLS // (-(-int(self.size[others].max()) // 64) * len(own)))
-        return np.concatenate([self._edits(i, own, others[a : a + step]) for a in range(0, len(others), step)])
-
-    def _edits(self, i: int, own: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """The same for one block, by Hyyro's block form of Myers' method: a lane hands its last row's step to the next."""
-        one, zero = np.uint64(1), np.uint64(0)
-        lanes = -(-int(self.size[others].max()) // 64)
-        self.code[own] = np.arange(len(own))
-        at = np.zeros((lanes, len(own), len(others)), "u8")
-        for j, o in enumerate(others.tolist()):
-            code = self.code[self.words[o]]
-            place = np.flatnonzero(code >= 0)
-            np.bitwise_or.at(at, (place // 64, code[place], j), np.uint64(1) << (place % 64).astype("u8"))
-        column = self.code[self.words[i]].tolist()
-        self.code[own] = -1
-        last, bit = (self.size[others] - 1) // 64, ((self.size[others] - 1) % 64).astype("u8")
-        plus, minus = np.full((lanes, len(others)), ~zero), np.zeros((lanes, len(others)), "u8")
-        score = self.size[others].copy()
-        for w in column:
-            rise, fall = np.full(len(others), one), np.zeros(len(others), "u8")  # the top row grows by one a column
-            for k in range(lanes):
-                eq, p, m = at[k, w], plus[k], minus[k]
-                x = eq | m
-                eq = eq | fall
-                d = (((eq & p) + p) ^ p) | eq
-                up, down = m | ~(d | p), p & d
-                mine = last == k
-                score += np.where(mine, ((up >> bit) & one).astype("i8") - ((down >> bit) & one).astype("i8"), 0)
-                next_rise, next_fall = up >> np.uint64(63), down >> np.uint64(63)
-                up, down = (up << one) | rise, (down << one) | fall
-                plus[k], minus[k] = down | ~(x | up), up & x
-                rise, fall = next_rise, next_fall
-        return score
-
-
 def profiles(lines: list[str]) -> np.ndarray:
     """Counts of each line's pairs of characters in 256 cells. An edit takes two pairs at most and gives two, so profiles of lines k edits apart differ by 4k at most."""
-    out = np.zeros((len(lines), 256), "i4")
-    for i, x in enumerate(lines):
-        c = np.frombuffer(x.encode("utf-32-le"), "u4")
-        out[i] = np.bincount((c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)) >> np.uint32(24), minlength=256)
-    return out
+    size = np.fromiter(map(len, lines), "i8", len(lines))
+    c = np.frombuffer("".join(lines).encode("utf-32-le"), "u4")
+    if len(c) < 2:
+        return np.zeros((len(lines), 256), "i4")
+    cell = (c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)) >> np.uint32(24)
+    row = np.repeat(np.arange(len(lines)), size)
+    inside = row[1:] == row[:-1]
+    return np.bincount(row[:-1][inside] * 256 + cell[inside], minlength=256 * len(lines)).reshape(len(lines), 256).astype("i4")
 
 
-def char_forest(lines: list[str], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all lines of a group that are connected by edits in characters. Lines that already hang together are not compared again; memory is 1 KB a line besides its text."""
-    root, out, held, size = np.arange(len(lines)), [], profiles(lines), np.array([len(x) for x in lines], "i8")
-    for i in range(len(lines)):
-        later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
-        most = (100 - percent) * np.maximum(size[later], size[i]) // 100
-        near = np.abs(size[later] - size[i]) <= most
-        later, most = later[near], most[near]
-        near = np.abs(held[later] - held[i]).sum(axis=1) <= 4 * most
-        for j, m in zip(later[near].tolist(), most[near].tolist()):
-            if root[j] != root[i] and edits(lines[i], lines[j], m) <= m:
-                root[root == root[j]] = root[i]
-                out.append((i, j))
+def alike(a: list[str], b: list[str], percent: int) -> np.ndarray:
+    """Whether each pair is similar in characters; most that are not are told by their profiles."""
+    out = np.zeros(len(a), bool)
+    most = np.array([(100 - percent) * max(len(x), len(y)) // 100 for x, y in zip(a, b)], "i8")
+    for i in range(0, len(a), 2048):
+        part = slice(i, i + 2048)
+        near = i + np.flatnonzero(np.abs(profiles(a[part]) - profiles(b[part])).sum(axis=1) <= 4 * most[part])
+        out[near] = within([a[j] for j in near.tolist()], [b[j] for j in near.tolist()], most[near])
     return out
 
 
-def alike(a: list[str], b: list[str], percent: int) -> list[bool]:
-    """Whether each pair is similar in characters; most that are not are told by their profiles."""
-    far = np.abs(profiles(a) - profiles(b)).sum(axis=1).tolist()
-    return [25 * f <= (100 - percent) * max(len(x), len(y)) and similar(x, y, percent) for x, y, f in zip(a, b, far)]
+class _Group:
+    """Lines of a group, which of them hang together so far, and the links that do it; memory is 1 KB a line besides its text."""
+
+    def __init__(self, lines: list[str], percent: int) -> None:
+        self.lines, self.percent, self.links, self.at = lines, percent, [], -1
+        self.root, self.size, self.held = np.arange(len(lines)), np.fromiter(map(len, lines), "i8", len(lines)), profiles(lines)
+
+    def next(self) -> tuple[np.ndarray, np.ndarray]:
+        """The later lines that the next line must be compared with, and how many edits each may take; none at the end."""
+        while self.at + 1 < len(self.lines):
+            self.at += 1
+            i = self.at
+            later = i + 1 + np.flatnonzero(self.root[i + 1 :] != self.root[i])
+            most = (100 - self.percent) * np.maximum(self.size[later], self.size[i]) // 100
+            near = np.abs(self.size[later] - self.size[i]) <= most
+            later, most = later[near], most[near]
+            near = np.abs(self.held[later] - self.held[i]).sum(axis=1) <= 4 * most
+            if near.any():
+                return later[near], most[near]
+        return np.zeros(0, "i8"), np.zeros(0, "i8")
+
+    def link(self, later: np.ndarray) -> None:
+        for j in later.tolist():
+            if self.root[j] != self.root[self.at]:
+                self.root[self.root == self.root[j]] = self.root[self.at]
+                self.links.append((self.at, j))
+
+
+def forests(groups: list[list[str]], percent: int) -> list[list[tuple[int, int]]]:
+    """For each group of lines links that connect all that are connected by edits. Lines that already hang together are not compared again; in each round one line of every group meets its later ones."""
+    every = [_Group(lines, percent) for lines in groups]
+    live = every
+    while live:
+        wanted = [(g, *g.next()) for g in live]
+        wanted = [w for w in wanted if len(w[1])]
+        live = [g for g, _, _ in wanted]
+        if live:
+            a = [g.lines[g.at] for g, later, _ in wanted for _ in range(len(later))]
+            b = [g.lines[j] for g, later, _ in wanted for j in later.tolist()]
+            good = within(a, b, np.concatenate([m for _, _, m in wanted]))
+            for (g, later, _), hit in zip(wanted, np.split(good, np.cumsum([len(x) for _, x, _ in wanted])[:-1])):
+                g.link(later[hit])
+    return [g.links for g in every]
 
 
 def _lines(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -216,105 +162,97 @@ def _lines(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype("i8")
 
 
-def line_rows(rows: DataFrame, min_words: int, unit: str = "words") -> DataFrame:
-    """A row (doc_id, line, key, sim, length, bands) for each line of min_words words or more; length counts its words or characters, and bands has 5 bytes for each band where unit is "chars"."""
+def _blocks(flat: pa.Array, hashes: np.ndarray, at: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """SimHash, length in characters and bands (5 bytes each) of the lines long, from all words, their hashes and the lines' bounds in them."""
+    n = np.diff(at)[long]
+    bound = np.concatenate([[0], np.cumsum(n)])
+    take = np.arange(bound[-1]) + np.repeat(at[long] - bound[:-1], n)
+    line = np.repeat(np.arange(len(long)), n)
+    votes = pc.binary_length(flat).to_numpy(zero_copy_only=False)[take] > SHORT
+    votes |= (np.bincount(line, votes, len(long)) == 0)[line]
+    sims = simhashes(mixed(hashes[take[votes]]), np.concatenate([[0], np.cumsum(np.bincount(line[votes], minlength=len(long)))]))
+    length = np.add.reduceat(pc.utf8_length(flat).to_numpy(zero_copy_only=False)[take], bound[:-1]).astype("i8") + n - 1
+    big, small = np.flatnonzero((length >= LONG) & (n > 1)), np.flatnonzero((length <= SMALL) | (n == 1))
+    blobs = np.full(len(long), b"", object)
+    for some, kind in ((big, 0), (small, 1)):
+        if not len(some):
+            continue
+        edge = np.concatenate([[0], np.cumsum(n[some])])
+        words = take[np.arange(edge[-1]) + np.repeat(bound[some] - edge[:-1], n[some])]
+        if kind:
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge.astype("i4")), flat.take(pa.array(words))), " ")
+            joined = pc.if_else(pc.less(pc.binary_length(joined), 4), pc.binary_join_element_wise(joined, "   ", ""), joined)
+        found = piece_bands(joined) if kind else word_bands(hashes[words], edge)
+        raw = np.ascontiguousarray(found.view("u1").reshape(len(some), BANDS, 8)[:, :, :5]).tobytes()
+        blobs[some] += np.array([raw[i : i + 5 * BANDS] for i in range(0, len(raw), 5 * BANDS)], object)
+    return sims, length, blobs
+
+
+def line_rows(rows: DataFrame, min_words: int) -> DataFrame:
+    """From rows (row, doc_id, text) a row (row, doc_id, line, key, sim, length, bands) for each line with a word; lines of fewer than min_words have a key only, and no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch_slices(batch, "text"):
                 lines, doc_at = _lines(part.column("text"))
                 flat, at = words_of(lines)
-                long = np.flatnonzero(np.diff(at) >= min_words)
-                if not len(long):
+                some = np.flatnonzero(np.diff(at) > 0)
+                if not len(some):
                     continue
                 hashes = word_hashes(flat)
-                n = np.diff(at)[long]
-                take = np.arange(int(n.sum())) + np.repeat(at[long] - (np.cumsum(n) - n), n)
-                line = np.repeat(np.arange(len(long)), n)
-                votes = pc.binary_length(flat).to_numpy(zero_copy_only=False)[take] > SHORT
-                votes |= (np.bincount(line, votes, len(long)) == 0)[line]
-                sims = simhashes(mixed(hashes[take[votes]]), np.concatenate([[0], np.cumsum(np.bincount(line[votes], minlength=len(long)))]))
-                keys = [xxhash.xxh3_128_digest(hashes[at[i] : at[i + 1]].data) for i in long.tolist()]
-                doc = np.searchsorted(doc_at, long, side="right") - 1
-                length, bands = n, pa.nulls(len(long), pa.binary())
-                if unit == "chars":
-                    bound = np.concatenate([[0], np.cumsum(n)])
-                    length = np.add.reduceat(pc.utf8_length(flat).to_numpy(zero_copy_only=False)[take], bound[:-1]).astype("i8") + n - 1
-                    big, small = np.flatnonzero((length >= LONG) & (n > 1)), np.flatnonzero((length <= SMALL) | (n == 1))
-                    blobs = np.full(len(long), b"", object)
-                    for some, kind in ((big, 0), (small, 1)):
-                        if not len(some):
-                            continue
-                        edge = np.concatenate([[0], np.cumsum(n[some])])
-                        words = take[np.arange(edge[-1]) + np.repeat(bound[some] - edge[:-1], n[some])]
-                        if kind:
-                            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge.astype("i4")), flat.take(pa.array(words))), " ")
-                            joined = pc.if_else(pc.less(pc.binary_length(joined), 4), pc.binary_join_element_wise(joined, "   ", ""), joined)
-                        found = piece_bands(joined) if kind else word_bands(hashes[words], edge)
-                        raw = np.ascontiguousarray(found.view("u1").reshape(len(some), BANDS, 8)[:, :, :5]).tobytes()
-                        blobs[some] += np.array([raw[i : i + 5 * BANDS] for i in range(0, len(raw), 5 * BANDS)], object)
-                    bands = pa.array(blobs.tolist(), pa.binary())
-                yield pa.record_batch({"doc_id": part.column("doc_id").take(pa.array(doc)), "line": pa.array((long - doc_at[doc]).astype("i4")), "key": pa.array(keys, pa.binary()), "sim": pa.array(sims.view("i8")), "length": pa.array(length.astype("i4")), "bands": bands})
-
-    return rows.mapInArrow(run, "doc_id long, line int, key binary, sim long, length int, bands binary")
-
-
-def _buckets(sims: np.ndarray) -> np.ndarray:
-    """A hash of the chosen fields for each choice (rows) and SimHash (columns)."""
-    masks = np.array(MASKS, "u8")[:, None]
-    return mixed((sims[None, :] & masks) ^ mixed(np.arange(1, len(MASKS) + 1, dtype="u8"))[:, None])
-
-
-def _places(batch: pa.RecordBatch, unit: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Choices, rows and their buckets in a batch of classes."""
-    if unit == "chars":
-        blobs = batch.column("bands").to_pylist()
-        n = np.fromiter(map(len, blobs), "i8", len(blobs)) // 5
-        wide = np.zeros((int(n.sum()), 8), "u1")
-        wide[:, :5] = np.frombuffer(b"".join(blobs), "u1").reshape(-1, 5)
-        yield 0, np.repeat(np.arange(len(n)), n), wide.view("u8").ravel()
-    else:
-        for t, b in enumerate(_buckets(batch.column("sim").to_numpy().view("u8"))):
-            yield t, np.arange(len(b)), b
-
-
-def candidates(classes: DataFrame, percent: int, unit: str = "words") -> DataFrame:
-    """Pairs of classes, as the places (doc_id, line) of their first lines, that share enough fields of bits, differ in at most DISTANCE bits and have fitting lengths; g is null.
+                keys = [xxhash.xxh3_128_digest(hashes[a:b].data) for a, b in zip(at[some].tolist(), at[some + 1].tolist())]
+                sims, length, bands = np.zeros(len(some), "u8"), np.zeros(len(some), "i8"), np.full(len(some), b"", object)
+                long = np.flatnonzero(np.diff(at)[some] >= min_words)
+                if len(long):
+                    sims[long], length[long], bands[long] = _blocks(flat, hashes, at, some[long])
+                doc = np.searchsorted(doc_at, some, side="right") - 1
+                ids = pa.array(doc)
+                yield pa.record_batch({"row": part.column("row").take(ids), "doc_id": part.column("doc_id").take(ids), "line": pa.array((some - doc_at[doc]).astype("i4")), "key": pa.array(keys, pa.binary()), "sim": pa.array(sims.view("i8")), "length": pa.array(length.astype("i4")), "bands": pa.array(bands.tolist(), pa.binary())})
 
-    Where more than FEW classes meet in a bucket, the rows are its classes that have such a partner, g names the group
-    and the second place is null.
+    return rows.mapInArrow(run, "row long, doc_id long, line int, key binary, sim long, length int, bands binary")
 
-    Each class goes to one bucket for each choice of FIELDS - DISTANCE fields; with unit "chars" to one for each of its
-    bands, lines over SMALL characters may differ in RADIUS bits, shorter ones in any, and a pair may come more than once. A fixed-size sketch bounds how many
-    classes a bucket holds, long ones weighted; large buckets are cut into blocks, and pairs of blocks are dealt.
+
+def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a batch of classes and the buckets that their bands lead to."""
+    blobs = batch.column("bands").to_pylist()
+    n = np.fromiter(map(len, blobs), "i8", len(blobs)) // 5
+    wide = np.zeros((int(n.sum()), 8), "u1")
+    wide[:, :5] = np.frombuffer(b"".join(blobs), "u1").reshape(-1, 5)
+    return np.repeat(np.arange(len(n)), n), wide.view("u8").ravel()
+
+
+def candidates(classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes, as the places (row, line) of their first lines, that share a band, have near SimHashes and fitting lengths; g is null. A pair may come more than once.
+
+    Where more than FEW classes meet in a bucket, the rows are its classes that have such a partner, g names the group
+    and the second place is null. A fixed-size sketch bounds how many classes a bucket holds, long ones weighted; large
+    buckets are cut into blocks, and pairs of blocks are dealt.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch()
         for batch in batches:
-            weight = 1 + batch.column("length").to_numpy() // WEIGHT
-            for _, row, b in _places(batch, unit):
-                sketch.add(b, weight[row])
+            row, b = _places(batch)
+            sketch.add(b, (1 + batch.column("length").to_numpy() // WEIGHT)[row])
         for part, blob in sketch.blobs():
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
 
     spark = classes.sparkSession
-    fixed = spark.sparkContext.broadcast(zlib.compress(sketch_total(classes.select("sim", "length", "bands").mapInArrow(count, "part int, blob binary")).tobytes(), 1))
+    fixed = spark.sparkContext.broadcast(zlib.compress(sketch_total(classes.select("length", "bands").mapInArrow(count, "part int, blob binary")).tobytes(), 1))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(zlib.decompress(fixed.value), "u4")
         noise = int(counts.mean())
         for batch in batches:
-            sims = batch.column("sim").to_numpy()
-            doc, line, length = (batch.column(x).to_numpy() for x in ("doc_id", "line", "length"))
-            for t, row, b in _places(batch, unit):
-                nb = np.maximum(1, -(-(counts[(b & np.uint64(len(counts) - 1)).astype("i8")].astype("i8") - noise) // BLOCK))
-                own = mixed(doc[row].view("u8") * np.uint64(31) + line[row].astype("u8")) % nb.astype("u8")
-                at = np.repeat(np.arange(len(b)), nb)
-                other = np.arange(len(at)) - np.repeat(np.cumsum(nb) - nb, nb)
-                o, b, at = own.astype("i8")[at], b[at], row[at]
-                cols = [b.view("i8"), np.minimum(o, other) << 20 | np.maximum(o, other), o << 4 | t, doc[at], line[at], sims[at], length[at]]
-                yield pa.record_batch([pa.array(x) for x in cols], names=["bucket", "xy", "ot", "doc_id", "line", "sim", "length"])
+            doc, line, sims, length = (batch.column(x).to_numpy() for x in ("row", "line", "sim", "length"))
+            row, b = _places(batch)
+            nb = np.maximum(1, -(-(counts[(b & np.uint64(len(counts) - 1)).astype("i8")].astype("i8") - noise) // BLOCK))
+            own = mixed(doc[row].view("u8") * np.uint64(31) + line[row].astype("u8")) % nb.astype("u8")
+            at = np.repeat(np.arange(len(b)), nb)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(nb) - nb, nb)
+            o, b, at = own.astype("i8")[at], b[at], row[at]
+            cols = [b.view("i8"), np.minimum(o, other) << 20 | np.maximum(o, other), o, doc[at], line[at], sims[at], length[at]]
+            yield pa.record_batch([pa.array(x) for x in cols], names=["bucket", "xy", "own", "row", "line", "sim", "length"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -322,141 +260,143 @@ def candidates(classes: DataFrame, percent: int, unit: str = "words") -> DataFra
             return
         table = pa.Table.from_batches(held)
         c = {x: table.column(x).to_numpy() for x in table.schema.names}
-        order = np.lexsort((c["length"], c["ot"] & 15, c["xy"], c["bucket"]))
+        order = np.lexsort((c["length"], c["xy"], c["bucket"]))
         c = {x: v[order] for x, v in c.items()}
-        t, own = c["ot"] & 15, c["ot"] >> 4
-        new = (c["bucket"][1:] != c["bucket"][:-1]) | (c["xy"][1:] != c["xy"][:-1]) | (t[1:] != t[:-1])
+        new = (c["bucket"][1:] != c["bucket"][:-1]) | (c["xy"][1:] != c["xy"][:-1])
         group = np.concatenate([[0], np.cumsum(new)])
         last = np.searchsorted(group, group, side="right") - 1
         same = (c["xy"] >> 20) == (c["xy"] & ((1 << 20) - 1))
-        sim, masks = c["sim"].view("u8"), np.array(MASKS, "u8")
-        size = np.bincount(group)[group]
+        sim, size = c["sim"].view("u8"), np.bincount(group)[group]
         busy = np.zeros(len(group), bool)
         left, step = np.flatnonzero(np.arange(len(group)) < last), 1
         while len(left):
             right = left + step
             fits = 100 * c["length"][left].astype("i8") >= percent * c["length"][right].astype("i8")  # lengths rise: beyond one that doesn't fit none does
             left, right = left[fits], right[fits]
-            x = sim[left] ^ sim[right]
-            close = np.bitwise_count(x) <= (RADIUS if unit == "chars" else DISTANCE)
-            if unit == "chars":
-                close |= c["length"][left] <= SMALL
-            good = close & (same[left] | (own[left] != own[right]))
+            good = (np.bitwise_count(sim[left] ^ sim[right]) <= RADIUS) | (c["length"][left] <= SMALL)
+            good &= same[left] | (c["own"][left] != c["own"][right])
             many = good & (size[left] > FEW)
             busy[left[many]] = busy[right[many]] = True
-            good &= ~many
-            g, x = left[good], x[good]
-            if len(g):  # a pair is told by the first choice of fields that it shares
-                if unit == "words":
-                    g = g[np.argmax((x[:, None] & masks[None, :]) == 0, axis=1) == t[g]]
+            g = left[good & ~many]
+            if len(g):
                 h = g + step
-                yield pa.record_batch([pa.array(c["doc_id"][g]), pa.array(c["line"][g]), pa.array(c["doc_id"][h]), pa.array(c["line"][h]), pa.nulls(len(g), pa.int64())], names=["doc_a", "line_a", "doc_b", "line_b", "g"])
+                yield pa.record_batch([pa.array(c["row"][g]), pa.array(c["line"][g]), pa.array(c["row"][h]), pa.array(c["line"][h]), pa.nulls(len(g), pa.int64())], names=["row_a", "line_a", "row_b", "line_b", "g"])
             step += 1
             left = left[left + step <= last[left]]
         if busy.any():
             b = np.flatnonzero(busy)
             name = mixed(c["bucket"][b].view("u8") ^ mixed(c["xy"][b].view("u8"))).view("i8")
-            yield pa.record_batch([pa.array(c["doc_id"][b]), pa.array(c["line"][b]), pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int32()), pa.array(name)], names=["doc_a", "line_a", "doc_b", "line_b", "g"])
-
-    dealt = classes.select("doc_id", "line", "sim", "length", "bands").mapInArrow(deal, "bucket long, xy long, ot long, doc_id long, line int, sim long, length int")
-    return dealt.repartition(parts(spark), "bucket", "xy").mapInArrow(meet, PAIRS)
-
-
-def forest(sims: np.ndarray, lines: list[list[str]], percent: int) -> list[tuple[int, int]]:
-    """Links that connect all lines of a group that are connected. Lines that already hang together are not compared again."""
-    root, out, held = np.arange(len(sims)), [], Lines(lines)
-    for i in range(len(sims)):
-        later = np.arange(i + 1, len(sims))
-        most = (100 - percent) * np.maximum(held.size[later], held.size[i]) // 100
-        near = (np.bitwise_count(sims[later] ^ sims[i]) <= DISTANCE) & (root[later] != root[i]) & (np.abs(held.size[later] - held.size[i]) <= most)
-        later, most = later[near], most[near]
-        if len(later):
-            for j in later[held.edits(i, later) <= most].tolist():
-                if root[j] != root[i]:
-                    root[root == root[j]] = root[i]
-                    out.append((i, j))
-    return out
+            yield pa.record_batch([pa.array(c["row"][b]), pa.array(c["line"][b]), pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int32()), pa.array(name)], names=["row_a", "line_a", "row_b", "line_b", "g"])
 
+    dealt = classes.select("row", "line", "sim", "length", "bands").mapInArrow(deal, "bucket long, xy long, own long, row long, line int, sim long, length int")
+    return dealt.repartition(parts(spark), "bucket", "xy").mapInArrow(meet, "row_a long, line_a int, row_b long, line_b int, g long")
 
-def line_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 5, percent: int = 90, unit: str = "words") -> DataFrame:
-    """Rows (doc_id, line, first_doc, first_line) for each line that goes and the line of its group that stays."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    lines = staged(line_rows(rows, min_words, unit), "lines")
-    place = F.struct("doc_id", "line")
-    classes = staged(lines.groupBy("key").agg(F.min(place).alias("p"), F.first("sim").alias("sim"), F.first("length").alias("length"), F.first("bands").alias("bands"), F.count("*").alias("n")).select("key", "p.doc_id", "p.line", "sim", "length", "bands", "n"), "line-classes")
-    met = candidates(classes, percent, unit)
-    met = staged(met.distinct() if unit == "chars" else met, "line-pairs")
-    ends = [met.select(F.col(f"doc_{e}").alias("doc_id"), F.col(f"line_{e}").alias("line")) for e in "ab"]
-    needed = ends[0].unionByName(ends[1]).where("doc_id IS NOT NULL").distinct()
-    wanted = needed.groupBy(F.col("doc_id").alias("want")).agg(F.collect_list("line").alias("lines"))
+
+def texts_of(rows: DataFrame, needed: DataFrame) -> DataFrame:
+    """Rows (row, line, norm): the normalised text of each needed (row, line)."""
+    wanted = needed.groupBy(F.col("row").alias("want")).agg(F.collect_list("line").alias("lines"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch_slices(batch, "text"):
-                doc, line, out = [], [], []
-                for d, t, w in zip(*[part.column(x).to_pylist() for x in ("doc_id", "text", "lines")]):
-                    split = (t or "").split("\n")
-                    for i in w:
-                        doc.append(d)
-                        line.append(i)
-                        out.append(split[i])
+                row, line, out = [], [], []
+                for r, t, w in zip(*[part.column(x).to_pylist() for x in ("row", "text", "lines")]):
+                    split = t.split("\n")
+                    row += [r] * len(w)
+                    line += w
+                    out += [split[i] for i in w]
                 flat, at = words_of(pa.array(out, pa.string()))
                 joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype("i4")), flat), " ")
-                yield pa.record_batch({"d": pa.array(doc, pa.int64()), "l": pa.array(line, pa.int32()), "norm": joined})
+                yield pa.record_batch({"row": pa.array(row, pa.int64()), "line": pa.array(line, pa.int32()), "norm": joined})
+
+    met = rows.select("row", "text").join(wanted.hint("shuffle_hash"), F.col("row") == F.col("want"))
+    return met.select("row", "text", "lines").mapInArrow(cut, "row long, line int, norm string")
 
-    norms = rows.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("want")).select("doc_id", "text", "lines").mapInArrow(cut, "d long, l int, norm string").dropDuplicates(["d", "l"])
-    norms = staged(norms, "line-texts")
-    pairs = met.where("g IS NULL")
+
+def links(met: DataFrame, norms: DataFrame, percent: int) -> DataFrame:
+    """Links (row_a, line_a, row_b, line_b) that connect all classes that edits connect: of the pairs those that are similar, of each group a forest."""
+    pairs = met.where("g IS NULL").distinct()
     for end in ("a", "b"):
-        side = norms.select(F.col("d").alias(f"doc_{end}"), F.col("l").alias(f"line_{end}"), F.col("norm").alias(f"norm_{end}"))
-        pairs = pairs.join(side, [f"doc_{end}", f"line_{end}"])
+        side = norms.select(F.col("row").alias(f"row_{end}"), F.col("line").alias(f"line_{end}"), F.col("norm").alias(f"norm_{end}"))
+        pairs = pairs.join(side, [f"row_{end}", f"line_{end}"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("norm_a").to_pylist(), batch.column("norm_b").to_pylist()
-            good = alike(a, b, percent) if unit == "chars" else [similar(x.split(" "), y.split(" "), percent) for x, y in zip(a, b)]
-            yield batch.select(["doc_a", "line_a", "doc_b", "line_b"]).filter(pa.array(good, pa.bool_()))
-
-    def connect(group: pa.Table) -> pa.Table:
-        order = np.lexsort((group.column("l").to_numpy(), group.column("d").to_numpy()))
-        rows = group.take(pa.array(order))
-        norms = rows.column("norm").to_pylist()
-        found = char_forest(norms, percent) if unit == "chars" else forest(rows.column("sim").to_numpy().view("u8"), [x.split(" ") for x in norms], percent)
-        found = np.array(found, "i8").reshape(-1, 2)
-        d, line = rows.column("d").to_numpy(), rows.column("l").to_numpy()
-        return pa.table({"doc_a": d[found[:, 0]], "line_a": line[found[:, 0]], "doc_b": d[found[:, 1]], "line_b": line[found[:, 1]]})
-
-    few = pairs.mapInArrow(check, "doc_a long, line_a int, doc_b long, line_b int")
-    seen = classes.select(F.col("doc_id").alias("c_doc"), F.col("line").alias("c_line"), "sim")
-    members = met.where("g IS NOT NULL").select("g", F.col("doc_a").alias("d"), F.col("line_a").alias("l")).join(norms, ["d", "l"]).join(seen, (F.col("d") == F.col("c_doc")) & (F.col("l") == F.col("c_line"))).select("g", "d", "l", "sim", "norm")
-    linked = few.unionByName(members.groupBy("g").applyInArrow(connect, "doc_a long, line_a int, doc_b long, line_b int"))
-    linked = linked.select(F.struct(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).alias("a"), F.struct(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line")).alias("b"))
-    groups = components(staged(linked, "line-links")).select(F.col("node.doc_id").alias("g_doc"), F.col("node.line").alias("g_line"), F.col("component.doc_id").alias("c_doc"), F.col("component.line").alias("c_line"))
-    stays = classes.join(groups, (F.col("doc_id") == F.col("g_doc")) & (F.col("line") == F.col("g_line")), "left")
-    stays = stays.where("n > 1 OR g_doc IS NOT NULL").select(F.col("key").alias("of"), F.coalesce("c_doc", "doc_id").alias("first_doc"), F.coalesce("c_line", "line").alias("first_line"))
-    return lines.join(stays, F.col("key") == F.col("of")).where("doc_id <> first_doc OR line <> first_line").select("doc_id", "line", "first_doc", "first_line")
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 5, percent: int = 90, unit: str = "words") -> DataFrame:
-    """docs with the columns it has, its text without the lines that go, and the columns lines_removed and lines_kept (both long).
-
-    Null texts stay null and have no lines kept or removed; an empty text has one empty line. Rows without an id are
-    left as they are. Repeated rows lose the same lines each. Texts keep every other byte.
+            good = alike(batch.column("norm_a").to_pylist(), batch.column("norm_b").to_pylist(), percent)
+            yield batch.select(["row_a", "line_a", "row_b", "line_b"]).filter(pa.array(good, pa.bool_()))
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple]] = []
+        size, name = 0, None
+
+        def told() -> pa.RecordBatch:
+            found = [(*g[i][:2], *g[j][:2]) for g, some in zip(held, forests([[x[2] for x in g] for g in held], percent)) for i, j in some]
+            cols = list(zip(*found)) or [()] * 4
+            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32()] * 2)], names=["row_a", "line_a", "row_b", "line_b"])
+
+        for batch in batches:
+            for g, *place in zip(*[batch.column(x).to_pylist() for x in ("g", "row", "line", "norm")]):
+                if g != name:
+                    if size > TOGETHER:
+                        yield told()
+                        held, size = [], 0
+                    name = g
+                    held.append([])
+                held[-1].append(tuple(place))
+                size += len(place[2])
+        if held:
+            yield told()
+
+    kinds = "row_a long, line_a int, row_b long, line_b int"
+    groups = met.where("g IS NOT NULL").select("g", F.col("row_a").alias("row"), F.col("line_a").alias("line")).distinct()
+    # groups of the same classes, from several bands, are one
+    member = [F.xxhash64(F.lit(s), "row", "line") for s in (1, 2)]
+    once = groups.groupBy("g").agg(F.bit_xor(member[0]).alias("x"), F.bit_xor(member[1]).alias("y"), F.count("*").alias("n")).groupBy("x", "y", "n").agg(F.min("g").alias("g")).select("g")
+    members = groups.join(once, "g", "left_semi").join(norms, ["row", "line"]).select("g", "row", "line", "norm")
+    dealt = members.repartition(parts(met.sparkSession), "g").sortWithinPartitions("g", "row", "line")
+    return pairs.mapInArrow(check, kinds).unionByName(dealt.mapInArrow(connect, kinds))
+
+
+def line_groups(rows: DataFrame, min_words: int = 5, percent: int = 90) -> DataFrame:
+    """From a written table (row, doc_id, text), row being different in each, rows (row, line, first) for each line that goes; first is the place (late, doc_id, row, line) of the line of its group that stays."""
+    lines = staged(line_rows(rows, min_words), "lines")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "row", "line")
+    of_class = [F.first(c).alias(c) for c in ("sim", "length", "bands")]
+    classes = staged(lines.groupBy("key").agg(F.min(place).alias("p"), *of_class, F.count("*").alias("n")).select("key", "p", F.col("p.row").alias("row"), F.col("p.line").alias("line"), "sim", "length", "bands", "n"), "line-classes")
+    met = staged(candidates(classes, percent), "line-pairs")
+    ends = [met.select(F.col(f"row_{e}").alias("row"), F.col(f"line_{e}").alias("line")) for e in "ab"]
+    norms = staged(texts_of(rows, ends[0].unionByName(ends[1]).where("row IS NOT NULL").distinct()), "line-texts")
+    found = staged(links(met, norms, percent), "line-links")
+    dropped(met)
+    dropped(norms)
+    for end in ("a", "b"):
+        side = classes.select(F.col("row").alias(f"row_{end}"), F.col("line").alias(f"line_{end}"), F.col("p").alias(end))
+        found = found.join(side, [f"row_{end}", f"line_{end}"])
+    groups = components(found.select("a", "b"))
+    stays = classes.join(groups, F.col("p") == F.col("node"), "left").where("n > 1 OR node IS NOT NULL")
+    stays = stays.select(F.col("key").alias("of"), F.coalesce("component", "p").alias("first"))
+    return lines.join(stays, F.col("key") == F.col("of")).where("row <> first.row OR line <> first.line").select("row", "line", "first")
+
+
+def without(text: Column, gone: Column) -> Column:
+    """A text without the lines whose numbers stand in gone."""
+    kept = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), gone), lambda i: x[i]), "\n")
+    return F.when(gone.isNull(), text).otherwise(F.transform(F.array(F.split(text, "\n")), kept)[0])
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_words: int = 5, percent: int = 90, removed: str = "lines_removed", kept: str = "lines_kept") -> DataFrame:
+    """docs with the columns it has, its text without the lines that go, and the columns removed and kept (both long).
+
+    Null texts stay null and have no lines kept or removed; an empty text has one empty line. Lines without a word stay.
+    Each row is a document of its own, also where ids are repeated or null: of rows with equal ids and lines one keeps
+    the line. Texts keep every other byte. A column of docs named like removed or kept gives way to it.
     """
-    gone = line_groups(docs, id_col, text, min_words, percent, unit).groupBy(F.col("doc_id").alias("q_doc")).agg(F.collect_set("line").alias("q_lines"))
-    out = docs.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("q_doc"), "left")
-
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        def one(t: str | None, g) -> str | None:
-            if t is None or g is None:
-                return t
-            g = set(g.tolist())
-            return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g)
-
-        return pd.Series([one(t, g) for t, g in zip(texts, gone)], dtype=object)
-
-    removed = F.when(F.col("q_lines").isNull(), 0).otherwise(F.size("q_lines"))
-    lines = F.when(F.col(text).isNull(), 0).otherwise(F.regexp_count(F.col(text), F.lit("\n")) + 1)
-    new = without(F.col(text), F.col("q_lines"))
-    return out.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns], removed.cast("long").alias("lines_removed"), (lines - removed).cast("long").alias("lines_kept"))
+    row, gone_row, gone_lines = fresh(docs, "row_id", "gone_row", "gone_lines")
+    held = staged(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
+    rows = held.select(F.col(row).alias("row"), quoted(id_col).cast("long").alias("doc_id"), quoted(text).alias("text"))
+    gone = line_groups(rows, min_words, percent).groupBy(F.col("row").alias(gone_row)).agg(F.collect_set("line").alias(gone_lines))
+    out = held.join(gone.hint("shuffle_hash"), F.col(row) == F.col(gone_row), "left")
+    count = F.when(F.col(gone_lines).isNull(), 0).otherwise(F.size(gone_lines))
+    lines = F.when(quoted(text).isNull(), 0).otherwise(F.regexp_count(quoted(text), F.lit("\n")) + 1)
+    others = [without(quoted(text), F.col(gone_lines)).alias(c) if c.lower() == text.lower() else quoted(c) for c in docs.columns if c.lower() not in (removed.lower(), kept.lower())]
+    return out.select(*others, count.cast("long").alias(removed), (lines - count).cast("long").alias(kept))

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from signalweave.llm import ann, chat, components, license_scan, line_dedup, mixing, ngram_join, packing, quality, queries, suffix_dedup, text, warc
+from signalweave.llm import ann, chat, components, edits, license_scan, line_dedup, mixing, ngram_join, packing, quality, queries, suffix_dedup, text, warc
 
 from signalweave.tables import new_path
 
@@ -284,40 +284,45 @@ def distance(a, b):
     return row[-1]
 
 
-def test_edits():
+def test_edits(monkeypatch):
     r = random.Random(3)
     for _ in range(1500):
         a, b = ([r.choice("abé") for _ in range(r.randint(0, 14))] for _ in range(2))
         d, most = distance(a, b), r.randint(0, 8)
-        assert line_dedup.edits(a, b) == d and line_dedup.edits(a, b, most) == (d if d <= most else most + 1)
-
-
-def test_edits_of_one_with_many():
-    r = random.Random(5)
-    lines = [[r.choice("abcd") for _ in range(r.randint(1, 150))] for _ in range(12)] + [["a"] * 64, ["a"] * 65, ["a"] * 128, ["b"]]
-    held = line_dedup.Lines(lines)
-    for i in range(len(lines)):
-        for others in (np.arange(len(lines)), np.array([15]), np.array([3, 12])):
-            assert held.edits(i, others).tolist() == [distance(lines[i], lines[j]) for j in others]
+        assert edits.edits(a, b) == d and edits.edits(a, b, most) == (d if d <= most else most + 1)
+    a, b, most = [], [], []
+    for _ in range(600):
+        x = "".join(r.choices(r.choice(["ab", "abc é", "aé😀"]), k=r.choice([0, 1, 5, 20, 70])))
+        y = list(x)
+        for _ in range(r.randint(0, len(x) // 6 + 1)):
+            i = r.randint(0, len(y))
+            y[i : i + r.randint(0, 1)] = r.choice(["", "x", "ab"])
+        a, b, most = [*a, x], [*b, "".join(y)], [*most, r.choice([0, 1, 3, len(x) // 10, len(x) // 4])]
+    expected = [distance(x, y) <= m for x, y, m in zip(a, b, most)]
+    assert 0.2 < sum(expected) / len(expected) < 0.9
+    for few, cells in ((1, 1 << 20), (12, 500), (10**6, 1 << 20)):
+        monkeypatch.setattr(edits, "FEWEST", few)
+        monkeypatch.setattr(edits, "CELLS", cells)
+        assert edits.within(a, b, np.array(most)).tolist() == expected
+
+
+def similar(a, b):
+    most = max(len(a), len(b)) // 10
+    return abs(len(a) - len(b)) <= most and edits.edits(a, b, most) <= most
 
 
 @pytest.mark.parametrize("few", [2, 16])
 def test_lines(spark, docs, monkeypatch, few):
+    """Against all pairs: lines of five words or more link by edits alone, all others when they are equal."""
     monkeypatch.setattr(line_dedup, "FEW", few)
+    monkeypatch.setattr(line_dedup, "TOGETHER", 500)
     rows, places = pairs_of(docs), collections.defaultdict(list)
     for d, t in rows:
         for i, line in enumerate((t or "").split("\n")):
-            if len(words(line)) >= 5:
+            if words(line):
                 places[" ".join(words(line))].append((d, i))
     norms = list(places)
-
-    def sim(norm):
-        w = [x for x in norm.split(" ") if len(x.encode()) > 3] or norm.split(" ")
-        h = text.mixed(text.word_hashes(pa.array(w)))
-        return sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h))
-
-    sims = [sim(x) for x in norms]
-    links = [(i, j) for i in range(len(norms)) for j in range(i) if (sims[i] ^ sims[j]).bit_count() <= 3 and 100 * distance(norms[i].split(), norms[j].split()) <= 10 * max(len(norms[i].split()), len(norms[j].split()))]
+    links = [(i, j) for i in range(len(norms)) for j in range(i) if min(norms[i].count(" "), norms[j].count(" ")) >= 4 and similar(norms[i], norms[j])]
     groups = collections.defaultdict(list)
     for i, root in enumerate(roots(len(norms), links)):
         groups[root] += places[norms[i]]
@@ -327,20 +332,33 @@ def test_lines(spark, docs, monkeypatch, few):
     assert links and gone
 
 
-def test_lines_keep_other_columns(spark):
-    df = spark.createDataFrame([(None, "a b c d e", 1), (1, "a b c d e", 2), (1, "a b c d e", 2), (2, "A b  c d e\nx", 3)], "doc_id long, text string, lines int")
-    got = sorted((str(r.doc_id), r.text, r.lines) for r in line_dedup.line_dedup(df).collect())
-    assert got == [("1", "a b c d e", 2), ("1", "a b c d e", 2), ("2", "x", 3), ("None", "a b c d e", 1)]
+def test_lines_of_rows_with_repeated_and_null_ids(spark):
+    one, two = "a line of some words that stands twice", "another line that stands in only one place"
+    df = spark.createDataFrame([(None, one, 1), (1, two + "\n" + one, 2), (1, "mine alone\n" + one, 2), (1, "mine alone\n" + one, 2), (2, "A  line of some words that stands twice\nx", 3), (None, "y\n" + one, 4), (3, None, 5), (4, "", 6)], "doc_id long, text string, lines int")
+    df = df.withColumns({"q_lines": F.lit(1), "Row_ID": F.lit(2), "gone_lines": F.lit(3), "lines_removed": F.lit(4), "a.b": F.lit(5)})
+    out = line_dedup.line_dedup(df, removed="went", kept="stayed")
+    assert out.columns == [*df.columns, "went", "stayed"]
+    rows = out.collect()
+    assert sum(one in (r.text or "") for r in rows) == 1 and sum("mine alone" in (r.text or "") for r in rows) == 1 and sum(two in (r.text or "") for r in rows) == 1
+    assert sorted(((str(r.doc_id), r.text, r.went, r.stayed) for r in rows if r.doc_id != 1), key=str) == [("2", "x", 1, 1), ("3", None, 0, 0), ("4", "", 0, 1), ("None", "", 1, 0), ("None", "y", 1, 1)]
+    assert {(r.lines_removed, r.q_lines, r["a.b"]) for r in rows} == {(4, 1, 5)}
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_a_very_long_text_loses_its_repeated_lines(spark):
+    lines = [f"line number {i} of a very long text {i * i}" for i in range(60_000)]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[::2]) + "\nnew"), (3, "x" * 10_000_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.line_dedup(df, percent=100).collect()}
+    assert got[1].text == "\n".join(lines) and got[2].text == "new" and got[2].lines_removed == 30_000 and len(got[3].text) == 10_000_000
+
+
 def edited(r, line):
     """line with up to 10% of its characters edited: words replaced, left out or put in, or single letters."""
     most, w = len(line) // 10, line.split(" ")
     for _ in range(r.randint(1, max(1, len(w) // 12))):
         i, kind = r.randrange(len(w)), r.random()
         v = w[:i] + w[i + 1 :] if kind < 0.2 else w[:i] + ["".join(r.choices("abcdefgh", k=5))] + w[i + (kind < 0.6) :] if kind < 0.7 else w[:i] + [w[i][:-1] + "z"] + w[i + 1 :]
-        w = v if line_dedup.edits(line, " ".join(v), most) <= most else w
+        w = v if edits.edits(line, " ".join(v), most) <= most else w
     return " ".join(w)
 
 
@@ -349,13 +367,13 @@ def test_bands_find_lines_that_edits_would_link(n_words):
     r = random.Random(n_words)
     lines = [" ".join("".join(r.choices("abcdefghijklmno", k=r.randint(2, 9))) for _ in range(n_words)) for _ in range(90 if n_words < 60 else 30)]
     lines += [edited(r, x) for x in lines]
-    links = {(i, j) for i in range(len(lines)) for j in range(i) if lines[i] != lines[j] and 10 * abs(len(lines[i]) - len(lines[j])) <= len(lines[i]) and line_dedup.similar(lines[i], lines[j], 90)}
+    links = {(i, j) for i in range(len(lines)) for j in range(i) if lines[i] != lines[j] and similar(lines[i], lines[j])}
 
     class Rows:
         def mapInArrow(self, f, schema):
-            return pa.Table.from_batches(f(iter([pa.record_batch({"doc_id": pa.array(range(len(lines))), "text": pa.array(lines)})])))
+            return pa.Table.from_batches(f(iter([pa.record_batch({"row": pa.array(range(len(lines))), "doc_id": pa.array(range(len(lines))), "text": pa.array(lines)})])))
 
-    got = line_dedup.line_rows(Rows(), 1, "chars")
+    got = line_dedup.line_rows(Rows(), 1)
     bands = [{x[k : k + 5] for k in range(0, len(x), 5)} for x in got.column("bands").to_pylist()]
     sims = got.column("sim").to_numpy().view("u8")
     met = [(i, j) for i, j in links if bands[i] & bands[j] and (min(len(lines[i]), len(lines[j])) <= line_dedup.SMALL or int(sims[i] ^ sims[j]).bit_count() <= line_dedup.RADIUS)]
@@ -377,28 +395,17 @@ def test_op6_links_lines_by_characters(spark, tmp_path, monkeypatch, few):
     assert gone == {1, 2, *range(6, len(texts))}
 
 
-def test_groups_of_long_lines_are_bounded_in_bytes():
-    import tracemalloc
-
-    base = [f"w{i}" for i in range(4000)]
-    lines = [[*base[:i], f"x{i}", *base[i + 1 :]] for i in range(120)]
-    lines[0] = lines[0][:50]
-    tracemalloc.start()
-    try:
-        assert line_dedup.Lines(lines).edits(0, np.arange(1, 120)).tolist() == [3952] * 49 + [3951] * 70
-        assert tracemalloc.get_traced_memory()[1] < 100 << 20  # all bit columns of the group at once take 250 MB
-    finally:
-        tracemalloc.stop()
-
-
-def test_char_forest():
+def test_forests():
     r = random.Random(8)
     lines = ["".join(r.choices("abcé ", k=r.randint(0, 60))) for _ in range(12)]
     lines = list(dict.fromkeys(lines + [x[: (k := r.randint(0, len(x)))] + r.choice(["", "q", "qq"]) + x[k + r.randint(0, 3) :] for x in lines for _ in range(4)]))
     links = [(i, j) for i in range(len(lines)) for j in range(i) if 10 * distance(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j]))]
-    assert roots(len(lines), line_dedup.char_forest(lines, 90)) == roots(len(lines), links)
+    found = line_dedup.forests([lines, lines[:7], [], ["a"], lines[::-1]], 90)
+    assert roots(len(lines), found[0]) == roots(len(lines), links) and not found[2] and not found[3]
+    assert roots(7, found[1]) == roots(7, [x for x in links if max(x) < 7])
+    assert roots(len(lines), [(len(lines) - 1 - i, len(lines) - 1 - j) for i, j in found[4]]) == roots(len(lines), links)
     a, b = [lines[i] for i in range(len(lines)) for _ in lines], lines * len(lines)
-    assert line_dedup.alike(a, b, 90) == [10 * distance(x, y) <= max(len(x), len(y)) for x, y in zip(a, b)]
+    assert line_dedup.alike(a, b, 90).tolist() == [10 * distance(x, y) <= max(len(x), len(y)) for x, y in zip(a, b)]
 
 
 # --- 7
