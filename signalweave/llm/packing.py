@@ -8,74 +8,147 @@ plan is the one that packing piece by piece would give. Pieces then find their p
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalweave.llm.common import batch_slices, staged
-from signalweave.llm.text import coded, words_of
+from signalweave.llm.text import filled, word_hashes, words_of
 
 CAPACITY = 2048
 END = 0
-#: A chunk of letters and then marks; its two parts are tokens of their own for a tokenizer that splits letters from marks.
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*#$%&()\[\]\"+=/-]*)")
-_CACHED = 250_000
+#: How a tokenizer must prepare texts for its ids to be those of its chunks in a row (fixed values).
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Chunks that normalisation leaves alone but for case.
+_PLAIN = r"^[\x21-\x7e\x{a1}-\x{ff}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{20ac}]+$"
+#: Letters and then marks, without an apostrophe: one part each.
+_SIMPLE = r"^(?P<w>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<p>[!-&(-/:-@\[-`{-~]*)$"
+#: Chunks whose ids a worker keeps, and parts that are encoded in one call.
+_CACHED, _TOGETHER = 1 << 20, 4096
+
+
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, ... of all spans in a row."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 class ChunkEncoder:
-    """Token ids of space-separated chunks by a tokenizer that drops white space and marks word ends, with a bounded cache.
+    """Token ids of space-separated chunks, with a bounded cache, where the tokenizer allows it.
 
-    Ids of a text are those of its chunks in a row, as no token of such a tokenizer crosses white space.
+    Ids of a text are those of its chunks in a row if the tokenizer drops white space and marks word ends, as no token
+    crosses white space then. Whether a tokenizer is of this kind is read from its own description; with any other one
+    chunked is false and whole texts must be encoded.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        first = (told["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        splits = {"type": "Split", "pattern": {"Regex": PARTS}, "behavior": "Removed", "invert": True}
+        self.chunked = told["normalizer"] == NORMALIZER and first == splits and told["model"].get("end_of_word_suffix") == "</w>" and not told["post_processor"]
+        self.special = [t["content"] for t in told["added_tokens"]]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> None:
-        """Simple words, many in one call: each ends with its only token that marks a word end."""
-        for i in range(0, len(words), 2000):
-            some = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) == len(some):
-                raw = ids.tobytes()
-                self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *stops], stops)]))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.names, self.hash, self.by = pa.array([], pa.string()), np.zeros(0, "u8"), np.zeros(0, "i8")
+        self.first, self.size, self.table = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "<u4")
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts and how many each has."""
+        ids = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.fromiter(map(len, ids), "i8", len(ids))
+
+    def _units(self, units: pa.Array, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for plain pieces of known numbers of parts, many in one call: each part ends with its only token that marks a word end."""
+        tables, sizes = [np.zeros(0, "<u4")], [np.zeros(0, "i8")]
+        for i in range(0, len(units), _TOGETHER):
+            some = units.slice(i, _TOGETHER)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), " ")[0].as_py()
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            last = np.cumsum(parts[i : i + len(some)])
+            if len(stops) == last[-1] and stops[-1] == len(ids):
+                size = np.diff(stops[last - 1], prepend=0)
             else:
-                self._learn_singly(some)
-
-    def _learn_singly(self, chunks: list[str]) -> None:
-        for c, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False)):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, chunks: list[str]) -> list[bytes]:
-        """Each chunk's ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > _CACHED:  # the longest known half goes
-            self.known = {"": b""} | dict(islice(self.known.items(), _CACHED // 2, None))
-        known = self.known
-        new = [c for c in chunks if c not in known]
-        split = [(c, m[1].lower(), m[2]) for c in new if (m := _SIMPLE.fullmatch(c))]
-        simple = {c for c, _, _ in split}
-        self._learn(list({w: 0 for _, w, _ in split if w not in known}))
-        self._learn_singly(list({x: 0 for x in (*(p for _, _, p in split), *(c for c in new if c not in simple)) if x not in known}))
-        for c, w, p in split:
-            known[c] = known[w] + known[p]
-        return [known[c] for c in chunks]
+                ids, size = self.whole(some.to_pylist())
+            tables.append(ids)
+            sizes.append(size)
+        return np.concatenate(tables), np.concatenate(sizes)
+
+    def _learn(self, chunks: pa.Array, hashes: np.ndarray) -> None:
+        plain = pc.match_substring_regex(chunks, _PLAIN)
+        for t in self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(chunks, t)))
+        plain = plain.to_numpy(zero_copy_only=False)
+        cut = pc.extract_regex(chunks, _SIMPLE)
+        simple = np.flatnonzero(pc.is_valid(cut).to_numpy(zero_copy_only=False) & plain)
+        rest, odd = np.setdiff1d(np.flatnonzero(plain), simple, assume_unique=True), np.flatnonzero(~plain)
+        cut = cut.take(pa.array(simple))
+        word, marks = pc.utf8_lower(cut.field(0)).dictionary_encode(), cut.field(1).dictionary_encode()
+        n_words, n_marks, others = len(word.dictionary), len(marks.dictionary), chunks.take(pa.array(rest))
+        units = pa.concat_arrays([word.dictionary, marks.dictionary, others])
+        parts = np.concatenate([np.ones(n_words, "i8"), pc.binary_length(marks.dictionary).to_numpy(zero_copy_only=False) > 0, pc.count_substring_regex(pc.utf8_lower(others), PARTS).to_numpy(zero_copy_only=False)]).astype("i8")
+        real = parts > 0
+        size = np.zeros(len(parts), "i8")
+        table, size[real] = self._units(units.filter(pa.array(real)), parts[real])
+        more, odd_size = self.whole(chunks.take(pa.array(odd)).to_pylist())
+        table, size = np.concatenate([table, more]), np.concatenate([size, odd_size])
+        first = np.cumsum(size) - size
+        # two spans for each chunk, in the order simple, rest, odd: its word or all of it, and its marks
+        a = np.concatenate([word.indices.to_numpy(zero_copy_only=False), n_words + n_marks + np.arange(len(rest) + len(odd))]).astype("i8")
+        b = n_words + marks.indices.to_numpy(zero_copy_only=False).astype("i8")
+        spans = np.stack([first[a], np.concatenate([first[b], np.zeros(len(a) - len(b), "i8")])], axis=1).ravel()
+        lengths = np.stack([size[a], np.concatenate([size[b], np.zeros(len(a) - len(b), "i8")])], axis=1)
+        order = np.concatenate([simple, rest, odd])
+        self.names = pa.concat_arrays([self.names, chunks.take(pa.array(order))])
+        self.first = np.concatenate([self.first, len(self.table) + np.cumsum(lengths.sum(axis=1)) - lengths.sum(axis=1)])
+        self.size = np.concatenate([self.size, lengths.sum(axis=1)])
+        self.table = np.concatenate([self.table, table[_spans(spans, lengths.ravel())]])
+        every = np.concatenate([self.hash, hashes[order]])
+        by = np.argsort(every, kind="stable")
+        self.hash, self.by = every[by], np.concatenate([self.by, len(self.by) + np.arange(len(order))])[by]
+
+    def _find(self, chunks: pa.Array, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where chunks are kept, and which of them are."""
+        if not len(self.hash):
+            return np.zeros(len(chunks), "i8"), np.zeros(len(chunks), bool)
+        order, at = np.argsort(hashes), np.empty(len(hashes), "i8")
+        at[order] = np.minimum(np.searchsorted(self.hash, hashes[order]), len(self.hash) - 1)  # in order, so that it stays in the cache
+        hit = self.hash[at] == hashes
+        same = pc.equal(self.names.take(pa.array(self.by[at])), chunks).to_numpy(zero_copy_only=False)
+        return self.by[at], hit & same
+
+    def encode(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For different chunks a table of ids, and the first place and the number of each one's ids in it."""
+        if len(self.names) > _CACHED:
+            self._forget()
+        hashes = word_hashes(chunks)
+        at, hit = self._find(chunks, hashes)
+        new = np.flatnonzero(~hit)
+        if len(new):
+            known = len(self.names)
+            self._learn(chunks.take(pa.array(new)), hashes[new])
+            at, hit = self._find(chunks, hashes)
+            odd = np.flatnonzero(~hit)  # chunks that share a hash: looked up by name among those just learned
+            if len(odd):
+                at[odd] = known + pc.index_in(chunks.take(pa.array(odd)), value_set=self.names.slice(known)).to_numpy(zero_copy_only=False)
+        return self.table, self.first[at], self.size[at]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -85,20 +158,22 @@ def token_arrays(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All rows' ids in one array, each row closed by END, and the rows' bounds in it."""
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
-    flat, bounds = words_of(text, lower=False)
-    unique, code = coded(flat)
-    ids = _encoders[path].encode(unique)
-    size = np.fromiter(map(len, ids), "i8", len(ids)) // 4
-    table = np.frombuffer(b"".join(ids), "<u4")
-    first = np.cumsum(size) - size
-    length = size[code] if len(code) else np.zeros(0, "i8")
+    encoder = _encoders[path]
+    if encoder.chunked:
+        flat, bounds = words_of(text, lower=False)
+        coded = flat.dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        table, first, size = encoder.encode(coded.dictionary)
+        first, length = first[code], size[code]
+    else:
+        table, length = encoder.whole(filled(text).to_pylist())
+        first, bounds = np.cumsum(length) - length, np.arange(len(length) + 1)
     ends = np.concatenate([[0], np.cumsum(length)])
     doc_ends = ends[bounds[1:]] + np.arange(1, len(bounds))
     out = np.full(int(doc_ends[-1]) if len(doc_ends) else 0, END, "<u4")
-    if len(code):
-        row = np.searchsorted(bounds, np.arange(len(code)), side="right") - 1
-        within = np.arange(int(ends[-1])) - np.repeat(ends[:-1], length)
-        out[np.repeat(ends[:-1] + row, length) + within] = table[np.repeat(first[code], length) + within]
+    if len(length):
+        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        out[_spans(ends[:-1] + row, length)] = table[_spans(first, length)]
     return out, np.concatenate([[0], doc_ends]).astype("i8")
 
 

@@ -182,6 +182,23 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name, chunked", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_token_ids(name, chunked, monkeypatch):
+    """Ids of odd texts, of a text of 3 MB and with a full cache, against the tokenizer over whole texts; tokenizers of another kind are not cut into chunks."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "_CACHED", 200)
+    path, r = public_tokenizers.path(name), random.Random(1)
+    letters = "aZé'sStT3½²ªµß.,*  \n\t\u00a0 \u0301İǅ’–…\x1c\x85日😀\x00«»¿"
+    texts = ["".join(r.choices(letters, k=r.randint(0, 40))) for _ in range(800)] + corpus(40) + ["a<|endoftext|>b c", "<|endoftext|>", "it's IT'S we'Ll 'tis", "word " * 600_000, "x" * 3000]
+    for some in (texts[:300], texts[300:], texts[:10]):
+        ids, bounds = packing.token_arrays(pa.array(some, pa.string()), path)
+        plain = [x.ids + [0] for x in Tokenizer.from_file(path).encode_batch([t or "" for t in some], add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == plain
+    assert packing._encoders[path].chunked == chunked
+
+
 def test_plan_places_all_pieces():
     r = random.Random(4)
     for _ in range(60):
