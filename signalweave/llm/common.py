@@ -36,6 +36,12 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """docs as a written table in which every row has a number of its own, and the name of that column. Rows are told apart by it where ids are repeated or null."""
+    row = fresh(docs, "row_id")[0]
+    return staged(docs.withColumn(row, F.monotonically_increasing_id()), name), row
+
+
 def quoted(name: str) -> Column:
     """A column by its very name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalweave.llm.common import Sketch, batch_slices, dropped, fresh, parts, quoted, sketch_total, staged
+from signalweave.llm.common import Sketch, batch_slices, dropped, fresh, numbered, parts, quoted, sketch_total, staged
 from signalweave.llm.components import components
 from signalweave.llm.edits import within
 from signalweave.llm.text import filled, mixed, word_hashes, words_of
@@ -101,17 +101,6 @@ def profiles(lines: list[str]) -> np.ndarray:
     return np.bincount(row[:-1][inside] * 256 + cell[inside], minlength=256 * len(lines)).reshape(len(lines), 256).astype("i4")
 
 
-def alike(a: list[str], b: list[str], percent: int) -> np.ndarray:
-    """Whether each pair is similar in characters; most that are not are told by their profiles."""
-    out = np.zeros(len(a), bool)
-    most = np.array([(100 - percent) * max(len(x), len(y)) // 100 for x, y in zip(a, b)], "i8")
-    for i in range(0, len(a), 2048):
-        part = slice(i, i + 2048)
-        near = i + np.flatnonzero(np.abs(profiles(a[part]) - profiles(b[part])).sum(axis=1) <= 4 * most[part])
-        out[near] = within([a[j] for j in near.tolist()], [b[j] for j in near.tolist()], most[near])
-    return out
-
-
 class _Group:
     """Lines of a group, which of them hang together so far, and the links that do it; memory is 1 KB a line besides its text."""
 
@@ -222,11 +211,11 @@ def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes, as the places (row, line) of their first lines, that share a band, have near SimHashes and fitting lengths; g is null. A pair may come more than once.
+    """Pairs (a, b) of classes that share a band, have near SimHashes and fitting lengths; g is null. A pair may come more than once.
 
     Where more than FEW classes meet in a bucket, the rows are its classes that have such a partner, g names the group
-    and the second place is null. A fixed-size sketch bounds how many classes a bucket holds, long ones weighted; large
-    buckets are cut into blocks, and pairs of blocks are dealt.
+    and b is null. A fixed-size sketch bounds how many classes a bucket holds, long ones weighted; large buckets are cut
+    into blocks, and pairs of blocks are dealt.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,15 +233,15 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         counts = np.frombuffer(zlib.decompress(fixed.value), "u4")
         noise = int(counts.mean())
         for batch in batches:
-            doc, line, sims, length = (batch.column(x).to_numpy() for x in ("row", "line", "sim", "length"))
+            ids, sims, length = (batch.column(x).to_numpy() for x in ("c", "sim", "length"))
             row, b = _places(batch)
             nb = np.maximum(1, -(-(counts[(b & np.uint64(len(counts) - 1)).astype("i8")].astype("i8") - noise) // BLOCK))
-            own = mixed(doc[row].view("u8") * np.uint64(31) + line[row].astype("u8")) % nb.astype("u8")
+            own = mixed(ids[row].view("u8")) % nb.astype("u8")
             at = np.repeat(np.arange(len(b)), nb)
             other = np.arange(len(at)) - np.repeat(np.cumsum(nb) - nb, nb)
             o, b, at = own.astype("i8")[at], b[at], row[at]
-            cols = [b.view("i8"), np.minimum(o, other) << 20 | np.maximum(o, other), o, doc[at], line[at], sims[at], length[at]]
-            yield pa.record_batch([pa.array(x) for x in cols], names=["bucket", "xy", "own", "row", "line", "sim", "length"])
+            cols = [b.view("i8"), np.minimum(o, other) << 20 | np.maximum(o, other), o, ids[at], sims[at], length[at]]
+            yield pa.record_batch([pa.array(x) for x in cols], names=["bucket", "xy", "own", "c", "sim", "length"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -279,82 +268,75 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             busy[left[many]] = busy[right[many]] = True
             g = left[good & ~many]
             if len(g):
-                h = g + step
-                yield pa.record_batch([pa.array(c["row"][g]), pa.array(c["line"][g]), pa.array(c["row"][h]), pa.array(c["line"][h]), pa.nulls(len(g), pa.int64())], names=["row_a", "line_a", "row_b", "line_b", "g"])
+                a, b = c["c"][g], c["c"][g + step]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(g), pa.int64())], names=["a", "b", "g"])
             step += 1
             left = left[left + step <= last[left]]
         if busy.any():
             b = np.flatnonzero(busy)
             name = mixed(c["bucket"][b].view("u8") ^ mixed(c["xy"][b].view("u8"))).view("i8")
-            yield pa.record_batch([pa.array(c["row"][b]), pa.array(c["line"][b]), pa.nulls(len(b), pa.int64()), pa.nulls(len(b), pa.int32()), pa.array(name)], names=["row_a", "line_a", "row_b", "line_b", "g"])
+            yield pa.record_batch([pa.array(c["c"][b]), pa.nulls(len(b), pa.int64()), pa.array(name)], names=["a", "b", "g"])
 
-    dealt = classes.select("row", "line", "sim", "length", "bands").mapInArrow(deal, "bucket long, xy long, own long, row long, line int, sim long, length int")
-    return dealt.repartition(parts(spark), "bucket", "xy").mapInArrow(meet, "row_a long, line_a int, row_b long, line_b int, g long")
+    dealt = classes.select("c", "sim", "length", "bands").mapInArrow(deal, "bucket long, xy long, own long, c long, sim long, length int")
+    return dealt.repartition(parts(spark), "bucket", "xy").mapInArrow(meet, "a long, b long, g long")
 
 
 def texts_of(rows: DataFrame, needed: DataFrame) -> DataFrame:
-    """Rows (row, line, norm): the normalised text of each needed (row, line)."""
-    wanted = needed.groupBy(F.col("row").alias("want")).agg(F.collect_list("line").alias("lines"))
+    """Rows (c, norm): the normalised text of each needed (c, row, line)."""
+    wanted = needed.groupBy(F.col("row").alias("want")).agg(F.collect_list(F.struct("c", "line")).alias("lines"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch_slices(batch, "text"):
-                row, line, out = [], [], []
-                for r, t, w in zip(*[part.column(x).to_pylist() for x in ("row", "text", "lines")]):
+                ids, out = [], []
+                for t, w in zip(*[part.column(x).to_pylist() for x in ("text", "lines")]):
                     split = t.split("\n")
-                    row += [r] * len(w)
-                    line += w
-                    out += [split[i] for i in w]
+                    ids += [x["c"] for x in w]
+                    out += [split[x["line"]] for x in w]
                 flat, at = words_of(pa.array(out, pa.string()))
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype("i4")), flat), " ")
-                yield pa.record_batch({"row": pa.array(row, pa.int64()), "line": pa.array(line, pa.int32()), "norm": joined})
+                yield pa.record_batch({"c": pa.array(ids, pa.int64()), "norm": pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype("i4")), flat), " ")})
 
     met = rows.select("row", "text").join(wanted.hint("shuffle_hash"), F.col("row") == F.col("want"))
-    return met.select("row", "text", "lines").mapInArrow(cut, "row long, line int, norm string")
+    return met.select("text", "lines").mapInArrow(cut, "c long, norm string")
 
 
 def links(met: DataFrame, norms: DataFrame, percent: int) -> DataFrame:
-    """Links (row_a, line_a, row_b, line_b) that connect all classes that edits connect: of the pairs those that are similar, of each group a forest."""
-    pairs = met.where("g IS NULL").distinct()
-    for end in ("a", "b"):
-        side = norms.select(F.col("row").alias(f"row_{end}"), F.col("line").alias(f"line_{end}"), F.col("norm").alias(f"norm_{end}"))
-        pairs = pairs.join(side, [f"row_{end}", f"line_{end}"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = alike(batch.column("norm_a").to_pylist(), batch.column("norm_b").to_pylist(), percent)
-            yield batch.select(["row_a", "line_a", "row_b", "line_b"]).filter(pa.array(good, pa.bool_()))
+    """Links (a, b) that connect all classes that edits connect. Pairs are gathered by the smallest class that the larger one meets, which brings most of a group of near copies together; of each group's links a forest is enough."""
+    pairs = met.where("g IS NULL").select("a", "b").distinct()
+    hub = pairs.groupBy(F.col("b").alias("of")).agg(F.min("a").alias("g"))
+    pairs = pairs.join(hub, F.col("b") == F.col("of"))
+    groups = met.where("g IS NOT NULL").select("g", F.col("a").alias("c")).distinct()
+    # groups of the same classes, from several bands, are one
+    member = [F.xxhash64(F.lit(s), "c") for s in (1, 2)]
+    once = groups.groupBy("g").agg(F.bit_xor(member[0]).alias("x"), F.bit_xor(member[1]).alias("y"), F.count("*").alias("n")).groupBy("x", "y", "n").agg(F.min("g").alias("g")).select("g")
+    members = pairs.select(F.lit(True).alias("few"), "g", F.explode(F.array("a", "b")).alias("c")).distinct()
+    members = members.unionByName(groups.join(once, "g", "left_semi").select(F.lit(False).alias("few"), "g", "c")).join(norms, "c")
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[tuple]] = []
+        held: list[tuple[list[int], list[str]]] = []
         size, name = 0, None
 
         def told() -> pa.RecordBatch:
-            found = [(*g[i][:2], *g[j][:2]) for g, some in zip(held, forests([[x[2] for x in g] for g in held], percent)) for i, j in some]
-            cols = list(zip(*found)) or [()] * 4
-            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32()] * 2)], names=["row_a", "line_a", "row_b", "line_b"])
+            found = [(ids[i], ids[j]) for (ids, _), some in zip(held, forests([lines for _, lines in held], percent)) for i, j in some]
+            a, b = np.array(found, "i8").reshape(-1, 2).T
+            return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            for g, *place in zip(*[batch.column(x).to_pylist() for x in ("g", "row", "line", "norm")]):
-                if g != name:
+            for few, g, c, norm in zip(*[batch.column(x).to_pylist() for x in ("few", "g", "c", "norm")]):
+                if (few, g) != name:
                     if size > TOGETHER:
                         yield told()
                         held, size = [], 0
-                    name = g
-                    held.append([])
-                held[-1].append(tuple(place))
-                size += len(place[2])
+                    name = few, g
+                    held.append(([], []))
+                held[-1][0].append(c)
+                held[-1][1].append(norm)
+                size += len(norm)
         if held:
             yield told()
 
-    kinds = "row_a long, line_a int, row_b long, line_b int"
-    groups = met.where("g IS NOT NULL").select("g", F.col("row_a").alias("row"), F.col("line_a").alias("line")).distinct()
-    # groups of the same classes, from several bands, are one
-    member = [F.xxhash64(F.lit(s), "row", "line") for s in (1, 2)]
-    once = groups.groupBy("g").agg(F.bit_xor(member[0]).alias("x"), F.bit_xor(member[1]).alias("y"), F.count("*").alias("n")).groupBy("x", "y", "n").agg(F.min("g").alias("g")).select("g")
-    members = groups.join(once, "g", "left_semi").join(norms, ["row", "line"]).select("g", "row", "line", "norm")
-    dealt = members.repartition(parts(met.sparkSession), "g").sortWithinPartitions("g", "row", "line")
-    return pairs.mapInArrow(check, kinds).unionByName(dealt.mapInArrow(connect, kinds))
+    dealt = members.repartition(parts(met.sparkSession), "few", "g").sortWithinPartitions("few", "g", "c")
+    return dealt.select("few", "g", "c", "norm").mapInArrow(connect, "a long, b long")
 
 
 def line_groups(rows: DataFrame, min_words: int = 5, percent: int = 90) -> DataFrame:
@@ -362,19 +344,19 @@ def line_groups(rows: DataFrame, min_words: int = 5, percent: int = 90) -> DataF
     lines = staged(line_rows(rows, min_words), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "row", "line")
     of_class = [F.first(c).alias(c) for c in ("sim", "length", "bands")]
-    classes = staged(lines.groupBy("key").agg(F.min(place).alias("p"), *of_class, F.count("*").alias("n")).select("key", "p", F.col("p.row").alias("row"), F.col("p.line").alias("line"), "sim", "length", "bands", "n"), "line-classes")
+    classes = lines.groupBy("key").agg(F.min(place).alias("p"), *of_class, F.count("*").alias("n"))
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("c"), "key", "p", "sim", "length", "bands", "n"), "line-classes")
     met = staged(candidates(classes, percent), "line-pairs")
-    ends = [met.select(F.col(f"row_{e}").alias("row"), F.col(f"line_{e}").alias("line")) for e in "ab"]
-    norms = staged(texts_of(rows, ends[0].unionByName(ends[1]).where("row IS NOT NULL").distinct()), "line-texts")
-    found = staged(links(met, norms, percent), "line-links")
+    ends = met.select(F.explode(F.array("a", "b")).alias("c")).where("c IS NOT NULL").distinct()
+    norms = staged(texts_of(rows, classes.select("c", "p.row", "p.line").join(ends, "c", "left_semi")), "line-texts")
+    groups = components(staged(links(met, norms, percent), "line-links"))
     dropped(met)
     dropped(norms)
-    for end in ("a", "b"):
-        side = classes.select(F.col("row").alias(f"row_{end}"), F.col("line").alias(f"line_{end}"), F.col("p").alias(end))
-        found = found.join(side, [f"row_{end}", f"line_{end}"])
-    groups = components(found.select("a", "b"))
-    stays = classes.join(groups, F.col("p") == F.col("node"), "left").where("n > 1 OR node IS NOT NULL")
-    stays = stays.select(F.col("key").alias("of"), F.coalesce("component", "p").alias("first"))
+    placed = staged(groups.join(classes.select(F.col("c").alias("node"), "p"), "node"), "line-groups")
+    firsts = placed.groupBy("component").agg(F.min("p").alias("first"))
+    of_group = placed.select("node", "component").join(firsts, "component").select("node", "first")
+    stays = classes.join(of_group, F.col("c") == F.col("node"), "left").where("n > 1 OR node IS NOT NULL")
+    stays = stays.select(F.col("key").alias("of"), F.coalesce("first", "p").alias("first"))
     return lines.join(stays, F.col("key") == F.col("of")).where("row <> first.row OR line <> first.line").select("row", "line", "first")
 
 
@@ -391,8 +373,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     Each row is a document of its own, also where ids are repeated or null: of rows with equal ids and lines one keeps
     the line. Texts keep every other byte. A column of docs named like removed or kept gives way to it.
     """
-    row, gone_row, gone_lines = fresh(docs, "row_id", "gone_row", "gone_lines")
-    held = staged(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
+    held, row = numbered(docs, "line-docs")
+    gone_row, gone_lines = fresh(docs, "gone_row", "gone_lines")
     rows = held.select(F.col(row).alias("row"), quoted(id_col).cast("long").alias("doc_id"), quoted(text).alias("text"))
     gone = line_groups(rows, min_words, percent).groupBy(F.col("row").alias(gone_row)).agg(F.collect_set("line").alias(gone_lines))
     out = held.join(gone.hint("shuffle_hash"), F.col(row) == F.col(gone_row), "left")
