@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from signalweave.llm.common import quoted, staged
 from signalweave.llm.text import WORD
 
-#: Per source one total comes to the driver; more sources than this are refused.
-MAX_SOURCES = 100_000
-#: A source is dealt over at most so many shards, each with about SHARD_TOKENS or more.
-MAX_SHARDS, SHARD_TOKENS = 4096, 1 << 20
+#: Words of one shard of a source, about.
+SHARD_WORDS = 1 << 21
 
 
 def targets(sizes: list[int], weights: list[int], share: Fraction, cap: int) -> list[Fraction]:
@@ -58,50 +57,50 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), cap: int = 2, block: int = 64, seed: int = 17) -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken, copies) for each row of docs.
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), cap: int = 2, block: int = 64, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, size, source_size, target, taken, copies) and the columns keep for each row of docs.
 
     Size is the number of words. Sources in code point order, null last, weigh weights in turn. Each source is dealt over
-    shards by a seeded hash of its rows; a shard's words stand in seeded order and are cut into blocks of block words.
+    shards by a seeded hash of its rows, as many as its size asks for; a shard's rows stand in seeded order and their
+    words are cut into blocks of block words, fewer where a source is so small that it would not fill 16 blocks.
     Sainte-Lague gives each source a number of blocks by its target, and each of its shards a quota by its words; in a
-    shard every block is taken quota // blocks times and the first quota % blocks by seeded hash once more. taken sums
-    the words of a row in taken blocks, repeats counted: at most cap times its size. copies is taken over size, rounded.
+    shard every block is taken quota // blocks times, and quota % blocks of them, in a row from a seeded one on, once
+    more. taken sums the words of a row in taken blocks, repeats counted: at most cap times its size. copies is taken
+    over size, rounded.
 
-    Null or empty texts have size 0 and take nothing. Repeated rows are rows of their own. Other columns are ignored.
+    Null or empty texts have size 0 and take nothing. Repeated rows are rows of their own. Other columns are ignored. An
+    empty table gives no rows. One row a source comes to the driver, and no row a document or a shard does.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("src"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    size = F.coalesce(F.regexp_count(quoted(text), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = staged(docs.select(quoted(id_col).alias("doc_id"), quoted(source).alias("src"), size.alias("size"), F.xxhash64(quoted(text)).alias("mark"), F.struct(*[quoted(c) for c in keep]).alias("kept") if keep else F.lit(True).alias("kept")), "mix-sizes")
     spark = docs.sparkSession
-    totals = rows.groupBy("src").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    totals = rows.groupBy("src").agg(F.sum("size").alias("size")).collect()
     totals.sort(key=lambda r: (r.src is None, r.src or ""))
     sizes = [r["size"] for r in totals]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, cap)
-    seats = sainte_lague(np.array([float(g) for g in goal]), round(sum(goal) / block) if goal else 0)
-    plan = spark.createDataFrame(
-        [(r.src, r["size"], float(g), int(n), max(1, min(MAX_SHARDS, -(-r["size"] // SHARD_TOKENS)))) for r, g, n in zip(totals, goal, seats)],
-        "src string, source_size long, target double, seats long, shards int",
-    )
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    dealt = rows.join(F.broadcast(plan) if len(totals) <= 10_000 else plan, rows["src"].eqNullSafe(plan["src"])).drop(plan["src"])
-    dealt = dealt.withColumn("h", h).withColumn("shard", F.expr("cast(pmod(h, shards) as int)"))
-
-    shards = dealt.groupBy("src", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats"))
+    unit = max(1, min([block, *(n // 16 for n in sizes if n)]))
+    seats = sainte_lague(np.array([float(g) for g in goal]), round(sum(goal) / unit) if goal else 0)
+    plan = spark.createDataFrame([(r.src, r["size"], float(g), int(n), max(1, -(-r["size"] // SHARD_WORDS))) for r, g, n in zip(totals, goal, seats)], "p_src string, source_size long, target double, seats long, shards long")
+    h = F.xxhash64(F.lit(seed), "doc_id", "size")
+    dealt = rows.join(F.broadcast(plan) if len(totals) <= 10_000 else plan, F.col("src").eqNullSafe(F.col("p_src"))).drop("p_src")
+    dealt = dealt.withColumn("h", h).withColumn("shard", F.expr("pmod(h, shards)"))
 
     def quotas(one: pd.DataFrame) -> pd.DataFrame:
         one = one.sort_values("shard")
-        return one.assign(quota=np.minimum(sainte_lague(one["words"].to_numpy(), int(one["seats"].iloc[0])), cap * -(-one["words"].to_numpy() // block)))[["src", "shard", "quota"]]
-
-    quota = shards.groupBy("src").applyInPandas(quotas, "src string, shard int, quota long")
-    line = W.partitionBy("src", "shard").orderBy("h", F.col("doc_id").asc_nulls_first(), "size")
-    placed = dealt.withColumn("n", F.row_number().over(line)).withColumn("start", F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    cut = placed.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))))
-    cut = cut.withColumn("part", F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block))
-    key = ["src", "shard", "block"]
-    blocks = cut.where("block IS NOT NULL").select(*key).distinct().withColumn("place", F.row_number().over(W.partitionBy("src", "shard").orderBy(F.xxhash64(F.lit(seed), "src", "shard", "block"), "block"))).withColumn("blocks", F.count("*").over(W.partitionBy("src", "shard")))
-    q = quota.select(F.col("src").alias("q_src"), F.col("shard").alias("q_shard"), "quota")
-    blocks = blocks.join(q, F.col("src").eqNullSafe(F.col("q_src")) & (F.col("shard") == F.col("q_shard")))
-    times = blocks.select(F.col("src").alias("b_src"), F.col("shard").alias("b_shard"), F.col("block").alias("b_block"), F.expr("quota div blocks + if(place <= quota % blocks, 1, 0)").alias("times"))
-    taken = cut.join(times, F.col("src").eqNullSafe(F.col("b_src")) & (F.col("shard") == F.col("b_shard")) & (F.col("block") == F.col("b_block")), "left")
-    out = taken.groupBy("src", "shard", "n").agg(F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.coalesce(F.sum(F.col("part") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("copies"))
+        blocks = -(-one["words"].to_numpy() // unit)
+        return one.assign(blocks=blocks, quota=np.minimum(sainte_lague(one["words"].to_numpy(), int(one["seats"].iloc[0])), cap * blocks))[["src", "shard", "blocks", "quota"]]
+
+    shards = dealt.groupBy("src", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats"))
+    quota = shards.groupBy("src").applyInPandas(quotas, "src string, shard long, blocks long, quota long")
+    quota = quota.select(F.col("src").alias("q_src"), F.col("shard").alias("q_shard"), "blocks", "quota")
+    order = W.partitionBy("src", "shard").orderBy("h", F.col("doc_id").asc_nulls_first(), "size", "mark").rowsBetween(W.unboundedPreceding, 0)
+    placed = dealt.withColumn("stop", F.sum("size").over(order)).join(quota, F.col("src").eqNullSafe(F.col("q_src")) & (F.col("shard") == F.col("q_shard")))
+    start = F.col("stop") - F.col("size")
+    # blocks taken once more: more of them from first on, beyond the last one from 0 on again
+    more = F.expr("quota % greatest(blocks, 1)")
+    first = F.pmod(F.xxhash64(F.lit(seed), "src", "shard"), F.greatest("blocks", F.lit(1)))
+    inside = lambda a, b: F.greatest(F.lit(0), F.least(F.col("stop"), b * unit) - F.greatest(start, a * unit))
+    extra = inside(first, F.least(first + more, F.col("blocks"))) + inside(F.lit(0), F.greatest(F.lit(0), first + more - F.col("blocks")))
+    taken = F.when(F.col("size") > 0, F.expr("quota div blocks") * F.col("size") + extra).otherwise(0).cast("long")
+    copies = F.when(F.col("size") > 0, F.round(taken / F.col("size"))).otherwise(0).cast("int")
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), *[F.col("kept")[c].alias(c) for c in keep])

@@ -543,6 +543,42 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mix_by_a_plain_version(spark, monkeypatch):
+    """taken of every row, from the rows in the order of the shards that Spark's hash gives."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 500)
+    r = random.Random(9)
+    rows = [(i if i % 7 else None, " ".join("w" * (1 + i % 3) for _ in range(r.choice([0, 1, 5, 40, 300]))), r.choice(["a", "a", "b", None, "tiny"]) if i else "tiny") for i in range(120)]
+    rows = [(d, " ".join(t.split()[:2]) if s == "tiny" else t, s) for d, t, s in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row_no", F.monotonically_increasing_id())
+    got = mixing.mix(df, keep=("row_no",)).collect()
+    size = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
+    plain = df.select("*", size.cast("long").alias("size"), F.xxhash64(F.lit(17), "doc_id", size.cast("long")).alias("h"), F.xxhash64("text").alias("mark")).collect()
+    totals = collections.Counter()
+    for x in plain:
+        totals[x.source] += x.size
+    order = sorted(totals, key=lambda s: (s is None, s or ""))
+    goal = mixing.targets([totals[s] for s in order], [3, 1, 2, 3], Fraction(3, 2), 2)
+    unit = max(1, min([64, *(n // 16 for n in totals.values() if n)]))
+    seats = dict(zip(order, mixing.sainte_lague(np.array([float(g) for g in goal]), round(sum(goal) / unit))))
+    want = collections.Counter()  # rows that are equal in all that counts may change places
+    for s in order:
+        shards = -(-totals[s] // 500) or 1
+        parts = [sorted((x for x in plain if x.source == s and x.h % shards == k), key=lambda x: (x.h, x.doc_id is not None, x.doc_id or 0, x.size, x.mark)) for k in range(shards)]
+        held = [(k, p, sum(x.size for x in p)) for k, p in enumerate(parts) if p]
+        quotas = mixing.sainte_lague(np.array([n for *_, n in held]), int(seats[s]))
+        for (k, p, n), q in zip(held, quotas):
+            blocks = -(-n // unit)
+            q, at = min(int(q), 2 * blocks), 0
+            first = spark.range(1).select(F.pmod(F.xxhash64(F.lit(17), F.lit(s).cast("string"), F.lit(k).cast("long")), F.lit(max(1, blocks)))).first()[0]
+            times = [q // blocks + ((b - first) % blocks < q % blocks) for b in range(blocks)]
+            for x in p:
+                want[x.doc_id, s, x.mark, sum(times[w // unit] for w in range(at, at + x.size))] += 1
+                at += x.size
+    of = {x.row_no: x for x in plain}
+    assert collections.Counter((x.doc_id, of[x.row_no].source, of[x.row_no].mark, x.taken) for x in got) == want and len({x.row_no for x in got}) == len(rows)
+    assert all(x.copies == (round(x.taken / x.size) if x.size else 0) for x in got if x.size == 0 or 2 * x.taken % x.size)
+
+
 # --- registered queries
 
 
