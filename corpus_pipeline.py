@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalweave.llm import common, line_dedup, mixing, ngram_join, packing, quality
@@ -16,33 +16,48 @@ from signalweave.llm import common, line_dedup, mixing, ngram_join, packing, qua
 LENGTH = "n_chars"
 
 
+def _columns(docs: DataFrame) -> list[Column]:
+    return [common.quoted(c) for c in docs.columns]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that policy v1 of the quality rules keeps. A narrow job: the ledger's columns ride along with each row."""
-    rows = quality.ledger(docs, keep=tuple(docs.columns))
-    return rows.where(quality.passes("v1")).select(*docs.columns)
+    """Documents that policy v1 of the quality rules keeps. A narrow job: each row rides along with its measurements, whatever its columns are called."""
+    rows = quality.ledger(docs.select(F.struct(*_columns(docs)).alias("row"), "text"), keep=("row",))
+    return rows.where(quality.passes("v1")).select("row.*")
 
 
 def fuzzy_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier line; those left without any word because of that go."""
-    out = line_dedup.line_dedup(docs)
+    removed, kept = common.fresh(docs, "lines_removed", "lines_kept")
+    out = line_dedup.line_dedup(docs, removed=removed, kept=kept)
     left = F.coalesce(F.rlike(F.col("text"), F.lit(quality.WORD)), F.lit(False))
-    out = out.where((F.col("lines_removed") == 0) | left)
-    size = F.when(F.col("lines_removed") > 0, F.length("text")).otherwise(F.col(LENGTH)) if LENGTH in docs.columns else None
-    return out.select(*[size.cast(docs.schema[c].dataType).alias(c) if c == LENGTH else F.col(c) for c in docs.columns])
+    out = out.where((F.col(removed) == 0) | left)
+    size = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col(LENGTH)) if LENGTH in docs.columns else None
+    return out.select(*[size.cast(docs.schema[c].dataType).alias(c) if c == LENGTH else common.quoted(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Documents without words or id stay."""
-    found = ngram_join.ngram_jaccard_join(docs, k=5, percent=80)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("q_gone")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("q_gone"), "left_anti")
+    """One row of each group: the one with the smallest id (null last, rows with equal ids by their place in the table). Documents without words stay."""
+    held, row = common.numbered(docs, "near-docs")
+    found = ngram_join.ngram_jaccard_join(held, id_col=row, k=5, percent=80)
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    ids = held.select(F.col(row).alias("of"), place.alias("place"))
+    # rows that stand alone need no look at their ids
+    found = found.select(F.col("doc_id").alias("row"), "component_id")
+    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("component_id").alias("group"))
+    members = common.staged(found.join(several, F.col("component_id") == F.col("group")).join(ids, F.col("row") == F.col("of")).select("row", "group", "place"), "near-members")
+    first = members.groupBy("group").agg(F.min("place")[row].alias("first"))
+    gone = members.join(first, "group").where("row <> first").select(F.col("row").alias("gone"))
+    return held.join(gone.hint("shuffle_hash"), F.col(row) == F.col("gone"), "left_anti").select(*_columns(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: words taken over words, rounded (0, 1 or 2 times). Documents without words, which take no share, stay once."""
-    copies = mixing.mix(docs).groupBy("doc_id", "size").agg(F.max("copies").alias("q_copies"))
-    out = docs.join(copies.select(F.col("doc_id").alias("q_doc"), F.when(F.col("size") > 0, F.col("q_copies")).otherwise(1).alias("q_copies")), F.col("doc_id").eqNullSafe(F.col("q_doc")))
-    return out.where("q_copies > 0").withColumn("q_copy", F.explode(F.sequence(F.lit(1), F.col("q_copies")))).select(*docs.columns)
+    """Documents as often as the mix takes them: words taken over words, rounded (0, 1 or 2 times). Documents without words, which take no share, stay once. Each row counts for itself, also where ids are repeated or null."""
+    held, row = common.numbered(docs, "mix-docs")
+    of, times, nth = common.fresh(held, "mix_of", "mix_times", "mix_nth")
+    copies = mixing.mix(held, keep=(row,)).select(F.col(row).alias(of), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).alias(times)).where(F.col(times) > 0)
+    out = held.join(copies, F.col(row) == F.col(of))
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*_columns(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalweave.llm.common import SKETCH_BITS, Sketch, batch_slices, parts, sketch_total, staged
+from signalweave.llm.common import SKETCH_BITS, Sketch, batch_slices, dropped, parts, quoted, sketch_total, staged
 from signalweave.llm.components import components
 from signalweave.llm.text import mixed, shingle_sets, word_hashes, words_of
 
@@ -43,7 +43,7 @@ def _sets(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
 
 
 def fingerprints(rows: DataFrame, k: int) -> DataFrame:
-    """A written table: a row (doc_id, n, fp) for each document, and the sketches' ranges (part, blob)."""
+    """A written table: a row (doc_id, n, fp, f) for each document, f being a short form of fp, and the sketches' ranges (part, blob)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = Sketch()
@@ -52,17 +52,17 @@ def fingerprints(rows: DataFrame, k: int) -> DataFrame:
                 sets = _sets(part, k)
                 sketch.add(np.concatenate(sets))
                 n = len(sets)
-                yield pa.record_batch({"doc_id": part.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "fp": pa.array([xxhash.xxh3_128_digest(s.data) if len(s) else None for s in sets], pa.binary()), "part": pa.nulls(n, pa.int32()), "blob": pa.nulls(n, pa.binary())})
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()), "fp": pa.array([xxhash.xxh3_128_digest(s.data) if len(s) else None for s in sets], pa.binary()), "f": pa.array([xxhash.xxh3_64_intdigest(s.data) if len(s) else 0 for s in sets], pa.uint64()).view(pa.int64()), "part": pa.nulls(n, pa.int32()), "blob": pa.nulls(n, pa.binary())})
         for part, blob in sketch.blobs():
-            yield pa.record_batch({"doc_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "fp": pa.nulls(1, pa.binary()), "part": pa.array([part], pa.int32()), "blob": pa.array([blob], pa.binary())})
+            yield pa.record_batch({"doc_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "fp": pa.nulls(1, pa.binary()), "f": pa.nulls(1, pa.int64()), "part": pa.array([part], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
-    return staged(rows.mapInArrow(run, "doc_id long, n long, fp binary, part int, blob binary"), "fingerprints")
+    return staged(rows.mapInArrow(run, "doc_id long, n long, fp binary, f long, part int, blob binary"), "fingerprints")
 
 
 def prefixes(rows: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Rows (s, x, y, own, doc_id, n, i, fp): shingle, pair of blocks and own block, and the shingle's place in the set's order. Of equal sets a task gives the first only."""
+    """Rows (s, x, y, own, f, n, i): shingle, pair of blocks and own block, the set's short fingerprint and size, and the shingle's place in the set's order. Of equal sets a task gives the first only."""
     fixed = rows.sparkSession.sparkContext.broadcast(zlib.compress(counts.tobytes(), 1))
-    names = ["s", "x", "y", "own", "doc_id", "n", "i", "fp"]
+    names = ["s", "x", "y", "own", "f", "n", "i"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order_by = np.frombuffer(zlib.decompress(fixed.value), "u4")
@@ -82,20 +82,20 @@ def prefixes(rows: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataF
                     c = order_by[(u & _MASK).astype("i8")]
                     first = np.argsort(c, kind="stable")[: n + percent * n // -100 + 1]
                     nb = np.maximum(1, -(-(c[first].astype("i8") - noise) // BLOCK))
-                    out.append((u[first], nb, doc, n, fp))
+                    out.append((u[first], nb, n, fp))
                 if not out:
                     continue
                 size = [len(x[0]) for x in out]
                 s, nb = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-                doc, n, fp = (np.repeat(np.array([x[j] for x in out], kind), size) for j, kind in ((2, "i8"), (3, "i8"), (4, "u8")))
+                n, fp = (np.repeat(np.array([x[j] for x in out], kind), size) for j, kind in ((2, "i8"), (3, "u8")))
                 i = np.concatenate([np.arange(m) for m in size])
                 own = (fp % nb.astype("u8")).astype("i8")
                 at = np.repeat(np.arange(len(s)), nb)
                 other = np.arange(len(at)) - np.repeat(np.cumsum(nb) - nb, nb)
-                cols = [s.view("i8")[at], np.minimum(own[at], other).astype("i4"), np.maximum(own[at], other).astype("i4"), own[at].astype("i4"), doc[at], n[at], i[at].astype("i4"), fp.view("i8")[at]]
+                cols = [s.view("i8")[at], np.minimum(own[at], other).astype("i4"), np.maximum(own[at], other).astype("i4"), own[at].astype("i4"), fp.view("i8")[at], n[at], i[at].astype("i4")]
                 yield pa.record_batch([pa.array(c) for c in cols], names=names)
 
-    return rows.mapInArrow(run, "s long, x int, y int, own int, doc_id long, n long, i int, fp long")
+    return rows.mapInArrow(run, "s long, x int, y int, own int, f long, n long, i int")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
@@ -107,16 +107,16 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> dict[str, np.ndarray]:
 
 
 def candidates(columns: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, s) of documents with different sets that meet in a shingle and that sizes and positions don't rule out; each task's pairs are different.
+    """Pairs (a, b, s) of different sets, by their short fingerprints, that meet in a shingle and that sizes and positions don't rule out; each task's pairs are different.
 
-    Where more than FEW documents meet, the rows are (a, null, s) for each of them that has such a partner; s names the group.
+    Where more than FEW sets meet, the rows are (a, null, s) for each of them that has such a partner; s names the group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _gathered(batches)
         if not c:
             return
-        order = np.lexsort((c["doc_id"], c["n"], c["y"], c["x"], c["s"]))
+        order = np.lexsort((c["f"], c["n"], c["y"], c["x"], c["s"]))
         c = {k: v[order] for k, v in c.items()}
         same = (c["s"][1:] == c["s"][:-1]) & (c["x"][1:] == c["x"][:-1]) & (c["y"][1:] == c["y"][:-1])
         group = np.concatenate([[0], np.cumsum(~same)])
@@ -130,11 +130,11 @@ def candidates(columns: DataFrame, percent: int) -> DataFrame:
             fits = 100 * na >= percent * nb  # sizes rise: beyond one that doesn't fit none does
             left, right, na, nb = left[fits], right[fits], na[fits], nb[fits]
             room = np.minimum(na - c["i"][left], nb - c["i"][right])
-            good = (c["fp"][left] != c["fp"][right]) & (room >= least_overlap(na, nb, percent)) & ((c["x"][left] == c["y"][left]) | (c["own"][left] != c["own"][right]))
+            good = (c["f"][left] != c["f"][right]) & (room >= least_overlap(na, nb, percent)) & ((c["x"][left] == c["y"][left]) | (c["own"][left] != c["own"][right]))
             few = good & (size[left] <= FEW)
             busy[left[good & ~few]] = busy[right[good & ~few]] = True
             if few.any():
-                a, b = c["doc_id"][left[few]], c["doc_id"][right[few]]
+                a, b = c["f"][left[few]], c["f"][right[few]]
                 found.append(np.stack([np.minimum(a, b), np.maximum(a, b), c["s"][left[few]]]))
             step += 1
             left = left[left + step <= last[left]]
@@ -146,7 +146,7 @@ def candidates(columns: DataFrame, percent: int) -> DataFrame:
                 yield pa.record_batch([pa.array(x[i : i + 50_000]) for x in f], names=["a", "b", "s"])
         if busy.any():
             name = mixed(c["s"][busy].view("u8") ^ mixed(c["x"][busy].astype("u8") << np.uint64(32) | c["y"][busy].astype("u8"))).view("i8")
-            yield pa.record_batch([pa.array(c["doc_id"][busy]), pa.nulls(len(name), pa.int64()), pa.array(name)], names=["a", "b", "s"])
+            yield pa.record_batch([pa.array(c["f"][busy]), pa.nulls(len(name), pa.int64()), pa.array(name)], names=["a", "b", "s"])
 
     return columns.repartition(parts(columns.sparkSession), "s", "x", "y").mapInArrow(run, "a long, b long, s long")
 
@@ -185,28 +185,31 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(rows: DataFrame, sizes: DataFrame, pairs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b, s) those whose overlap reaches the bound, and of the groups (s, doc_id) enough links to connect what is connected.
+def links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b, s) of classes those whose overlap reaches the bound, and of the groups (s, c) enough links to connect what is connected.
 
-    Pairs are gathered by the shingle where they met, in blocks of ROWS documents, so that a block's sets travel once.
+    Pairs are gathered by the shingle where they met, in blocks of ROWS classes, so that a block's sets travel once.
     """
     spark = rows.sparkSession
     size = pairs.groupBy("s").agg(F.count("*").alias("m"))
-    blocks = F.expr(f"cast(ceil(sqrt(2 * m) / {ROWS}) as int)")  # m pairs that all meet come from about sqrt(2m) documents
+    blocks = F.expr(f"cast(ceil(sqrt(2 * m) / {ROWS}) as int)")  # m pairs that all meet come from about sqrt(2m) classes
     split = pairs.join(size, "s").withColumn("nb", blocks).select("a", "b", F.xxhash64("s", F.expr("pmod(xxhash64(a), nb)"), F.expr("pmod(xxhash64(b), nb)")).alias("g"))
     split = staged(split, "pairs")
-    members = split.select("g", F.col("a").alias("doc_id")).unionByName(split.select("g", F.col("b").alias("doc_id"))).distinct().withColumn("whole", F.lit(False))
-    members = staged(members.unionByName(groups.select(F.col("s").alias("g"), "doc_id", F.lit(True).alias("whole"))), "members")
-    needed = members.select("doc_id").distinct()
+    members = split.select("g", F.explode(F.array("a", "b")).alias("c")).distinct().withColumn("whole", F.lit(False))
+    members = staged(members.unionByName(groups.select(F.col("s").alias("g"), "c", F.lit(True).alias("whole"))), "members")
+    # a class's set comes from the text of its smallest id; other texts under that id make sets of other classes
+    needed = classes.join(members.select("c").distinct(), "c", "left_semi").select("c", "fp", "class_id", "n")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in batch_slices(batch, "text"):
-                yield pa.record_batch({"d": part.column("doc_id"), "blob": pa.array([s.tobytes() for s in _sets(part, k)], pa.binary())})
+                sets = _sets(part, k)
+                yield pa.record_batch({"of": pa.array([xxhash.xxh3_128_digest(s.data) if len(s) else None for s in sets], pa.binary()), "blob": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    sets = rows.join(needed.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(make, "d long, blob binary").dropDuplicates(["d"])
-    held = members.join(sets, F.col("doc_id") == F.col("d")).select(F.col("g").alias("h"), "doc_id", "whole", "blob")
-    total = members.join(sizes, "doc_id").agg(F.sum("n")).first()[0] or 0
+    some = rows.join(needed.select(F.col("class_id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
+    sets = needed.join(some.mapInArrow(make, "of binary, blob binary"), F.col("fp") == F.col("of")).select("c", "blob").dropDuplicates(["c"])
+    held = members.join(sets, "c").select(F.col("g").alias("h"), F.col("c").alias("doc_id"), "whole", "blob")
+    total = members.join(classes, "c").agg(F.sum("n")).first()[0] or 0
     n = max(parts(spark), -(-8 * total // (8 << 20)))
 
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -246,26 +249,29 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     Two documents link when 100 * intersection >= percent * union of their sets of k-word shingles; a text with fewer
     words is one shingle, one without words or null has none and links with nothing. class_id: the smallest id with the
-    same set; component_id: the smallest id reachable by links. Words are lower-cased for A-Z. Repeated rows link with
-    each other; rows without an id get their count and no class or component. Other columns are ignored; an empty table
+    same set; component_id: the smallest id reachable by links. Words are lower-cased for A-Z. Each row is a document of
+    its own: repeated rows link with each other, and texts that share an id link by their own sets only. Rows without an
+    id get their count and no class or component. Other columns are ignored; an empty table
     gives no rows. Different classes are never expanded into all pairs, but every link between two of them is decided.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text).alias("text"))
     first = fingerprints(rows, k)
-    of = first.where("part IS NULL").select("doc_id", "n", "fp")
-    classes = staged(of.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("class_id")), "classes")
+    of = first.where("part IS NULL").select("doc_id", "n", "fp", "f")
+    classes = of.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.min("f").alias("f"), F.min("n").alias("n"))
+    classes = staged(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     counts = sketch_total(first.where("part IS NOT NULL"))
     met = staged(candidates(prefixes(rows, counts, k, percent), percent), "candidates")
-    # a class may be met by several of its copies, one from each task
-    named = of.where("fp IS NOT NULL AND doc_id IS NOT NULL").join(classes, "fp").select("doc_id", "class_id", "n").distinct()
+    # sets that share a short fingerprint only stand for each other here; their own sets decide
     pairs = met.where("b IS NOT NULL")
     for end in ("a", "b"):
-        pairs = pairs.join(named.select(F.col("doc_id").alias(end), F.col("class_id").alias(f"{end}_c")), end).drop(end).withColumnRenamed(f"{end}_c", end)
+        pairs = pairs.join(classes.select(F.col("f").alias(end), F.col("c").alias(f"{end}_c")), end).drop(end).withColumnRenamed(f"{end}_c", end)
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s").groupBy("a", "b").agg(F.min("s").alias("s"))
-    groups = met.where("b IS NULL").join(named.withColumnRenamed("doc_id", "a"), "a").select("s", F.col("class_id").alias("doc_id")).distinct()
-    linked = staged(links(rows, named.select("doc_id", "n"), pairs, groups, k, percent), "links")
-    reach = components(linked).withColumnRenamed("node", "class_id")
-    known = classes.join(reach, "class_id", "left").select("fp", "class_id", F.coalesce("component", "class_id").alias("component"))
+    groups = met.where("b IS NULL").join(classes.select(F.col("f").alias("a"), "c"), "a").select("s", "c").distinct()
+    reach = components(staged(links(rows, classes, pairs, groups, k, percent), "links"))
+    named = staged(reach.join(classes.select(F.col("c").alias("node"), "class_id"), "node"), "reach")
+    least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    known = classes.join(named.select(F.col("node").alias("c"), "component").join(least, "component"), "c", "left").select("fp", "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    dropped(met)
     with_id = F.col("doc_id").isNotNull()
     out = of.join(known, "fp", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(with_id, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(with_id, F.coalesce("component", "doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(with_id, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(with_id, F.coalesce("component_id", "doc_id")).alias("component_id"))

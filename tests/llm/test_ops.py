@@ -240,6 +240,13 @@ def test_join_edges(spark):
     assert ngram_join.ngram_jaccard_join(df.limit(0)).count() == 0
 
 
+def test_join_of_texts_that_share_an_id(spark):
+    t, u = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    df = spark.createDataFrame([(1, t), (2, t + " more"), (2, u), (3, u), (4, "z " * 400_000 + t)], "doc_id long, text string").withColumn("c", F.lit(0))
+    got = collections.Counter((r.doc_id, r.class_id, r.component_id) for r in ngram_join.ngram_jaccard_join(df).collect())
+    assert got == {(1, 1, 1): 1, (2, 2, 1): 1, (2, 2, 2): 1, (3, 2, 2): 1, (4, 4, 1): 1}
+
+
 def test_block_product():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 9000, n).astype("u8")) for n in (0, 1, 5000, 7000, 300)]
