@@ -4,11 +4,13 @@ A byte goes if a string of length bytes covers it that also starts in a document
 the smallest hash of the GRAM-byte grams inside them, so equal strings meet; consecutive starts with the same smallest
 hash are one run, and a run's bytes stand for all its strings.
 
-1. Each chunk of documents lists the hashes of its runs; those that two documents share are told back to the chunk.
+1. Each chunk of documents lists the hashes of its runs; those that two documents share are told back to the chunk. Where
+   HOT chunks or more list a hash, its runs would gather in one task: they are taken apart into their strings, each with
+   a hash of its own, and those are listed and told back in the same way.
 2. Chunks send the bytes of runs with shared hashes, equal ones once, with their smallest and largest document.
-3. Where all runs of a hash are equal, the smallest document answers. Where they differ, their bytes enter a collection:
-   one symbol of each is inserted a round, last column first, which updates the collection's transform; the finished
-   order puts equal strings side by side, and the smallest document of each answers.
+3. What is sent to a place enters bounded collections: one symbol of each run is inserted a round, last column first,
+   which updates the collection's transform and common prefixes; in the finished order equal strings are neighbours with
+   a common prefix of length or more, and the smallest document of each answers.
 4. Chunks get the answers for their runs and cut their documents.
 
 What is told to chunks goes through files in the shared folder, written and read in sequence.
@@ -17,6 +19,7 @@ What is told to chunks goes through files in the shared folder, written and read
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -29,15 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalweave.llm.common import batch_slices, parts, staged
+from signalweave.llm.common import batch_slices, parts, quoted, staged
 from signalweave.llm.text import filled, mixed
 from signalweave.tables import new_path
 
 LENGTH, GRAM, LONGEST = 50, 16, 64
-#: Bytes hashed at a time; runs that enter one collection.
-STEP, COLLECTION = 1 << 17, 8192
+#: Bytes hashed at a time; runs that enter one collection, about; chunks that list a hot hash; bytes of text for each place.
+STEP, COLLECTION, HOT, PLACE = 1 << 17, 8192, 32, 64 << 20
 _SYMBOL = mixed(np.arange(1, 257, dtype="u8"))
 _M = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.full(LENGTH, 0xD6E8FEB86659FD93, "u8"), dtype="u8")
 #: Hashes are listed by their upper 48 bits: an accidental match only sends a run that finds no equal.
 _LISTED = np.uint64(16)
 
@@ -103,22 +107,33 @@ def _store(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def _told(rows: DataFrame, folder: str) -> None:
-    """Writes each chunk's blobs, in order of place, to one file named after the chunk."""
+    """Writes each chunk's blobs, in order of place, to one file named after the chunk. A file gets its name when it is whole, so that attempts of a task do not meet."""
     store, base = _store(folder)
     store.create_dir(base, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _store(folder)
-        name, out, n = None, None, 0
+        name, out, n, attempt = None, None, 0, f".{uuid.uuid4().hex}"
+
+        def close() -> None:
+            out.close()
+            try:
+                store.move(f"{base}/{name}{attempt}", f"{base}/{name}")
+            except OSError:  # another attempt's file has the name, where that is not simply replaced
+                if store.get_file_info(f"{base}/{name}").type == fs.FileType.NotFound:
+                    raise
+                store.delete_file(f"{base}/{name}{attempt}")
+
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob").to_pylist()):
                 if chunk != name:
                     if out is not None:
-                        out.close()
-                    name, out, n = chunk, store.open_output_stream(f"{base}/{chunk}", compression=None), n + 1
+                        close()
+                    name, n = chunk, n + 1
+                    out = store.open_output_stream(f"{base}/{chunk}{attempt}", compression=None)
                 out.write(blob)
         if out is not None:
-            out.close()
+            close()
         yield pa.record_batch([pa.array([n], pa.int64())], names=["files"])
 
     spread = rows.select("chunk", "place", "blob").repartition(parts(rows.sparkSession), "chunk").sortWithinPartitions("chunk", "place")
@@ -134,9 +149,21 @@ def _read(folder: str, chunk: int) -> bytes:
         return f.read()
 
 
-def chunked(rows: DataFrame, n_buckets: int) -> DataFrame:
-    """A written table: documents with the chunk they are in, and each chunk's listed hashes in n_buckets ranges (a power of two); odd entries stand in two documents of the chunk."""
-    bits = np.uint64(64 - n_buckets.bit_length() + 1)
+def _listed(h: np.ndarray, doc: np.ndarray, n_places: int) -> list[tuple[int, bytes]]:
+    """Different hashes in n_places ranges (a power of two); odd entries stand in two documents of the chunk."""
+    order = np.lexsort((doc, h))
+    h, doc = h[order], doc[order]
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, "i8")
+    if not len(at):
+        return []
+    u, several = h[at], np.maximum.reduceat(doc, at) > doc[at]
+    edges = np.searchsorted(u >> np.uint64(64 - n_places.bit_length() + 1), np.arange(n_places + 1, dtype="u8"))
+    listed = (u >> _LISTED << np.uint64(1)) | several.astype("u8")
+    return [(i, _packed(listed[a:b])) for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
+
+
+def chunked(rows: DataFrame, n_places: int) -> DataFrame:
+    """A written table: documents with the chunk they are in, and each chunk's listed hashes in n_places ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 24, 0
@@ -145,16 +172,7 @@ def chunked(rows: DataFrame, n_buckets: int) -> DataFrame:
                 chunk, n, rows = base + n, n + 1, part.num_rows
                 raw, bounds = _data(part.column("text"))
                 first, _, h = runs(np.frombuffer(raw, "u1"), bounds)
-                doc = np.searchsorted(bounds, first, side="right") - 1
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
-                new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-                at = np.flatnonzero(new)
-                several = np.maximum.reduceat(doc, at) > doc[at] if len(at) else np.zeros(0, bool)
-                u = h[at]
-                edges = np.searchsorted(u >> bits, np.arange(n_buckets + 1, dtype="u8")) if len(u) else np.zeros(n_buckets + 1, "i8")
-                listed = (u >> _LISTED << np.uint64(1)) | several.astype("u8")
-                blobs = [(i, _packed(listed[a:b])) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+                blobs = _listed(h, np.searchsorted(bounds, first, side="right") - 1, n_places)
                 yield pa.record_batch({"chunk": pa.array([chunk] * rows, pa.int64()), "doc_id": part.column("doc_id"), "text": part.column("text"), "place": pa.nulls(rows, pa.int32()), "blob": pa.nulls(rows, pa.binary())})
                 if blobs:
                     yield pa.record_batch({"chunk": pa.array([chunk] * len(blobs), pa.int64()), "doc_id": pa.nulls(len(blobs), pa.int64()), "text": pa.nulls(len(blobs), pa.string()), "place": pa.array([b[0] for b in blobs], pa.int32()), "blob": pa.array([b[1] for b in blobs], pa.binary())})
@@ -162,6 +180,40 @@ def chunked(rows: DataFrame, n_buckets: int) -> DataFrame:
     return staged(rows.mapInArrow(run, "chunk long, doc_id long, text string, place int, blob binary"), "chunks")
 
 
+def listed_again(docs: DataFrame, folder: str, n_places: int) -> DataFrame:
+    """Rows (chunk, place, blob): the same listing for each string of the runs with hot hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = _Wanted(folder)
+        for chunk, part in _chunks(batches):
+            raw, bounds = _data(part.column("text"))
+            at, key = wanted.hot_strings(chunk, raw, bounds)
+            blobs = _listed(key, np.searchsorted(bounds, at, side="right") - 1, n_places)
+            if blobs:
+                yield pa.record_batch([pa.array([chunk] * len(blobs), pa.int64()), pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.binary())], names=["chunk", "place", "blob"])
+
+    return docs.mapInArrow(run, "chunk long, place int, blob binary")
+
+
+def _by_place(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows of one place after another; batches are in its order."""
+    place, held = None, []
+    for batch in batches:
+        for row in zip(*[batch.column(x).to_pylist() for x in ("place", *columns)]):
+            if row[0] != place:
+                if held:
+                    yield place, held
+                place, held = row[0], []
+            held.append(row[1:])
+    if held:
+        yield place, held
+
+
+def _dealt(rows: DataFrame, n_places: int) -> DataFrame:
+    """Rows by place, in its order, so that a task holds one place at a time."""
+    return rows.repartition(max(parts(rows.sparkSession), n_places // 4), "place").sortWithinPartitions("place")
+
+
 def _packed(values: np.ndarray) -> bytes:
     """Rising numbers as differences, in 4 bytes each where they fit."""
     steps = np.diff(values, prepend=values[:1])
@@ -175,30 +227,26 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype="u8") + np.frombuffer(blob, "<u8", 1, 1)
 
 
-def shared(listed: DataFrame) -> DataFrame:
-    """Rows (chunk, place, blob): of each chunk's listed hashes those that another document has too."""
+def shared(listed: DataFrame, n_places: int) -> DataFrame:
+    """Rows (chunk, place, blob): of each chunk's listed hashes those that another document has too; odd ones are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, bytes]]] = {}
-        for batch in batches:
-            for chunk, place, blob in zip(*[batch.column(x).to_pylist() for x in ("chunk", "place", "blob")]):
-                held.setdefault(place, []).append((chunk, blob))
-        for place, blobs in held.items():
+        for place, blobs in _by_place(batches, "chunk", "blob"):
             lists = [_unpacked(b) for _, b in blobs]
             every = np.concatenate(lists)
             order = np.argsort(every >> np.uint64(1), kind="stable")
             h = every[order] >> np.uint64(1)
-            twin = np.zeros(len(h), bool)
-            twin[1:] = h[1:] == h[:-1]
-            twin[:-1] |= twin[1:].copy()
-            good = np.empty(len(h), bool)
-            good[order] = twin
-            good |= (every & np.uint64(1)).astype(bool)
-            found = [x[g] for x, g in zip(lists, np.split(good, np.cumsum([len(x) for x in lists])[:-1]))]
-            out = [(c, (f >> np.uint64(1)).astype("<u8").tobytes()) for (c, _), f in zip(blobs, found) if len(f)]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            many = np.diff(np.append(at, len(h)))
+            several = np.maximum.reduceat(every[order] & np.uint64(1), at).astype(bool)
+            told = np.where((many > 1) | several, 1 + (many >= HOT), 0)
+            back = np.empty(len(h), "u8")
+            back[order] = np.repeat(told, many)
+            found = [((x >> np.uint64(1) << np.uint64(1)) | (g > 1))[g > 0] for x, g in zip(lists, np.split(back, np.cumsum([len(x) for x in lists])[:-1]))]
+            out = [(c, f.astype("<u8").tobytes()) for (c, _), f in zip(blobs, found) if len(f)]
             yield pa.record_batch([pa.array([c for c, _ in out], pa.int64()), pa.array([place] * len(out), pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["chunk", "place", "blob"])
 
-    return listed.select("chunk", "place", "blob").repartition(parts(listed.sparkSession), "place").mapInArrow(run, "chunk long, place int, blob binary")
+    return _dealt(listed.select("chunk", "place", "blob"), n_places).mapInArrow(run, "chunk long, place int, blob binary")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -214,21 +262,63 @@ def run_hashes(strings: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, strings), "u8", len(strings))
 
 
+def string_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the LENGTH bytes from each place on."""
+    out = np.empty(len(at), "u8")
+    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH) if len(at) else data
+    for i in range(0, len(at), STEP // 8):
+        out[i : i + STEP // 8] = (_SYMBOL[windows[at[i : i + STEP // 8]]] * _POWERS).sum(axis=1, dtype="u8")
+    return mixed(mixed(out))
+
+
 class _Wanted:
-    """Runs of a chunk whose hashes are shared, and the hash of each one's bytes."""
+    """Runs of a chunk whose hashes are shared, and the hash of each one's bytes; of runs with hot hashes, each string whose own hash is shared."""
 
-    def __init__(self, folder: str) -> None:
-        self.folder, self.chunk, self.listed = folder, None, np.zeros(0, "u8")
+    def __init__(self, folder: str, strings: str | None = None) -> None:
+        self.folders, self.chunk, self.listed = [folder, strings], None, []
 
-    def __call__(self, chunk: int, raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    def _load(self, chunk: int) -> None:
         if chunk != self.chunk:
-            self.chunk, self.listed = chunk, np.frombuffer(_read(self.folder, chunk), "<u8")
-        first, many, h = runs(np.frombuffer(raw, "u1"), bounds)
-        short = h >> _LISTED
-        at = np.searchsorted(self.listed, short)
-        keep = np.flatnonzero(self.listed[np.minimum(at, len(self.listed) - 1)] == short) if len(self.listed) else np.zeros(0, "i8")
-        first, many, h = first[keep], many[keep], h[keep]
-        return first, many, h, [raw[a:b] for a, b in zip(first.tolist(), (first + many + LENGTH - 1).tolist())]
+            self.chunk, self.listed = chunk, [np.frombuffer(_read(f, chunk) if f else b"", "<u8") for f in self.folders]
+
+    def _told(self, h: np.ndarray, which: int) -> np.ndarray:
+        """For each hash 0 if it is not told, 2 if it is hot, or else 1."""
+        told = self.listed[which]
+        if not len(told) or not len(h):
+            return np.zeros(len(h), "i8")
+        at = np.minimum(np.searchsorted(told >> np.uint64(1), h >> _LISTED), len(told) - 1)
+        return np.where(told[at] >> np.uint64(1) == h >> _LISTED, 1 + (told[at] & np.uint64(1)).astype("i8"), 0)
+
+    def _hot(self, data: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        return at, string_hashes(data, at)
+
+    def hot_strings(self, chunk: int, raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of all strings in runs with hot hashes."""
+        self._load(chunk)
+        if not (self.listed[0] & np.uint64(1)).any():
+            return np.zeros(0, "i8"), np.zeros(0, "u8")
+        data = np.frombuffer(raw, "u1")
+        first, many, h = runs(data, bounds)
+        hot = self._told(h, 0) == 2
+        return self._hot(data, first[hot], many[hot])
+
+    def __call__(self, chunk: int, raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """First starts, numbers of starts, hashes, bytes and the bytes' hashes."""
+        self._load(chunk)
+        data = np.frombuffer(raw, "u1")
+        first, many, h = runs(data, bounds)
+        told = self._told(h, 0)
+        at, key = self._hot(data, first[told == 2], many[told == 2])
+        keep = self._told(key, 1) > 0
+        at, key = at[keep], key[keep]
+        first, many, h = first[told == 1], many[told == 1], h[told == 1]
+        strings = [raw[a:b] for a, b in zip(first.tolist(), (first + many + LENGTH - 1).tolist())]
+        own, one, back = np.unique(key, return_index=True, return_inverse=True)
+        single = [raw[a : a + LENGTH] for a in at[one].tolist()]
+        of = np.concatenate([run_hashes(strings), run_hashes(single)[back]])
+        strings += [single[i] for i in back.tolist()]
+        return np.concatenate([first, at]), np.concatenate([many, np.ones(len(at), "i8")]), np.concatenate([h, key]), strings, of
 
 
 def _boxed(chunk: int, h: np.ndarray, low: np.ndarray, high: np.ndarray, strings: list[bytes]) -> bytes:
@@ -247,22 +337,22 @@ def _unboxed(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.n
     return chunk, np.cumsum(h, dtype="u8"), low, low + more, sizes, np.frombuffer(raw, "<u1", offset=16 + 25 * n)
 
 
-def sent(docs: DataFrame, folder: str, n_places: int) -> DataFrame:
+def sent(docs: DataFrame, folder: str, strings_folder: str, n_places: int) -> DataFrame:
     """Rows (place, blob): a chunk part's runs with shared hashes of one range of hashes, equal ones once, with their smallest and largest document."""
     bits = np.uint64(64 - n_places.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _Wanted(folder)
+        wanted = _Wanted(folder, strings_folder)
         for chunk, part in _chunks(batches):
             known = pc.is_valid(part.column("doc_id")).to_numpy(zero_copy_only=False)
             ids = pc.fill_null(part.column("doc_id"), 0).to_numpy()
             raw, bounds = _data(part.column("text"))
-            first, _, h, strings = wanted(chunk, raw, bounds)
+            first, _, h, strings, of = wanted(chunk, raw, bounds)
             at = np.searchsorted(bounds, first, side="right") - 1
             real = np.flatnonzero(known[at])
             if not len(real):
                 continue
-            doc, of = ids[at], run_hashes(strings)
+            doc = ids[at]
             order = real[np.lexsort((doc[real], of[real], h[real]))]
             new = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
             low, high = order[new], order[np.append(new[1:], len(order)) - 1]
@@ -273,31 +363,52 @@ def sent(docs: DataFrame, folder: str, n_places: int) -> DataFrame:
     return docs.mapInArrow(run, "place int, blob binary")
 
 
-def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(string, start) of all suffixes in the order of the collection, equal ones by string.
+def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, common prefix with the one before) of all suffixes in the order of the collection, equal ones by string.
 
     Column by column from the right, one symbol of each string is inserted a round: the symbol before each string's
-    suffix so far becomes known in the transform, and its rank there is the place of the longer suffix.
+    suffix so far becomes known in the transform, and its rank there is the place of the longer suffix. Its common
+    prefix with a neighbour that begins with the same symbol is one more than the least prefix between the two shorter
+    suffixes. Strings are at most 255 bytes long.
     """
     n = len(strings)
     size = np.fromiter(map(len, strings), "i8", n)
-    data = np.frombuffer(b"".join(strings), "u1").astype("u2") + 1
+    data = np.frombuffer(b"".join(strings), "u1")
     ends = np.cumsum(size)
-    transform = np.zeros(n, "u2")  # 0: not known yet, or a string starts here
+    transform, known = np.zeros(n, "u1"), np.zeros(n, bool)  # not known: yet, or because a string starts here
+    prefix = np.zeros(n, "u1")
     place = np.arange(n)
     for step in range(int(size.max(initial=0))):
         live = np.flatnonzero(size > step)
         at = place[live]
-        transform[at] = data[ends[live] - 1 - step]
-        new = _ranks(transform)[at] + n
-        grown = np.zeros(len(transform) + len(live), "u2")
-        old = np.ones(len(grown), bool)
-        old[new] = False
-        grown[old] = transform
-        transform = grown
-        place[live] = new
+        transform[at], known[at] = data[ends[live] - 1 - step], True
+        order = np.flatnonzero(known)
+        order = order[np.argsort(transform[order], kind="stable")]  # the places of all suffixes with one more symbol
+        mine = np.zeros(len(transform), bool)
+        mine[at] = True
+        new = np.flatnonzero(mine[order])
+        of = np.empty(len(transform), "i4")
+        of[at] = live
+        place[of[order[new]]] = new + n
+        # prefixes change at what is inserted and at what follows it
+        fresh = np.zeros(len(order) + 1, bool)
+        fresh[new] = fresh[new + 1] = True
+        pairs = np.flatnonzero(fresh[:-1])
+        pairs = pairs[pairs > 0]
+        left, right = order[pairs - 1], order[pairs]
+        alike = transform[left] == transform[right]
+        told = np.zeros(len(pairs), "u1")
+        told[alike] = 1 + _least(prefix, left[alike] + 1, right[alike])
+        old = np.ones(n + len(order), bool)
+        old[new + n] = False
+        grown, grown_known, grown_prefix = np.zeros(len(old), "u1"), np.zeros(len(old), bool), np.zeros(len(old), "u1")
+        grown[old], grown_known[old], grown_prefix[old] = transform, known, prefix
+        grown_prefix[pairs + n] = told
+        transform, known, prefix = grown, grown_known, grown_prefix
     # walk the finished transform once to learn which suffix stands where
-    rank = _ranks(transform) + n
+    order = np.flatnonzero(known)
+    rank = np.empty(len(transform), "i8")
+    rank[order[np.argsort(transform[order], kind="stable")]] = n + np.arange(len(order))
     string, start = np.empty(len(transform), "i8"), np.empty(len(transform), "i8")
     place = np.arange(n)
     string[place], start[place] = np.arange(n), size
@@ -305,38 +416,38 @@ def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         live = np.flatnonzero(size > step)
         place[live] = rank[place[live]]
         string[place[live]], start[place[live]] = live, size[live] - 1 - step
-    return string, start
-
-
-def _ranks(transform: np.ndarray) -> np.ndarray:
-    """For each known symbol its rank among all known ones, by symbol, then place."""
-    symbols = transform.astype("u1") if transform.max(initial=0) < 256 else transform
-    order = np.argsort(symbols, kind="stable")
-    out = np.empty(len(order), "i8")
-    out[order] = np.arange(len(order)) - np.count_nonzero(transform == 0)
+    return string, start, prefix
+
+
+def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of values[first : last + 1] for each range; ranges are not empty. Minima over 1, 2, 4, ... values in a row, two of which cover a range."""
+    out, wide = np.zeros(len(first), values.dtype), last - first + 1
+    level = np.frexp(wide)[1] - 1
+    held, span, k = values, 1, 0
+    while len(first):
+        some = np.flatnonzero(level == k)
+        out[some] = np.minimum(held[first[some]], held[last[some] - span + 1])
+        if k == int(level.max()):
+            break
+        held, span, k = np.minimum(held[:-span], held[span:]), 2 * span, k + 1
     return out
 
 
 def least_documents(strings: list[bytes], low: np.ndarray) -> list[np.ndarray]:
     """For each start in each run the smallest document among all runs that hold the same LENGTH bytes."""
-    string, start = collection_order(strings)
+    string, start, prefix = collection_order(strings)
     size = np.fromiter(map(len, strings), "i8", len(strings))
-    whole = start + LENGTH <= size[string]
+    # what stands between two equal strings in the order begins with them too
+    whole = np.flatnonzero(start + LENGTH <= size[string])
+    group = np.cumsum(prefix < LENGTH)[whole]
     string, start = string[whole], start[whole]
-    data = np.frombuffer(b"".join(strings), "u1")
-    at = (np.cumsum(size) - size)[string] + start
-    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-    prefix = np.ones(max(0, len(at) - 1), bool)  # whether neighbours in the order share all LENGTH bytes
-    for i in range(0, len(prefix), 1 << 16):
-        stop = min(i + (1 << 16), len(prefix))
-        prefix[i:stop] = (windows[at[i:stop]] == windows[at[i + 1 : stop + 1]]).all(axis=1)
-    edge = np.flatnonzero(np.concatenate([[True], ~prefix]))
+    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     least = np.repeat(np.minimum.reduceat(low[string], edge), np.diff(np.append(edge, len(string))))
     order = np.lexsort((start, string))
     return np.split(least[order], np.cumsum(size - LENGTH + 1)[:-1])
 
 
-def answers(rows: DataFrame) -> DataFrame:
+def answers(rows: DataFrame, n_places: int) -> DataFrame:
     """Rows (chunk, place, blob): for runs that a smaller document may have, the hash of their bytes and the smallest document, once or for each start."""
 
     def solved(place: int, blobs: list[bytes]) -> Iterator[tuple[int, bytes]]:
@@ -356,18 +467,16 @@ def answers(rows: DataFrame) -> DataFrame:
         group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(first))))
         low_of, high_of = low[first], np.maximum.reduceat(high, first)
         lowest = np.minimum.reduceat(low_of, head)[group]
-        several = np.bincount(group)[group] > 1
-        least = low_of.copy()  # right where all equal starts are in equal runs
+        least = low_of.copy()
         parts: dict[int, np.ndarray] = {}
         # a group of one document has nothing to take from a smaller one
-        unlike = np.flatnonzero(several & (np.maximum.reduceat(high_of, head)[group] > lowest))
+        some = np.flatnonzero(np.maximum.reduceat(high_of, head)[group] > lowest)
         start = 0
-        while start < len(unlike):
-            stop = min(start + COLLECTION, len(unlike))
-            while stop < len(unlike) and group[unlike[stop]] == group[unlike[stop - 1]]:
-                stop += 1
-            some = unlike[start:stop]
-            for r, m in zip(some.tolist(), least_documents(bytes_of(order[first[some]]), low_of[some])):
+        while start < len(some):
+            stop = min(start + COLLECTION, len(some))
+            stop = int(np.searchsorted(group[some], group[some[stop - 1]], side="right"))
+            entering = some[start:stop]
+            for r, m in zip(entering.tolist(), least_documents(bytes_of(order[first[entering]]), low_of[entering])):
                 least[r] = m[0]
                 if (m != m[0]).any():
                     least[r] = m.min()
@@ -386,15 +495,11 @@ def answers(rows: DataFrame) -> DataFrame:
                 yield int(chunk[rows[0]]), np.concatenate(told).astype("<i8").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for place, blob in zip(batch.column("place").to_pylist(), batch.column("blob").to_pylist()):
-                held.setdefault(place, []).append(blob)
-        for place, blobs in held.items():
-            out = list(solved(place, blobs))
+        for place, blobs in _by_place(batches, "blob"):
+            out = list(solved(place, [b for b, in blobs]))
             yield pa.record_batch([pa.array([c for c, _ in out], pa.int64()), pa.array([place] * len(out), pa.int32()), pa.array([b for _, b in out], pa.binary())], names=["chunk", "place", "blob"])
 
-    return rows.repartition(parts(rows.sparkSession), "place").mapInArrow(run, "chunk long, place int, blob binary")
+    return _dealt(rows, n_places).mapInArrow(run, "chunk long, place int, blob binary")
 
 
 def _answered(blob: bytes) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
@@ -414,12 +519,12 @@ def _answered(blob: bytes) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray
     return every[order], docs[order], split
 
 
-def cut(docs: DataFrame, hashes: str, answered: str) -> DataFrame:
+def cut(docs: DataFrame, hashes: str, strings_folder: str, answered: str) -> DataFrame:
     """Rows (doc_id, n_bytes, spans, kept)."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, known, known_chunk = _Wanted(hashes), _answered(b""), None
+        wanted, known, known_chunk = _Wanted(hashes, strings_folder), _answered(b""), None
         for chunk, part in _chunks(batches):
             if chunk != known_chunk:
                 known_chunk, known = chunk, _answered(_read(answered, chunk))
@@ -427,10 +532,10 @@ def cut(docs: DataFrame, hashes: str, answered: str) -> DataFrame:
             cover = np.zeros(len(raw) + 1, "i4")
             of, least, split = known
             if len(of) or split:
-                first, many, _, strings = wanted(chunk, raw, bounds)
+                first, many, _, _, hashed = wanted(chunk, raw, bounds)
                 doc = np.searchsorted(bounds, first, side="right") - 1
                 mine = pc.fill_null(part.column("doc_id"), -(1 << 63)).to_numpy()[doc]  # no document is smaller than that
-                hashed = run_hashes(strings).view("i8")
+                hashed = hashed.view("i8")
                 at = np.searchsorted(of, hashed)
                 hit = np.zeros(len(hashed), bool)
                 if len(of):
@@ -464,10 +569,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     from others. Rows that repeat an id take nothing from each other, as neither is smaller. Other columns are ignored.
     """
     spark = docs.sparkSession
-    n_places = 1 << max(6, (4 * parts(spark)).bit_length())
-    table = chunked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")), n_places)
+    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n_places = 1 << max(6, (total // PLACE).bit_length(), (2 * parts(spark)).bit_length())
+    table = chunked(rows, n_places)
     texts = table.where("place IS NULL").select("chunk", "doc_id", "text")
-    hashes, answered = new_path(spark, "shared-hashes"), new_path(spark, "answers")
-    _told(shared(table.where("place IS NOT NULL")), hashes)
-    _told(answers(sent(texts, hashes, n_places)), answered)
-    return cut(texts, hashes, answered)
+    hashes, strings, answered = (new_path(spark, x) for x in ("shared-hashes", "shared-strings", "answers"))
+    _told(shared(table.where("place IS NOT NULL"), n_places), hashes)
+    _told(shared(listed_again(texts, hashes, n_places), n_places), strings)
+    _told(answers(sent(texts, hashes, strings, n_places), n_places), answered)
+    return cut(texts, hashes, strings, answered)

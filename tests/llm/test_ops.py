@@ -272,7 +272,10 @@ def brute_repeats(rows):
     return out
 
 
-def test_repeats(spark, docs):
+@pytest.mark.parametrize("hot, collection", [(32, 8192), (1, 50), (2, 8192)])
+def test_repeats(spark, docs, monkeypatch, hot, collection):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "COLLECTION", collection)
     r = random.Random(9)
     extra = [(5000 + i, "".join(r.choice("ab") for _ in range(r.randint(40, 400))) + "z" * r.randint(0, 200)) for i in range(40)]
     df = docs.select("doc_id", "text", "chunk", "h").unionByName(spark.createDataFrame([(d, t, 0, 0) for d, t in extra], "doc_id long, text string, chunk int, h int")).repartition(3)
@@ -291,9 +294,19 @@ def test_collection_order():
     r = random.Random(2)
     for alphabet in (b"ab", bytes([0, 1, 254, 255])):
         s = [bytes(r.choice(alphabet) for _ in range(r.randint(0, 12))) for _ in range(60)]
-        string, start = suffix_dedup.collection_order(s)
+        string, start, prefix = suffix_dedup.collection_order(s)
         order = [(s[i][j:], i) for i, j in zip(string, start)]
         assert order == sorted(order) and len(order) == sum(map(len, s)) + len(s)
+        shared = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        assert prefix.tolist() == [0] + [shared(a, b) for (a, _), (b, _) in zip(order, order[1:])]
+
+
+def test_a_very_long_text_that_repeats(spark):
+    r = random.Random(1)
+    t = "".join(r.choices("abcdefgh \n", k=3_000_000))
+    df = spark.createDataFrame([(1, t), (2, "new" + t[1_000_000:] + "end"), (3, "a" * 5_000_000)], "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, [tuple(s) for s in x.spans], bytes(x.kept)) for x in suffix_dedup.suffix_dedup(df).collect()}
+    assert got[1] == (len(t), [], t.encode()) and got[2] == (2_000_006, [(3, 2_000_003)], b"newend") and got[3][1] == []
 
 
 # --- 6
@@ -370,7 +383,8 @@ def test_lines_of_rows_with_repeated_and_null_ids(spark):
 
 
 def test_a_very_long_text_loses_its_repeated_lines(spark):
-    lines = [f"line number {i} of a very long text {i * i}" for i in range(60_000)]
+    r = random.Random(6)
+    lines = [" ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(6)) for _ in range(60_000)]
     df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[::2]) + "\nnew"), (3, "x" * 10_000_000)], "doc_id long, text string")
     got = {r.doc_id: r for r in line_dedup.line_dedup(df, percent=100).collect()}
     assert got[1].text == "\n".join(lines) and got[2].text == "new" and got[2].lines_removed == 30_000 and len(got[3].text) == 10_000_000
