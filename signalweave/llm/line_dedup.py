@@ -89,38 +89,50 @@ def piece_bands(lines: pa.Array) -> np.ndarray:
     return banded(mixed(mixed(piece[inside[: len(piece)]] + np.uint64(1))), offsets[:-1] - 3 * np.arange(len(lines)), 1)
 
 
-def profiles(lines: list[str]) -> np.ndarray:
-    """Counts of each line's pairs of characters in 256 cells. An edit takes two pairs at most and gives two, so profiles of lines k edits apart differ by 4k at most."""
+def pair_bits(lines: list[str]) -> np.ndarray:
+    """Which of 512 cells each line's pairs of characters fall into, as eight numbers. An edit takes two pairs at most and gives two, so lines k edits apart differ in 4k cells at most."""
+    out = np.zeros((len(lines), 8), "u8")
     size = np.fromiter(map(len, lines), "i8", len(lines))
     c = np.frombuffer("".join(lines).encode("utf-32-le"), "u4")
-    if len(c) < 2:
-        return np.zeros((len(lines), 256), "i4")
-    cell = (c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)) >> np.uint32(24)
-    row = np.repeat(np.arange(len(lines)), size)
-    inside = row[1:] == row[:-1]
-    return np.bincount(row[:-1][inside] * 256 + cell[inside], minlength=256 * len(lines)).reshape(len(lines), 256).astype("i4")
+    if len(c) > 1:
+        cell = (c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)) >> np.uint32(23)
+        row = np.repeat(np.arange(len(lines)), size)
+        inside = row[1:] == row[:-1]
+        held = np.zeros(512 * len(lines), bool)
+        held[row[:-1][inside] * 512 + cell[inside]] = True
+        out = np.packbits(held, bitorder="little").view("u8").reshape(-1, 8)
+    return out
 
 
 class _Group:
-    """Lines of a group, which of them hang together so far, and the links that do it; memory is 1 KB a line besides its text."""
-
-    def __init__(self, lines: list[str], percent: int) -> None:
-        self.lines, self.percent, self.links, self.at = lines, percent, [], -1
-        self.root, self.size, self.held = np.arange(len(lines)), np.fromiter(map(len, lines), "i8", len(lines)), profiles(lines)
-
-    def next(self) -> tuple[np.ndarray, np.ndarray]:
-        """The later lines that the next line must be compared with, and how many edits each may take; none at the end."""
-        while self.at + 1 < len(self.lines):
-            self.at += 1
-            i = self.at
-            later = i + 1 + np.flatnonzero(self.root[i + 1 :] != self.root[i])
-            most = (100 - self.percent) * np.maximum(self.size[later], self.size[i]) // 100
-            near = np.abs(self.size[later] - self.size[i]) <= most
-            later, most = later[near], most[near]
-            near = np.abs(self.held[later] - self.held[i]).sum(axis=1) <= 4 * most
-            if near.any():
-                return later[near], most[near]
-        return np.zeros(0, "i8"), np.zeros(0, "i8")
+    """Lines of a group, which of them hang together so far, and the links that do it. Memory: a byte for each two lines."""
+
+    def __init__(self, lines: list[str], bits: np.ndarray, percent: int) -> None:
+        self.lines, self.links, self.at, n = lines, [], -1, len(lines)
+        size = np.fromiter(map(len, lines), "i8", n)
+        self.root, self.size, self.percent = np.arange(n), size, percent
+        self.near = np.zeros((n, n), bool)  # for each line the later ones that lengths and cells don't rule out
+        step = max(1, (1 << 16) // n)
+        for i in range(0, n, step):
+            most = (100 - percent) * np.maximum(size[i : i + step, None], size[None, i:]) // 100
+            fits = np.abs(size[i : i + step, None] - size[None, i:]) <= most
+            apart = np.bitwise_count(bits[i : i + step, None] ^ bits[None, i:]).sum(axis=2, dtype="i4")
+            self.near[i : i + step, i:] = fits & (apart <= 4 * most)
+        self.near &= np.tri(n, dtype=bool).T
+        np.fill_diagonal(self.near, False)
+        self.todo = np.flatnonzero(self.near.any(axis=1)).tolist()[::-1]
+
+    def next(self) -> np.ndarray:
+        """The later lines that the next line must be compared with; none at the end."""
+        while self.todo:
+            self.at = self.todo.pop()
+            later = np.flatnonzero(self.near[self.at] & (self.root != self.root[self.at]))
+            if len(later):
+                return later
+        return np.zeros(0, "i8")
+
+    def most(self, later: np.ndarray) -> np.ndarray:
+        return (100 - self.percent) * np.maximum(self.size[later], self.size[self.at]) // 100
 
     def link(self, later: np.ndarray) -> None:
         for j in later.tolist():
@@ -131,17 +143,17 @@ class _Group:
 
 def forests(groups: list[list[str]], percent: int) -> list[list[tuple[int, int]]]:
     """For each group of lines links that connect all that are connected by edits. Lines that already hang together are not compared again; in each round one line of every group meets its later ones."""
-    every = [_Group(lines, percent) for lines in groups]
-    live = every
+    bits = np.split(pair_bits([x for lines in groups for x in lines]), np.cumsum([len(lines) for lines in groups])[:-1])
+    every = [_Group(lines, b, percent) for lines, b in zip(groups, bits)]
+    live = [g for g in every if g.todo]
     while live:
-        wanted = [(g, *g.next()) for g in live]
-        wanted = [w for w in wanted if len(w[1])]
-        live = [g for g, _, _ in wanted]
+        wanted = [(g, later) for g in live if len(later := g.next())]
+        live = [g for g, _ in wanted]
         if live:
-            a = [g.lines[g.at] for g, later, _ in wanted for _ in range(len(later))]
-            b = [g.lines[j] for g, later, _ in wanted for j in later.tolist()]
-            good = within(a, b, np.concatenate([m for _, _, m in wanted]))
-            for (g, later, _), hit in zip(wanted, np.split(good, np.cumsum([len(x) for _, x, _ in wanted])[:-1])):
+            a = [g.lines[g.at] for g, later in wanted for _ in range(len(later))]
+            b = [g.lines[j] for g, later in wanted for j in later.tolist()]
+            good = within(a, b, np.concatenate([g.most(later) for g, later in wanted]))
+            for (g, later), hit in zip(wanted, np.split(good, np.cumsum([len(x) for _, x in wanted])[:-1])):
                 g.link(later[hit])
     return [g.links for g in every]
 
