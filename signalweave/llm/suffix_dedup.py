@@ -38,8 +38,9 @@ from signalweave.tables import new_path
 
 LENGTH, GRAM, LONGEST = 50, 16, 64
 #: Bytes hashed at a time; runs that enter one collection, about; chunks that list a hot hash; bytes of text for each place.
-STEP, COLLECTION, HOT, PLACE = 1 << 17, 8192, 32, 64 << 20
+STEP, COLLECTION, HOT, PLACE = 1 << 17, 8192, 256, 64 << 20
 _SYMBOL = mixed(np.arange(1, 257, dtype="u8"))
+_OTHER = mixed(np.arange(1001, 1257, dtype="u8"))
 _M = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.full(LENGTH, 0xD6E8FEB86659FD93, "u8"), dtype="u8")
 #: Hashes are listed by their upper 48 bits: an accidental match only sends a run that finds no equal.
@@ -53,11 +54,11 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return z
 
 
-def least_hashes(data: np.ndarray) -> np.ndarray:
+def least_hashes(data: np.ndarray, symbols: np.ndarray = _SYMBOL) -> np.ndarray:
     """For each start of a string of LENGTH bytes the smallest hash of its grams."""
     out = np.empty(max(0, len(data) - LENGTH + 1), "u8")
     for start in range(0, len(out), STEP):
-        h = _SYMBOL[data[start : start + STEP + LENGTH - 1]]
+        h = symbols[data[start : start + STEP + LENGTH - 1]]
         size = 1
         while size < GRAM:
             h = _pair(h[:-size], h[size:])
@@ -73,9 +74,9 @@ def least_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(data: np.ndarray, bounds: np.ndarray, symbols: np.ndarray = _SYMBOL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of starts in documents with the same smallest hash: first start, number of starts (at most LONGEST), hash."""
-    h = least_hashes(data)
+    h = least_hashes(data, symbols)
     if not len(h):
         return np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0, "u8")
     valid = np.ones(len(h), bool)
@@ -92,7 +93,7 @@ def runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     pieces = -(-many // LONGEST)
     nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     first = np.repeat(first, pieces) + nth * LONGEST
-    return first, np.minimum(np.repeat(many, pieces) - nth * LONGEST, LONGEST), h[first]
+    return first, np.minimum(np.repeat(many, pieces) - nth * LONGEST, LONGEST), mixed(h[first])  # least hashes are small: mixed, they fill all places alike
 
 
 def _data(text: pa.Array) -> tuple[bytes, np.ndarray]:
@@ -447,6 +448,42 @@ def least_documents(strings: list[bytes], low: np.ndarray) -> list[np.ndarray]:
     return np.split(least[order], np.cumsum(size - LENGTH + 1)[:-1])
 
 
+def refined(strings: list[bytes], low: np.ndarray, high: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
+    """For each start in each run the smallest document among all runs of its group that hold the same LENGTH bytes.
+
+    Runs are cut again by another smallest hash, which sets most strings apart that only one document has. Of the parts
+    that are left, unlike ones enter collections; a collection ends with a group.
+    """
+    raw = b"".join(strings)
+    bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, strings), "i8", len(strings)))])
+    first, many, key = runs(np.frombuffer(raw, "u1"), bounds, _OTHER)
+    run = np.searchsorted(bounds, first, side="right") - 1
+    of = run_hashes([raw[a:b] for a, b in zip(first.tolist(), (first + many + LENGTH - 1).tolist())])
+    order = np.lexsort((low[run], of, key, group[run]))
+    first, many, run, key, of = first[order], many[order], run[order], key[order], of[order]
+    apart = np.concatenate([[True], (group[run][1:] != group[run][:-1]) | (key[1:] != key[:-1])])
+    part = np.flatnonzero(apart | np.concatenate([[True], of[1:] != of[:-1]]))
+    size = np.diff(np.append(part, len(run)))
+    head = np.flatnonzero(apart[part])
+    inside = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(part))))
+    low_of, high_of = low[run[part]], np.maximum.reduceat(high[run], part)
+    unlike = np.flatnonzero((np.bincount(inside)[inside] > 1) & (np.maximum.reduceat(high_of, head) > np.minimum.reduceat(low_of, head))[inside])
+    least = np.empty(len(raw), "i8")
+    at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    least[at] = np.repeat(np.repeat(low_of, size), many)
+    start = 0
+    while start < len(unlike):
+        stop = min(start + COLLECTION, len(unlike))
+        stop = int(np.searchsorted(inside[unlike], inside[unlike[stop - 1]], side="right"))
+        some = unlike[start:stop]
+        held = [raw[first[p] : first[p] + many[p] + LENGTH - 1] for p in part[some].tolist()]
+        for p, m, found in zip(part[some].tolist(), size[some].tolist(), least_documents(held, low_of[some])):
+            for k in range(p, p + m):
+                least[first[k] : first[k] + many[k]] = found
+        start = stop
+    return [least[a : b - LENGTH + 1] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
 def answers(rows: DataFrame, n_places: int) -> DataFrame:
     """Rows (chunk, place, blob): for runs that a smaller document may have, the hash of their bytes and the smallest document, once or for each start."""
 
@@ -467,21 +504,16 @@ def answers(rows: DataFrame, n_places: int) -> DataFrame:
         group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(first))))
         low_of, high_of = low[first], np.maximum.reduceat(high, first)
         lowest = np.minimum.reduceat(low_of, head)[group]
-        least = low_of.copy()
+        least = low_of.copy()  # right where all equal starts are in equal runs
         parts: dict[int, np.ndarray] = {}
-        # a group of one document has nothing to take from a smaller one
-        some = np.flatnonzero(np.maximum.reduceat(high_of, head)[group] > lowest)
-        start = 0
-        while start < len(some):
-            stop = min(start + COLLECTION, len(some))
-            stop = int(np.searchsorted(group[some], group[some[stop - 1]], side="right"))
-            entering = some[start:stop]
-            for r, m in zip(entering.tolist(), least_documents(bytes_of(order[first[entering]]), low_of[entering])):
+        # a group of one document has nothing to take from a smaller one, and one of equal runs has its answer
+        some = np.flatnonzero((np.bincount(group)[group] > 1) & (np.maximum.reduceat(high_of, head)[group] > lowest))
+        if len(some):
+            for r, m in zip(some.tolist(), refined(bytes_of(order[first[some]]), low_of[some], high_of[some], group[some])):
                 least[r] = m[0]
                 if (m != m[0]).any():
                     least[r] = m.min()
                     parts[r] = m
-            start = stop
         tell = np.flatnonzero(least[same] < high)
         tell = tell[np.argsort(chunk[tell], kind="stable")]
         for rows in np.split(tell, np.flatnonzero(np.diff(chunk[tell])) + 1):
