@@ -44,46 +44,105 @@ def extracted(c: Column | str) -> Column:
     return F.when(direct, bare).otherwise(_first_object(F.when(~direct, bare)))
 
 
+def _held(answers: DataFrame, text: str) -> DataFrame:
+    """answers with the object of each as a variant j, null where there is none."""
+    return answers.withColumn("j", F.try_parse_json(extracted(text)))
+
+
+def _at(path: str, of: str = "j") -> Column:
+    """What stands at a path: null where nothing does, a variant null for a JSON null."""
+    return F.try_variant_get(F.col(of), f"$.{path}", "variant")
+
+
+def _kind(v: Column) -> Column:
+    """BIGINT, DECIMAL(..), DOUBLE, STRING, BOOLEAN, VOID, ARRAY<..> or OBJECT<..>."""
+    return F.schema_of_variant(v)
+
+
+def _said(v: Column) -> Column:
+    return v.cast("string")
+
+
+def _string(v: Column, default: str | None) -> tuple[Column, Column]:
+    """Whether a field that must be a string is one, and its value; without a default it must be there."""
+    good = F.coalesce(_kind(v) == "STRING", F.lit(default is not None))
+    return good, F.coalesce(_said(v), F.lit(default)) if default is not None else _said(v)
+
+
+def _integer(v: Column) -> Column:
+    """Whole numbers, also as text, as a number with nothing after the point, or as true and false; else null."""
+    kind, said = _kind(v), _said(v)
+    whole = F.when(F.rlike(said, F.lit(r"^\s*[+-]?[0-9]{1,9}(\.0+)?\s*$")), F.try_to_number(F.regexp_replace(said, r"\s|\+|\.0+\s*$", ""), F.lit("S999999999")).cast("int"))
+    number = F.rlike(kind, F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT|STRING)"))
+    return F.when(kind == "BOOLEAN", F.when(said == "true", 1).otherwise(0)).when(number, whole)
+
+
 def classified(answers: DataFrame, text: str = "text") -> DataFrame:
-    """answers with ok, category, tags and the five scores; any score that is missing, no integer or out of 0 to 5 fails the answer."""
-    out = answers.withColumn("j", extracted(text))
-    raw = {s: F.get_json_object("j", f"$.scores.{s}") for s in SCORES}
-    tags = F.get_json_object("j", "$.tags")
-    listed = F.filter(F.transform(F.from_json(tags, "array<string>"), lambda t: stripped(t)), lambda t: t != "")
-    coerced = F.when(tags.isNull(), F.array().cast("array<string>")).when(F.startswith(tags, F.lit("[")), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(F.array(tags))
-    out = out.withColumns({s: F.when(F.rlike(raw[s], F.lit(r"^[0-5]$")), raw[s].cast("int")) for s in SCORES})
-    ok = F.col("j").isNotNull()
+    """answers with ok, category, tags and the five scores.
+
+    A score that is missing, no whole number or out of 0 to 5 fails the answer; whole numbers may come as text. A category
+    that is there must be a string. Tags: a list gives its stripped elements that are not blank, a string is one tag as it
+    stands, anything else none.
+    """
+    out = _held(answers, text).withColumns({s: _integer(_at(f"scores.{s}")) for s in SCORES})
+    out = out.withColumns({s: F.when(F.col(s).between(0, 5), F.col(s)) for s in SCORES})
+    tags = _at("tags")
+    element = lambda v: F.when(_kind(v) == "VOID", "None").when(_kind(v) == "BOOLEAN", F.initcap(_said(v))).otherwise(_said(v))
+    listed = F.filter(F.transform(F.try_variant_get("j", "$.tags", "array<variant>"), lambda t: stripped(element(t))), lambda t: t != "")
+    none = F.array().cast("array<string>")
+    coerced = F.when(_kind(tags) == "STRING", F.array(_said(tags))).when(F.startswith(_kind(tags), F.lit("ARRAY")), listed).otherwise(none)
+    good, category = _string(_at("category"), "uncategorised")
+    ok = F.col("j").isNotNull() & good
     for s in SCORES:
-        ok = ok & F.col(s).isNotNull() & ~F.contains(F.coalesce(F.regexp_extract("j", rf'"{s}"\s*:\s*(")', 1), F.lit("")), F.lit('"'))
-    return out.withColumns({"ok": F.coalesce(ok, F.lit(False)), "category": F.coalesce(F.get_json_object("j", "$.category"), F.lit("uncategorised")), "tags": coerced}).drop("j")
+        ok = ok & F.col(s).isNotNull()
+    return out.withColumns({"ok": F.coalesce(ok, F.lit(False)), "category": category, "tags": F.coalesce(coerced, none)}).drop("j")
 
 
 def summarised(answers: DataFrame, text: str = "text") -> DataFrame:
-    out = answers.withColumn("j", extracted(text))
-    take = lambda f: F.get_json_object("j", f"$.{f}")
-    return out.withColumns({"ok": take("summary").isNotNull(), "summary": take("summary"), **{f: F.coalesce(take(f), F.lit("")) for f in ("why_it_matters", "connection_to_user_work", "recommended_action")}}).drop("j")
+    """answers with ok, summary and the three texts around it; all must be strings, and only the summary must be there."""
+    out = _held(answers, text)
+    fields = {"summary": _string(_at("summary"), None), **{f: _string(_at(f), "") for f in ("why_it_matters", "connection_to_user_work", "recommended_action")}}
+    ok = F.col("j").isNotNull()
+    for good, _ in fields.values():
+        ok = ok & good
+    return out.withColumns({"ok": F.coalesce(ok, F.lit(False))} | {f: v for f, (_, v) in fields.items()}).drop("j")
 
 
 def weak(answers: DataFrame, text: str = "text") -> DataFrame:
-    out = answers.withColumn("j", extracted(text))
-    horizon = F.lower(stripped(F.get_json_object("j", "$.horizon")))
-    return out.withColumns({"ok": F.col("j").isNotNull(), "is_weak_signal": F.coalesce(F.get_json_object("j", "$.is_weak_signal") == "true", F.lit(False)), "horizon": F.when(horizon.isin(*HORIZONS), horizon)}).drop("j")
+    """answers with ok, is_weak_signal and horizon. The flag may come as a boolean, as 0 or 1, or as one of the usual words for them; it is false where it is missing. An unknown horizon is null, one that is no string fails the answer."""
+    out = _held(answers, text)
+    flag, horizon = _at("is_weak_signal"), _at("horizon")
+    said = F.lower(_said(flag))
+    told = F.when(F.rlike(_kind(flag), F.lit("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")), F.when(F.rlike(said, F.lit(r"^1(\.0+)?$")), True).when(F.rlike(said, F.lit(r"^0(\.0+)?$")), False))
+    told = F.when(_kind(flag).isin("STRING", "BOOLEAN"), F.when(said.isin("1", "on", "t", "true", "y", "yes"), True).when(said.isin("0", "off", "f", "false", "n", "no"), False)).otherwise(told)
+    ok = F.col("j").isNotNull() & (flag.isNull() | told.isNotNull()) & F.coalesce(_kind(horizon).isin("STRING", "VOID"), F.lit(True))
+    for f in ("rationale", "what_to_watch"):
+        ok = ok & _string(_at(f), "")[0]
+    near = F.lower(stripped(_said(horizon)))
+    return out.withColumns({"ok": F.coalesce(ok, F.lit(False)), "is_weak_signal": F.coalesce(told, F.lit(False)), "horizon": F.when(near.isin(*HORIZONS), near)}).drop("j")
 
 
 def graph_payload(answers: DataFrame, text: str = "text") -> DataFrame:
-    """answers with ok, entities and relationships; one unknown type or blank name fails the whole answer, which then has none."""
-    parsed = F.from_json(extracted(text), "entities array<struct<name:string,type:string>>, relationships array<struct<subject:string,predicate:string,object:string>>")
-    out = answers.withColumn("p", parsed)
-    full = lambda c: F.length(stripped(F.coalesce(c, F.lit("")))) > 0
-    entities, relations = F.coalesce("p.entities", F.array().cast("array<struct<name:string,type:string>>")), F.coalesce("p.relationships", F.array().cast("array<struct<subject:string,predicate:string,object:string>>"))
-    ok = F.col("p").isNotNull() & F.forall(entities, lambda e: full(e["name"]) & F.coalesce(e["type"].isin(*ENTITY_LABELS), F.lit(False))) & F.forall(relations, lambda r: full(r["subject"]) & full(r["predicate"]) & full(r["object"]))
-    keep = lambda c: F.when(F.col("ok"), c).otherwise(F.slice(c, 1, 0))
-    return out.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumns({"entities": keep(entities), "relationships": keep(relations)}).drop("p")
+    """answers with ok, entities and relationships, names stripped; one unknown type, blank name or field that is no string fails the whole answer, which then has none."""
+    out = _held(answers, text)
+    field = lambda v, f: F.try_variant_get(v, f"$.{f}", "variant")
+    full = lambda v, f: F.coalesce((_kind(field(v, f)) == "STRING") & (F.length(stripped(_said(field(v, f)))) > 0), F.lit(False))
+    lists = {n: F.try_variant_get("j", f"$.{n}", "array<variant>") for n in ("entities", "relationships")}
+    ok = F.col("j").isNotNull()
+    for n in lists:
+        ok = ok & F.coalesce(F.startswith(_kind(_at(n)), F.lit("ARRAY")), F.lit(True))
+    ok = ok & F.coalesce(F.forall(lists["entities"], lambda e: full(e, "name") & full(e, "type") & _said(field(e, "type")).isin(*ENTITY_LABELS)), F.lit(True))
+    ok = ok & F.coalesce(F.forall(lists["relationships"], lambda r: full(r, "subject") & full(r, "predicate") & full(r, "object")), F.lit(True))
+    named = lambda fields: lambda v: F.struct(*[(_said(field(v, f)) if f == "type" else stripped(_said(field(v, f)))).alias(f) for f in fields])
+    kinds = {"entities": ("name", "type"), "relationships": ("subject", "predicate", "object")}
+    keep = {n: F.when(F.col("ok"), F.transform(v, named(kinds[n]))) for n, v in lists.items()}
+    empty = {n: F.array().cast(f"array<struct<{','.join(f'{f}:string' for f in kinds[n])}>>") for n in kinds}
+    return out.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumns({n: F.coalesce(keep[n], empty[n]) for n in kinds}).drop("j")
 
 
 def by_rules(items: DataFrame) -> DataFrame:
     """The conservative enrichment of representative items: words of the stack give tags and relevance; it claims no weak signal and no graph."""
-    text = F.lower(F.concat(F.col("title"), F.lit(" "), F.coalesce("summary", F.lit(""))))
+    text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit(""))))
     out = items.withColumn("t", text)
     out = out.withColumn("tags", F.filter(F.array(*[F.lit(w) for w in STACK_WORDS]), lambda w: F.contains(F.col("t"), w)))
     hit = lambda *words: has_any("t", words)

@@ -172,6 +172,12 @@ def test_answers(spark):
     texts = [good, f"```json\n{good}\n```", f"Sure: {good} bye", '{"a": "}"} ' + good, good.replace('"hype": 0', '"hype": 9'), "garbage", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     assert [r.ok for r in enrich.classified(df).orderBy("i").collect()] == [True, True, True, False, False, False, False]
+    lax = ['{"scores": %s}' % ('{"relevance": %s, "novelty": 2, "actionability": 3, "strategic_potential": 4, "hype": 0}' % x) for x in ('"4"', "4.0", "true", '" 3 "', "2.5", "null", "[1]", "-1", '"x"')]
+    df = spark.createDataFrame(list(enumerate(lax)), "i int, text string")
+    assert [r.relevance for r in enrich.classified(df).orderBy("i").collect()] == [4, 4, 1, 3, None, None, None, None, None]
+    tags = ['{"a": 1}', "7", "null", '"[wip] x"', '[1, "a ", true, null, ""]']
+    df = spark.createDataFrame([(i, good.replace('[" a ", ""]', t)) for i, t in enumerate(tags)] + [(5, good.replace('"c"', "null")), (6, good.replace('"c"', "3"))], "i int, text string")
+    assert [(r.ok, r.tags) for r in enrich.classified(df).orderBy("i").collect()] == [(True, []), (True, []), (True, []), (True, ["[wip] x"]), (True, ["1", "a", "True", "None"]), (False, ["a"]), (False, ["a"])]
     g = spark.createDataFrame([('{"entities": [{"name": "A", "type": "org"}], "relationships": []}',), ('{"entities": [{"name": "A", "type": "alien"}]}',), ('{"entities": [{"name": " ", "type": "org"}]}',)], "text string")
     assert [(r.ok, len(r.entities)) for r in enrich.graph_payload(g).collect()] == [(True, 1), (False, 0), (False, 0)]
 
