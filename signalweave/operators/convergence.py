@@ -23,12 +23,15 @@ def degrees(interactions: DataFrame, since: Column | None = None) -> DataFrame:
 def convergence(entities: DataFrame, mentions: DataFrame, items: DataFrame, interactions: DataFrame, since: Column | None = None, names: bool = True) -> DataFrame:
     """For each entity: distinct_sources, mentions, degree, last_ts, event_count and, with names, the sorted source_names.
 
-    mentions (item_id, entity_id, ts) are one a pair; items are (item_id, source_name, event_id). Entities that nothing
+    mentions (item_id, entity_id, ts) are one a pair; items are (item_id, source_name, event_id). Mentions that carry
+    source_name and event_id themselves need no items and no join of their size. Entities that nothing
     mentions in the window stay with zeros. Mentions and interactions are aggregated apart and then joined.
 
     Two levels of aggregation keep a hub's mentions from meeting in one task: first by (entity, source, event), then by entity.
     """
-    hits = in_window(mentions, since).join(items.select("item_id", "source_name", "event_id"), "item_id")
+    hits = in_window(mentions, since)
+    if not {"source_name", "event_id"} <= set(mentions.columns):
+        hits = hits.join(items.select("item_id", "source_name", "event_id"), "item_id")
     small = hits.groupBy("entity_id", "source_name", "event_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
     sources = [F.array_sort(F.collect_set("source_name")).alias("source_names")] if names else []
     stats = small.groupBy("entity_id").agg(F.count_distinct("source_name").alias("distinct_sources"), F.sum("n").alias("mentions"), F.max("last_ts").alias("last_ts"), F.count_distinct("event_id").alias("event_count"), *sources)

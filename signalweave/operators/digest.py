@@ -10,6 +10,7 @@ from signalweave.functions.scoring import class_order, salience
 from signalweave.functions.text import has_any, period_label, stripped
 from signalweave.functions.vectors import dot
 from signalweave.operators.events import DIGITS
+from signalweave.operators.feeds import with_evidence
 from signalweave.params import CLASSES, DEFAULTS, HEADINGS, QUADRANT, RESEARCH_WORDS, RISK_WORDS, SECTIONS, TOOL_WORDS, Params
 
 
@@ -129,3 +130,34 @@ def composition_request(lines: DataFrame, counts: DataFrame, bounds: DataFrame,
     body = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "\n").alias("body"))
     one = body.crossJoin(counts).crossJoin(bounds)
     return one.select(F.concat(F.lit("period: "), period_label("period_start", "period_end"), F.lit(f"\nuser_context: {context}\n\n"), F.col("body"), F.lit("\n\nnoise_count: "), F.col("noise_count").cast("string"), F.lit("\ntotal_events_considered: "), F.col("total_events").cast("string")).alias("request"))
+
+
+def flattened(events: DataFrame, signals: DataFrame, coverage: DataFrame, relevance: DataFrame | None = None) -> DataFrame:
+    """Digest items: events with their signal, contributing sources and, where the theme was searched for, its relevance."""
+    out = with_evidence(events.join(signals, "event_id", "left"), coverage)
+    if relevance is None:
+        return out.withColumn("theme_relevance", F.lit(None).cast("double"))
+    return out.join(relevance.select("event_id", "theme_relevance"), "event_id", "left")
+
+
+def digest_row(items: DataFrame, now: Column, searched: bool, written: DataFrame | None = None, p: Params = DEFAULTS) -> DataFrame:
+    """One row of the digest table without its id: period, text, method, counts, the referenced events, and whether the graph or the theme had a part in it.
+
+    items are a written table of flattened(); written is one row (content_md) by an outside writer.
+    """
+    listed = sections(items, p)
+    counts, bounds = digest_counts(items, listed, p), period_bounds(items)
+    text = markdown(bullets(listed.join(items, "event_id")).select("section", "pos", "line"), counts, bounds)
+    text = text.withColumn("method", F.lit("fallback")) if written is None else composed(text, written)
+    told = items.agg(F.coalesce(F.max(F.coalesce("convergence", F.lit(0)) > 0), F.lit(False)).alias("told"))
+    one = text.crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(bounds)).crossJoin(F.broadcast(told))
+    return one.select("period_start", "period_end", "content_md", "method", "item_count", "noise_count", (F.lit(searched) | F.col("told")).alias("graphrag"), "event_ids", now.alias("created_at"))
+
+
+def listed_digests(digests: DataFrame, limit: int = 20) -> DataFrame:
+    """Digests without their text, newest first, ties by the larger id."""
+    return digests.drop("content_md").orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
+
+
+def digest_by_id(digests: DataFrame, digest_id: int) -> DataFrame:
+    return digests.where(F.col("id") == digest_id)

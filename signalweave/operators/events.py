@@ -35,13 +35,18 @@ def _blocks(n: int, block: int) -> int:
     return max(1, -(-n // block))
 
 
-def best_earlier(vectors: DataFrame, threshold: float = DEFAULTS.threshold, block: int = BLOCK) -> DataFrame:
-    """Rows (id, parent, similarity): for each row of (id, at, vec) its most similar earlier row at or above the threshold; ties go to the earliest. Earlier is by (at, id).
+def best_earlier(vectors: DataFrame, threshold: float = DEFAULTS.threshold, block: int = BLOCK, among: DataFrame | None = None) -> DataFrame:
+    """Rows (id, parent, similarity): for each row of (id, at, vec) its most similar earlier row at or above the threshold; ties go to the earliest. Earlier is by (at, id). With among, only its rows are neighbours.
 
     Exact: all pairs of blocks are multiplied, each giving one best neighbour a row at most, never all pairs.
     """
-    n = _blocks(vectors.count(), block)
-    left, right = _block_pairs(vectors.select("id", "at", "vec"), n)
+    if among is None:
+        n = _blocks(vectors.count(), block)
+        left, right = _block_pairs(vectors.select("id", "at", "vec"), n)
+    else:
+        n, m = _blocks(vectors.count(), block), _blocks(among.count(), block)
+        left = _block_pairs(vectors.select("id", "at", "vec"), n)[0].drop("y").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        right = _block_pairs(among.select("id", "at", "vec"), m)[1].drop("x2").withColumn("x2", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"id": np.zeros(0, "i8"), "parent": np.zeros(0, "i8"), "parent_at": np.zeros(0, "i8"), "similarity": np.zeros(0)})
@@ -138,6 +143,29 @@ def parents(items: DataFrame, threshold: float = DEFAULTS.threshold, use_vectors
     return out.select("id", F.when(F.col("id") == F.col("head"), F.coalesce("near", "id")).otherwise(F.col("head")).alias("parent"))
 
 
+def assign_new(items: DataFrame, known: DataFrame, threshold: float = DEFAULTS.threshold) -> DataFrame:
+    """Rows (id, event_id) for new items (id, at, content_hash, vec), none of them earlier than the known ones, which have event_id too.
+
+    Only new items are compared: with each other and with the first known one of each content hash. Their parents' chain
+    ends in a known item, which gives its event, or in a new one that starts an event.
+    """
+    order = F.struct("at", "id")
+    firsts = known.groupBy("content_hash").agg(F.min_by(F.struct("id", "event_id"), order).alias("k")).select("content_hash", F.col("k.id").alias("known_head"), F.col("k.event_id").alias("known_event"))
+    heads = items.groupBy("content_hash").agg(F.min_by("id", order).alias("head")).join(firsts, "content_hash", "left")
+    same = items.select("id", "content_hash").join(heads, "content_hash")
+    fresh = items.join(heads.where("known_head IS NULL").select(F.col("head").alias("id")), "id", "left_semi").select("id", "at", "vec")
+    seen = known.join(firsts.select(F.col("known_head").alias("id")), "id", "left_semi").select("id", "at", "vec")
+    near = best_earlier(fresh, threshold, among=seen.unionByName(fresh)).select(F.col("id").alias("of"), F.col("parent").alias("near"))
+    out = same.join(near, F.col("head") == F.col("of"), "left")
+    parent = F.when(F.col("known_head").isNotNull(), F.col("known_head")).when(F.col("id") == F.col("head"), F.coalesce("near", "id")).otherwise(F.col("head"))
+    new = out.select("id", parent.alias("parent"))
+    # chains through known items end there
+    ends = known.select("id", F.col("id").alias("parent"))
+    found = roots(new.unionByName(ends.join(new.select(F.col("parent").alias("id")).distinct(), "id", "left_semi")))
+    events_of = known.select(F.col("id").alias("root"), "event_id")
+    return found.join(items.select("id"), "id", "left_semi").join(events_of, "root", "left").select("id", F.coalesce("event_id", "root").alias("event_id"))
+
+
 def roots(forest: DataFrame) -> DataFrame:
     """Rows (id, root): parents of parents are followed until nothing changes, doubling the distance each round."""
     at = staged(forest.select("id", F.col("parent").alias("root"), F.lit(True).alias("moved")), "roots")

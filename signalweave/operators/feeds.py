@@ -91,6 +91,8 @@ def serialised(rows: DataFrame, items: DataFrame) -> DataFrame:
         "summary",
         "why_it_matters",
         "recommended_action",
+        *[F.coalesce(F.col(c), d).alias(c) for c, d in (("source_url", F.lit("")), ("is_weak_signal", F.lit(False))) if c in rows.columns],
+        *[F.col("horizon") for _ in "h" if "horizon" in rows.columns],
         *[F.coalesce(F.col(c), d).alias(n) for c, d, n in (("why", F.lit(""), "graph_why"), ("convergence", F.lit(0), "convergence")) if c in rows.columns],
     )
 

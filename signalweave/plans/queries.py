@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,12 +13,12 @@ from signalweave.functions.text import dedup_key, embedding_text, iso_utc
 from signalweave.functions.vectors import hashing_embedding
 from signalweave.operators import convergence as cv
 from signalweave.operators import digest as dg
-from signalweave.operators import enrich, events, feeds, graph, intake
-from signalweave.params import Params
+from signalweave.operators import enrich, events, feeds, graph, intake, vector_table
+from signalweave.params import STACK_WORDS, Params
 from signalweave.plans import testviews as tv
 from signalweave.sources import registry
 from signalweave.streaming import streams
-from signalweave.tables import staged
+from signalweave.tables import new_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,10 +28,15 @@ CONTEXT = "item tools order research"
 
 def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            tv.forget()
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
-        return f
+        return run
 
     return add
 
@@ -85,7 +91,8 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vectored(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = intake.with_keys(tv.raw_items(spark, sf_dir))
-    return items.select(F.col("item_id").alias("id"), F.coalesce(F.unix_micros("published_at"), F.lit(-1)).alias("at"), "content_hash", "title", hashing_embedding(embedding_text("title", "summary")).alias("vec"))
+    out = items.select(F.col("item_id").alias("id"), F.coalesce(F.unix_micros("published_at"), F.lit(-1)).alias("at"), "content_hash", "title", hashing_embedding(embedding_text("title", "summary")).alias("vec"))
+    return staged(out, "item-vectors")  # each text is embedded once, however often the vectors are read
 
 
 @query(f"WITH {tv.HASHED} SELECT item_id, first_value(item_id) OVER (PARTITION BY content_hash ORDER BY published_at NULLS FIRST, item_id) AS event_id FROM hashed")
@@ -124,7 +131,7 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- enrichment and scores
 
-_WORDS = "['python', 'fastapi', 'sqlite', 'qdrant', 'neo4j', 'react', 'typescript', 'llm', 'rag', 'vector', 'graph', 'embedding', 'agent', 'anthropic', 'claude', 'openai', 'transformer', 'retrieval']"
+_WORDS = "[" + ", ".join(f"'{w}'" for w in STACK_WORDS) + "]"
 
 
 @query(f"""WITH {tv.RAW}, t AS (SELECT *, lower(title || ' ' || summary) AS t FROM raw_item),
@@ -150,21 +157,83 @@ def salience_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.orderBy(class_order(), F.col("salience").desc(), "doc_id").limit(100).select("doc_id", "priority_class", "salience")
 
 
-_ANSWER = r"""CASE doc_id % 6 WHEN 0 THEN '{"category": "tool", "tags": [" a ", "", "b"], "scores": {"relevance": 1, "novelty": 2, "actionability": 3, "strategic_potential": 4, "hype": 5}}'
- WHEN 1 THEN '```json' || chr(10) || '{"scores": {"relevance": 5, "novelty": 0, "actionability": 0, "strategic_potential": 0, "hype": 0}, "tags": "one"}' || chr(10) || '```'
- WHEN 2 THEN 'Here you are: {"category": "x {y}", "scores": {"relevance": 4, "novelty": 1, "actionability": 1, "strategic_potential": 3, "hype": 1}} Bye.'
- WHEN 3 THEN '{"scores": {"relevance": 9, "novelty": 1, "actionability": 1, "strategic_potential": 3, "hype": 1}}'
- WHEN 4 THEN '{"scores": {"relevance": "4", "novelty": 1, "actionability": 1, "strategic_potential": 3, "hype": 1}}' ELSE 'no answer' END"""
+_TITLE = "substr(replace(replace(replace(coalesce(text, ''), '\\', ' '), '\"', ' '), chr(10), ' '), 1, 60)"
+_SCORED = '"novelty": 1, "actionability": 1, "strategic_potential": 3, "hype": 1'
+#: Answers around each text's own words: by kind, the answer as SQL, and ok, relevance, category and tags.
+_ANSWERS = (
+    ("""'{"category": "' || t || '", "tags": [" a ", "", "b", 3, true, null], "scores": {"relevance": 1, """ + _SCORED + """}}'""", "true", "1", "t", "'a,b,3,True,None'"),
+    ("""'```json' || chr(10) || '{"scores": {"relevance": 5, """ + _SCORED + """}, "tags": "' || t || '"}' || chr(10) || '```'""", "true", "5", "'uncategorised'", "t"),
+    ("""t || ' {"category": "x {y}", "scores": {"relevance": 4, """ + _SCORED + """}} Bye.'""", "true", "4", "'x {y}'", "''"),
+    ("""'{"category": "' || t || '", "scores": {"relevance": 9, """ + _SCORED + """}}'""", "false", "0", "''", "''"),
+    ("""'{"category": "' || t || '", "tags": {"a": 1}, "scores": {"relevance": "4", """ + _SCORED + """}}'""", "true", "4", "t", "''"),
+    ("""'{"category": null, "scores": {"relevance": 4, """ + _SCORED + """}}'""", "false", "0", "''", "''"),
+    ("""'{"category": "' || t || '", "tags": "[wip] x", "scores": {"relevance": 3.0, """ + _SCORED + """}}'""", "true", "3", "t", "'[wip] x'"),
+    ("""'{"scores": {"relevance": 2.5, """ + _SCORED + """}} ' || t""", "false", "0", "''", "''"),
+    ("t", "false", "0", "''", "''"),
+)
+
+
+def _chosen(column: int) -> str:
+    return "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN {a[column]}" for i, a in enumerate(_ANSWERS)) + " END"
+
+
+def _answers(spark: SparkSession, sf_dir: str, answer: str) -> DataFrame:
+    """Answers of an outside model that hold the words of the given texts."""
+    # characters that end or hide what is around them are left out of the words, so that SQL can tell the result
+    t = F.regexp_replace(F.expr(_TITLE.replace("chr(10)", "'\\n'").replace("'\\', ' '", "'\\\\', ' '")), r"[\x00-\x1f{}]", " ")
+    return tv.read(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", "t", F.expr(answer.replace("chr(10)", "'\\n'")).alias("text"))
+
+
+_TEXTS = f"WITH d AS (SELECT doc_id, regexp_replace({_TITLE}, '[\\x00-\\x1f{{}}]', ' ', 'g') AS t FROM documents)"
 
 
-@query("""SELECT doc_id, doc_id % 6 < 3 AS ok, [1, 5, 4][doc_id % 6 + 1] AS relevance, ['tool', 'uncategorised', 'x {y}'][doc_id % 6 + 1] AS category, ['a,b', 'one', ''][doc_id % 6 + 1] AS tags FROM documents WHERE doc_id % 6 < 3
-UNION ALL SELECT doc_id, false, NULL, NULL, NULL FROM documents WHERE doc_id % 6 >= 3""")
+@query(f"""{_TEXTS}, e AS (SELECT doc_id, {_chosen(1)} AS ok, {_chosen(2)} AS relevance, {_chosen(3)} AS category, {_chosen(4)} AS tags FROM d)
+SELECT doc_id, ok, CASE WHEN ok THEN relevance END AS relevance, CASE WHEN ok THEN category END AS category, CASE WHEN ok THEN tags END AS tags FROM e""")
 def payload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = tv.read(spark, sf_dir, "documents").select("doc_id", F.expr(_ANSWER.replace("chr(10)", "'\\n'")).alias("text"))
-    out = enrich.classified(answers)
+    out = enrich.classified(_answers(spark, sf_dir, _chosen(0)))
     return out.select("doc_id", "ok", *[F.when(F.col("ok"), c).alias(n) for n, c in (("relevance", F.col("relevance")), ("category", F.col("category")), ("tags", F.array_join("tags", ",")))])
 
 
+_SUMMARY = """CASE doc_id % 4 WHEN 0 THEN '{"summary": "' || t || '", "why_it_matters": "w"}' WHEN 1 THEN '{"summary": 5}' WHEN 2 THEN '{"summary": "' || t || '", "recommended_action": null}' ELSE 'Well: {"summary": "' || t || '"} ok' END"""
+
+
+@query(f"""{_TEXTS} SELECT doc_id, doc_id % 4 IN (0, 3) AS ok, CASE WHEN doc_id % 4 IN (0, 3) THEN t END AS summary, CASE doc_id % 4 WHEN 0 THEN 'w' WHEN 3 THEN '' END AS why_it_matters FROM d""")
+def summary_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = enrich.summarised(_answers(spark, sf_dir, _SUMMARY))
+    return out.select("doc_id", "ok", F.when(F.col("ok"), F.col("summary")).alias("summary"), F.when(F.col("ok"), F.col("why_it_matters")).alias("why_it_matters"))
+
+
+_WEAK = """CASE doc_id % 6 WHEN 0 THEN '{"is_weak_signal": true, "horizon": " Near ", "rationale": "' || t || '"}' WHEN 1 THEN '{"is_weak_signal": "yes", "horizon": "' || t || '"}' WHEN 2 THEN '{"is_weak_signal": 1}' WHEN 3 THEN '{"is_weak_signal": 2, "rationale": "' || t || '"}' WHEN 4 THEN '{"horizon": null}' ELSE '{"rationale": 3}' END"""
+
+
+@query(f"""{_TEXTS} SELECT doc_id, doc_id % 6 NOT IN (3, 5) AS ok, doc_id % 6 IN (0, 1, 2) AS is_weak_signal, CASE WHEN doc_id % 6 = 0 THEN 'near' WHEN doc_id % 6 = 1 AND lower(trim(t)) IN ('near', 'mid', 'far') THEN lower(trim(t)) END AS horizon FROM d""")
+def weak_signal_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = enrich.weak(_answers(spark, sf_dir, _WEAK))
+    return out.select("doc_id", "ok", (F.col("ok") & F.col("is_weak_signal")).alias("is_weak_signal"), "horizon")
+
+
+_GRAPH = """CASE doc_id % 5 WHEN 0 THEN '{"entities": [{"name": " a' || t || ' ", "type": "tool"}, {"name": "b", "type": "org"}], "relationships": [{"subject": "a", "predicate": "uses", "object": "b"}]}' WHEN 1 THEN '{"entities": [{"name": "a' || t || '", "type": "alien"}]}' WHEN 2 THEN '{"entities": [{"name": 5, "type": "tool"}]}' WHEN 3 THEN '{"relationships": [{"subject": " ", "predicate": "p", "object": "o"}], "note": "' || t || '"}' ELSE '{}' END"""
+
+
+@query(f"""{_TEXTS} SELECT doc_id, doc_id % 5 IN (0, 4) AS ok, CASE WHEN doc_id % 5 = 0 THEN trim('a' || t) || ':tool,b:org' ELSE '' END AS entities, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS n_relationships FROM d""")
+def graph_payload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = enrich.graph_payload(_answers(spark, sf_dir, _GRAPH))
+    return out.select("doc_id", "ok", F.array_join(F.transform("entities", lambda e: F.concat(e["name"], F.lit(":"), e["type"])), ",").alias("entities"), F.size("relationships").alias("n_relationships"))
+
+
+_BOTH = "(doc_id % 9 IN (0, 1, 2, 4, 6) AND doc_id % 4 IN (0, 3))"
+
+
+@query(f"""{_TEXTS} SELECT doc_id AS event_id, CASE WHEN {_BOTH} THEN 'llm' ELSE 'fallback' END AS method, CASE WHEN {_BOTH} THEN t END AS summary, CASE WHEN {_BOTH} THEN {_chosen(2)} END AS relevance FROM d WHERE doc_id % 7 <> 0""")
+def enriched_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without enrichment, enriched by both answers where they are good and by rules elsewhere."""
+    rows = tv.raw_items(spark, sf_dir).withColumnRenamed("item_id", "event_id")
+    todo = enrich.not_enriched(rows, rows.where("event_id % 7 = 0"))
+    answers = lambda sql: _answers(spark, sf_dir, sql).select(F.col("doc_id").alias("event_id"), "text")
+    out = enrich.enriched(todo, answers(_chosen(0)), answers(_SUMMARY))
+    return out.select("event_id", "method", *[F.when(F.col("method") == "llm", F.col(c)).alias(c) for c in ("summary", "relevance")])
+
+
 @query(f"WITH {tv.RAW} SELECT item_id AS event_id, sha256('title: ' || title || chr(10) || 'source_name: ' || source_name || chr(10) || 'source_url: ' || url || chr(10) || 'published_at: ' || coalesce(strftime(published_at, '%Y-%m-%dT%H:%M:%S') || '+00:00', 'unknown') || chr(10) || 'content: ' || summary || chr(10) || chr(10) || 'JSON only') AS request_sha FROM raw_item")
 def model_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = tv.raw_items(spark, sf_dir).withColumnRenamed("item_id", "event_id")
@@ -447,8 +516,7 @@ def theme_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _digest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The period's events with signals and evidence, as a written table: several parts of the digest read it."""
-    rows = _period(spark, sf_dir).join(_signals(spark, sf_dir), "event_id", "left").withColumn("theme_relevance", F.lit(None).cast("double"))
-    return staged(feeds.with_evidence(rows, cv.coverage_sources(tv.graph_items(spark, sf_dir))), "digest-items")
+    return staged(dg.flattened(_period(spark, sf_dir), _signals(spark, sf_dir), cv.coverage_sources(tv.graph_items(spark, sf_dir))), "digest-items")
 
 
 _has = lambda words: "(" + " OR ".join(f"contains(words, '{w}')" for w in words.split()) + ")"
@@ -504,6 +572,91 @@ def digest_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dg.markdown(lines, dg.digest_counts(items, listed, P), dg.period_bounds(items))
 
 
+_RELEVANT = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT e AS qe FROM v WHERE vec_id = 0), s AS (SELECT vec_id, round(list_dot_product(e, qe), 9) AS s FROM v, q ORDER BY s DESC, vec_id LIMIT 40),
+rv AS (SELECT 1 + vec_id // 4 AS event_id, max(s) AS near FROM s GROUP BY 1), """
+
+
+@query(_RELEVANT + _SECTIONS.replace(", event_id) AS pos FROM routed", ", coalesce(near, -1.0) DESC, routed.event_id) AS pos FROM routed LEFT JOIN rv USING (event_id)").replace("pool AS (SELECT DISTINCT event_id, ord, blended FROM cut", "pool AS (SELECT DISTINCT event_id, ord, blended, near FROM cut").replace("blended DESC, event_id) AS pos FROM pool", "blended DESC, coalesce(near, -1.0) DESC, event_id) AS pos FROM pool") + " SELECT section, pos, event_id FROM sec")
+def digest_sections_by_theme(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections whose equal scores go by relevance for a theme; here the vectors' items belong to events by number."""
+    v = tv.vectors(spark, sf_dir)
+    near = dg.theme_relevance(v.withColumnRenamed("id", "item_id"), v.where("id = 0").select("vec"), v.select(F.col("id").alias("item_id"), F.expr("1 + id div 4").alias("event_id")))
+    items = dg.flattened(_period(spark, sf_dir), _signals(spark, sf_dir), cv.coverage_sources(tv.graph_items(spark, sf_dir)), near)
+    return dg.sections(staged(items, "digest-items"), P)
+
+
+@query(_MARKDOWN.replace(" AS content_md FROM cnt", " AS content_md, item_count, noise_count, event_ids, 'fallback' AS method, (SELECT max(coalesce(convergence, 0) > 0) FROM it) AS graphrag, '2001-11-05 00:00:00' AS created_at FROM cnt"))
+def digest_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = dg.digest_row(_digest_items(spark, sf_dir), _now(), False, p=P)
+    return row.select("content_md", "item_count", "noise_count", F.array_join(F.transform("event_ids", lambda x: x.cast("string")), ",").alias("event_ids"), "method", "graphrag", _time("created_at").alias("created_at"))
+
+
+_DIGESTS = "digest AS (SELECT o_custkey AS id, max(o_orderdate) AS created_at, count(*) AS item_count FROM orders GROUP BY 1)"
+
+
+def _digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = tv.read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id"))
+    return o.agg(F.max("o_orderdate").cast("timestamp").alias("created_at"), F.count("*").alias("item_count")).withColumn("content_md", F.concat(F.lit("# "), F.col("id").cast("string")))
+
+
+@query(f"WITH {_DIGESTS} SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, item_count FROM digest ORDER BY digest.created_at DESC, id DESC LIMIT 20")
+def digest_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dg.listed_digests(_digests(spark, sf_dir)).select("id", _time("created_at").alias("created_at"), "item_count")
+
+
+@query(f"WITH {_DIGESTS} SELECT id, '# ' || id AS content_md, item_count FROM digest WHERE id = (SELECT min(o_custkey) FROM orders)")
+def digest_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = tv.read(spark, sf_dir, "orders").agg(F.min("o_custkey")).first()[0]
+    return dg.digest_by_id(_digests(spark, sf_dir), first).select("id", "content_md", "item_count")
+
+
+# --- runs and rebuilds
+
+
+@query("""SELECT count(*) AS fetched, count(*) FILTER (WHERE doc_id % 3 <> 0) AS new, count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0) AS embedded,
+count(DISTINCT CASE WHEN doc_id % 3 <> 0 AND (doc_id // 2) % 5 <> 0 THEN doc_id // 2 END) AS enriched, count(DISTINCT CASE WHEN doc_id % 3 <> 0 AND (doc_id // 2) % 7 <> 0 THEN doc_id // 2 END) AS projected FROM documents""")
+def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = tv.raw_items(spark, sf_dir).select("item_id", F.expr("item_id div 2").alias("event_id"))
+    return intake.run_counters(items, items.where("item_id % 3 <> 0"), items.where("item_id % 2 = 0"), items.where("event_id % 5 <> 0"), items.where("event_id % 7 <> 0"))
+
+
+@query(f"WITH {tv.GRAPH} SELECT event_id, strftime(max(published_at), '%Y-%m-%d %H:%M:%S') AS published_at FROM item GROUP BY 1")
+def event_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intake.newest_published(tv.graph_items(spark, sf_dir)).select("event_id", _time("published_at").alias("published_at"))
+
+
+@query(f"WITH {tv.GRAPH} SELECT event_id, min(item_id) AS pos FROM item GROUP BY 1")
+def events_in_run_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.run_order(tv.graph_items(spark, sf_dir))
+
+
+@query(f"WITH {_EDGES} SELECT rel, count(*) AS n FROM edge GROUP BY 1")
+def graph_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.rebuilt(spark, new_path(spark, "graph"), *_project(spark, sf_dir))[1].groupBy("rel").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey AS pos, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0")
+def sources_enabled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = tv.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 2 == 0).alias("enabled"))
+    return registry.listed(s, True).select("pos", "name")
+
+
+@query(f"WITH {tv.VECTORS} SELECT item_id, count(*) AS n_axes, round(sum(value * value), 6) AS norm, min(source_name) AS source FROM sparse JOIN hashed USING (item_id) GROUP BY 1")
+def vectors_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored vectors of another size than the embedder's: all are made anew."""
+    items = tv.raw_items(spark, sf_dir)
+    stored = vector_table.embedded(items.where("item_id % 2 = 0"), lambda t: hashing_embedding(t, 64))
+    out = staged(vector_table.healed(stored, items, 256), "vectors")
+    return out.select("item_id", F.size(F.filter("vec", lambda x: x != 0)).cast("long").alias("n_axes"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"), "source")
+
+
+@query("SELECT vec_id AS item_id, round(CASE WHEN vec_id % 3 = 0 THEN -1.0 ELSE 1.0 END * embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE vec_id % 6 <> 5")
+def vectors_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = tv.vectors(spark, sf_dir).withColumnRenamed("id", "item_id")
+    new = v.where("item_id % 3 = 0").withColumn("vec", F.transform("vec", lambda x: -x))
+    return vector_table.upserted(v.where("item_id % 6 <> 5"), new).select("item_id", F.round(F.col("vec")[0], 6).alias("first"))
+
+
 # --- registry
 
 
@@ -542,11 +695,12 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("SELECT min(user_id) AS user_id, count(*) OVER () AS n_keys FROM events GROUP BY user_id")
+@query("SELECT user_id, strftime(min(ts), '%Y-%m-%d') AS month, count(*) OVER () AS n_keys FROM events GROUP BY user_id, date_trunc('month', ts)".replace("min(ts), '%Y-%m-%d'", "date_trunc('month', ts), '%Y-%m-%d'"))
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _stream(spark, sf_dir).select(F.col("ts").alias("arrived_at"), "user_id", dedup_key(F.lit("s"), F.lit("u"), F.col("user_id").cast("string"), F.lit(None).cast("timestamp")).alias("dedup_key"))
+    month = F.date_trunc("month", "ts")
+    items = _stream(spark, sf_dir).select(F.col("ts").alias("arrived_at"), "user_id", month.alias("month"), dedup_key(F.lit("s"), F.lit("u"), F.col("user_id").cast("string"), month).alias("dedup_key"))
     out = streams.drained(streams.intake(items, "3650 days"), "stream-dedup")
-    return out.select("user_id", F.expr("count(*) OVER ()").alias("n_keys"))
+    return out.select("user_id", F.date_format("month", "yyyy-MM-dd").alias("month"), F.expr("count(*) OVER ()").alias("n_keys"))
 
 
 @query("""SELECT strftime(time_bucket(INTERVAL 30 DAYS, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, user_id AS entity_id, count(*) AS mentions, count(DISTINCT event_type) AS distinct_sources, count(DISTINCT event_id) AS event_count FROM events GROUP BY 1, 2""")

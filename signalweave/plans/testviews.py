@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from signalweave.functions.scoring import priority_class
 from signalweave.params import SOURCE_TYPES
+from signalweave.tables import staged
 
 NOW, WINDOW = "2001-11-05 00:00:00", 365
 #: A score is the key divided by this, modulo 6.
@@ -44,17 +45,38 @@ def scores(df: DataFrame, key: str) -> DataFrame:
     return out.withColumn("priority_class", priority_class())
 
 
+_made: dict[tuple, DataFrame] = {}
+
+
+def forget() -> None:
+    """Called before each query: what a query stages is not used by the next one."""
+    _made.clear()
+
+
+def _once(name: str, spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """A written table that all parts of one query read."""
+    key = (name, id(spark), sf_dir)
+    if key not in _made:
+        _made[key] = staged(make(), name)
+    return _made[key]
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders with their place, the next one's part and the supplier's name, staged: one scan and one window a query."""
+    return _once("graph-lines", spark, sf_dir, lambda: _all_lines(spark, sf_dir))
+
+
+def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = W.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     li = read(spark, sf_dir, "lineitem")
-    return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", F.row_number().over(order).alias("rn"), F.lead("l_partkey").over(order).alias("next_part")).withColumn("item_id", F.col("l_orderkey") * 100000 + F.col("rn")).withColumn("published_at", F.col("l_shipdate").cast("timestamp"))
+    li = li.select("l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_returnflag", F.row_number().over(order).alias("rn"), F.lead("l_partkey").over(order).alias("next_part")).withColumn("item_id", F.col("l_orderkey") * 100000 + F.col("rn")).withColumn("published_at", F.col("l_shipdate").cast("timestamp"))
+    return li.join(s, F.col("l_suppkey") == F.col("s_suppkey"), "left").drop("l_shipdate", "l_suppkey")
 
 
 def graph_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items from lineitem: the order is the event, the supplier the source."""
-    s = read(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    li = _lines(spark, sf_dir).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    return li.select("item_id", F.col("l_orderkey").alias("event_id"), F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("source_name"), F.lit("rss").alias("source_type"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("title"), F.concat(F.lit("https://i.example/"), F.col("item_id").cast("string")).alias("url"), "published_at")
+    return _lines(spark, sf_dir).where("s_suppkey IS NOT NULL").select("item_id", F.col("l_orderkey").alias("event_id"), F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("source_name"), F.lit("rss").alias("source_type"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("title"), F.concat(F.lit("https://i.example/"), F.col("item_id").cast("string")).alias("url"), "published_at")
 
 
 def graph_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +92,7 @@ def graph_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def graph_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item of an order mentions every part in a relation of it, once."""
     ends = graph_relations(spark, sf_dir).select("event_id", F.explode(F.array("subject", "object")).alias("entity_id")).distinct()
-    return graph_items(spark, sf_dir).select("item_id", "event_id", F.col("published_at").alias("ts")).join(ends, "event_id").select("item_id", "entity_id", "ts")
+    return graph_items(spark, sf_dir).select("item_id", "event_id", "source_name", F.col("published_at").alias("ts")).join(ends, "event_id").select("item_id", "entity_id", "event_id", "source_name", "ts")
 
 
 def graph_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signalweave.functions.scoring import action_weight
-from signalweave.operators.events import assign
+from signalweave.operators.events import assign_new
 from signalweave.params import DEFAULTS, HIDE
-from signalweave.tables import new_path
+from signalweave.tables import new_path, staged
 
 
 def intake(items: DataFrame, delay: str = "30 days", at: str = "arrived_at", key: str = "dedup_key") -> DataFrame:
@@ -48,14 +49,25 @@ def star_velocity(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("repo").applyInPandasWithState(rises, "repo long, captured_at timestamp, id long, gained long, stars long", "stars long", "append", GroupStateTimeout.NoTimeout)
 
 
-def assign_batches(stored: Callable[[], DataFrame | None], store: Callable[[DataFrame], None], threshold: float = DEFAULTS.threshold) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: new items find their events among stored and new ones, stored ones keep theirs as they come first. Items of a batch are later than stored ones by at."""
+def assign_batches(spark: SparkSession, folder: str, threshold: float = DEFAULTS.threshold) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that adds event_id to items (id, at, content_hash, vec) and stores them under folder, one partition a batch.
+
+    New items are compared with stored and new ones, stored ones keep their events; items of a batch must not be earlier
+    than stored ones. A batch that is run again looks only at the batches before it and takes its own partition's place,
+    so nothing is stored twice.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        known = stored()
-        every = batch if known is None else known.select(*batch.columns).unionByName(batch)
-        found = assign(every, threshold)
-        store(batch.join(found, "id"))
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
+        schema = f"{kinds}, event_id long, batch long"
+        batch = staged(batch, "batch")
+        try:
+            known = spark.read.schema(schema).parquet(folder).where(F.col("batch") < number)
+        except AnalysisException:  # the first batch
+            known = spark.createDataFrame([], schema)
+        found = assign_new(batch, known, threshold)
+        out = batch.join(found, "id").withColumn("batch", F.lit(number).cast("long"))
+        out.write.mode("overwrite").partitionBy("batch").option("partitionOverwriteMode", "dynamic").parquet(folder)
 
     return run
 

@@ -7,15 +7,11 @@ T0 = dt.datetime(2026, 6, 18)
 
 def test_event_batches_keep_earlier_assignments(spark, tmp_path):
     path = str(tmp_path / "events")
-
-    def stored():
-        try:
-            return spark.read.parquet(path).drop("event_id")
-        except Exception:
-            return None
-
-    run = streams.assign_batches(stored, lambda df: df.write.mode("append").parquet(path), 0.9)
+    run = streams.assign_batches(spark, path, 0.9)
     schema = "id long, at long, content_hash string, vec array<double>"
     run(spark.createDataFrame([(1, 1, "a", [1.0, 0.0]), (2, 2, "b", [0.0, 1.0])], schema), 0)
-    run(spark.createDataFrame([(3, 3, "c", [1.0, 0.01]), (4, 4, "b", [0.0, 1.0])], schema), 1)
-    assert {r.id: r.event_id for r in spark.read.parquet(path).collect()} == {1: 1, 2: 2, 3: 1, 4: 2}
+    second = spark.createDataFrame([(3, 3, "c", [1.0, 0.01]), (4, 4, "b", [0.0, 1.0]), (5, 5, "e", [0.7, -0.7]), (6, 6, "f", [0.71, -0.7]), (7, 7, "f", [0.71, -0.7])], schema)
+    for _ in range(2):  # a batch that is run again changes nothing
+        run(second, 1)
+    assert spark.read.parquet(path).count() == 7
+    assert {r.id: r.event_id for r in spark.read.parquet(path).collect()} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5, 6: 5, 7: 5}
