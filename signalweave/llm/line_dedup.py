@@ -89,30 +89,30 @@ def piece_bands(lines: pa.Array) -> np.ndarray:
     return banded(mixed(mixed(piece[inside[: len(piece)]] + np.uint64(1))), offsets[:-1] - 3 * np.arange(len(lines)), 1)
 
 
-def pair_bits(lines: list[str]) -> np.ndarray:
-    """Which of 512 cells each line's pairs of characters fall into, as eight numbers. An edit takes two pairs at most and gives two, so lines k edits apart differ in 4k cells at most."""
-    out = np.zeros((len(lines), 8), "u8")
+def pair_bits(lines: list[str], cells: int = 512) -> np.ndarray:
+    """Which cells each line's pairs of characters fall into, 64 in a number. An edit takes two pairs at most and gives two, so lines k edits apart differ in 4k cells at most."""
+    out = np.zeros((len(lines), cells // 64), "u8")
     size = np.fromiter(map(len, lines), "i8", len(lines))
     c = np.frombuffer("".join(lines).encode("utf-32-le"), "u4")
     if len(c) > 1:
-        cell = (c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)) >> np.uint32(23)
+        cell = (c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)) >> np.uint32(33 - cells.bit_length())
         row = np.repeat(np.arange(len(lines)), size)
         inside = row[1:] == row[:-1]
-        held = np.zeros(512 * len(lines), bool)
-        held[row[:-1][inside] * 512 + cell[inside]] = True
-        out = np.packbits(held, bitorder="little").view("u8").reshape(-1, 8)
+        held = np.zeros(cells * len(lines), bool)
+        held[row[:-1][inside] * cells + cell[inside]] = True
+        out = np.packbits(held, bitorder="little").view("u8").reshape(len(lines), -1)
     return out
 
 
 class _Group:
     """Lines of a group, which of them hang together so far, and the links that do it. Memory: a byte for each two lines."""
 
-    def __init__(self, lines: list[str], bits: np.ndarray, percent: int) -> None:
-        self.lines, self.links, self.at, n = lines, [], -1, len(lines)
+    def __init__(self, ids: list[int], lines: list[str], bits: np.ndarray, percent: int) -> None:
+        self.ids, self.lines, self.at, n = ids, lines, -1, len(lines)
         size = np.fromiter(map(len, lines), "i8", n)
         self.root, self.size, self.percent = np.arange(n), size, percent
         self.near = np.zeros((n, n), bool)  # for each line the later ones that lengths and cells don't rule out
-        step = max(1, (1 << 16) // n)
+        step = max(1, (1 << 16) // max(1, n))
         for i in range(0, n, step):
             most = (100 - percent) * np.maximum(size[i : i + step, None], size[None, i:]) // 100
             fits = np.abs(size[i : i + step, None] - size[None, i:]) <= most
@@ -138,24 +138,44 @@ class _Group:
         for j in later.tolist():
             if self.root[j] != self.root[self.at]:
                 self.root[self.root == self.root[j]] = self.root[self.at]
-                self.links.append((self.at, j))
 
 
-def forests(groups: list[list[str]], percent: int) -> list[list[tuple[int, int]]]:
-    """For each group of lines links that connect all that are connected by edits. Lines that already hang together are not compared again; in each round one line of every group meets its later ones."""
-    bits = np.split(pair_bits([x for lines in groups for x in lines]), np.cumsum([len(lines) for lines in groups])[:-1])
-    every = [_Group(lines, b, percent) for lines, b in zip(groups, bits)]
-    live = [g for g in every if g.todo]
+def forest(groups: list[tuple[list[int], list[str]]], percent: int) -> list[tuple[int, int]]:
+    """Links that connect all lines of each group that edits connect. Groups are numbers of lines and their texts, and may share lines.
+
+    In each round one line of every group meets its later ones, but for those that hang together already, in whichever group that was found.
+    """
+    if not groups:
+        return []
+    bits = np.split(pair_bits([x for _, lines in groups for x in lines]), np.cumsum([len(lines) for _, lines in groups])[:-1])
+    live = [g for g in (_Group(ids, lines, b, percent) for (ids, lines), b in zip(groups, bits)) if g.todo]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    out: list[tuple[int, int]] = []
     while live:
         wanted = [(g, later) for g in live if len(later := g.next())]
         live = [g for g, _ in wanted]
-        if live:
-            a = [g.lines[g.at] for g, later in wanted for _ in range(len(later))]
-            b = [g.lines[j] for g, later in wanted for j in later.tolist()]
-            good = within(a, b, np.concatenate([g.most(later) for g, later in wanted]))
-            for (g, later), hit in zip(wanted, np.split(good, np.cumsum([len(x) for _, x in wanted])[:-1])):
-                g.link(later[hit])
-    return [g.links for g in every]
+        pairs: dict[tuple[int, int], tuple[str, str, int]] = {}
+        for g, later in wanted:
+            mine, at = find(g.ids[g.at]), g.ids[g.at]
+            for j, most in zip(later.tolist(), g.most(later).tolist()):
+                if find(g.ids[j]) != mine:
+                    pairs[at, g.ids[j]] = g.lines[g.at], g.lines[j], most
+        a, b, most = zip(*pairs.values()) if pairs else ((), (), ())
+        for (x, y), hit in zip(pairs, within(list(a), list(b), np.array(most, "i8")).tolist()):
+            if hit and find(x) != find(y):
+                root[find(y)] = find(x)
+                out.append((x, y))
+        for g, later in wanted:
+            mine = find(g.ids[g.at])
+            g.link(np.array([j for j in later.tolist() if find(g.ids[j]) == mine], "i8"))
+    return out
 
 
 def _lines(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -164,14 +184,15 @@ def _lines(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _blocks(flat: pa.Array, hashes: np.ndarray, at: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """SimHash, length in characters and bands (5 bytes each) of the lines long, from all words, their hashes and the lines' bounds in them."""
+    """Marks, length in characters and bands (5 bytes each) of the lines long, from all words, their hashes and the lines' bounds in them. A line's two marks are its SimHash and 0 or, where it has at most SMALL characters, the 128 cells of its pairs."""
     n = np.diff(at)[long]
     bound = np.concatenate([[0], np.cumsum(n)])
     take = np.arange(bound[-1]) + np.repeat(at[long] - bound[:-1], n)
     line = np.repeat(np.arange(len(long)), n)
     votes = pc.binary_length(flat).to_numpy(zero_copy_only=False)[take] > SHORT
     votes |= (np.bincount(line, votes, len(long)) == 0)[line]
-    sims = simhashes(mixed(hashes[take[votes]]), np.concatenate([[0], np.cumsum(np.bincount(line[votes], minlength=len(long)))]))
+    sims = np.zeros((len(long), 2), "u8")
+    sims[:, 0] = simhashes(mixed(hashes[take[votes]]), np.concatenate([[0], np.cumsum(np.bincount(line[votes], minlength=len(long)))]))
     length = np.add.reduceat(pc.utf8_length(flat).to_numpy(zero_copy_only=False)[take], bound[:-1]).astype("i8") + n - 1
     big, small = np.flatnonzero((length >= LONG) & (n > 1)), np.flatnonzero((length <= SMALL) | (n == 1))
     blobs = np.full(len(long), b"", object)
@@ -181,8 +202,10 @@ def _blocks(flat: pa.Array, hashes: np.ndarray, at: np.ndarray, long: np.ndarray
         edge = np.concatenate([[0], np.cumsum(n[some])])
         words = take[np.arange(edge[-1]) + np.repeat(bound[some] - edge[:-1], n[some])]
         if kind:
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge.astype("i4")), flat.take(pa.array(words))), " ")
-            joined = pc.if_else(pc.less(pc.binary_length(joined), 4), pc.binary_join_element_wise(joined, "   ", ""), joined)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge.astype("i4")), flat.take(pa.array(words))), " ")
+            joined = pc.if_else(pc.less(pc.binary_length(text), 4), pc.binary_join_element_wise(text, "   ", ""), text)
+            short = length[some] <= SMALL
+            sims[some[short]] = pair_bits(text.filter(pa.array(short)).to_pylist(), 128)
         found = piece_bands(joined) if kind else word_bands(hashes[words], edge)
         raw = np.ascontiguousarray(found.view("u1").reshape(len(some), BANDS, 8)[:, :, :5]).tobytes()
         blobs[some] += np.array([raw[i : i + 5 * BANDS] for i in range(0, len(raw), 5 * BANDS)], object)
@@ -190,7 +213,7 @@ def _blocks(flat: pa.Array, hashes: np.ndarray, at: np.ndarray, long: np.ndarray
 
 
 def line_rows(rows: DataFrame, min_words: int) -> DataFrame:
-    """From rows (row, doc_id, text) a row (row, doc_id, line, key, sim, length, bands) for each line with a word; lines of fewer than min_words have a key only, and no bands."""
+    """From rows (row, doc_id, text) a row (row, doc_id, line, key, sim, more, length, bands) for each line with a word; lines of fewer than min_words have a key only, and no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,15 +225,15 @@ def line_rows(rows: DataFrame, min_words: int) -> DataFrame:
                     continue
                 hashes = word_hashes(flat)
                 keys = [xxhash.xxh3_128_digest(hashes[a:b].data) for a, b in zip(at[some].tolist(), at[some + 1].tolist())]
-                sims, length, bands = np.zeros(len(some), "u8"), np.zeros(len(some), "i8"), np.full(len(some), b"", object)
+                sims, length, bands = np.zeros((len(some), 2), "u8"), np.zeros(len(some), "i8"), np.full(len(some), b"", object)
                 long = np.flatnonzero(np.diff(at)[some] >= min_words)
                 if len(long):
                     sims[long], length[long], bands[long] = _blocks(flat, hashes, at, some[long])
                 doc = np.searchsorted(doc_at, some, side="right") - 1
                 ids = pa.array(doc)
-                yield pa.record_batch({"row": part.column("row").take(ids), "doc_id": part.column("doc_id").take(ids), "line": pa.array((some - doc_at[doc]).astype("i4")), "key": pa.array(keys, pa.binary()), "sim": pa.array(sims.view("i8")), "length": pa.array(length.astype("i4")), "bands": pa.array(bands.tolist(), pa.binary())})
+                yield pa.record_batch({"row": part.column("row").take(ids), "doc_id": part.column("doc_id").take(ids), "line": pa.array((some - doc_at[doc]).astype("i4")), "key": pa.array(keys, pa.binary()), "sim": pa.array(sims.view("i8")[:, 0]), "more": pa.array(sims.view("i8")[:, 1]), "length": pa.array(length.astype("i4")), "bands": pa.array(bands.tolist(), pa.binary())})
 
-    return rows.mapInArrow(run, "row long, doc_id long, line int, key binary, sim long, length int, bands binary")
+    return rows.mapInArrow(run, "row long, doc_id long, line int, key binary, sim long, more long, length int, bands binary")
 
 
 def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -245,15 +268,15 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         counts = np.frombuffer(zlib.decompress(fixed.value), "u4")
         noise = int(counts.mean())
         for batch in batches:
-            ids, sims, length = (batch.column(x).to_numpy() for x in ("c", "sim", "length"))
+            ids, sims, more, length = (batch.column(x).to_numpy() for x in ("c", "sim", "more", "length"))
             row, b = _places(batch)
             nb = np.maximum(1, -(-(counts[(b & np.uint64(len(counts) - 1)).astype("i8")].astype("i8") - noise) // BLOCK))
             own = mixed(ids[row].view("u8")) % nb.astype("u8")
             at = np.repeat(np.arange(len(b)), nb)
             other = np.arange(len(at)) - np.repeat(np.cumsum(nb) - nb, nb)
             o, b, at = own.astype("i8")[at], b[at], row[at]
-            cols = [b.view("i8"), np.minimum(o, other) << 20 | np.maximum(o, other), o, ids[at], sims[at], length[at]]
-            yield pa.record_batch([pa.array(x) for x in cols], names=["bucket", "xy", "own", "c", "sim", "length"])
+            cols = [b.view("i8"), np.minimum(o, other) << 20 | np.maximum(o, other), o, ids[at], sims[at], more[at], length[at]]
+            yield pa.record_batch([pa.array(x) for x in cols], names=["bucket", "xy", "own", "c", "sim", "more", "length"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -267,14 +290,16 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
         group = np.concatenate([[0], np.cumsum(new)])
         last = np.searchsorted(group, group, side="right") - 1
         same = (c["xy"] >> 20) == (c["xy"] & ((1 << 20) - 1))
-        sim, size = c["sim"].view("u8"), np.bincount(group)[group]
+        sim, more, size = c["sim"].view("u8"), c["more"].view("u8"), np.bincount(group)[group]
         busy = np.zeros(len(group), bool)
         left, step = np.flatnonzero(np.arange(len(group)) < last), 1
         while len(left):
             right = left + step
             fits = 100 * c["length"][left].astype("i8") >= percent * c["length"][right].astype("i8")  # lengths rise: beyond one that doesn't fit none does
             left, right = left[fits], right[fits]
-            good = (np.bitwise_count(sim[left] ^ sim[right]) <= RADIUS) | (c["length"][left] <= SMALL)
+            apart, short = np.bitwise_count(sim[left] ^ sim[right]).astype("i4"), c["length"][right] <= SMALL
+            cells = apart + np.bitwise_count(more[left] ^ more[right]) <= 4 * ((100 - percent) * c["length"][right] // 100)
+            good = np.where(short, cells, (apart <= RADIUS) | (c["length"][left] <= SMALL))
             good &= same[left] | (c["own"][left] != c["own"][right])
             many = good & (size[left] > FEW)
             busy[left[many]] = busy[right[many]] = True
@@ -289,7 +314,7 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             name = mixed(c["bucket"][b].view("u8") ^ mixed(c["xy"][b].view("u8"))).view("i8")
             yield pa.record_batch([pa.array(c["c"][b]), pa.nulls(len(b), pa.int64()), pa.array(name)], names=["a", "b", "g"])
 
-    dealt = classes.select("c", "sim", "length", "bands").mapInArrow(deal, "bucket long, xy long, own long, c long, sim long, length int")
+    dealt = classes.select("c", "sim", "more", "length", "bands").mapInArrow(deal, "bucket long, xy long, own long, c long, sim long, more long, length int")
     return dealt.repartition(parts(spark), "bucket", "xy").mapInArrow(meet, "a long, b long, g long")
 
 
@@ -321,16 +346,16 @@ def links(met: DataFrame, norms: DataFrame, percent: int) -> DataFrame:
     # groups of the same classes, from several bands, are one
     member = [F.xxhash64(F.lit(s), "c") for s in (1, 2)]
     once = groups.groupBy("g").agg(F.bit_xor(member[0]).alias("x"), F.bit_xor(member[1]).alias("y"), F.count("*").alias("n")).groupBy("x", "y", "n").agg(F.min("g").alias("g")).select("g")
-    members = pairs.select(F.lit(True).alias("few"), "g", F.explode(F.array("a", "b")).alias("c")).distinct()
-    members = members.unionByName(groups.join(once, "g", "left_semi").select(F.lit(False).alias("few"), "g", "c")).join(norms, "c")
+    members = pairs.select(F.lit(True).alias("few"), "g", F.col("g").alias("hub"), F.explode(F.array("a", "b")).alias("c")).distinct()
+    groups = groups.join(once.join(groups.groupBy("g").agg(F.min("c").alias("hub")), "g"), "g")
+    members = members.unionByName(groups.select(F.lit(False).alias("few"), "g", "hub", "c")).join(norms, "c")
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[list[int], list[str]]] = []
         size, name = 0, None
 
         def told() -> pa.RecordBatch:
-            found = [(ids[i], ids[j]) for (ids, _), some in zip(held, forests([lines for _, lines in held], percent)) for i, j in some]
-            a, b = np.array(found, "i8").reshape(-1, 2).T
+            a, b = np.array(forest(held, percent), "i8").reshape(-1, 2).T
             return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
@@ -347,7 +372,8 @@ def links(met: DataFrame, norms: DataFrame, percent: int) -> DataFrame:
         if held:
             yield told()
 
-    dealt = members.repartition(parts(met.sparkSession), "few", "g").sortWithinPartitions("few", "g", "c")
+    # groups with the same smallest class come one after another: what one has linked, the next one need not compare
+    dealt = members.repartition(parts(met.sparkSession), "hub").sortWithinPartitions("hub", "few", "g", "c")
     return dealt.select("few", "g", "c", "norm").mapInArrow(connect, "a long, b long")
 
 
@@ -355,9 +381,9 @@ def line_groups(rows: DataFrame, min_words: int = 5, percent: int = 90) -> DataF
     """From a written table (row, doc_id, text), row being different in each, rows (row, line, first) for each line that goes; first is the place (late, doc_id, row, line) of the line of its group that stays."""
     lines = staged(line_rows(rows, min_words), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "row", "line")
-    of_class = [F.first(c).alias(c) for c in ("sim", "length", "bands")]
+    of_class = [F.first(c).alias(c) for c in ("sim", "more", "length", "bands")]
     classes = lines.groupBy("key").agg(F.min(place).alias("p"), *of_class, F.count("*").alias("n"))
-    classes = staged(classes.select(F.monotonically_increasing_id().alias("c"), "key", "p", "sim", "length", "bands", "n"), "line-classes")
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("c"), "key", "p", "sim", "more", "length", "bands", "n"), "line-classes")
     met = staged(candidates(classes, percent), "line-pairs")
     ends = met.select(F.explode(F.array("a", "b")).alias("c")).where("c IS NOT NULL").distinct()
     norms = staged(texts_of(rows, classes.select("c", "p.row", "p.line").join(ends, "c", "left_semi")), "line-texts")

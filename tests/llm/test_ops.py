@@ -133,7 +133,7 @@ def test_neighbours(spark):
     x = rng.standard_normal((600, 24))
     x[::7] = x[0] + 0.01 * rng.standard_normal((len(x[::7]), 24))
     x[10] = x[20] = x[30]
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 24), (1002, [float("nan")] * 24), (1003, [None] * 24), (1004, [1.0]), (1005, [float("inf")] * 24), (None, [1.0] * 24)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 24), (1002, [float("nan")] * 24), (1003, [None] * 24), (1004, [1e-9]), (1005, [float("inf")] * 24), (None, [1.0] * 24)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1))
     got = collections.defaultdict(list)
     for r in ann.nearest(df, F.col("vec_id") % 10 == 0, k=8).orderBy("query_id", "rank").collect():
@@ -145,12 +145,28 @@ def test_neighbours(spark):
         hits += len({v for v, _ in got[q]} & set(best))
         assert all(abs(score - s[v]) < 1e-9 for v, score in got[q]) and len(got[q]) == 8
     assert set(got) == set(range(0, 600, 10)) and hits >= 0.9 * 8 * 60
-    whole = ann.nearest(df, F.col("vec_id") == 10, k=8, radius=10_000).orderBy("rank").collect()
+    whole = ann.nearest(df, F.col("vec_id") == 10, k=8, everything=True).orderBy("rank").collect()
     s = (x * x[10]).sum(axis=1)
     assert [r.vec_id for r in whole] == [int(i) for i in np.lexsort((np.arange(600), -s)) if i != 10][:8]
-    few = ann.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0, k=8, radius=0).collect()
+    few = ann.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0, k=8).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3]  # searched again without a radius
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
+    # a shorter vector is 0 where it has no component; repeated rows are ranked each, ties by id
+    odd = spark.createDataFrame([(1, [1.0, 1.0]), (2, [3.0]), (3, [0.0, 2.0, 5.0]), (3, [0.0, 2.0, 5.0]), (4, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in ann.nearest(odd, F.col("vec_id") == 1, k=9).orderBy("rank").collect()] == [(2, 3.0), (3, 2.0), (3, 2.0), (4, 2.0)]
+
+
+def test_probing_finds_all_codes_within_the_radius():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 32))
+    model = ann.fit(x, float(np.linalg.norm(x, axis=1).max()), 3000, 10)
+    model = ann.Model(model.rotation, model.longest, 2, model.rotation.shape[1])
+    block = ann._Block(ann._Block.built(np.arange(3000), x, model), model)
+    for v, c in zip(x[:40], model.codes(x[:40], True)):
+        found, probed = block.within(c)
+        apart = ann._BITS[block.codes ^ c]
+        assert found.tolist() == np.flatnonzero(apart.min(axis=1) <= 2).tolist() and probed < 3000
+        assert set(np.flatnonzero(apart.sum(axis=1, dtype="i8") <= 3 * apart.shape[1] - 1)) <= set(found.tolist())
 
 
 # --- 3
@@ -413,8 +429,15 @@ def test_bands_find_lines_that_edits_would_link(n_words):
 
     got = line_dedup.line_rows(Rows(), 1)
     bands = [{x[k : k + 5] for k in range(0, len(x), 5)} for x in got.column("bands").to_pylist()]
-    sims = got.column("sim").to_numpy().view("u8")
-    met = [(i, j) for i, j in links if bands[i] & bands[j] and (min(len(lines[i]), len(lines[j])) <= line_dedup.SMALL or int(sims[i] ^ sims[j]).bit_count() <= line_dedup.RADIUS)]
+    sims, more = (got.column(x).to_numpy().view("u8") for x in ("sim", "more"))
+
+    def near(i, j):
+        a, b = sorted((len(lines[i]), len(lines[j])))
+        apart, rest = int(sims[i] ^ sims[j]).bit_count(), int(more[i] ^ more[j]).bit_count()
+        return apart + rest <= 4 * (b // 10) if b <= line_dedup.SMALL else a <= line_dedup.SMALL or apart <= line_dedup.RADIUS
+
+    met = [(i, j) for i, j in links if bands[i] & bands[j] and near(i, j)]
+    assert all(near(i, j) for i, j in links if max(len(lines[i]), len(lines[j])) <= line_dedup.SMALL)
     assert got.column("length").to_pylist() == list(map(len, lines))
     assert len(links) > 20 and len(met) >= 0.95 * len(links)
 
@@ -438,10 +461,12 @@ def test_forests():
     lines = ["".join(r.choices("abcé ", k=r.randint(0, 60))) for _ in range(12)]
     lines = list(dict.fromkeys(lines + [x[: (k := r.randint(0, len(x)))] + r.choice(["", "q", "qq"]) + x[k + r.randint(0, 3) :] for x in lines for _ in range(4)]))
     links = [(i, j) for i in range(len(lines)) for j in range(i) if 10 * distance(lines[i], lines[j]) <= max(len(lines[i]), len(lines[j]))]
-    found = line_dedup.forests([lines, lines[:7], [], ["a"], lines[::-1]], 90)
-    assert roots(len(lines), found[0]) == roots(len(lines), links) and not found[2] and not found[3]
-    assert roots(7, found[1]) == roots(7, [x for x in links if max(x) < 7])
-    assert roots(len(lines), [(len(lines) - 1 - i, len(lines) - 1 - j) for i, j in found[4]]) == roots(len(lines), links)
+    n = len(lines)
+    shared = [(list(range(n)), lines), (list(range(7)), lines[:7]), ([], []), ([n], ["a"]), (list(range(n))[::-1], lines[::-1]), ([3, 9, n + 1], [lines[3], lines[9], lines[9] + " "])]
+    found = line_dedup.forest(shared, 90)
+    links += [(n + 1, i) for i in (3, 9) if 10 * distance(lines[9] + " ", lines[i]) <= max(len(lines[9]) + 1, len(lines[i]))]
+    assert roots(n + 2, found) == roots(n + 2, links) and len(found) == n + 2 - len(set(roots(n + 2, links)))
+
 
 
 
