@@ -57,11 +57,7 @@ def trimmed(a: list | str, b: list | str) -> tuple[list | str, list | str]:
 
 
 def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
-    """For each pair whether its edit distance is at most its bound.
-
-    What both share at the ends is left out. Most pairs that are near are told by aligning their words, as edits of whole
-    words bound the distance from above; characters decide the others.
-    """
+    """For each pair whether its edit distance is at most its bound. What both share at the ends is left out; if what is left is within the bound, that is enough."""
     out = np.zeros(len(a), bool)
     cut: list[tuple[int, str, str, int]] = []
     for i, (x, y, m) in enumerate(zip(a, b, most.tolist())):
@@ -71,9 +67,6 @@ def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
                 out[i] = True
             else:
                 cut.append((i, x, y, m))
-    near = _near_by_words(cut)
-    out[[c[0] for c, good in zip(cut, near.tolist()) if good]] = True
-    cut = [c for c, good in zip(cut, near.tolist()) if not good]
     for some in _batches([(len(c[1]), len(c[2])) for c in cut]):
         rows = [cut[k] for k in some]
         if len(rows) < FEWEST or max(len(rows[-1][1]), len(rows[-1][2])) > LONGEST:
@@ -106,60 +99,6 @@ def _characters(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "u4"), np.array([len(x) for x in lines])
 
 
-def _near_by_words(cut: list[tuple[int, str, str, int]]) -> np.ndarray:
-    """Whether replacing, leaving out and putting in whole words takes at most as many characters as the bound of each pair. Never true of a pair beyond its bound."""
-    out = np.zeros(len(cut), bool)
-    words = [(c[1].split(" "), c[2].split(" ")) for c in cut]
-    codes: dict[str, int] = {}
-    for some in _batches([(len(x), len(y)) for x, y in words]):
-        sides = []
-        for side in (0, 1):
-            held = [words[k][side] for k in some]
-            size = np.array([len(w) for w in held])
-            flat = [w for x in held for w in x]
-            code = np.fromiter((codes.setdefault(w, len(codes)) for w in flat), "i4", len(flat))
-            cost = np.fromiter(map(len, flat), "i4", len(flat))
-            sides.append((size, _matrix(code, size, -1 - side), _matrix(cost, size, 0)))
-        (n, x, wx), (m, y, wy) = sides
-        out[some] = _batch_words(n, m, x.T, y[:, ::-1].T, wx.T, wy[:, ::-1].T, np.array([cut[k][3] for k in some]))
-    return out
-
-
-def _batch_words(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Cheapest alignments of words near the main diagonal: a word left out or put in costs its characters and a space, one replaced the longer one's characters."""
-    x, y, wx, wy = (np.ascontiguousarray(v) for v in (x, y, wx, wy))
-    (rows, many), columns, total = x.shape, len(y), n + m
-    band, good = int(np.abs(n - m).max()) + 8, np.zeros(many, bool)
-    ends = np.argsort(total, kind="stable")
-    stops = np.searchsorted(total[ends], np.arange(int(total.max()) + 2))
-    left, put = wx + 1, wy + 1
-    far = np.int32(1 << 28)
-    before, last, now = (np.full((rows + 3, many), far, "i4") for _ in range(3))
-    last[1] = 0
-    for d in range(1, int(total.max()) + 1):
-        low, high = max(0, d - columns, -(-(d - band) // 2)), min(rows, d, (d + band) // 2)
-        if low > high:
-            break
-        i, j = max(low, 1), min(high, d - 1)
-        if i <= j:
-            p, q = columns - d + i, columns - d + j + 1
-            cell = now[i + 1 : j + 2]
-            np.add(last[i : j + 1], left[i - 1 : j], out=cell)
-            np.minimum(cell, last[i + 1 : j + 2] + put[p:q], out=cell)
-            swap = np.where(x[i - 1 : j] != y[p:q], np.maximum(wx[i - 1 : j], wy[p:q]), 0)
-            np.minimum(cell, before[i : j + 1] + swap, out=cell)
-        if low == 0:
-            now[1] = last[1] + put[columns - d]
-        if high == d:
-            now[d + 1] = last[d] + left[d - 1]
-        now[low], now[high + 2] = far, far
-        who = ends[stops[d] : stops[d + 1]]
-        if len(who):
-            good[who] = now[n[who] + 1, who] <= most[who]
-        before, last, now = last, now, before
-    return good
-
-
 def _batch(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
     """within() for pairs of about the same length: all cells of an anti-diagonal no further from the main one than the largest bound, for all pairs at once."""
     (x, n), (y, m) = _characters(a), _characters(b)

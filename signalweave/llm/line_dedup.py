@@ -89,26 +89,28 @@ def piece_bands(lines: pa.Array) -> np.ndarray:
     return banded(mixed(mixed(piece[inside[: len(piece)]] + np.uint64(1))), offsets[:-1] - 3 * np.arange(len(lines)), 1)
 
 
-def pair_bits(lines: list[str], cells: int = 512) -> np.ndarray:
-    """Which cells each line's pairs of characters fall into, 64 in a number. An edit takes two pairs at most and gives two, so lines k edits apart differ in 4k cells at most."""
-    out = np.zeros((len(lines), cells // 64), "u8")
+def pair_counts(lines: list[str], cells: int = 512) -> np.ndarray:
+    """How many of each line's pairs of characters fall into each cell. An edit takes two pairs at most and gives two, so the counts of lines k edits apart differ by 4k at most in all."""
     size = np.fromiter(map(len, lines), "i8", len(lines))
     c = np.frombuffer("".join(lines).encode("utf-32-le"), "u4")
-    if len(c) > 1:
-        cell = (c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)) >> np.uint32(33 - cells.bit_length())
-        row = np.repeat(np.arange(len(lines)), size)
-        inside = row[1:] == row[:-1]
-        held = np.zeros(cells * len(lines), bool)
-        held[row[:-1][inside] * cells + cell[inside]] = True
-        out = np.packbits(held, bitorder="little").view("u8").reshape(len(lines), -1)
-    return out
+    if len(c) < 2:
+        return np.zeros((len(lines), cells), "i4")
+    cell = (c[:-1] * np.uint32(0x9E3779B1) + c[1:] * np.uint32(0x85EBCA77)) >> np.uint32(33 - cells.bit_length())
+    row = np.repeat(np.arange(len(lines)), size)
+    inside = row[1:] == row[:-1]
+    return np.bincount(row[:-1][inside] * cells + cell[inside], minlength=cells * len(lines)).reshape(len(lines), cells).astype("i4")
+
+
+def pair_bits(counts: np.ndarray) -> np.ndarray:
+    """Which cells are not empty, 64 in a number: two lines differ in no more of them than in their counts."""
+    return np.packbits(counts > 0, axis=1, bitorder="little").view("u8")
 
 
 class _Group:
     """Lines of a group, which of them hang together so far, and the links that do it. Memory: a byte for each two lines."""
 
-    def __init__(self, ids: list[int], lines: list[str], bits: np.ndarray, percent: int) -> None:
-        self.ids, self.lines, self.at, n = ids, lines, -1, len(lines)
+    def __init__(self, ids: list[int], lines: list[str], base: int, bits: np.ndarray, percent: int) -> None:
+        self.ids, self.lines, self.base, self.at, n = ids, lines, base, -1, len(lines)
         size = np.fromiter(map(len, lines), "i8", n)
         self.root, self.size, self.percent = np.arange(n), size, percent
         self.near = np.zeros((n, n), bool)  # for each line the later ones that lengths and cells don't rule out
@@ -147,8 +149,10 @@ def forest(groups: list[tuple[list[int], list[str]]], percent: int) -> list[tupl
     """
     if not groups:
         return []
-    bits = np.split(pair_bits([x for _, lines in groups for x in lines]), np.cumsum([len(lines) for _, lines in groups])[:-1])
-    live = [g for g in (_Group(ids, lines, b, percent) for (ids, lines), b in zip(groups, bits)) if g.todo]
+    counts = pair_counts([x for _, lines in groups for x in lines])
+    base = np.cumsum([0, *(len(lines) for _, lines in groups)]).tolist()
+    bits = pair_bits(counts)
+    live = [g for g in (_Group(ids, lines, a, bits[a:b], percent) for (ids, lines), a, b in zip(groups, base, base[1:])) if g.todo]
     root: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -164,9 +168,11 @@ def forest(groups: list[tuple[list[int], list[str]]], percent: int) -> list[tupl
         pairs: dict[tuple[int, int], tuple[str, str, int]] = {}
         for g, later in wanted:
             mine, at = find(g.ids[g.at]), g.ids[g.at]
-            for j, most in zip(later.tolist(), g.most(later).tolist()):
-                if find(g.ids[j]) != mine:
-                    pairs[at, g.ids[j]] = g.lines[g.at], g.lines[j], most
+            later = np.array([j for j in later.tolist() if find(g.ids[j]) != mine], "i8")
+            most = g.most(later)
+            near = np.abs(counts[g.base + later] - counts[g.base + g.at]).sum(axis=1) <= 4 * most
+            for j, m in zip(later[near].tolist(), most[near].tolist()):
+                pairs[at, g.ids[j]] = g.lines[g.at], g.lines[j], m
         a, b, most = zip(*pairs.values()) if pairs else ((), (), ())
         for (x, y), hit in zip(pairs, within(list(a), list(b), np.array(most, "i8")).tolist()):
             if hit and find(x) != find(y):
@@ -205,7 +211,7 @@ def _blocks(flat: pa.Array, hashes: np.ndarray, at: np.ndarray, long: np.ndarray
             text = pc.binary_join(pa.ListArray.from_arrays(pa.array(edge.astype("i4")), flat.take(pa.array(words))), " ")
             joined = pc.if_else(pc.less(pc.binary_length(text), 4), pc.binary_join_element_wise(text, "   ", ""), text)
             short = length[some] <= SMALL
-            sims[some[short]] = pair_bits(text.filter(pa.array(short)).to_pylist(), 128)
+            sims[some[short]] = pair_bits(pair_counts(text.filter(pa.array(short)).to_pylist(), 128))
         found = piece_bands(joined) if kind else word_bands(hashes[words], edge)
         raw = np.ascontiguousarray(found.view("u1").reshape(len(some), BANDS, 8)[:, :, :5]).tobytes()
         blobs[some] += np.array([raw[i : i + 5 * BANDS] for i in range(0, len(raw), 5 * BANDS)], object)
@@ -368,7 +374,7 @@ def links(met: DataFrame, norms: DataFrame, percent: int) -> DataFrame:
                     held.append(([], []))
                 held[-1][0].append(c)
                 held[-1][1].append(norm)
-                size += len(norm)
+                size += max(len(norm), 300)  # counts of pairs take as much for any line
         if held:
             yield told()
 
