@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from signalweave.llm.common import quoted, staged
 
 #: Rows that the fit may see, the shares of neighbours that the reach and the cut must hold, rotations and what a block holds.
-SAMPLE, REACHED, HELD, ROTATIONS = 8192, 0.97, 0.985, 3
+SAMPLE, REACHED, HELD, ROTATIONS = 8192, 0.94, 0.985, 3
 ROW_BLOCK, QUERY_BLOCK = 32_768, 2048
 _BITS = np.array([bin(i).count("1") for i in range(1 << 16)], "u1")
 #: All values of 16 bits by how many are set, and how many values have at most so many.
