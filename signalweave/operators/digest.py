@@ -90,7 +90,7 @@ def digest_counts(items: DataFrame, listed: DataFrame, p: Params = DEFAULTS) ->
 
 
 def bullets(rows: DataFrame) -> DataFrame:
-    """rows of sections joined to their items, with the column line."""
+    """rows of sections joined to their items, with the column line. The words and marks around the values are fixed values."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     link = F.concat(F.lit("["), F.coalesce(F.nullif("source_name", F.lit("")), F.lit("source")), F.lit("]("), text("source_url"), F.lit(")"))
     part = lambda c, label: F.when(F.length(stripped(text(c))) > 0, F.concat(F.lit(f" _{label}:_ "), F.col(c))).otherwise("")
@@ -102,7 +102,7 @@ def bullets(rows: DataFrame) -> DataFrame:
 
 
 def markdown(lines: DataFrame, counts: DataFrame, bounds: DataFrame) -> DataFrame:
-    """One row (content_md): a heading for every section, whether it holds anything or not, and honest counts."""
+    """One row (content_md): a heading for every section, whether it holds anything or not, and honest counts. The sentences are fixed values."""
     spark = lines.sparkSession
     heads = spark.createDataFrame([(s, i + 1, h) for i, (s, h) in enumerate(zip(SECTIONS, HEADINGS[1:]))], "section string, n int, heading string")
     listed = lines.groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))

@@ -154,6 +154,7 @@ def by_rules(items: DataFrame) -> DataFrame:
         "strategic_potential": F.lit(2),
         "hype": F.when(F.col("source_type").isin("github_releases", "arxiv"), 2).otherwise(3),
     }
+    # fixed values
     texts = {
         "category": category,
         "summary": stripped(F.coalesce(F.nullif("summary", F.lit("")), "title")),
