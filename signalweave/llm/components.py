@@ -12,8 +12,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every node of a link; component is the smallest node reachable. Any type with an order will do.
 
     Each round a node and the node that its label points to take the smallest label next to it, then labels are followed
-    one step. Only minima are formed, so a hub's links are combined before they meet, and rounds grow with the logarithm
-    of a chain's length. Each round is a written table.
+    one step. Only minima are formed, so nothing grows beyond the links and nodes there are, and rounds grow with the
+    logarithm of a chain's length. Joins deal a hub's links by the hub and a large component's nodes by its label;
+    adaptive execution splits such partitions. Each round is a written table.
     """
     pairs = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
     edges = staged(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "edges")

@@ -400,10 +400,10 @@ def test_lines_of_rows_with_repeated_and_null_ids(spark):
 
 def test_a_very_long_text_loses_its_repeated_lines(spark):
     r = random.Random(6)
-    lines = [" ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(6)) for _ in range(60_000)]
+    lines = [" ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(6)) for _ in range(20_000)]
     df = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[::2]) + "\nnew"), (3, "x" * 10_000_000)], "doc_id long, text string")
     got = {r.doc_id: r for r in line_dedup.line_dedup(df, percent=100).collect()}
-    assert got[1].text == "\n".join(lines) and got[2].text == "new" and got[2].lines_removed == 30_000 and len(got[3].text) == 10_000_000
+    assert got[1].text == "\n".join(lines) and got[2].text == "new" and got[2].lines_removed == 10_000 and len(got[3].text) == 10_000_000
 
 
 def edited(r, line):
