@@ -36,8 +36,8 @@ BANDS, ROWS, LONG, SMALL = 10, 3, 90, 100
 #: Bits in which the SimHashes of two lines over SMALL characters may differ.
 RADIUS = 22
 ODD = mixed(np.arange(1, BANDS * ROWS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-#: Groups are compared together up to so many characters.
-TOGETHER = 1 << 21
+#: Groups are compared together up to so many characters; those of more classes than SPREAD are dealt one by one.
+TOGETHER, SPREAD = 1 << 21, 256
 
 
 def simhashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -353,7 +353,9 @@ def links(met: DataFrame, norms: DataFrame, percent: int) -> DataFrame:
     member = [F.xxhash64(F.lit(s), "c") for s in (1, 2)]
     once = groups.groupBy("g").agg(F.bit_xor(member[0]).alias("x"), F.bit_xor(member[1]).alias("y"), F.count("*").alias("n")).groupBy("x", "y", "n").agg(F.min("g").alias("g")).select("g")
     members = pairs.select(F.lit(True).alias("few"), "g", F.col("g").alias("hub"), F.explode(F.array("a", "b")).alias("c")).distinct()
-    groups = groups.join(once.join(groups.groupBy("g").agg(F.min("c").alias("hub")), "g"), "g")
+    # large ones are blocks of one bucket, many of which have the same smallest class: they are spread
+    hubs = groups.groupBy("g").agg(F.when(F.count("*") > SPREAD, F.col("g")).otherwise(F.min("c")).alias("hub"))
+    groups = groups.join(once.join(hubs, "g"), "g")
     members = members.unionByName(groups.select(F.lit(False).alias("few"), "g", "hub", "c")).join(norms, "c")
 
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
