@@ -78,7 +78,17 @@ def releases(spark: SparkSession, path: str, sources: DataFrame | None = None) -
 def repo_search(spark: SparkSession, path: str, prefix: str, kind: str = "github_new_repos", sources: DataFrame | None = None) -> DataFrame:
     df = _read(spark, path, REPOS).select("source", "_corrupt_record", F.explode_outer("items").alias("r")).where("r IS NOT NULL OR _corrupt_record IS NOT NULL")
     title = F.concat(F.lit(f"{prefix}: "), F.coalesce(F.nullif("r.full_name", F.lit("")), F.lit("(unknown repo)")))
-    return _items(df, kind, sources, title, F.col("r.html_url"), parsed_time("r.created_at"), F.col("r.description"))
+    return _items(df, kind, sources, title, F.col("r.html_url"), parsed_time("r.created_at"), F.coalesce("r.description", F.lit("")))
+
+
+def star_rises(spark: SparkSession, path: str, sources: DataFrame | None = None, snapshots: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """Items for repositories with more stars than in their last snapshot (repo_full_name, stars, captured_at). One without a snapshot gives none: its first one is still to be taken."""
+    df = _read(spark, path, REPOS).select("source", "_corrupt_record", F.explode("items").alias("r")).where("r.full_name IS NOT NULL AND r.full_name <> ''")
+    known = spark.createDataFrame([], "repo string, before long") if snapshots is None else snapshots.groupBy(F.col("repo_full_name").alias("repo")).agg(F.max_by("stars", "captured_at").alias("before"))
+    stars = F.coalesce("r.stargazers_count", F.lit(0))
+    df = df.join(known, F.col("r.full_name") == F.col("repo")).where(stars > F.col("before"))
+    title = F.concat(F.col("r.full_name"), F.lit(" gained "), stars - F.col("before"), F.lit(" stars (now "), stars, F.lit(")"))
+    return _items(df, "github_star_velocity", sources, title, F.col("r.html_url"), F.current_timestamp() if now is None else now, F.coalesce("r.description", F.lit("")))
 
 
 def star_snapshots(spark: SparkSession, path: str, captured_at: Column) -> DataFrame:
@@ -90,33 +100,35 @@ def star_snapshots(spark: SparkSession, path: str, captured_at: Column) -> DataF
 def advisories(spark: SparkSession, path: str, sources: DataFrame | None = None) -> DataFrame:
     df = _read(spark, path, ADVISORIES)
     name = F.coalesce(F.nullif("ghsa_id", F.lit("")), F.nullif("cve_id", F.lit("")), F.lit("advisory"))
-    title = F.substring(F.concat(name, F.lit(": "), F.coalesce("summary", F.lit(""))), 1, 300)
+    said = F.coalesce(F.nullif("summary", F.lit("")), F.nullif("description", F.lit("")), F.lit("(no summary)"))
+    title = F.substring(F.concat(F.lit("Advisory "), name, F.lit(": "), said), 1, 300)
     severity = F.when(F.length("severity") > 0, F.concat(F.lit("[severity: "), F.col("severity"), F.lit("] "))).otherwise("")
-    return _items(df, "github_advisories", sources, title, F.coalesce(F.nullif("html_url", F.lit("")), F.col("url")), parsed_time("published_at"), F.concat(severity, F.coalesce("description", F.lit(""))))
+    return _items(df, "github_advisories", sources, title, F.coalesce(F.nullif("html_url", F.lit("")), F.col("url")), parsed_time("published_at"), F.concat(severity, F.coalesce(F.nullif("description", F.lit("")), said)))
 
 
 def issues(spark: SparkSession, path: str, sources: DataFrame | None = None) -> DataFrame:
     df = _read(spark, path, ISSUES)
-    title = F.concat(F.when(F.col("pull_request").isNotNull(), "[PR] ").otherwise("[issue] "), F.coalesce("title", F.lit("")))
-    return _items(df, "github_changes", sources, title, F.col("html_url"), parsed_time("created_at"), F.substring("body", 1, 1000))
+    title = F.concat(F.when(F.col("pull_request").isNotNull(), "[PR] ").otherwise("[issue] "), F.coalesce(F.nullif("title", F.lit("")), F.lit("(untitled issue)")))
+    return _items(df, "github_changes", sources, title, F.col("html_url"), parsed_time("created_at"), F.substring(F.coalesce("body", F.lit("")), 1, 1000))
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {
     "rss": rss,
     "arxiv": arxiv,
     "github_releases": releases,
+    "github_star_velocity": star_rises,
     "github_new_repos": lambda spark, path, sources=None: repo_search(spark, path, "New repo", "github_new_repos", sources),
     "github_advisories": advisories,
     "github_changes": issues,
 }
 
 
-def all_items(spark: SparkSession, folders: dict[str, str], sources: DataFrame) -> DataFrame:
-    """Items of the enabled sources: one reader for each source type that has a folder, then a union."""
+def all_items(spark: SparkSession, folders: dict[str, str], sources: DataFrame, snapshots: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """Items of the enabled sources: one reader for each source type that has a folder, then a union. Rises of stars are told against snapshots, as of now."""
     live = sources.where("enabled").select(F.col("name").alias("live"))
     out: DataFrame | None = None
     for kind, path in folders.items():
-        df = READERS[kind](spark, path, sources)
+        df = star_rises(spark, path, sources, snapshots, now) if kind == "github_star_velocity" else READERS[kind](spark, path, sources)
         out = df if out is None else out.unionByName(df)
     if out is None:
         raise ValueError("no folders")

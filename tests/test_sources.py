@@ -2,8 +2,10 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from signalweave.operators.intake import run_report
+from signalweave.params import SOURCE_TYPES
 from signalweave.sources import feeds
 
 
@@ -45,10 +47,22 @@ def test_repo_search(spark, landed):
     assert [r.title for r in feeds.repo_search(spark, path, "New").collect()] == ["New: o/r", "New: (unknown repo)"]
 
 
+def test_rises_of_stars(spark, landed):
+    rows = [("o/up", 100), ("o/same", 50), ("o/down", 5), ("o/new", 9)]
+    path = landed("Stars", "s.json", {"items": [{"full_name": n, "html_url": f"h/{n}", "description": None, "stargazers_count": k} for n, k in rows] + [{"html_url": "x"}]})
+    t = dt.datetime(2026, 6, 18)
+    old = spark.createDataFrame([("o/up", 70, t), ("o/up", 80, t + dt.timedelta(1)), ("o/same", 50, t), ("o/down", 9, t)], "repo_full_name string, stars long, captured_at timestamp")
+    sources = spark.createDataFrame([("Stars", True, "u")], "name string, enabled boolean, url string")
+    got = feeds.all_items(spark, {"github_star_velocity": path}, sources, old, F.lit("2026-06-20").cast("timestamp")).collect()
+    assert [(r.title, r.url, r.summary, r.source_type) for r in got] == [("o/up gained 20 stars (now 100)", "h/o/up", "", "github_star_velocity")]
+    assert feeds.all_items(spark, {"github_star_velocity": path}, sources).count() == 0
+    assert set(feeds.READERS) == set(SOURCE_TYPES)
+
+
 def test_advisories_and_issues(spark, landed):
     path = landed("V", "v.json", [{"ghsa_id": "G-1", "summary": "x" * 400, "description": "d", "severity": "high", "html_url": "h"}, {"cve_id": "C-1", "summary": "s", "url": "u"}])
     a, b = feeds.advisories(spark, path).collect()
-    assert len(a.title) == 300 and a.summary == "[severity: high] d" and b.title == "C-1: s" and b.url == "u"
+    assert len(a.title) == 300 and a.summary == "[severity: high] d" and a.title.startswith("Advisory G-1: xx") and (b.title, b.summary, b.url) == ("Advisory C-1: s", "s", "u")
 
 
 def test_issue_kinds(spark, landed):
