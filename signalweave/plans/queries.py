@@ -16,6 +16,7 @@ from signalweave.operators import digest as dg
 from signalweave.operators import enrich, events, feeds, graph, intake, vector_table
 from signalweave.params import STACK_WORDS, Params
 from signalweave.plans import testviews as tv
+from signalweave.sources import feeds as readers
 from signalweave.sources import registry
 from signalweave.streaming import streams
 from signalweave.tables import new_path, staged
@@ -657,6 +658,42 @@ def vectors_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_table.upserted(v.where("item_id % 6 <> 5"), new).select("item_id", F.round(F.col("vec")[0], 6).alias("first"))
 
 
+# --- landed payloads
+
+
+def _land(df: DataFrame, path: str, wrap: str | None = None) -> str:
+    """Rows (source, part, r) as payload files below folders of their sources: a JSON array of r for each part, or an object with that array under wrap."""
+    rows = df.groupBy("source", "part").agg(F.collect_list("r").alias("r"))
+    text = F.to_json("r") if wrap is None else F.to_json(F.struct(F.col("r").alias(wrap)))
+    rows.select("source", text.alias("value")).write.partitionBy("source").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+_LANDED = _TEXTS.replace("SELECT doc_id,", "SELECT doc_id, coalesce(nullif(source, ''), 'none') AS source,")
+
+
+@query(_LANDED + """ SELECT source AS source_name, 'https://x.example/' || doc_id AS url,
+['github_releases', 'github_changes', 'github_new_repos'][doc_id % 3 + 1] AS source_type,
+CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 AND t <> '' THEN t ELSE 'v' || doc_id END WHEN 1 THEN CASE WHEN doc_id % 4 = 1 THEN '[PR] ' ELSE '[issue] ' END || CASE WHEN t = '' THEN '(untitled issue)' ELSE t END ELSE 'New repo: o/' || doc_id END AS title,
+t AS summary FROM d WHERE source <> (SELECT max(source) FROM d)""")
+def landed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents landed as payloads of three kinds below one folder a source, read back as items of the enabled sources."""
+    d = _answers(spark, sf_dir, "t").join(tv.read(spark, sf_dir, "documents").select(F.col("doc_id"), F.coalesce(F.nullif("source", F.lit("")), F.lit("none")).alias("source")), "doc_id")
+    d = d.withColumns({"part": F.expr("doc_id div 500"), "html_url": F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string"))})
+    name = F.when(F.col("doc_id") % 2 == 0, F.col("t")).otherwise("")
+    pr = F.when(F.col("doc_id") % 4 == 1, F.struct(F.lit("p").alias("url")))
+    key = F.col("doc_id").cast("string")
+    kinds = {
+        "github_releases": (F.struct(name.alias("name"), F.concat(F.lit("v"), key).alias("tag_name"), "html_url", F.col("t").alias("body")), None),
+        "github_changes": (F.struct(F.col("t").alias("title"), "html_url", F.col("t").alias("body"), pr.alias("pull_request")), None),
+        "github_new_repos": (F.struct(F.concat(F.lit("o/"), key).alias("full_name"), "html_url", F.col("t").alias("description")), "items"),
+    }
+    folders = {k: _land(d.where(f"doc_id % 3 = {i}").select("source", "part", r.alias("r")), new_path(spark, f"landed-{k}"), wrap) for i, (k, (r, wrap)) in enumerate(kinds.items())}
+    names = d.select(F.col("source").alias("name")).distinct()
+    sources = names.crossJoin(F.broadcast(names.agg(F.max("name").alias("last")))).select("name", (F.col("name") != F.col("last")).alias("enabled"), F.lit("u").alias("url"))
+    return readers.all_items(spark, folders, sources).select("source_name", "source_type", "title", "url", "summary")
+
+
 # --- registry
 
 
