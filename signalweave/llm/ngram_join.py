@@ -156,11 +156,15 @@ def block_product(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     both = [*left, *right]
     total = np.zeros((len(left), len(right)), "i8")
     rows = np.repeat(np.arange(len(both)), [len(s) for s in both])
-    _, column = np.unique(np.concatenate(both), return_inverse=True)
-    for start in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
-        inside = (column >= start) & (column < start + COLUMNS)
+    _, column, n = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    shared = n > 1  # other columns add to no overlap of two sets
+    rows, column = rows[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    by = np.argsort(column, kind="stable")
+    rows, column = rows[by], column[by]
+    edges = np.searchsorted(column, np.arange(0, int(column.max(initial=-1)) + 1 + COLUMNS, COLUMNS))
+    for start, (s, e) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
         dense = np.zeros((len(both), COLUMNS), "f4")
-        dense[rows[inside], column[inside] - start] = 1
+        dense[rows[s:e], column[s:e] - start * COLUMNS] = 1
         total += (dense[: len(left)] @ dense[len(left) :].T).astype("i8")
     return total
 

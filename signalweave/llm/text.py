@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: What separates words in the contracts that say so: space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,35 +42,11 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-#: Random odd values of bytes, and the base of the polynomial that a word's hash is.
-_BYTE = mixed(np.arange(1, 257, dtype="u8")) | np.uint64(1)
-_BASE = 0xD6E8FEB86659FD93
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2 to the 64."""
-    if not _powers or len(_powers[0]) < n:
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, "u8"), np.full(max(n, 1 << 17) - 1, x, "u8")]), dtype="u8") for x in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _powers[0], _powers[1]
-
-
 def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial of its bytes modulo 2 to the 64, by running sums over a piece of the buffer at a time, then mixed with its length."""
-    offsets = np.frombuffer(words.buffers()[1], "i4", len(words) + 1, words.offset * 4).astype("i8")
-    data = np.frombuffer(words.buffers()[2] or b"", "u1")
-    out = np.empty(len(words), "u8")
-    start = 0
-    while start < len(words):
-        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + (1 << 16), side="right")) - 1)
-        edge = offsets[start : stop + 1]
-        part = data[edge[0] : edge[-1]]
-        power, inverse = _power_tables(len(part) + 1)
-        sums = np.concatenate([np.zeros(1, "u8"), np.cumsum(_BYTE[part] * power[: len(part)], dtype="u8")])
-        at = edge - edge[0]
-        out[start:stop] = (sums[at[1:]] - sums[at[:-1]]) * inverse[at[:-1]]
-        start = stop
-    return mixed(out ^ (np.diff(offsets).astype("u8") * _A))
+    """A 64-bit XXH3 hash of each word; of equal words in an array only one is hashed."""
+    d = words.dictionary_encode()
+    found = np.fromiter(map(xxhash.xxh3_64_intdigest, d.dictionary.cast(pa.binary()).to_pylist()), "u8", len(d.dictionary))
+    return found[d.indices.to_numpy(zero_copy_only=False)]
 
 
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:

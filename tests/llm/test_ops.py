@@ -85,6 +85,20 @@ def test_words_and_hashes():
     assert [len(s) for s in text.shingle_sets(h, bounds, 2)] == [1, 0, 0, 1, 1]
 
 
+def thue_morse(n):
+    """Two words of n letters that are each other's complement: sums of powers modulo 2 to the 64 can't tell them apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = thue_morse(2048)
+    assert len(set(text.word_hashes(pa.array([a, b])).tolist())) == 2
+    frame = spark.createDataFrame([(1, f"{a} x y z {a}"), (2, f"{b} x y z {b}")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_join(frame, k=4, percent=85).collect()} == {1: 1, 2: 2}
+    assert {r.doc_id: r.lines_removed for r in line_dedup.line_dedup(frame).collect()} == {1: 0, 2: 0}
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(i, i + 1) for i in range(0, 90)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)] + [(300, 300 + i) for i in range(1, 50)] + [(5, 5)]
