@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalweave.llm import ann, chat, divergence, fim, license_scan, line_dedup, mixing, ngram_join, packing, quality, suffix_dedup, warc
+from signalweave.llm import ann, chat, divergence, fim, license_scan, line_dedup, mixing, ngram_join, packing, pii, quality, suffix_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -61,6 +61,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).drop("copies")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    told = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda k: F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == k))).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in pii.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_read(spark, sf_dir, "documents"))
 
@@ -71,7 +80,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_nearest_neighbours, op3_best_fit_packing, op4_ngram_jaccard_join, op5_suffix_dedup, op6_line_dedup, op7_quality_rules, op8_warc, op9_license_scans, op10_mixing, op12_source_divergence, op13_fill_in_middle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_nearest_neighbours, op3_best_fit_packing, op4_ngram_jaccard_join, op5_suffix_dedup, op6_line_dedup, op7_quality_rules, op8_warc, op9_license_scans, op10_mixing, op11_personal_data, op12_source_divergence, op13_fill_in_middle)}
 
 _TOKENS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
