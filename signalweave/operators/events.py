@@ -14,81 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from signalweave.functions.vectors import dot
+from signalweave.operators.pruned_join import DIGITS, best_earlier
 from signalweave.params import DEFAULTS
-from signalweave.tables import staged
+from signalweave.tables import dropped, staged
 
-#: Rows of a block; similarities are rounded to so many digits, so that equal ones tie on every machine.
-BLOCK, DIGITS = 4096, 9
-
-
-def _block_pairs(vectors: DataFrame, n_blocks: int) -> tuple[DataFrame, DataFrame]:
-    """Each row once for each block pair it takes part in: as left side with its own block x, as right side with its own block y2; the right side's columns end in _r."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    own = vectors.withColumn("x", F.expr(f"cast(pmod(xxhash64(id), {n_blocks}) as int)"))
-    left = own.withColumn("y", every)
-    right = own.select(*[F.col(c).alias(f"{c}_r") for c in vectors.columns], F.col("x").alias("y2"), every.alias("x2"))
-    return left, right
+#: Rows of a block.
+BLOCK = 4096
 
 
 def _blocks(n: int, block: int) -> int:
     return max(1, -(-n // block))
 
 
-def best_earlier(vectors: DataFrame, threshold: float = DEFAULTS.threshold, block: int = BLOCK, among: DataFrame | None = None) -> DataFrame:
-    """Rows (id, parent, similarity): for each row of (id, at, vec) its most similar earlier row at or above the threshold; ties go to the earliest. Earlier is by (at, id). With among, only its rows are neighbours.
-
-    Exact: all pairs of blocks are multiplied, each giving one best neighbour a row at most, never all pairs.
-    """
-    if among is None:
-        n = _blocks(vectors.count(), block)
-        left, right = _block_pairs(vectors.select("id", "at", "vec"), n)
-    else:
-        n, m = _blocks(vectors.count(), block), _blocks(among.count(), block)
-        left = _block_pairs(vectors.select("id", "at", "vec"), n)[0].drop("y").withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-        right = _block_pairs(among.select("id", "at", "vec"), m)[1].drop("x2").withColumn("x2", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": np.zeros(0, "i8"), "parent": np.zeros(0, "i8"), "parent_at": np.zeros(0, "i8"), "similarity": np.zeros(0)})
-        if not len(a) or not len(b):
-            return empty
-        b = b.rename(columns=lambda c: c.removesuffix("_r")).sort_values(["at", "id"])
-        va, vb = np.stack(a["vec"]), np.stack(b["vec"])
-        ai, at, bi, bt = a["id"].to_numpy(), a["at"].to_numpy(), b["id"].to_numpy(), b["at"].to_numpy()
-        out = []
-        for s in range(0, len(a), 512):
-            sim = np.round(va[s : s + 512] @ vb.T, DIGITS)
-            earlier = (bt[None, :] < at[s : s + 512, None]) | ((bt[None, :] == at[s : s + 512, None]) & (bi[None, :] < ai[s : s + 512, None]))
-            sim[~earlier] = -2.0
-            best = sim.argmax(axis=1)  # the first, so the earliest of equal ones
-            top = sim[np.arange(len(best)), best]
-            hit = np.flatnonzero(top >= threshold)
-            out.append(pd.DataFrame({"id": ai[s + hit], "parent": bi[best[hit]], "parent_at": bt[best[hit]], "similarity": top[hit]}))
-        return pd.concat(out) if out else empty
-
-    found = left.groupBy("x", "y").cogroup(right.groupBy("x2", "y2")).applyInPandas(multiply, "id long, parent long, parent_at long, similarity double")
-    best = F.min_by(F.struct("parent", "similarity"), F.struct(-F.col("similarity"), F.col("parent_at"), F.col("parent")))
-    return found.groupBy("id").agg(best.alias("b")).select("id", "b.parent", "b.similarity")
-
-
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """All pairs (a, b, similarity), a < b, at or above the threshold; the result itself grows with the pairs there are."""
-    n = _blocks(vectors.count(), block)
-    left, right = _block_pairs(vectors.select("id", "vec"), n)
-
-    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"a": np.zeros(0, "i8"), "b": np.zeros(0, "i8"), "similarity": np.zeros(0)})]
-        if len(a) and len(b):
-            va, vb, ai, bi = np.stack(a["vec"]), np.stack(b["vec_r"]), a["id"].to_numpy(), b["id_r"].to_numpy()
-            for s in range(0, len(a), 512):
-                sim = np.round(va[s : s + 512] @ vb.T, DIGITS)
-                i, j = np.nonzero((sim >= threshold) & (ai[s : s + 512, None] < bi[None, :]))
-                out.append(pd.DataFrame({"a": ai[s + i], "b": bi[j], "similarity": sim[i, j]}))
-        return pd.concat(out)
-
-    return left.groupBy("x", "y").cogroup(right.groupBy("x2", "y2")).applyInPandas(multiply, "a long, b long, similarity double")
-
-
 def knn(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = -1.0, block: int = BLOCK) -> DataFrame:
     """Rows (query_id, rank, id, similarity): the k most similar other rows of each query at or above the threshold, ties by id. Both sides have (id, vec); queries meet the rows block by block."""
     nv, nq = _blocks(vectors.count(), block), _blocks(queries.count(), 1024)
@@ -113,23 +50,6 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, threshold: float = -1.0,
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")
 
 
-def similar_pairs_lsh(vectors: DataFrame, threshold: float, dim: int, bits: int = 12, tables: int = 24, seed: int = 7) -> DataFrame:
-    """As similar_pairs(), for tables too large to compare all: rows that agree on the signs of bits random projections in any of tables tables are compared exactly. What it misses shrinks with tables and grows with bits."""
-    planes = np.random.default_rng(seed).standard_normal((tables, dim, bits))
-
-    @F.pandas_udf("array<int>")
-    def keys(vec: pd.Series) -> pd.Series:
-        v = np.stack(vec) if len(vec) else np.zeros((0, dim))
-        weight = 1 << np.arange(bits)
-        return pd.Series(list(np.stack([(v @ p > 0) @ weight for p in planes], axis=1).astype("i4")) if len(vec) else [])
-
-    told = vectors.select("id", "vec", F.posexplode(keys("vec")).alias("t", "key"))
-    other = told.select(F.col("id").alias("id2"), F.col("vec").alias("vec2"), F.col("t").alias("t2"), F.col("key").alias("key2"))
-    met = told.join(other, (F.col("t") == F.col("t2")) & (F.col("key") == F.col("key2")) & (F.col("id") < F.col("id2")))
-    sim = F.round(dot("vec", "vec2"), DIGITS)
-    return met.select(F.col("id").alias("a"), F.col("id2").alias("b"), sim.alias("similarity")).where(F.col("similarity") >= threshold).distinct()
-
-
 def parents(items: DataFrame, threshold: float = DEFAULTS.threshold, use_vectors: bool = True, vec: str = "vec") -> DataFrame:
     """Rows (id, parent): items are (id, at, content_hash, vec). Only the first item of a content hash is compared by vector."""
     order = F.struct("at", "id")
@@ -167,12 +87,15 @@ def assign_new(items: DataFrame, known: DataFrame, threshold: float = DEFAULTS.t
 
 
 def roots(forest: DataFrame) -> DataFrame:
-    """Rows (id, root): parents of parents are followed until nothing changes, doubling the distance each round."""
-    at = staged(forest.select("id", F.col("parent").alias("root"), F.lit(True).alias("moved")), "roots")
+    """Rows (id, root): parents of parents are followed until nothing changes, doubling the distance each round. Only rows with a parent of their own take part in the rounds; a round's table goes when the next one stands."""
+    told = staged(forest.select("id", F.col("parent").alias("root")), "forest")
+    at = staged(told.where("id <> root").withColumn("moved", F.lit(True)), "roots")
     while at.where("moved").limit(1).count():
         up = at.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        at = staged(at.join(up, "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "roots")
-    return at.select("id", "root")
+        after = staged(at.join(up, "root", "left").select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        dropped(at)
+        at = after
+    return told.where("id = root").unionByName(at.select("id", "root"))
 
 
 def assign(items: DataFrame, threshold: float = DEFAULTS.threshold, use_vectors: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ from signalweave.functions.text import dedup_key, embedding_text, iso_utc
 from signalweave.functions.vectors import hashing_embedding
 from signalweave.operators import convergence as cv
 from signalweave.operators import digest as dg
-from signalweave.operators import enrich, events, feeds, graph, intake, vector_table
+from signalweave.operators import enrich, events, feeds, graph, intake, pruned_join, vector_table
 from signalweave.params import STACK_WORDS, Params
 from signalweave.plans import testviews as tv
 from signalweave.sources import feeds as readers
@@ -109,7 +109,7 @@ def hashing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.3")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.similar_pairs(tv.vectors(spark, sf_dir), 0.3).withColumn("similarity", F.round("similarity", 6))
+    return pruned_join.similar_pairs(tv.vectors(spark, sf_dir), 0.3).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),

@@ -2,12 +2,13 @@ import datetime as dt
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from signalweave.functions.vectors import hashing_embedding
 from signalweave.operators import convergence as cv
 from signalweave.operators import digest as dg
-from signalweave.operators import enrich, events, feeds, graph, intake
+from signalweave.operators import enrich, events, feeds, graph, intake, pruned_join
 from signalweave.params import Params
 from signalweave.sources import registry
 
@@ -59,20 +60,32 @@ def test_events_equal_the_sequential_rule(spark):
     assert len(set(got.values())) > 5
 
 
-def test_small_blocks_give_the_same(spark):
+@pytest.mark.parametrize("sizes", [(2048, 8192, 512, 1024), (7, 31, 20, 10)])
+def test_pruned_join_finds_what_all_pairs_give(spark, monkeypatch, sizes):
+    for name, size in zip(("BLOCK", "LEFT", "CELL_ROWS", "RANGE_ROWS"), sizes):
+        monkeypatch.setattr(pruned_join, name, size)
     rng = np.random.default_rng(5)
-    v = rng.standard_normal((60, 8))
+    v = np.concatenate([rng.standard_normal((60, 40)), rng.standard_normal((6, 40))[rng.integers(6, size=140)] + 0.25 * rng.standard_normal((140, 40))])
     v /= np.linalg.norm(v, axis=1)[:, None]
-    df = spark.createDataFrame([(i, i, x.tolist()) for i, x in enumerate(v)], "id long, at long, vec array<double>")
-    pairs = lambda d: sorted((r.a, r.b) for r in d.collect())
-    want = [(i, j) for i in range(60) for j in range(i + 1, 60) if v[i] @ v[j] >= 0.5]
-    assert pairs(events.similar_pairs(df, 0.5, 7)) == want
-    near = {r.id: r.parent for r in events.best_earlier(df, 0.2, 7).collect()}
-    for i in range(1, 60):
-        s = v[:i] @ v[i]
-        assert near.get(i) == (int(s.argmax()) if s.max() >= 0.2 else None)
-    found = pairs(events.similar_pairs_lsh(df, 0.8, 8, bits=4))
-    assert set(found) <= {(i, j) for i, j in want if v[i] @ v[j] >= 0.8 - 1e-9}
+    v[70], v[90] = v[66], v[66]  # ties go to the earliest
+    v[5] *= 3.0  # lengths other than 1
+    v[6] = 0.0
+    at = rng.integers(0, 50, len(v))
+    df = spark.createDataFrame([(i, int(at[i]), x.tolist()) for i, x in enumerate(v)], "id long, at long, vec array<double>")
+    s = np.round(v @ v.T, 9)
+    want = [(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if s[i, j] >= 0.8]
+    assert sorted((r.a, r.b) for r in pruned_join.similar_pairs(df, 0.8).collect()) == want
+    order = sorted(range(len(v)), key=lambda i: (at[i], i))
+    place = {i: n for n, i in enumerate(order)}
+    near = {r.id: (r.parent, r.similarity) for r in pruned_join.best_earlier(df, 0.8).collect()}
+    for i in range(len(v)):
+        hits = [(-s[i, j], place[j], j) for j in order[: place[i]] if s[i, j] >= 0.8]
+        assert near.get(i) == ((min(hits)[2], -min(hits)[0]) if hits else None)
+    told = pruned_join.work(df, 0.8).first()
+    assert told.pairs == 200 * 199 // 2 and len(near) <= told.candidates <= told.bounded <= told.pairs
+    if sizes[0] == 7:
+        assert told.bounded < told.pairs
+    assert pruned_join.best_earlier(df.limit(0), 0.8).count() == 0
 
 
 def test_near_duplicates_by_text(spark):
