@@ -31,8 +31,8 @@ def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]):
         @wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            tv.forget()
-            return f(spark, sf_dir)
+            with tv.fresh():
+                return f(spark, sf_dir)
 
         QUERIES[f.__name__] = run
         if sql:
@@ -293,7 +293,11 @@ UNION ALL SELECT DISTINCT 'ABOUT', 'Topic', lower(trim(tag)), item_id::VARCHAR,
 
 @query(f"WITH {_EDGES} SELECT rel, dst_label, dst_uid, count(*) AS n, count(DISTINCT src_uid) AS sources, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM edge GROUP BY 1, 2, 3")
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _project(spark, sf_dir)[1].groupBy("rel", "dst_label", "dst_uid").agg(F.count("*").alias("n"), F.count_distinct("src_uid").alias("sources"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return _edge_counts(_project(spark, sf_dir)[1])
+
+
+def _edge_counts(edges: DataFrame) -> DataFrame:
+    e = edges.groupBy("rel", "dst_label", "dst_uid").agg(F.count("*").alias("n"), F.count_distinct("src_uid").alias("sources"), F.min("ts").alias("a"), F.max("ts").alias("b"))
     return e.select("rel", "dst_label", "dst_uid", "n", "sources", _time("a").alias("first_ts"), _time("b").alias("last_ts"))
 
 
@@ -302,6 +306,28 @@ def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.counts(*_project(spark, sf_dir))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph after two runs, the later events first, and both of them once more."""
+    e, i, r, n = tv.graph_events(spark, sf_dir), tv.graph_items(spark, sf_dir), tv.graph_relations(spark, sf_dir), tv.graph_entities(spark, sf_dir)
+    middle = i.agg(F.percentile_approx("event_id", 0.5)).first()[0] or 0
+    kept = graph.stored(spark, new_path(spark, "graph"))
+    for run, where in (("late", f"event_id > {middle}"), ("early", f"event_id <= {middle}"), ("late", "true"), ("early", "true")):
+        graph.project_into(kept, run, *[x.where(where) for x in (e, i, r)], n)
+    return graph.read_stored(kept)
+
+
+@query(_NODES + " SELECT label, uid, labels, text FROM node")
+def graph_nodes_by_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As graph_nodes, from tables that two runs were merged into."""
+    return _stored(spark, sf_dir)[0].select("label", "uid", F.array_join("labels", ",").alias("labels"), F.coalesce("title", "name").alias("text"))
+
+
+@query(ORACLES["graph_edges"])
+def graph_edges_by_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As graph_edges, from tables that two runs were merged into."""
+    return _edge_counts(_stored(spark, sf_dir)[1])
+
+
 @query(f"WITH {tv.EVENTS} SELECT event_id FROM ev WHERE event_id % 4 <> 0")
 def graph_not_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = tv.graph_events(spark, sf_dir).where("event_id % 4 = 0").select(F.lit("Event").alias("label"), F.col("event_id").cast("string").alias("uid"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,25 +49,31 @@ def scores(df: DataFrame, key: str) -> DataFrame:
     return out.withColumn("priority_class", priority_class())
 
 
-_made: dict[tuple, DataFrame] = {}
+#: What the query that is being built has staged, by name; each query has its own.
+_made: ContextVar[dict[tuple, DataFrame]] = ContextVar("made")
 
 
-def forget() -> None:
-    """Called before each query: what a query stages is not used by the next one."""
-    _made.clear()
+@contextmanager
+def fresh() -> Iterator[None]:
+    """Around the building of a query: all its parts read the same staged tables, and no other query does."""
+    token = _made.set({})
+    try:
+        yield
+    finally:
+        _made.reset(token)
 
 
-def _once(name: str, spark: SparkSession, sf_dir: str, make) -> DataFrame:
+def _once(name: str, sf_dir: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A written table that all parts of one query read."""
-    key = (name, id(spark), sf_dir)
-    if key not in _made:
-        _made[key] = staged(make(), name)
-    return _made[key]
+    made = _made.get({})
+    if (name, sf_dir) not in made:
+        made[name, sf_dir] = staged(make(), name)
+    return made[name, sf_dir]
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of orders with their place, the next one's part and the supplier's name, staged: one scan and one window a query."""
-    return _once("graph-lines", spark, sf_dir, lambda: _all_lines(spark, sf_dir))
+    return _once("graph-lines", sf_dir, lambda: _all_lines(spark, sf_dir))
 
 
 def _all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
