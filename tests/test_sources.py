@@ -30,6 +30,43 @@ def test_rss(spark, landed):
     assert got["(untitled)"].url == "https://a" and got["(untitled)"].published_at is None
 
 
+FEEDS = {
+    "v2": ("""<?xml version="1.0"?><rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:atom="http://www.w3.org/2005/Atom"><channel><title>c</title><link>https://c</link>
+<atom:link href="https://c/feed" rel="self"/><item><title><![CDATA[A & <b>B</b>]]></title><link>https://a/1</link><content:encoded><![CDATA[<p>long</p>]]></content:encoded><dc:date>2026-06-02T10:00:00+02:00</dc:date></item></channel></rss>""", "utf-8"),
+    "v1": ("""<?xml version="1.0" encoding="ISO-8859-1"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel rdf:about="x"><title>c</title></channel>
+<item rdf:about="https://b/1"><title>Übung</title><link>https://b/1</link><description>d</description><dc:date>2026-06-02T10:00:00Z</dc:date></item></rdf:RDF>""", "iso-8859-1"),
+    "v09": ("""<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://my.netscape.com/rdf/simple/0.9/"><channel><title>c</title></channel><item><title>Old</title><link>https://o/1</link></item></rdf:RDF>""", "utf-8"),
+    "atom": ("""<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>f</title><link href="https://f"/><entry><title type="html">One &amp; two</title><link rel="edit" href="https://e/edit"/><link rel="alternate" href="https://e/1"/><updated>2026-06-03T10:00:00Z</updated><summary>s</summary></entry>
+<entry><title>Two</title><link href="https://e/2"/><published>2026-06-01T10:00:00Z</published><updated>2026-06-03T10:00:00Z</updated><content>c</content></entry></feed>""", "utf-16"),
+}
+
+
+def test_feeds_of_all_kinds_under_one_type(spark, tmp_path):
+    for name, (text, charset) in FEEDS.items():
+        d = tmp_path / f"source={name}"
+        d.mkdir()
+        (d / "f.xml").write_bytes(text.encode(charset))
+    day = lambda d, h=10: dt.datetime(2026, 6, d, h)
+    got = sorted((r.source_name, r.title, r.url, r.published_at, r.summary, r.bad) for r in feeds.READERS["rss"](spark, str(tmp_path)).collect())
+    assert got == [
+        ("atom", "One & two", "https://e/1", day(3), "s", False),
+        ("atom", "Two", "https://e/2", day(1), "c", False),
+        ("v09", "Old", "https://o/1", None, None, False),
+        ("v1", "Übung", "https://b/1", day(2), "d", False),
+        ("v2", "A & <b>B</b>", "https://a/1", day(2, 8), "<p>long</p>", False),
+    ]
+
+
+def test_broken_payloads_become_errors_with_a_message(spark, landed):
+    landed("Good", "g.xml", "<rss><channel><item><title>t</title></item></channel></rss>")
+    landed("Empty", "e.xml", "<rss><channel></channel></rss>")
+    landed("Cut", "c.xml", "<rss><channel><item><title>t</ti")
+    path = landed("Page", "p.xml", "<html><body>moved</body></html>")
+    got = {r.source_name: (r.title, r.bad, r.error) for r in feeds.rss(spark, path).collect()}
+    assert got["Good"] == ("t", False, None) and "Empty" not in got
+    assert got["Cut"][1] and got["Cut"][2].startswith("ParseError: ") and got["Page"] == (None, True, "ValueError: the payload is no feed")
+
+
 def test_arxiv(spark, landed):
     path = landed("X", "x.xml", """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Two
    lines</title><link href="https://x/pdf" rel="related"/><link href="https://x/1"/><published>2026-06-02T10:00:00Z</published><summary> s </summary></entry></feed>""")
@@ -76,5 +113,5 @@ def test_a_bad_file_stops_no_other(spark, landed):
     path = landed("Bad", "b.json", "{ not json")
     sources = spark.createDataFrame([("Good", True), ("Bad", True), ("Silent", True), ("Off", False)], "name string, enabled boolean")
     items = feeds.releases(spark, path).cache()
-    got = {r.source_name: (r.item_count, r.error_count, r.ok) for r in run_report(items, sources).collect()}
-    assert got == {"Good": (1, 0, True), "Bad": (0, 1, False), "Silent": (0, 0, True)}
+    got = {r.source_name: (r.item_count, r.error_count, r.ok, r.error) for r in run_report(items, sources).collect()}
+    assert got == {"Good": (1, 0, True, None), "Bad": (0, 1, False, "JSONDecodeError: Expecting property name enclosed in double quotes: line 1 column 3 (char 2)"), "Silent": (0, 0, True, None)}
