@@ -79,14 +79,6 @@ def new_items_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intake.new_items(items, items.where("item_id % 3 = 0"), "content_hash").select("item_id")
 
 
-@query(f"""WITH {tv.RAW}, src AS (SELECT DISTINCT source_name FROM raw_item UNION SELECT 'empty'), b AS (SELECT source_name, length(trim(title)) < 20 AS bad FROM raw_item)
-SELECT s.source_name, count(*) FILTER (WHERE bad = false) AS item_count, count(*) FILTER (WHERE bad) AS error_count, count(*) FILTER (WHERE bad) = 0 AS ok FROM src s LEFT JOIN b USING (source_name) GROUP BY 1""")
-def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = tv.raw_items(spark, sf_dir).withColumn("bad", F.length(F.trim("title")) < 20)
-    names = items.select(F.col("source_name").alias("name")).distinct().unionByName(spark.createDataFrame([("empty",)], "name string"))
-    return intake.run_report(items, names.withColumn("enabled", F.lit(True)))
-
-
 # --- vectors and events
 
 
@@ -158,17 +150,16 @@ def salience_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.orderBy(class_order(), F.col("salience").desc(), "doc_id").limit(100).select("doc_id", "priority_class", "salience")
 
 
-_TITLE = "substr(replace(replace(replace(coalesce(text, ''), '\\', ' '), '\"', ' '), chr(10), ' '), 1, 60)"
 _SCORED = '"novelty": 1, "actionability": 1, "strategic_potential": 3, "hype": 1'
 #: Answers around each text's own words: by kind, the answer as SQL, and ok, relevance, category and tags.
 _ANSWERS = (
-    ("""'{"category": "' || t || '", "tags": [" a ", "", "b", 3, true, null], "scores": {"relevance": 1, """ + _SCORED + """}}'""", "true", "1", "t", "'a,b,3,True,None'"),
-    ("""'```json' || chr(10) || '{"scores": {"relevance": 5, """ + _SCORED + """}, "tags": "' || t || '"}' || chr(10) || '```'""", "true", "5", "'uncategorised'", "t"),
+    ("""'{"category": "' || j || '", "tags": [" a ", "", "b", 3, true, null], "scores": {"relevance": 1, """ + _SCORED + """}}'""", "true", "1", "t", "'a,b,3,True,None'"),
+    ("""'```json' || chr(10) || '{"scores": {"relevance": 5, """ + _SCORED + """}, "tags": "' || j || '"}' || chr(10) || '```'""", "true", "5", "'uncategorised'", "t"),
     ("""t || ' {"category": "x {y}", "scores": {"relevance": 4, """ + _SCORED + """}} Bye.'""", "true", "4", "'x {y}'", "''"),
-    ("""'{"category": "' || t || '", "scores": {"relevance": 9, """ + _SCORED + """}}'""", "false", "0", "''", "''"),
-    ("""'{"category": "' || t || '", "tags": {"a": 1}, "scores": {"relevance": "4", """ + _SCORED + """}}'""", "true", "4", "t", "''"),
+    ("""'{"category": "' || j || '", "scores": {"relevance": 9, """ + _SCORED + """}}'""", "false", "0", "''", "''"),
+    ("""'{"category": "' || j || '", "tags": {"a": 1}, "scores": {"relevance": "4", """ + _SCORED + """}}'""", "true", "4", "t", "''"),
     ("""'{"category": null, "scores": {"relevance": 4, """ + _SCORED + """}}'""", "false", "0", "''", "''"),
-    ("""'{"category": "' || t || '", "tags": "[wip] x", "scores": {"relevance": 3.0, """ + _SCORED + """}}'""", "true", "3", "t", "'[wip] x'"),
+    ("""'{"category": "' || j || '", "tags": "[wip] x", "scores": {"relevance": 3.0, """ + _SCORED + """}}'""", "true", "3", "t", "'[wip] x'"),
     ("""'{"scores": {"relevance": 2.5, """ + _SCORED + """}} ' || t""", "false", "0", "''", "''"),
     ("t", "false", "0", "''", "''"),
 )
@@ -178,14 +169,19 @@ def _chosen(column: int) -> str:
     return "CASE doc_id % 9 " + " ".join(f"WHEN {i} THEN {a[column]}" for i, a in enumerate(_ANSWERS)) + " END"
 
 
+#: Characters of the words that end or hide what is around them, so that SQL can tell the result.
+_HIDING = r"[\x00-\x1f{}]"
+
+
 def _answers(spark: SparkSession, sf_dir: str, answer: str) -> DataFrame:
-    """Answers of an outside model that hold the words of the given texts."""
-    # characters that end or hide what is around them are left out of the words, so that SQL can tell the result
-    t = F.regexp_replace(F.expr(_TITLE.replace("chr(10)", "'\\n'").replace("'\\', ' '", "'\\\\', ' '")), r"[\x00-\x1f{}]", " ")
-    return tv.read(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", "t", F.expr(answer.replace("chr(10)", "'\\n'")).alias("text"))
+    """Answers of an outside model that hold the words t of the whole texts, written as j inside JSON."""
+    d = tv.read(spark, sf_dir, "documents").select("doc_id", "source", F.regexp_replace(F.coalesce("text", F.lit("")), _HIDING, " ").alias("t"))
+    d = d.withColumn("j", F.replace(F.replace("t", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')))
+    return d.select("doc_id", "source", "t", F.expr(answer.replace("chr(10)", "'\n'")).alias("text"))
 
 
-_TEXTS = f"WITH d AS (SELECT doc_id, regexp_replace({_TITLE}, '[\\x00-\\x1f{{}}]', ' ', 'g') AS t FROM documents)"
+_TEXTS = rf"""WITH d0 AS (SELECT doc_id, coalesce(nullif(source, ''), 'none') AS source, regexp_replace(coalesce(text, ''), '{_HIDING}', ' ', 'g') AS t FROM documents),
+d AS (SELECT *, replace(replace(t, '\', '\\'), '"', '\"') AS j FROM d0)"""
 
 
 @query(f"""{_TEXTS}, e AS (SELECT doc_id, {_chosen(1)} AS ok, {_chosen(2)} AS relevance, {_chosen(3)} AS category, {_chosen(4)} AS tags FROM d)
@@ -195,7 +191,7 @@ def payload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ok", *[F.when(F.col("ok"), c).alias(n) for n, c in (("relevance", F.col("relevance")), ("category", F.col("category")), ("tags", F.array_join("tags", ",")))])
 
 
-_SUMMARY = """CASE doc_id % 4 WHEN 0 THEN '{"summary": "' || t || '", "why_it_matters": "w"}' WHEN 1 THEN '{"summary": 5}' WHEN 2 THEN '{"summary": "' || t || '", "recommended_action": null}' ELSE 'Well: {"summary": "' || t || '"} ok' END"""
+_SUMMARY = """CASE doc_id % 4 WHEN 0 THEN '{"summary": "' || j || '", "why_it_matters": "w"}' WHEN 1 THEN '{"summary": 5}' WHEN 2 THEN '{"summary": "' || j || '", "recommended_action": null}' ELSE 'Well: {"summary": "' || j || '"} ok' END"""
 
 
 @query(f"""{_TEXTS} SELECT doc_id, doc_id % 4 IN (0, 3) AS ok, CASE WHEN doc_id % 4 IN (0, 3) THEN t END AS summary, CASE doc_id % 4 WHEN 0 THEN 'w' WHEN 3 THEN '' END AS why_it_matters FROM d""")
@@ -204,7 +200,7 @@ def summary_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ok", F.when(F.col("ok"), F.col("summary")).alias("summary"), F.when(F.col("ok"), F.col("why_it_matters")).alias("why_it_matters"))
 
 
-_WEAK = """CASE doc_id % 6 WHEN 0 THEN '{"is_weak_signal": true, "horizon": " Near ", "rationale": "' || t || '"}' WHEN 1 THEN '{"is_weak_signal": "yes", "horizon": "' || t || '"}' WHEN 2 THEN '{"is_weak_signal": 1}' WHEN 3 THEN '{"is_weak_signal": 2, "rationale": "' || t || '"}' WHEN 4 THEN '{"horizon": null}' ELSE '{"rationale": 3}' END"""
+_WEAK = """CASE doc_id % 6 WHEN 0 THEN '{"is_weak_signal": true, "horizon": " Near ", "rationale": "' || j || '"}' WHEN 1 THEN '{"is_weak_signal": "yes", "horizon": "' || j || '"}' WHEN 2 THEN '{"is_weak_signal": 1}' WHEN 3 THEN '{"is_weak_signal": 2, "rationale": "' || j || '"}' WHEN 4 THEN '{"horizon": null}' ELSE '{"rationale": 3}' END"""
 
 
 @query(f"""{_TEXTS} SELECT doc_id, doc_id % 6 NOT IN (3, 5) AS ok, doc_id % 6 IN (0, 1, 2) AS is_weak_signal, CASE WHEN doc_id % 6 = 0 THEN 'near' WHEN doc_id % 6 = 1 AND lower(trim(t)) IN ('near', 'mid', 'far') THEN lower(trim(t)) END AS horizon FROM d""")
@@ -213,7 +209,7 @@ def weak_signal_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "ok", (F.col("ok") & F.col("is_weak_signal")).alias("is_weak_signal"), "horizon")
 
 
-_GRAPH = """CASE doc_id % 5 WHEN 0 THEN '{"entities": [{"name": " a' || t || ' ", "type": "tool"}, {"name": "b", "type": "org"}], "relationships": [{"subject": "a", "predicate": "uses", "object": "b"}]}' WHEN 1 THEN '{"entities": [{"name": "a' || t || '", "type": "alien"}]}' WHEN 2 THEN '{"entities": [{"name": 5, "type": "tool"}]}' WHEN 3 THEN '{"relationships": [{"subject": " ", "predicate": "p", "object": "o"}], "note": "' || t || '"}' ELSE '{}' END"""
+_GRAPH = """CASE doc_id % 5 WHEN 0 THEN '{"entities": [{"name": " a' || j || ' ", "type": "tool"}, {"name": "b", "type": "org"}], "relationships": [{"subject": "a", "predicate": "uses", "object": "b"}]}' WHEN 1 THEN '{"entities": [{"name": "a' || j || '", "type": "alien"}]}' WHEN 2 THEN '{"entities": [{"name": 5, "type": "tool"}]}' WHEN 3 THEN '{"relationships": [{"subject": " ", "predicate": "p", "object": "o"}], "note": "' || j || '"}' ELSE '{}' END"""
 
 
 @query(f"""{_TEXTS} SELECT doc_id, doc_id % 5 IN (0, 4) AS ok, CASE WHEN doc_id % 5 = 0 THEN trim('a' || t) || ':tool,b:org' ELSE '' END AS entities, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS n_relationships FROM d""")
@@ -695,29 +691,73 @@ def _land(df: DataFrame, path: str, wrap: str | None = None) -> str:
     return path
 
 
-_LANDED = _TEXTS.replace("SELECT doc_id,", "SELECT doc_id, coalesce(nullif(source, ''), 'none') AS source,")
+_XML = "replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
 
+def _land_feed(df: DataFrame, path: str, head: str, foot: str) -> str:
+    """Rows (source, part, r) of entries as one feed for each part below folders of their sources."""
+    text = F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list("r")), ""), F.lit(foot))
+    df.groupBy("source", "part").agg(text.alias("value")).select("source", "value").write.partitionBy("source").option("maxRecordsPerFile", 1).option("lineSep", "\x00").text(path)
+    return path
 
-@query(_LANDED + """ SELECT source AS source_name, 'https://x.example/' || doc_id AS url,
-['github_releases', 'github_changes', 'github_new_repos'][doc_id % 3 + 1] AS source_type,
-CASE doc_id % 3 WHEN 0 THEN CASE WHEN doc_id % 2 = 0 AND t <> '' THEN t ELSE 'v' || doc_id END WHEN 1 THEN CASE WHEN doc_id % 4 = 1 THEN '[PR] ' ELSE '[issue] ' END || CASE WHEN t = '' THEN '(untitled issue)' ELSE t END ELSE 'New repo: o/' || doc_id END AS title,
-t AS summary FROM d WHERE source <> (SELECT max(source) FROM d)""")
+
+@query(_TEXTS + rf""", k AS (SELECT *, ['github_releases', 'github_changes', 'github_new_repos', 'github_advisories', 'rss', 'arxiv', 'github_star_velocity'][doc_id % 7 + 1] AS source_type, {tv.trim_sql('t')} AS w FROM d)
+SELECT source AS source_name, 'https://x.example/' || doc_id AS url, source_type,
+CASE source_type WHEN 'github_releases' THEN CASE WHEN doc_id % 2 = 0 AND t <> '' THEN t ELSE 'v' || doc_id END
+  WHEN 'github_changes' THEN CASE WHEN doc_id % 4 = 1 THEN '[PR] ' ELSE '[issue] ' END || CASE WHEN t = '' THEN '(untitled issue)' ELSE t END
+  WHEN 'github_new_repos' THEN 'New repo: o/' || doc_id
+  WHEN 'github_advisories' THEN substr('Advisory G-' || doc_id || ': ' || CASE WHEN t = '' THEN '(no summary)' ELSE t END, 1, 300)
+  WHEN 'rss' THEN CASE WHEN w = '' THEN '(untitled)' ELSE w END WHEN 'arxiv' THEN CASE WHEN w = '' THEN '(untitled)' ELSE {tv.spaces_sql('w')} END
+  ELSE 'o/' || doc_id || ' gained ' || (doc_id % 50 - 25) || ' stars (now ' || (doc_id % 50) || ')' END AS title,
+CASE source_type WHEN 'github_changes' THEN substr(t, 1, 1000) WHEN 'github_advisories' THEN '[severity: low] ' || CASE WHEN t = '' THEN '(no summary)' ELSE t END WHEN 'rss' THEN 'd' || doc_id WHEN 'arxiv' THEN 's' || doc_id ELSE t END AS summary,
+CASE source_type WHEN 'rss' THEN '2026-06-02 08:00:00' WHEN 'arxiv' THEN '2026-06-03 10:00:00' WHEN 'github_star_velocity' THEN '2026-06-20 00:00:00' END AS published_at
+FROM k WHERE source <> (SELECT max(source) FROM d) AND (source_type <> 'github_star_velocity' OR (doc_id % 2 = 0 AND doc_id % 50 > 25))""")
 def landed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents landed as payloads of three kinds below one folder a source, read back as items of the enabled sources."""
-    d = _answers(spark, sf_dir, "t").join(tv.read(spark, sf_dir, "documents").select(F.col("doc_id"), F.coalesce(F.nullif("source", F.lit("")), F.lit("none")).alias("source")), "doc_id")
-    d = d.withColumns({"part": F.expr("doc_id div 500"), "html_url": F.concat(F.lit("https://x.example/"), F.col("doc_id").cast("string"))})
+    """Documents landed as payloads of all seven types below one folder a source, feeds in two kinds, read back as items of the enabled sources."""
+    d = _answers(spark, sf_dir, "t").select("doc_id", "t", F.coalesce(F.nullif("source", F.lit("")), F.lit("none")).alias("source"))
+    key = F.col("doc_id").cast("string")
+    d = staged(d.withColumns({"part": F.expr("doc_id div 500"), "html_url": F.concat(F.lit("https://x.example/"), key), "key": key}), "to-land")
+    of = lambda i: d.where(f"doc_id % 7 = {i}")
     name = F.when(F.col("doc_id") % 2 == 0, F.col("t")).otherwise("")
     pr = F.when(F.col("doc_id") % 4 == 1, F.struct(F.lit("p").alias("url")))
-    key = F.col("doc_id").cast("string")
+    repo = F.struct(F.concat(F.lit("o/"), "key").alias("full_name"), "html_url", F.col("t").alias("description"), (F.col("doc_id") % 50).alias("stargazers_count"))
     kinds = {
-        "github_releases": (F.struct(name.alias("name"), F.concat(F.lit("v"), key).alias("tag_name"), "html_url", F.col("t").alias("body")), None),
-        "github_changes": (F.struct(F.col("t").alias("title"), "html_url", F.col("t").alias("body"), pr.alias("pull_request")), None),
-        "github_new_repos": (F.struct(F.concat(F.lit("o/"), key).alias("full_name"), "html_url", F.col("t").alias("description")), "items"),
+        "github_releases": (0, F.struct(name.alias("name"), F.concat(F.lit("v"), "key").alias("tag_name"), "html_url", F.col("t").alias("body")), None),
+        "github_changes": (1, F.struct(F.col("t").alias("title"), "html_url", F.col("t").alias("body"), pr.alias("pull_request")), None),
+        "github_new_repos": (2, repo, "items"),
+        "github_advisories": (3, F.struct(F.concat(F.lit("G-"), "key").alias("ghsa_id"), F.col("t").alias("summary"), F.lit("").alias("description"), F.lit("low").alias("severity"), "html_url"), None),
+        "github_star_velocity": (6, repo, "items"),
     }
-    folders = {k: _land(d.where(f"doc_id % 3 = {i}").select("source", "part", r.alias("r")), new_path(spark, f"landed-{k}"), wrap) for i, (k, (r, wrap)) in enumerate(kinds.items())}
+    folders = {k: _land(of(i).select("source", "part", r.alias("r")), new_path(spark, f"landed-{k}"), wrap) for k, (i, r, wrap) in kinds.items()}
+    title = F.expr(_XML)
+    channel = F.concat(F.lit("<item><title>"), title, F.lit("</title><link>"), "html_url", F.lit("</link><description>d"), "key", F.lit("</description><pubDate>Tue, 02 Jun 2026 10:00:00 +0200</pubDate></item>"))
+    entry = lambda mark: F.concat(F.lit("<entry><title>"), title, F.lit('</title><link rel="alternate" href="'), "html_url", F.lit(f'"/><summary>{mark}'), "key", F.lit("</summary>"))
+    when = lambda inner: F.lit(f"{inner}</entry>")
+    atom = ('<?xml version="1.0" encoding="UTF-8"?><feed xmlns="http://www.w3.org/2005/Atom">', "</feed>")
+    rss, odd = new_path(spark, "landed-rss"), F.expr("doc_id div 7 % 2 = 1")
+    _land_feed(of(4).where(~odd).select("source", "part", channel.alias("r")), f"{rss}/kind=rss", '<?xml version="1.0"?><rss version="2.0"><channel><title>c</title>', "</channel></rss>")
+    _land_feed(of(4).where(odd).select("source", "part", F.concat(entry("d"), when("<updated>2026-06-02T08:00:00Z</updated>")).alias("r")), f"{rss}/kind=atom", *atom)
+    folders["rss"] = rss
+    folders["arxiv"] = _land_feed(of(5).select("source", "part", F.concat(entry("s"), when("<published>2026-06-03T10:00:00Z</published><updated>2026-06-04T10:00:00Z</updated>")).alias("r")), new_path(spark, "landed-arxiv"), *atom)
     names = d.select(F.col("source").alias("name")).distinct()
     sources = names.crossJoin(F.broadcast(names.agg(F.max("name").alias("last")))).select("name", (F.col("name") != F.col("last")).alias("enabled"), F.lit("u").alias("url"))
-    return readers.all_items(spark, folders, sources).select("source_name", "source_type", "title", "url", "summary")
+    before = of(6).where("doc_id % 2 = 0").select(F.concat(F.lit("o/"), "key").alias("repo_full_name"), F.lit(25).cast("long").alias("stars"), _now("2026-06-01").alias("captured_at"))
+    return readers.all_items(spark, folders, sources, before, _now("2026-06-20")).select("source_name", "source_type", "title", "url", "summary", _time("published_at").alias("published_at"))
+
+
+@query("""WITH d AS (SELECT doc_id, coalesce(nullif(source, ''), 'none') AS source FROM documents), last AS (SELECT max(source) AS m, min(source) AS l FROM d),
+r AS (SELECT source AS source_name, count(*) FILTER (WHERE source <> m) AS item_count, count(DISTINCT doc_id // 500) FILTER (WHERE source = m OR (source = l AND l <> m)) AS error_count, any_value(m) AS m FROM d, last GROUP BY 1 UNION ALL SELECT 'silent', 0, 0, NULL)
+SELECT source_name, item_count, error_count, CASE WHEN error_count > 0 THEN CASE WHEN source_name = m THEN 'JSONDecodeError: Expecting value: line 1 column 1 (char 0)' ELSE 'JSONDecodeError: Expecting '':'' delimiter: line 1 column 10 (char 9)' END END AS error, error_count = 0 AS ok FROM r""")
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Release payloads of all sources; the first source has broken ones besides good ones, the last one nothing else."""
+    d = tv.read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.nullif("source", F.lit("")), F.lit("none")).alias("source"))
+    d = d.crossJoin(F.broadcast(d.agg(F.max("source").alias("m"), F.min("source").alias("l")))).withColumn("part", F.expr("doc_id div 500"))
+    path = new_path(spark, "landed-report")
+    _land(d.where("source <> m").select("source", "part", F.struct(F.col("doc_id").cast("string").alias("name")).alias("r")), f"{path}/kind=good")
+    broken = d.where("source = m OR source = l").groupBy("source", "part").agg(F.first(F.when(F.col("source") == F.col("m"), "oops").otherwise('[{"name" 1}]')).alias("value"))
+    broken.select("source", "value").write.partitionBy("source").option("maxRecordsPerFile", 1).text(f"{path}/kind=broken")
+    names = d.select(F.col("source").alias("name")).distinct().unionByName(spark.createDataFrame([("silent",)], "name string"))
+    return intake.run_report(readers.releases(spark, path), names.withColumn("enabled", F.lit(True)))
 
 
 # --- registry

@@ -151,8 +151,16 @@ def scores_sql(key: str) -> str:
     return _scores.format(k=key)
 
 
+def spaces_sql(c: str) -> str:
+    return rf"regexp_replace({c}, '[\s\x0b\x1c-\x1f]+', ' ', 'g')"
+
+
+def trim_sql(c: str) -> str:
+    return rf"regexp_replace({c}, '^[\s\x0b\x1c-\x1f]+|[\s\x0b\x1c-\x1f]+$', '', 'g')"
+
+
 def norm_sql(c: str) -> str:
-    return rf"trim(regexp_replace(lower(coalesce({c}, '')), '[\s\x0b\x1c-\x1f]+', ' ', 'g'))"
+    return f"trim({spaces_sql(f'lower(coalesce({c}, {chr(39) * 2}))')})"
 
 
 RAW = f"""raw0 AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents),
