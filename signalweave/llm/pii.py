@@ -31,8 +31,8 @@ from signalweave.llm.text import filled
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: The order of kinds at one start; the method knows the last ones besides.
 KINDS = (*BASE_KINDS, "iban", "id", "secret")
-#: A segment has so many atoms at most; so many are scored at a time; rows and lines that weights are fitted on.
-ATOMS, STEP, SAMPLE_ROWS, SAMPLE_LINES = 16, 4096, 256, 400
+#: A segment has so many atoms and spaces between them at most; so many starts are scored at a time; rows and lines that weights are fitted on.
+ATOMS, SPACES, STEP, SAMPLE_ROWS, SAMPLE_LINES = 16, 8, 4096, 256, 400
 
 # --- base patterns
 
@@ -160,7 +160,7 @@ class Atoms:
 
 
 def segments(a: Atoms, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last atom of the candidates that start at atoms low to high - 1: inside an island, with a digit or an at sign, ending on letters or digits."""
+    """First and last atom of the candidates that start at atoms low to high - 1: inside an island, with a digit or an at sign, ending on letters or digits, with SPACES spaces at most."""
     first = np.repeat(np.arange(low, high), ATOMS)
     last = first + np.tile(np.arange(ATOMS), high - low)
     keep = last < len(a.start)
@@ -168,6 +168,7 @@ def segments(a: Atoms, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     keep = a.island[first] == a.island[last]
     keep &= (a.kind[first] <= 3) | np.isin(a.kind[first], [_MARK["+"], _MARK["("], _MARK[":"]])
     keep &= (a.kind[last] <= 3) | (a.kind[last] == _MARK["="]) | (a.kind[last] == _MARK[":"])
+    keep &= a.gaps[last + 1] - a.gaps[first + 1] <= SPACES
     keep &= np.any([sums[last + 1] > sums[first] for sums in (a.digits, *(a.marks[c] for c in "@([{"))], axis=0)
     return first[keep], last[keep]
 
