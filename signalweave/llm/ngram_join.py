@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -189,6 +190,27 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
+HELD = (pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+
+
+def _slot(ids: np.ndarray) -> np.ndarray:
+    return (mixed(ids.view("u8")) & _MASK).astype("i8")
+
+
+def _bits_of(ids: DataFrame) -> Broadcast:
+    """A sketch of a column of ids, of fixed size: what is not in it is none of them. Where it fills up, all rows pass."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = Sketch()
+        for batch in batches:
+            sketch.counts[_slot(batch.column(0).to_numpy())] = 1
+        for part, blob in sketch.blobs():
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
+
+    found = sketch_total(ids.coalesce(16).mapInArrow(count, "part int, blob binary")) > 0
+    return ids.sparkSession.sparkContext.broadcast(zlib.compress(np.packbits(found).tobytes(), 1))
+
+
 def links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
     """Of the pairs (a, b, s) of classes those whose overlap reaches the bound, and of the groups (s, c) enough links to connect what is connected.
 
@@ -202,24 +224,45 @@ def links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, groups: DataFra
     members = split.select("g", F.explode(F.array("a", "b")).alias("c")).distinct().withColumn("whole", F.lit(False))
     members = staged(members.unionByName(groups.select(F.col("s").alias("g"), "c", F.lit(True).alias("whole"))), "members")
     # a class's set comes from the text of its smallest id; other texts under that id make sets of other classes
-    needed = classes.join(members.select("c").distinct(), "c", "left_semi").select("c", "fp", "class_id", "n")
+    groups_of = members.groupBy("c").agg(F.collect_list(F.struct("g", "whole")).alias("gs"))
+    needed = staged(classes.join(groups_of, "c").select("c", "fp", F.col("class_id").alias("of"), "n", "gs"), "needed")
+    total = needed.agg(F.sum(F.col("n") * F.size("gs"))).first()[0] or 0
+    n = max(parts(spark), -(-8 * total // (8 << 20)))
+    wanted = _bits_of(needed.select("of"))
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(wanted.value), "u1")).astype(bool)
+        for batch in batches:
+            ids = batch.column("doc_id")
+            yield batch.filter(pa.array(bits[_slot(ids.fill_null(0).to_numpy())] & ~ids.is_null().to_numpy(zero_copy_only=False)))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, out, size = ["h", "doc_id", "whole", "blob"], [], 0
         for batch in batches:
             for part in batch_slices(batch, "text"):
-                sets = _sets(part, k)
-                yield pa.record_batch({"of": pa.array([xxhash.xxh3_128_digest(s.data) if len(s) else None for s in sets], pa.binary()), "blob": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-    some = rows.join(needed.select(F.col("class_id").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = needed.join(some.mapInArrow(make, "of binary, blob binary"), F.col("fp") == F.col("of")).select("c", "blob").dropDuplicates(["c"])
-    held = members.join(sets, "c").select(F.col("g").alias("h"), F.col("c").alias("doc_id"), "whole", "blob")
-    total = members.join(classes, "c").agg(F.sum("n")).first()[0] or 0
-    n = max(parts(spark), -(-8 * total // (8 << 20)))
+                for c, fp, gs, found in zip(part.column("c").to_pylist(), part.column("fp").to_pylist(), part.column("gs").to_pylist(), _sets(part, k)):
+                    if not len(found) or xxhash.xxh3_128_digest(found.data) != fp:
+                        continue
+                    blob = found.tobytes()
+                    for g in gs:
+                        out.append((g["g"], c, g["whole"], blob))
+                        size += len(blob)
+                        if size >= 8 << 20:
+                            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), HELD)], names=names)
+                            out, size = [], 0
+        if out:
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), HELD)], names=names)
+
+    some = rows.mapInArrow(likely, rows.schema).join(needed.select("c", "fp", "of", "gs").hint("shuffle_hash"), F.col("doc_id") == F.col("of")).select("text", "c", "fp", "gs")
+    held = some.mapInArrow(make, "h long, doc_id long, whole boolean, blob binary")
 
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
         g, docs, whole, blobs = right.column("h").to_numpy(), right.column("doc_id").to_numpy(), right.column("whole").to_numpy(), right.column("blob").combine_chunks()
         pg, pa_, pb = (left.column(c).to_numpy() for c in ("g", "a", "b"))
         by, pby = np.lexsort((docs, whole, g)), np.argsort(pg, kind="stable")
+        if len(by):  # rows that were repeated have brought their set again
+            g_, d_, w_ = g[by], docs[by], whole[by]
+            by = by[np.concatenate([[True], (g_[1:] != g_[:-1]) | (d_[1:] != d_[:-1]) | (w_[1:] != w_[:-1])])]
         g, docs, whole, pg = g[by], docs[by], whole[by], pg[pby]
         first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (whole[1:] != whole[:-1])])) if len(g) else np.zeros(0, "i8")
         out_a, out_b = [np.zeros(0, "i8")], [np.zeros(0, "i8")]
