@@ -35,7 +35,27 @@ def convergence(entities: DataFrame, mentions: DataFrame, items: DataFrame, inte
     small = hits.groupBy("entity_id", "source_name", "event_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
     sources = [F.array_sort(F.collect_set("source_name")).alias("source_names")] if names else []
     stats = small.groupBy("entity_id").agg(F.count_distinct("source_name").alias("distinct_sources"), F.sum("n").alias("mentions"), F.max("last_ts").alias("last_ts"), F.count_distinct("event_id").alias("event_count"), *sources)
-    out = entities.join(stats, "entity_id", "left").join(degrees(interactions, since), "entity_id", "left")
+    return _with_zeros(entities.join(stats, "entity_id", "left").join(degrees(interactions, since), "entity_id", "left"), names)
+
+
+def convergence_of_events(entities: DataFrame, ends: DataFrame, items: DataFrame, interactions: DataFrame, since: Column | None = None, names: bool = True, at: str = "published_at") -> DataFrame:
+    """As convergence() where every item of an event mentions every entity of it: ends are (event_id, entity_id), one a pair, and items (event_id, source_name, published_at).
+
+    Mentions are not formed. An event's items are summed up first (how many, the latest, which sources), the sums meet
+    the event's entities, and only sums by (entity, source) are shuffled: an event counts with the first of its sources.
+    """
+    per_source = in_window(items, since, at).groupBy("event_id", "source_name").agg(F.count("*").alias("n"), F.max(at).alias("ts"))
+    per_event = per_source.groupBy("event_id").agg(F.sum("n").alias("n"), F.max("ts").alias("ts"), F.collect_list("source_name").alias("named"), F.count_if(F.col("source_name").isNull()).alias("unnamed"))
+    sources = F.concat("named", F.when(F.col("unnamed") > 0, F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>")))
+    hits = ends.join(per_event.select("event_id", "n", "ts", sources.alias("sources")), "event_id").select("entity_id", "n", "ts", F.posexplode("sources").alias("i", "source_name"))
+    once = lambda c: F.sum(F.when(F.col("i") == 0, c).otherwise(0))
+    small = hits.groupBy("entity_id", "source_name").agg(once(F.col("n")).alias("mentions"), once(F.lit(1)).alias("event_count"), F.max("ts").alias("last_ts"))
+    listed = [F.array_sort(F.collect_list("source_name")).alias("source_names")] if names else []
+    stats = small.groupBy("entity_id").agg(F.count("source_name").alias("distinct_sources"), F.sum("mentions").alias("mentions"), F.max("last_ts").alias("last_ts"), F.sum("event_count").alias("event_count"), *listed)
+    return _with_zeros(entities.join(stats, "entity_id", "left").join(degrees(interactions, since), "entity_id", "left"), names)
+
+
+def _with_zeros(out: DataFrame, names: bool) -> DataFrame:
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("distinct_sources", "mentions", "event_count", "degree")}
     return out.withColumns(zero | ({"source_names": F.coalesce("source_names", F.array().cast("array<string>"))} if names else {}))
 

@@ -383,7 +383,7 @@ def graph_view_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stats(spark: SparkSession, sf_dir: str, windowed: bool) -> DataFrame:
-    return cv.convergence(tv.graph_entities(spark, sf_dir), tv.graph_mentions(spark, sf_dir), tv.graph_items(spark, sf_dir), tv.graph_interactions(spark, sf_dir), _since() if windowed else None)
+    return cv.convergence_of_events(tv.graph_entities(spark, sf_dir), tv.graph_ends(spark, sf_dir), tv.graph_items(spark, sf_dir), tv.graph_interactions(spark, sf_dir), _since() if windowed else None)
 
 
 def _scored(spark: SparkSession, sf_dir: str, windowed: bool = True) -> DataFrame:

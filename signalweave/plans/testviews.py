@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from signalweave.functions.scoring import priority_class
+from signalweave.operators.convergence import event_entities
 from signalweave.params import SOURCE_TYPES
 from signalweave.tables import staged
 
@@ -99,10 +100,14 @@ def graph_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), _pick(kinds, "p_partkey % 6").alias("type"))
 
 
+def graph_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts in relations of an order, each once."""
+    return event_entities(graph_relations(spark, sf_dir))
+
+
 def graph_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item of an order mentions every part in a relation of it, once."""
-    ends = graph_relations(spark, sf_dir).select("event_id", F.explode(F.array("subject", "object")).alias("entity_id")).distinct()
-    return graph_items(spark, sf_dir).select("item_id", "event_id", "source_name", F.col("published_at").alias("ts")).join(ends, "event_id").select("item_id", "entity_id", "event_id", "source_name", "ts")
+    return graph_items(spark, sf_dir).select("item_id", "event_id", "source_name", F.col("published_at").alias("ts")).join(graph_ends(spark, sf_dir), "event_id").select("item_id", "entity_id", "event_id", "source_name", "ts")
 
 
 def graph_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
