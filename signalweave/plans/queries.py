@@ -798,19 +798,62 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("SELECT user_id, strftime(min(ts), '%Y-%m-%d') AS month, count(*) OVER () AS n_keys FROM events GROUP BY user_id, date_trunc('month', ts)".replace("min(ts), '%Y-%m-%d'", "date_trunc('month', ts), '%Y-%m-%d'"))
-def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    month = F.date_trunc("month", "ts")
-    items = _stream(spark, sf_dir).select(F.col("ts").alias("arrived_at"), "user_id", month.alias("month"), dedup_key(F.lit("s"), F.lit("u"), F.col("user_id").cast("string"), month).alias("dedup_key"))
-    out = streams.drained(streams.intake(items, "3650 days"), "stream-dedup")
-    return out.select("user_id", F.date_format("month", "yyyy-MM-dd").alias("month"), F.expr("count(*) OVER ()").alias("n_keys"))
+def _arriving(parts: list[DataFrame], name: str) -> tuple[DataFrame, list[Callable[[], None]]]:
+    """A file stream of the first part, and what lands each of the others."""
+    spark = parts[0].sparkSession
+    path = new_path(spark, name)
+    parts[0].write.parquet(path)
+    return spark.readStream.schema(parts[0].schema).parquet(path), [lambda df=df: df.write.mode("append").parquet(path) for df in parts[1:]]
+
+
+#: When a row of events comes: in one of three turns by its time, or long after it.
+_TURN = "CASE WHEN event_id % 10 = 0 AND ts < TIMESTAMP '2024-01-08' THEN 3 WHEN ts < TIMESTAMP '2024-01-11' THEN 0 WHEN ts < TIMESTAMP '2024-01-21' THEN 1 ELSE 2 END"
 
 
-@query("""SELECT strftime(time_bucket(INTERVAL 30 DAYS, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, user_id AS entity_id, count(*) AS mentions, count(DISTINCT event_type) AS distinct_sources, count(DISTINCT event_id) AS event_count FROM events GROUP BY 1, 2""")
+def _in_turns(spark: SparkSession, sf_dir: str, turn: str, n: int, name: str) -> tuple[DataFrame, list[Callable[[], None]]]:
+    rows = tv.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _arriving([rows.where(f"{turn} = {i}") for i in range(n)], name)
+
+
+@query("""WITH k AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, arg_min(event_id, (ts, event_id)) AS first FROM events GROUP BY 1, 2) SELECT user_id, day, first FROM k""")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event a user and day: days come in order, and of a day's rows the first comes before the others."""
+    rows = tv.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    day = F.date_format("ts", "yyyy-MM-dd")
+    first = rows.groupBy("user_id", day.alias("day")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first"))
+    rows = rows.withColumn("day", day).join(first, ["user_id", "day"]).withColumn("dedup_key", dedup_key(F.lit("s"), F.lit("u"), F.col("user_id").cast("string"), F.date_trunc("day", "ts")))
+    rows = staged(rows.select(F.col("ts").alias("arrived_at"), "user_id", "day", "event_id", "first", "dedup_key"), "to-arrive")
+    stream, later = _arriving([rows.where("event_id = first"), rows.where("event_id <> first")], "arriving-items")
+    return streams.drained(streams.intake(stream, "3650 days"), "stream-dedup", arrivals=later).select("user_id", "day", F.col("event_id").alias("first"))
+
+
+@query(f"""WITH e AS (SELECT *, {_TURN} AS turn FROM events), w AS (SELECT *, time_bucket(INTERVAL 5 DAYS, ts, TIMESTAMP '1970-01-01') - to_days(5 * k) AS start FROM e, (SELECT unnest([0, 1]) AS k) WHERE turn < 3)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, user_id AS entity_id, count(*) AS mentions, count(DISTINCT event_type) AS distinct_sources, count(DISTINCT event_id // 3) AS event_count
+FROM w WHERE start + INTERVAL 10 DAYS <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2""")
 def stream_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mentions = _stream(spark, sf_dir).select("ts", F.col("user_id").alias("entity_id"), F.col("event_type").alias("source_name"), "event_id")
-    out = streams.drained(streams.windowed_convergence(mentions, "30 days", "30 days"), "stream-convergence", "complete")
-    return out.select(_time("start").alias("start"), "entity_id", "mentions", F.col("distinct_sources").cast("long").alias("distinct_sources"), F.col("event_count").cast("long").alias("event_count"))
+    """Sliding windows once they are closed; rows that come after that are left out."""
+    stream, later = _in_turns(spark, sf_dir, _TURN, 4, "arriving-mentions")
+    mentions = stream.select("ts", F.col("user_id").alias("entity_id"), F.col("event_type").alias("source_name"), F.expr("event_id div 3").alias("event_id"))
+    out = streams.drained(streams.windowed_convergence(mentions, "10 days", "5 days"), "stream-convergence", arrivals=later)
+    return out.select(_time("start").alias("start"), "entity_id", "mentions", "distinct_sources", "event_count")
+
+
+_KINDS = "CASE event_type WHEN 'purchase' THEN 'useful' WHEN 'signup' THEN 'save' WHEN 'error' THEN 'not_useful' WHEN 'view' THEN 'ignore' ELSE event_type END"
+
+
+@query(f"""WITH k AS (SELECT user_id AS known, min(ts) + INTERVAL 12 DAY AS since FROM events WHERE user_id % 3 <> 0 GROUP BY 1), f AS (SELECT event_id AS id, user_id AS event_id, {_KINDS} AS action, ts FROM events),
+j AS (SELECT f.*, known FROM f LEFT JOIN k ON f.event_id = known AND k.since <= f.ts + INTERVAL 10 DAYS)
+SELECT id, action, CASE WHEN action NOT IN ('useful', 'not_useful', 'save', 'ignore') THEN 'unknown action' WHEN known IS NULL THEN 'unknown event' END AS reason FROM j
+WHERE known IS NOT NULL OR ts + INTERVAL 10 DAYS < (SELECT least((SELECT max(ts) FROM events), (SELECT max(since) FROM k)) - INTERVAL 1 DAY)""")
+def stream_feedback_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feedback that waits for its event, twelve days after the first one at the earliest; what has waited ten days goes out with a reason."""
+    rows = tv.read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    known = staged(rows.where("user_id % 3 <> 0").groupBy(F.col("user_id").alias("event_id")).agg((F.min("ts") + F.expr("interval 12 days")).alias("at")), "known-events")
+    log = rows.select(F.col("event_id").alias("id"), F.col("user_id").alias("event_id"), F.expr(_KINDS).alias("action"), F.col("ts").alias("created_at"))
+    feedback, more_feedback = _arriving([log.where("created_at < '2024-01-15'"), log.where("created_at >= '2024-01-15'")], "arriving-feedback")
+    events_, more_events = _arriving([known.where("at < '2024-01-14'"), known.where("at >= '2024-01-14'")], "arriving-events")
+    both = [lambda: [land() for land in (*more_feedback, *more_events)]]
+    return streams.drained(streams.checked_feedback(feedback, events_), "stream-feedback-checked", arrivals=both).select("id", "action", "reason")
 
 
 @query(f"WITH {tv.FEEDBACK} SELECT event_id, action, weight, hidden FROM fstate")
@@ -820,7 +863,13 @@ def stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(streams.latest_feedback(log), "stream-feedback", "complete")
 
 
-@query(_VELOCITY + " FROM v WHERE gained > 0")
+#: Every seventh snapshot of the last twelve hours of a turn comes with the next one.
+_SLOW = "CASE WHEN ts < TIMESTAMP '2024-01-11' AND NOT (event_id % 7 = 0 AND ts >= TIMESTAMP '2024-01-10 12:00:00') THEN 0 WHEN ts < TIMESTAMP '2024-01-21' AND NOT (event_id % 7 = 0 AND ts >= TIMESTAMP '2024-01-20 12:00:00') THEN 1 ELSE 2 END"
+
+
+@query(_VELOCITY + " FROM v WHERE gained > 0 AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
 def stream_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _stream(spark, sf_dir).select(F.col("user_id").alias("repo"), F.col("ts").alias("captured_at"), F.col("event_id").alias("id"), F.expr("cast(floor(value) as long)").alias("stars"))
-    return streams.drained(streams.star_velocity(s), "stream-velocity").select("id", "repo", "gained", "stars")
+    """Snapshots that come in turns and partly late, in the order of their times, as far as the watermark has come."""
+    stream, later = _in_turns(spark, sf_dir, _SLOW, 3, "arriving-snapshots")
+    s = stream.select(F.col("user_id").alias("repo"), F.col("ts").alias("captured_at"), F.col("event_id").alias("id"), F.expr("cast(floor(value) as long)").alias("stars"))
+    return streams.drained(streams.star_velocity(s), "stream-velocity", arrivals=later).select("id", "repo", "gained", "stars")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from signalweave.functions.scoring import action_weight
 from signalweave.operators.events import assign_new
-from signalweave.params import DEFAULTS, HIDE
+from signalweave.params import ACTIONS, DEFAULTS, HIDE
 from signalweave.tables import new_path, staged
 
 
@@ -21,9 +23,18 @@ def intake(items: DataFrame, delay: str = "30 days", at: str = "arrived_at", key
 
 
 def windowed_convergence(mentions: DataFrame, window: str = "30 days", slide: str = "1 day", delay: str = "1 day", at: str = "ts") -> DataFrame:
-    """For each window and entity: mentions, distinct sources and events. Exact distinct counts as sizes of sets, since streams take no distinct aggregates."""
-    w = mentions.withWatermark(at, delay).groupBy(F.window(at, window, slide).alias("w"), "entity_id")
-    return w.agg(F.count("*").alias("mentions"), F.size(F.collect_set("source_name")).alias("distinct_sources"), F.size(F.collect_set("event_id")).alias("event_count")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "entity_id", "mentions", "distinct_sources", "event_count")
+    """For each window and entity: mentions, distinct sources and events; append mode, a window once it is closed.
+
+    Two aggregations in a row: how often each event and each source stands in a window of an entity, then how many there
+    are of each kind. State is one row for each event and source of an open window, never a set of them. Mentions that
+    come after their window has closed are left out. Complete mode takes the same rows from tables.
+    """
+    facts = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in (("event", "event_id"), ("source", "source_name"))])).alias("f")
+    rows = mentions.withWatermark(at, delay).select(at, "entity_id", facts)
+    each = rows.groupBy(F.window(at, window, slide).alias("w"), "entity_id", "f").agg(F.count("*").alias("n"))
+    told = lambda kind, c: F.sum(F.when(F.col("f.kind") == kind, c).otherwise(0))
+    out = each.groupBy("w", "entity_id").agg(told("event", F.col("n")).alias("mentions"), told("source", F.col("f.value").isNotNull().cast("long")).alias("distinct_sources"), told("event", F.col("f.value").isNotNull().cast("long")).alias("event_count"))
+    return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "entity_id", "mentions", "distinct_sources", "event_count")
 
 
 def latest_feedback(log: DataFrame) -> DataFrame:
@@ -32,21 +43,71 @@ def latest_feedback(log: DataFrame) -> DataFrame:
     return last.withColumns({"weight": action_weight("action"), "hidden": F.col("action") == HIDE})
 
 
-def star_velocity(snapshots: DataFrame) -> DataFrame:
-    """Rises of each repository's stars against its last snapshot, which is the state; snapshots of a batch are taken by time and id."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def checked_feedback(log: DataFrame, events: DataFrame, wait: str = "10 days", keep: str = "400 days", delay: str = "1 day") -> DataFrame:
+    """Rows (id, event_id, action, created_at, reason): a stream of feedback (id, event_id, action, created_at) met with a stream of events (event_id, at).
 
-    def rises(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["captured_at", "id"])
-        before = rows["stars"].shift(1)
-        before.iloc[0] = last if last is not None else float("nan")
-        gained = rows["stars"] - before
-        state.update((int(rows["stars"].iloc[-1]),))
-        out = rows.assign(repo=key[0], gained=gained)[gained > 0]
-        yield out.assign(gained=out["gained"].astype("int64"))[["repo", "captured_at", "id", "gained", "stars"]]
-
-    return snapshots.groupBy("repo").applyInPandasWithState(rises, "repo long, captured_at timestamp, id long, gained long, stars long", "stars long", "append", GroupStateTimeout.NoTimeout)
+    Feedback may come before its event: it waits until the event's stream is so far beyond it, then goes out as a dead
+    letter with a reason. Events are remembered for keep. Actions outside the closed list go out at once.
+    """
+    left = log.withWatermark("created_at", delay).alias("f")
+    right = events.select(F.col("event_id").alias("known"), "at").withWatermark("at", delay)
+    near = (F.col("f.event_id") == F.col("known")) & (F.col("at") >= F.expr(f"created_at - interval {keep}")) & (F.col("at") <= F.expr(f"created_at + interval {wait}"))
+    reason = F.when(~F.coalesce(F.col("action").isin(*ACTIONS), F.lit(False)), "unknown action").when(F.col("known").isNull(), "unknown event")
+    return left.join(right, near, "left_outer").select("id", "event_id", "action", "created_at", reason.alias("reason"))
+
+
+class Rises(StatefulProcessor):
+    """Snapshots wait in state until the watermark has passed the end of their step of time; then they are taken in order, and the last one's stars are the state."""
+
+    def __init__(self, step: int) -> None:
+        self.step = step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "at long, id long, stars long")
+        self.last = handle.getValueState("last", "stars long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        ends: set[int] = set()
+        for frame in rows:  # frame by frame: a key's rows are not put together
+            at = frame["captured_at"].astype("datetime64[us]").astype("int64")
+            self.held.appendList(list(zip(at.tolist(), frame["id"].tolist(), frame["stars"].tolist())))
+            ends |= set(((at // (1000 * self.step) + 1) * self.step).unique().tolist())
+        for end in ends:
+            self.handle.registerTimer(end)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        held = [tuple(r) for r in self.held.get()]
+        ready, rest = sorted(r for r in held if r[0] < end), [r for r in held if r[0] >= end]
+        if not ready:
+            return
+        before, out = self.last.get()[0] if self.last.exists() else None, []
+        for at, i, stars in ready:
+            if before is not None and stars > before:
+                out.append((key[0], at, i, stars - before, stars))
+            before = stars
+        self.last.update((before,))
+        if rest:
+            self.held.put(rest)
+        else:
+            self.held.clear()
+        frame = pd.DataFrame(out, columns=["repo", "captured_at", "id", "gained", "stars"])
+        yield frame.assign(captured_at=frame["captured_at"].astype("int64").astype("datetime64[us]"))
+
+    def close(self) -> None:
+        pass
+
+
+def star_velocity(snapshots: DataFrame, delay: str = "1 day", step: str = "1 hour") -> DataFrame:
+    """Rises of each repository's stars against the snapshot before it by time and id, whatever the order in which snapshots come within the delay; later ones are left out.
+
+    A snapshot goes out once the watermark has passed the end of its step. Needs the RocksDB state store (see drained()).
+    """
+    milliseconds = int(pd.Timedelta(step) / pd.Timedelta("1ms"))
+    rows = snapshots.withWatermark("captured_at", delay).groupBy("repo")
+    return rows.transformWithStateInPandas(Rises(milliseconds), "repo long, captured_at timestamp, id long, gained long, stars long", "Append", "EventTime")
 
 
 def assign_batches(spark: SparkSession, folder: str, threshold: float = DEFAULTS.threshold) -> Callable[[DataFrame, int], None]:
@@ -72,13 +133,24 @@ def assign_batches(spark: SparkSession, folder: str, threshold: float = DEFAULTS
     return run
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all there is and returns what it wrote, as a table in the shared folder. Complete and update modes keep the last batch's rows."""
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def drained(stream: DataFrame, name: str, mode: str = "append", arrivals: Sequence[Callable[[], None]] = ()) -> DataFrame:
+    """Runs a stream over all there is, and once more after each arrival, with the RocksDB state store; returns what it wrote, as a table in the shared folder. Complete and update modes keep the last batch's rows."""
     spark: SparkSession = stream.sparkSession
     out, at = new_path(spark, name), new_path(spark, f"{name}-progress")
-    if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start()
-    else:
-        query = stream.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).option("checkpointLocation", at).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for arrival in (lambda: None, *arrivals):
+            arrival()
+            writer = stream.writeStream.option("checkpointLocation", at).outputMode(mode).trigger(availableNow=True)
+            if mode == "append":
+                query = writer.format("parquet").option("path", out).start()
+            else:
+                query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).start()
+            query.awaitTermination()
+    finally:
+        spark.conf.set(STORE, before)
     return spark.read.schema(stream.schema).parquet(out)
