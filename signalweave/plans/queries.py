@@ -7,19 +7,21 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from signalweave.functions.scoring import class_order, salience
-from signalweave.functions.text import dedup_key, embedding_text, iso_utc
+from signalweave.functions.text import dedup_key, embedding_text, iso_utc, parsed_time
 from signalweave.functions.vectors import hashing_embedding
 from signalweave.operators import convergence as cv
 from signalweave.operators import digest as dg
 from signalweave.operators import enrich, events, feeds, graph, intake, pruned_join, vector_table
-from signalweave.params import STACK_WORDS, Params
+from signalweave.params import SECTIONS, STACK_WORDS, Params
 from signalweave.plans import testviews as tv
 from signalweave.sources import feeds as readers
 from signalweave.sources import registry
 from signalweave.streaming import streams
-from signalweave.tables import new_path, staged
+from signalweave.snapshots import SnapshotTable
+from signalweave.tables import SCHEMAS, new_path, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -633,9 +635,123 @@ def digest_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dg.digest_by_id(_digests(spark, sf_dir), first).select("id", "content_md", "item_count")
 
 
+@query(_MARKDOWN.replace("\nSELECT '# Weekly digest", ",\nmd AS (SELECT '# Weekly digest") + ") SELECT content_md, 'fallback' AS method FROM md UNION ALL SELECT 'Written by hand: ' || length(content_md), 'llm' FROM md")
+def digest_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A blank text of an outside writer gives way to the fallback, another one stands."""
+    items = _digest_items(spark, sf_dir)
+    listed = staged(dg.sections(items, P), "digest-sections")
+    text = staged(dg.markdown(dg.bullets(listed.join(items, "event_id")).select("section", "pos", "line"), dg.digest_counts(items, listed, P), dg.period_bounds(items)), "digest-text")
+    hand = text.select(F.concat(F.lit("Written by hand: "), F.length("content_md").cast("string")).alias("content_md"))
+    return dg.composed(text, text.select(F.lit(" \n").alias("content_md"))).unionByName(dg.composed(text, hand))
+
+
+_REQUEST = _MARKDOWN[: _MARKDOWN.index("hd AS (")] + f"""hd AS (SELECT * FROM (VALUES {", ".join(f"('{s}', {i})" for i, s in enumerate(SECTIONS))}) t(section, n)),
+body AS (SELECT n, upper(section) || CASE WHEN count(line) > 0 THEN ':' || chr(10) || string_agg(line, chr(10) ORDER BY pos) ELSE ': (none)' END AS part FROM hd LEFT JOIN ln USING (section) GROUP BY n, section)
+SELECT 'period: ' || (SELECT strftime(min(published_at), '%Y-%m-%d') || ' → ' || strftime(max(published_at), '%Y-%m-%d') FROM per) || chr(10) || 'user_context: {CONTEXT}' || chr(10) || chr(10) || (SELECT string_agg(part, chr(10) ORDER BY n) FROM body)
+  || chr(10) || chr(10) || 'noise_count: ' || noise_count || chr(10) || 'total_events_considered: ' || total_events AS request FROM cnt"""
+
+
+@query(_REQUEST)
+def digest_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _digest_items(spark, sf_dir)
+    listed = staged(dg.sections(items, P), "digest-sections")
+    lines = dg.bullets(listed.join(items, "event_id")).select("section", "pos", "line")
+    return dg.composition_request(lines, dg.digest_counts(items, listed, P), dg.period_bounds(items), CONTEXT)
+
+
+@query(f"""WITH {tv.EVENTS}, {_PERIOD}, {_TAGS}, {tv.VECTORS}, top AS (SELECT tag, row_number() OVER (ORDER BY n DESC, first) AS r FROM tf ORDER BY n DESC, first LIMIT 12), theme AS (SELECT '{CONTEXT}' || chr(10) || chr(10) || 'Themes this period: ' || string_agg(tag, ', ' ORDER BY r) AS t FROM top),
+tt AS (SELECT unnest(regexp_extract_all(lower(t), '[a-z0-9]+')) AS t FROM theme), td AS (SELECT ('0x' || substr(sha1(t), 1, 8))::BIGINT % 256 AS dim, sum(CASE WHEN ('0x' || substr(sha1(t), 9, 2))::BIGINT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS w FROM tt GROUP BY 1),
+sim AS (SELECT item_id, round(coalesce(sum(value * w), 0) / (SELECT sqrt(sum(w * w)) FROM td), 9) AS s FROM sparse LEFT JOIN td USING (dim) GROUP BY 1), near AS (SELECT * FROM sim ORDER BY s DESC, item_id LIMIT 40)
+SELECT item_id // 4 AS event_id, round(max(s), 6) AS theme_relevance FROM near GROUP BY 1""")
+def theme_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The period's theme as text, embedded as the items are, and the events of the items nearest to it."""
+    items = _vectored(spark, sf_dir).select(F.col("id").alias("item_id"), "vec")
+    theme = dg.theme_text(_period(spark, sf_dir), CONTEXT).select(hashing_embedding("theme").alias("vec"))
+    found = dg.theme_relevance(items, theme, items.select("item_id", F.expr("item_id div 4").alias("event_id")))
+    return found.select("event_id", F.round("theme_relevance", 6).alias("theme_relevance"))
+
+
 # --- runs and rebuilds
 
 
+@query(f"WITH {tv.HASHED} SELECT coalesce(min(item_id) FILTER (WHERE item_id % 2 = 0), min(item_id)) AS item_id, dedup_key FROM hashed GROUP BY dedup_key")
+def items_appended_by_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs append their new items; both come again and add nothing."""
+    items = intake.with_keys(tv.raw_items(spark, sf_dir)).select("item_id", "dedup_key")
+    table = SnapshotTable(spark, new_path(spark, "raw-items"), items.schema)
+    for run, some in (("one", items.where("item_id % 2 = 0")), ("two", items), ("one", items), ("two", items)):
+        if not table.has(run):
+            table.append(intake.new_items(some, table.read()), run)
+    return table.read()
+
+
+_UPSERTED = "SELECT vec_id AS item_id, round(CASE WHEN vec_id % 3 = 0 THEN -1.0 ELSE 1.0 END * embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE vec_id % 6 <> 5"
+
+
+@query(_UPSERTED)
+def vectors_upserted_by_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As vectors_upserted, from a stored table; the later turn comes first, and both runs come again."""
+    v = tv.vectors(spark, sf_dir).select(F.col("id").alias("item_id"), "vec")
+    old = v.where("item_id % 6 <> 5").withColumn("turn", F.lit(0))
+    new = v.where("item_id % 3 = 0").select("item_id", F.transform("vec", lambda x: -x).alias("vec"), F.lit(1).alias("turn"))
+    table = SnapshotTable(spark, new_path(spark, "item-vectors"), old.schema, ("item_id",))
+    for run, rows in (("new", new), ("old", old), ("new", new), ("old", old)):
+        table.upsert(rows, run, "turn")
+    return table.read().select("item_id", F.round(F.col("vec")[0], 6).alias("first"))
+
+
+@query("SELECT 'o/' || doc_id AS repo_full_name, cast(2 * count(*) AS BIGINT) AS n, cast(max(doc_id % 50 + 1) AS BIGINT) AS stars FROM documents GROUP BY 1")
+def stars_appended_by_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed repository searches of two days, appended to the snapshot table, one of them twice."""
+    d = tv.read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.nullif("source", F.lit("")), F.lit("none")).alias("source"), F.expr("doc_id div 500").alias("part"))
+    schema = SCHEMAS["star_snapshot"].fields[1:]
+    table = SnapshotTable(spark, new_path(spark, "star-snapshots"), StructType(schema))
+    for day, more in (("2026-06-01", 0), ("2026-06-02", 1), ("2026-06-01", 0)):
+        repo = F.struct(F.concat(F.lit("o/"), F.col("doc_id").cast("string")).alias("full_name"), (F.col("doc_id") % 50 + more).alias("stargazers_count"))
+        path = _land(d.select("source", "part", repo.alias("r")), new_path(spark, "landed-stars"), "items")
+        table.append(readers.star_snapshots(spark, path, _now(day)), f"stars of {day}")
+    return table.read().groupBy("repo_full_name").agg(F.count("*").alias("n"), F.max_by("stars", "captured_at").alias("stars"))
+
+
+@query(f"""WITH {tv.RAW}, l AS (SELECT item_id, CASE WHEN title <> '' THEN title ELSE 'v' || item_id END AS title, summary FROM raw_item),
+n AS (SELECT item_id, sha256({tv.norm_sql('title')} || chr(31) || {tv.norm_sql('summary')} || chr(31)) AS h FROM l WHERE item_id % 3 <> 0)
+SELECT (SELECT count(*) FROM l) AS fetched, count(*) AS new, count(*) AS embedded, count(DISTINCT h) AS enriched, count(DISTINCT h) AS projected FROM n""")
+def whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From landed payloads to counters: items, keys, new ones, events by hash, enrichment by rules, vectors, the stored graph."""
+    raw = tv.raw_items(spark, sf_dir)
+    r = F.struct(F.col("title").alias("name"), F.concat(F.lit("v"), F.col("item_id").cast("string")).alias("tag_name"), F.concat(F.lit("https://x.example/"), F.col("item_id").cast("string")).alias("html_url"), F.col("summary").alias("body"))
+    path = _land(raw.select(F.coalesce(F.nullif("source_name", F.lit("")), F.lit("none")).alias("source"), F.expr("item_id div 500").alias("part"), r.alias("r")), new_path(spark, "landed-run"))
+    items = intake.with_keys(readers.releases(spark, path).where("NOT bad").withColumn("item_id", F.regexp_extract("url", r"(\d+)$", 1).cast("long")))
+    items = staged(items, "run-items")
+    new = staged(intake.new_items(items, items.where("item_id % 3 = 0")), "run-new")
+    events_of = events.assign(new.select(F.col("item_id").alias("id"), F.lit(-1).cast("long").alias("at"), "content_hash"), use_vectors=False)
+    new = staged(new.join(events_of.withColumnRenamed("id", "item_id"), "item_id"), "run-events")
+    firsts = new.where("item_id = event_id")
+    enriched = staged(enrich.by_rules(firsts), "run-enriched")
+    vectors = staged(vector_table.embedded(new), "run-vectors")
+    kept = graph.stored(spark, new_path(spark, "run-graph"))
+    told = enriched.withColumn("representative_item_id", F.col("event_id"))
+    none = spark.createDataFrame([], "id long, event_id long, subject long, predicate string, object long, ts timestamp"), spark.createDataFrame([], "entity_id long, name string, type string")
+    graph.project_into(kept, "run", told, new.withColumn("source_id", F.col("source_name")), *none)
+    projected = graph.read_stored(kept)[0].where("label = 'Event'").select(F.col("uid").cast("long").alias("event_id"))
+    return intake.run_counters(items, new, vectors, enriched, projected)
+
+
+@query(f"WITH {_EDGES} SELECT 'label' AS what, 'Odd' AS name, count(*) AS n FROM ev UNION ALL SELECT 'type', 'MAYBE', count(*) FROM edge WHERE rel = 'ABOUT'")
+def graph_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _project(spark, sf_dir)
+    odd = nodes.withColumn("label", F.when(F.col("label") == "Event", "Odd").otherwise(F.col("label")))
+    return graph.checked(odd, edges.withColumn("rel", F.when(F.col("rel") == "ABOUT", "MAYBE").otherwise(F.col("rel"))))
+
+
+@query("""SELECT event_id, strftime(CASE event_id % 5 WHEN 3 THEN date_trunc('second', ts) + INTERVAL 210 MINUTES WHEN 4 THEN NULL ELSE date_trunc('second', ts) END, '%Y-%m-%d %H:%M:%S') AS at FROM events""")
+def times_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ISO texts with Z, without a zone, padded, with an offset, and junk, as times in UTC."""
+    e = tv.read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("t"))
+    form = F.when(F.expr("event_id % 5 = 0"), F.concat("t", F.lit("Z"))).when(F.expr("event_id % 5 = 1"), F.col("t")).when(F.expr("event_id % 5 = 2"), F.concat(F.lit(" \n"), "t", F.lit("+00:00 "))).when(F.expr("event_id % 5 = 3"), F.concat("t", F.lit("-03:30"))).otherwise(F.concat(F.lit("on "), "t"))
+    return e.select("event_id", _time(parsed_time(form)).alias("at"))
+
+
 @query("""SELECT count(*) AS fetched, count(*) FILTER (WHERE doc_id % 3 <> 0) AS new, count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 2 = 0) AS embedded,
 count(DISTINCT CASE WHEN doc_id % 3 <> 0 AND (doc_id // 2) % 5 <> 0 THEN doc_id // 2 END) AS enriched, count(DISTINCT CASE WHEN doc_id % 3 <> 0 AND (doc_id // 2) % 7 <> 0 THEN doc_id // 2 END) AS projected FROM documents""")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -673,7 +789,7 @@ def vectors_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_id", F.size(F.filter("vec", lambda x: x != 0)).cast("long").alias("n_axes"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"), "source")
 
 
-@query("SELECT vec_id AS item_id, round(CASE WHEN vec_id % 3 = 0 THEN -1.0 ELSE 1.0 END * embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE vec_id % 6 <> 5")
+@query(_UPSERTED)
 def vectors_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = tv.vectors(spark, sf_dir).withColumnRenamed("id", "item_id")
     new = v.where("item_id % 3 = 0").withColumn("vec", F.transform("vec", lambda x: -x))
@@ -856,6 +972,17 @@ def stream_feedback_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drained(streams.checked_feedback(feedback, events_), "stream-feedback-checked", arrivals=both).select("id", "action", "reason")
 
 
+@query(f"WITH RECURSIVE {tv.PARENTS} SELECT id AS item_id, root AS event_id FROM tree")
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event assignment by batches of a stream: items come in three turns by time, and each turn looks at new items only."""
+    items = _vectored(spark, sf_dir).select("id", "at", "content_hash", "vec")
+    a, b = items.agg(F.percentile_approx("at", [0.4, 0.7])).first()[0] or (0, 0)
+    stream, later = _arriving([items.where(f"at <= {a}"), items.where(f"at > {a} AND at <= {b}"), items.where(f"at > {b}")], "arriving-vectors")
+    folder = new_path(spark, "stream-events")
+    streams.drained(stream, "stream-events", arrivals=later, each=streams.assign_batches(spark, folder))
+    return spark.read.schema("id long, event_id long, batch long").parquet(folder).select(F.col("id").alias("item_id"), "event_id")
+
+
 @query(f"WITH {tv.FEEDBACK} SELECT event_id, action, weight, hidden FROM fstate")
 def stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = "CASE event_type WHEN 'purchase' THEN 'useful' WHEN 'signup' THEN 'save' WHEN 'error' THEN 'not_useful' WHEN 'view' THEN 'ignore' WHEN 'click' THEN 'useful' ELSE event_type END"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from signalweave.functions.text import blank
 from signalweave.params import SOURCE_TYPES, TRUST_LEVELS
+from signalweave.tables import staged
 
 TEXT = ("name", "source_type", "url", "repo_owner", "repo_name", "arxiv_query", "github_topic", "github_ecosystem", "github_package", "github_label", "trust_level")
 
@@ -55,8 +56,13 @@ def upserted(stored: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     both = stored.join(n, F.col("name") == F.col("n_name"), "full_outer")
     hit = F.col("n_name").isNotNull()
     top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    fresh = both.where("id IS NULL").select("n_name").groupBy("n_name").count().drop("count")
-    ids = fresh.crossJoin(F.broadcast(top)).select(F.col("n_name").alias("f_name"), (F.col("top") + F.row_number().over(W.orderBy("n_name"))).alias("f_id"))
+    # ranges of names are numbered apart; only one row a range comes together
+    fresh = both.where("id IS NULL").select(F.col("n_name").alias("f_name")).distinct().repartitionByRange("f_name")
+    fresh = staged(fresh.withColumn("part", F.spark_partition_id()), "new-names")
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = fresh.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("part").orderBy("f_name"))
+    ids = fresh.join(starts, "part").crossJoin(F.broadcast(top)).select("f_name", (F.col("top") + F.col("before") + place).alias("f_id"))
     out = both.join(ids, F.col("n_name") == F.col("f_name"), "left")
     cols = {"id": F.coalesce("id", "f_id"), "name": F.coalesce("name", "n_name"), "created_at": F.coalesce("created_at", now), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}
     return out.select(*[cols.get(c, F.when(hit, F.col(f"n_{c}")).otherwise(F.col(c)) if c in fields else F.col(c)).alias(c) for c in stored.columns])

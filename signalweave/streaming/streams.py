@@ -136,8 +136,8 @@ def assign_batches(spark: SparkSession, folder: str, threshold: float = DEFAULTS
 STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", arrivals: Sequence[Callable[[], None]] = ()) -> DataFrame:
-    """Runs a stream over all there is, and once more after each arrival, with the RocksDB state store; returns what it wrote, as a table in the shared folder. Complete and update modes keep the last batch's rows."""
+def drained(stream: DataFrame, name: str, mode: str = "append", arrivals: Sequence[Callable[[], None]] = (), each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+    """Runs a stream over all there is, and once more after each arrival, with the RocksDB state store; returns what it wrote, as a table in the shared folder. Complete and update modes keep the last batch's rows. With each, batches go to it and nothing is returned."""
     spark: SparkSession = stream.sparkSession
     out, at = new_path(spark, name), new_path(spark, f"{name}-progress")
     before = spark.conf.get(STORE)
@@ -146,11 +146,13 @@ def drained(stream: DataFrame, name: str, mode: str = "append", arrivals: Sequen
         for arrival in (lambda: None, *arrivals):
             arrival()
             writer = stream.writeStream.option("checkpointLocation", at).outputMode(mode).trigger(availableNow=True)
-            if mode == "append":
+            if each is not None:
+                query = writer.foreachBatch(each).start()
+            elif mode == "append":
                 query = writer.format("parquet").option("path", out).start()
             else:
                 query = writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(out)).start()
             query.awaitTermination()
     finally:
         spark.conf.set(STORE, before)
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out) if each is None else None
