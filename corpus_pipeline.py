@@ -26,12 +26,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.where(quality.passes("v1")).select("row.*")
 
 
+#: A document is a copy once so many percent of its words have gone with repeated lines.
+COPIED = 80
+
+
 def fuzzy_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier line; those left without any word because of that go."""
+    """Documents without the lines that repeat an earlier line.
+
+    A document that loses COPIED percent of its words or more goes: it is a near copy of what stays, and what would be
+    left of it, the few lines that a change of words has kept apart, no longer looks like one to the join that follows.
+    """
+    was, now = common.fresh(docs, "words_before", "words_after")
     removed, kept = common.fresh(docs, "lines_removed", "lines_kept")
-    out = line_dedup.line_dedup(docs, removed=removed, kept=kept)
-    left = F.coalesce(F.rlike(F.col("text"), F.lit(quality.WORD)), F.lit(False))
-    out = out.where((F.col(removed) == 0) | left)
+    words = lambda: F.coalesce(F.regexp_count("text", F.lit(quality.WORD)), F.lit(0))
+    out = line_dedup.line_dedup(docs.withColumn(was, words()), removed=removed, kept=kept).withColumn(now, words())
+    out = out.where((F.col(removed) == 0) | (100 * F.col(now) > (100 - COPIED) * F.col(was)))
     size = F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col(LENGTH)) if LENGTH in docs.columns else None
     return out.select(*[size.cast(docs.schema[c].dataType).alias(c) if c == LENGTH else common.quoted(c) for c in docs.columns])
 
