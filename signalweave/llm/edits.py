@@ -56,14 +56,20 @@ def trimmed(a: list | str, b: list | str) -> tuple[list | str, list | str]:
     return (a[: len(a) - n], b[: len(b) - n]) if n else (a, b)
 
 
+def word_edits(a: str, b: str) -> int:
+    """What it takes at most to turn a into b where only words in place were changed; for other texts more than any bound."""
+    x, y = a.split(" "), b.split(" ")
+    return sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) if len(x) == len(y) else _FAR * 1_000_000
+
+
 def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
-    """For each pair whether its edit distance is at most its bound. What both share at the ends is left out; if what is left is within the bound, that is enough."""
+    """For each pair whether its edit distance is at most its bound. What both share at the ends is left out; if what is left is within the bound, or the words of it that differ in place are, that is enough."""
     out = np.zeros(len(a), bool)
     cut: list[tuple[int, str, str, int]] = []
     for i, (x, y, m) in enumerate(zip(a, b, most.tolist())):
         if abs(len(x) - len(y)) <= m:
             x, y = trimmed(x, y)
-            if max(len(x), len(y)) <= m:
+            if max(len(x), len(y)) <= m or word_edits(x, y) <= m:
                 out[i] = True
             else:
                 cut.append((i, x, y, m))

@@ -62,7 +62,7 @@ def plain_lines(rows):
         text = "\n".join(kept)
         if not any(p[0] == k for p in gone):
             out.append(r)
-        elif words(text):
+        elif 100 * len(words(text)) > (100 - corpus_pipeline.COPIED) * len(words(r["text"])):
             out.append({**r, "text": text, "n_chars": len(text)})
     return out
 
