@@ -137,6 +137,21 @@ def test_nothing_outside_the_window(spark):
     assert {x.score for x in s.values()} == {0.0}
 
 
+def test_convergence_of_events_is_that_of_their_mentions(spark):
+    r = random.Random(8)
+    items = [(n, r.randrange(6), r.choice(["a", "b", "c", None]), r.choice([None, *[T0 + dt.timedelta(days=d) for d in range(6)]])) for n in range(40)]
+    ends = sorted({(r.randrange(7), r.randrange(5)) for _ in range(20)})
+    names = spark.createDataFrame([(x, f"E{x}") for x in range(6)], "entity_id long, name string")
+    i = spark.createDataFrame(items, "item_id long, event_id long, source_name string, published_at timestamp")
+    e = spark.createDataFrame(ends, "event_id long, entity_id long")
+    edges = spark.createDataFrame([(1, 2, T0), (2, 3, None)], "src long, dst long, ts timestamp")
+    mentions = i.join(e, "event_id").select("item_id", "entity_id", F.col("published_at").alias("ts"))
+    for since in (None, F.lit(T0 + dt.timedelta(days=2))):
+        a = cv.convergence(names, mentions, i, edges, since)
+        b = cv.convergence_of_events(names, e, i, edges, since)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+
+
 def test_degree_counts_pairs(spark):
     e = spark.createDataFrame([(1, 2, T0), (1, 2, T0), (2, 1, T0), (3, 3, T0)], "src long, dst long, ts timestamp")
     assert {r.entity_id: r.degree for r in cv.degrees(e).collect()} == {1: 2, 2: 2, 3: 1}
