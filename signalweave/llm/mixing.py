@@ -62,8 +62,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 
     Size is the number of words. Sources in code point order, null last, weigh weights in turn. Each source is dealt over
     shards by a seeded hash of its rows, as many as its size asks for; a shard's rows stand in seeded order and their
-    words are cut into blocks of block words, fewer where a source is so small that it would not fill 16 blocks.
-    Sainte-Lague gives each source a number of blocks by its target, and each of its shards a quota by its words; in a
+    words are cut into blocks of block words, fewer in a source so small that it would not fill 16 blocks.
+    Sainte-Lague gives each source a number of blocks by its target (sources of one size of blocks together), and each of its shards a quota by its words; in a
     shard every block is taken quota // blocks times, and quota % blocks of them, in a row from a seeded one on, once
     more. taken sums the words of a row in taken blocks, repeats counted: at most cap times its size. copies is taken
     over size, rounded.
@@ -78,19 +78,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     totals.sort(key=lambda r: (r.src is None, r.src or ""))
     sizes = [r["size"] for r in totals]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, cap)
-    unit = max(1, min([block, *(n // 16 for n in sizes if n)]))
-    seats = sainte_lague(np.array([float(g) for g in goal]), round(sum(goal) / unit) if goal else 0)
-    plan = spark.createDataFrame([(r.src, r["size"], float(g), int(n), max(1, -(-r["size"] // SHARD_WORDS))) for r, g, n in zip(totals, goal, seats)], "p_src string, source_size long, target double, seats long, shards long")
-    h = F.xxhash64(F.lit(seed), "doc_id", "size")
+    # sources of blocks of one size are apportioned together, so a small one changes no other's blocks
+    units = [max(1, min(block, n // 16)) for n in sizes]
+    seats = [0] * len(sizes)
+    for unit in set(units):
+        some = [i for i, u in enumerate(units) if u == unit]
+        for i, n in zip(some, sainte_lague(np.array([float(goal[i]) for i in some]), round(sum(goal[i] for i in some) / unit))):
+            seats[i] = int(n)
+    plan = spark.createDataFrame([(r.src, r["size"], float(g), n, u, max(1, -(-r["size"] // SHARD_WORDS))) for r, g, n, u in zip(totals, goal, seats, units)], "p_src string, source_size long, target double, seats long, unit long, shards long")
+    h = F.xxhash64(F.lit(seed), "doc_id", "size", "mark")  # by its text too: rows without ids must not meet in one shard
     dealt = rows.join(F.broadcast(plan) if len(totals) <= 10_000 else plan, F.col("src").eqNullSafe(F.col("p_src"))).drop("p_src")
     dealt = dealt.withColumn("h", h).withColumn("shard", F.expr("pmod(h, shards)"))
 
     def quotas(one: pd.DataFrame) -> pd.DataFrame:
         one = one.sort_values("shard")
-        blocks = -(-one["words"].to_numpy() // unit)
+        blocks = -(-one["words"].to_numpy() // int(one["unit"].iloc[0]))
         return one.assign(blocks=blocks, quota=np.minimum(sainte_lague(one["words"].to_numpy(), int(one["seats"].iloc[0])), cap * blocks))[["src", "shard", "blocks", "quota"]]
 
-    shards = dealt.groupBy("src", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats"))
+    shards = dealt.groupBy("src", "shard").agg(F.sum("size").alias("words"), F.first("seats").alias("seats"), F.first("unit").alias("unit"))
     quota = shards.groupBy("src").applyInPandas(quotas, "src string, shard long, blocks long, quota long")
     quota = quota.select(F.col("src").alias("q_src"), F.col("shard").alias("q_shard"), "blocks", "quota")
     order = W.partitionBy("src", "shard").orderBy("h", F.col("doc_id").asc_nulls_first(), "size", "mark").rowsBetween(W.unboundedPreceding, 0)
@@ -99,7 +104,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     # blocks taken once more: more of them from first on, beyond the last one from 0 on again
     more = F.expr("quota % greatest(blocks, 1)")
     first = F.pmod(F.xxhash64(F.lit(seed), "src", "shard"), F.greatest("blocks", F.lit(1)))
-    inside = lambda a, b: F.greatest(F.lit(0), F.least(F.col("stop"), b * unit) - F.greatest(start, a * unit))
+    inside = lambda a, b: F.greatest(F.lit(0), F.least(F.col("stop"), b * F.col("unit")) - F.greatest(start, a * F.col("unit")))
     extra = inside(first, F.least(first + more, F.col("blocks"))) + inside(F.lit(0), F.greatest(F.lit(0), first + more - F.col("blocks")))
     taken = F.when(F.col("size") > 0, F.expr("quota div blocks") * F.col("size") + extra).otherwise(0).cast("long")
     copies = F.when(F.col("size") > 0, F.round(taken / F.col("size"))).otherwise(0).cast("int")

@@ -133,6 +133,10 @@ def test_chat_round_trip(spark):
 
 def test_long_conversations_come_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(chat, "PIECE", 500)
+    many = [("user" if i % 2 else "assistant", f"{i} " * 60) for i in range(30)]
+    frame = spark.createDataFrame([(c, i, r, t) for c in (1, 2) for i, (r, t) in enumerate(many)], "conv_id long, turn int, role string, text string")
+    back = chat.read_back(chat.format_turns(frame)).collect()
+    assert {r.n_turns for r in back} == {30}
     turn = "y" * 200
     buffer, bounds, start, end = chat.assembled(pa.array(["user", None]), pa.array([turn, "z"]))
     assert buffer.tobytes() == f"<s>[INST] user\n{turn} [/INST]</s><s>[INST] \nz [/INST]</s>".encode()
@@ -644,16 +648,21 @@ def test_mix_by_a_plain_version(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row_no", F.monotonically_increasing_id())
     got = mixing.mix(df, keep=("row_no",)).collect()
     size = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
-    plain = df.select("*", size.cast("long").alias("size"), F.xxhash64(F.lit(17), "doc_id", size.cast("long")).alias("h"), F.xxhash64("text").alias("mark")).collect()
+    plain = df.select("*", size.cast("long").alias("size"), F.xxhash64(F.lit(17), "doc_id", size.cast("long"), F.xxhash64("text")).alias("h"), F.xxhash64("text").alias("mark")).collect()
     totals = collections.Counter()
     for x in plain:
         totals[x.source] += x.size
     order = sorted(totals, key=lambda s: (s is None, s or ""))
     goal = mixing.targets([totals[s] for s in order], [3, 1, 2, 3], Fraction(3, 2), 2)
-    unit = max(1, min([64, *(n // 16 for n in totals.values() if n)]))
-    seats = dict(zip(order, mixing.sainte_lague(np.array([float(g) for g in goal]), round(sum(goal) / unit))))
+    units = {s: max(1, min(64, totals[s] // 16)) for s in order}
+    assert len(set(units.values())) > 1
+    seats = {}
+    for u in set(units.values()):
+        some = [s for s in order if units[s] == u]
+        seats |= zip(some, mixing.sainte_lague(np.array([float(goal[order.index(s)]) for s in some]), round(sum(goal[order.index(s)] for s in some) / u)))
     want = collections.Counter()  # rows that are equal in all that counts may change places
     for s in order:
+        unit = units[s]
         shards = -(-totals[s] // 500) or 1
         parts = [sorted((x for x in plain if x.source == s and x.h % shards == k), key=lambda x: (x.h, x.doc_id is not None, x.doc_id or 0, x.size, x.mark)) for k in range(shards)]
         held = [(k, p, sum(x.size for x in p)) for k, p in enumerate(parts) if p]
