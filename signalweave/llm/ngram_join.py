@@ -30,6 +30,8 @@ from signalweave.llm.text import mixed, shingle_sets, word_hashes, words_of
 
 #: Documents of one shingle that are compared in one block; those that pair off one by one; rows and columns of a block of the product.
 BLOCK, FEW, ROWS, COLUMNS = 2048, 64, 256, 4096
+#: Bytes of the sets of a group that are gathered in one block.
+GROUP = 32 << 20
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
 
 
@@ -222,6 +224,11 @@ def links(rows: DataFrame, classes: DataFrame, pairs: DataFrame, groups: DataFra
     split = pairs.join(size, "s").withColumn("nb", blocks).select("a", "b", F.xxhash64("s", F.expr("pmod(xxhash64(a), nb)"), F.expr("pmod(xxhash64(b), nb)")).alias("g"))
     split = staged(split, "pairs")
     members = split.select("g", F.explode(F.array("a", "b")).alias("c")).distinct().withColumn("whole", F.lit(False))
+    # a group whose sets take more than GROUP bytes is cut into blocks, and pairs of blocks are compared
+    heavy = groups.join(classes.select("c", "n"), "c").groupBy("s").agg(F.ceil(F.sum(8 * F.col("n")) / GROUP).cast("int").alias("nb"))
+    own, other = F.expr("cast(pmod(xxhash64(c, 7), nb) as int)"), F.explode(F.expr("sequence(0, nb - 1)"))
+    groups = groups.join(heavy, "s").select("s", "c", "nb", own.alias("own"), other.alias("other"))
+    groups = groups.select("c", F.when(F.col("nb") == 1, F.col("s")).otherwise(F.xxhash64("s", F.least("own", "other"), F.greatest("own", "other"))).alias("s"))
     members = staged(members.unionByName(groups.select(F.col("s").alias("g"), "c", F.lit(True).alias("whole"))), "members")
     # a class's set comes from the text of its smallest id; other texts under that id make sets of other classes
     groups_of = members.groupBy("c").agg(F.collect_list(F.struct("g", "whole")).alias("gs"))

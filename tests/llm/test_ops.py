@@ -252,9 +252,11 @@ def test_plan_places_all_pieces():
 # --- 4
 
 
-@pytest.mark.parametrize("few", [2, 64])
-def test_join(spark, docs, monkeypatch, few):
+@pytest.mark.parametrize("few, group, block", [(2, 32 << 20, 2048), (64, 32 << 20, 2048), (2, 2000, 2048), (2, 32 << 20, 3)])
+def test_join(spark, docs, monkeypatch, few, group, block):
     monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "GROUP", group)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     rows = pairs_of(docs)
     sets = []
     for _, t in rows:
