@@ -1,6 +1,7 @@
 import datetime as dt
 import hashlib
 import math
+import random
 import re
 
 import numpy as np
@@ -69,3 +70,11 @@ def test_contribution_by_hand(spark):
     got = [r.c for r in df.select(scoring.contribution("total").alias("c")).collect()]
     assert got[0] == np.float64(math.log(81 / 2) * (2 + 0.5 * math.log1p(3))) and round(got[0], 2) == 9.97
     assert got[1:] == [0.0, 0.0, 0.0]
+
+
+def test_tokens_are_those_of_the_pattern():
+    r = random.Random(1)
+    texts = ["".join(r.choice("abZ09 é\n.İß日") for _ in range(r.randrange(30))).lower() for _ in range(500)] + ["", ""]
+    words, row = vectors._tokens(texts)
+    assert list(zip(words.to_pylist(), row.tolist())) == [(w, i) for i, t in enumerate(texts) for w in re.findall("[a-z0-9]+", t)]
+    assert vectors._tokens([""])[0].to_pylist() == [] and vectors._tokens([])[1].tolist() == []
