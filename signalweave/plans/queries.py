@@ -15,7 +15,7 @@ from signalweave.functions.vectors import hashing_embedding
 from signalweave.operators import convergence as cv
 from signalweave.operators import digest as dg
 from signalweave.operators import enrich, events, feeds, graph, intake, pruned_join, vector_table
-from signalweave.params import SECTIONS, STACK_WORDS, Params
+from signalweave.params import ACTION_WORDS, RESEARCH_WORDS, RISK_WORDS, SECTIONS, STACK_WORDS, TOOL_WORDS, Params
 from signalweave.plans import testviews as tv
 from signalweave.sources import feeds as readers
 from signalweave.sources import registry
@@ -44,6 +44,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _has(words: tuple[str, ...], of: str = "words") -> str:
+    """SQL for whether any word stands in a text."""
+    return "(" + " OR ".join(f"contains({of}, '{w}')" for w in words) + ")"
+
+
 def _now(text: str = tv.NOW):
     return F.lit(text).cast("timestamp")
 
@@ -131,7 +136,7 @@ _WORDS = "[" + ", ".join(f"'{w}'" for w in STACK_WORDS) + "]"
 
 @query(f"""WITH {tv.RAW}, t AS (SELECT *, lower(title || ' ' || summary) AS t FROM raw_item),
 e AS (SELECT *, list_filter({_WORDS}, lambda w: contains(t, w)) AS tags FROM t),
-s AS (SELECT *, cast(least(len(tags), 4) AS INTEGER) AS relevance, 2 AS strategic_potential, CASE WHEN regexp_matches(t, 'release|breaking|deprecat|security|advisory|cve') THEN 2 ELSE 1 END AS actionability, CASE WHEN source_type IN ('github_releases', 'arxiv') THEN 2 ELSE 3 END AS hype FROM e)
+s AS (SELECT *, cast(least(len(tags), 4) AS INTEGER) AS relevance, 2 AS strategic_potential, CASE WHEN {_has(ACTION_WORDS, 't')} THEN 2 ELSE 1 END AS actionability, CASE WHEN source_type IN ('github_releases', 'arxiv') THEN 2 ELSE 3 END AS hype FROM e)
 SELECT item_id, array_to_string(tags, ',') AS tags, relevance, actionability, hype,
   CASE WHEN regexp_matches(t, 'security|advisory|cve') THEN 'security' WHEN source_type = 'github_releases' THEN 'tool_update' WHEN source_type = 'arxiv' THEN 'research' ELSE 'uncategorised' END AS category,
   {tv.CLASS} AS priority_class, sha256(trim(CASE WHEN summary <> '' THEN summary ELSE title END, E' \\n\\r\\t')) AS summary_sha FROM s""")
@@ -559,7 +564,6 @@ def _digest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(dg.flattened(_period(spark, sf_dir), _signals(spark, sf_dir), cv.coverage_sources(tv.graph_items(spark, sf_dir))), "digest-items")
 
 
-_has = lambda words: "(" + " OR ".join(f"contains(words, '{w}')" for w in words.split()) + ")"
 _SECTIONS = f"""{tv.EVENTS}{tv.SIGNALS}, {_PERIOD},
 it AS (SELECT per.*, sig.* EXCLUDE (event_id, degree), lower(category || ' ' || array_to_string(tags, ' ')) AS words, NOT (priority_class = 'archive' OR hype >= 4) AS body,
   round({tv.SALIENCE} + coalesce(score, 0.0), 6) AS blended, {tv.SALIENCE} AS salience, round(coalesce(score, 0.0), 6) AS rscore, {tv.ORDER} AS ord, priority_class IN ('horizon_signal', 'archive') AS quadrant FROM per LEFT JOIN sig USING (event_id)),
@@ -567,9 +571,9 @@ cv AS (SELECT coalesce(max(quadrant AND convergence > 0), false) AS converging F
 routed AS (SELECT 'must_know' AS section, it.* FROM it WHERE body AND priority_class = 'immediate_priority'
 UNION ALL SELECT 'should_read', it.* FROM it WHERE body AND priority_class = 'operational_update'
 UNION ALL SELECT 'weak_signals', it.* FROM it, cv WHERE quadrant AND (NOT converging OR convergence > 0)
-UNION ALL SELECT 'research_radar', it.* FROM it WHERE body AND (source_type = 'arxiv' OR {_has('research paper preprint')})
-UNION ALL SELECT 'tool_changes', it.* FROM it WHERE body AND (source_type = 'github_releases' OR {_has('release tool framework library update changelog')})
-UNION ALL SELECT 'risks', it.* FROM it WHERE source_type IN ('github_advisories', 'github_changes') OR {_has('security advisory vulnerability deprecation breaking cve exploit')}
+UNION ALL SELECT 'research_radar', it.* FROM it WHERE body AND (source_type = 'arxiv' OR {_has(RESEARCH_WORDS)})
+UNION ALL SELECT 'tool_changes', it.* FROM it WHERE body AND (source_type = 'github_releases' OR {_has(TOOL_WORDS)})
+UNION ALL SELECT 'risks', it.* FROM it WHERE source_type IN ('github_advisories', 'github_changes') OR {_has(RISK_WORDS)}
 UNION ALL SELECT 'opportunities', it.* FROM it WHERE body AND strategic_potential >= 4 AND hype <= 2),
 placed AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY CASE WHEN section = 'weak_signals' THEN -rscore ELSE ord END, CASE WHEN section = 'weak_signals' THEN -salience ELSE -blended END, event_id) AS pos FROM routed),
 cut AS (SELECT * FROM placed WHERE pos <= 8),
