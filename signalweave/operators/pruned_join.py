@@ -170,7 +170,8 @@ def join(left: DataFrame, right: DataFrame, threshold: float, every: bool = Fals
 
 def best_earlier(vectors: DataFrame, threshold: float, among: DataFrame | None = None) -> DataFrame:
     """Rows (id, parent, similarity): for each row of (id, at, vec) its most similar earlier row at or above the threshold, if there is one; ties go to the earliest. Earlier is by (at, id). With among, only its rows are neighbours. Exact."""
-    found = join(vectors, vectors if among is None else among, threshold).where("id IS NOT NULL")
+    held = staged(vectors.select("id", "at", "vec"), "vectors")  # read several times
+    found = join(held, held if among is None else staged(among.select("id", "at", "vec"), "among"), threshold).where("id IS NOT NULL")
     best = F.min_by(F.struct(F.col("other").alias("parent"), "similarity"), F.struct(-F.col("similarity"), F.col("other_at"), F.col("other")))
     return found.groupBy("id").agg(best.alias("b")).select("id", "b.parent", "b.similarity")
 
