@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from signalweave.functions.scoring import action_weight
 from signalweave.operators.events import assign_new
@@ -56,58 +56,40 @@ def checked_feedback(log: DataFrame, events: DataFrame, wait: str = "10 days", k
     return left.join(right, near, "left_outer").select("id", "event_id", "action", "created_at", reason.alias("reason"))
 
 
-class Rises(StatefulProcessor):
-    """Snapshots wait in state until the watermark has passed the end of their step of time; then they are taken in order, and the last one's stars are the state."""
+def _rises(step: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """A function of keyed state: snapshots wait until the watermark has passed the end of their step of time; then all that are ready are taken in order, and the last one's stars stay. A key has one timeout, at the first end that it waits for."""
 
-    def __init__(self, step: int) -> None:
-        self.step = step
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "at long, id long, stars long")
-        self.last = handle.getValueState("last", "stars long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        ends: set[int] = set()
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        *held, before = state.get if state.exists else ([], [], [], None)
+        held = [list(zip(*held))]
         for frame in rows:  # frame by frame: a key's rows are not put together
             at = frame["captured_at"].astype("datetime64[us]").astype("int64")
-            self.held.appendList(list(zip(at.tolist(), frame["id"].tolist(), frame["stars"].tolist())))
-            ends |= set(((at // (1000 * self.step) + 1) * self.step).unique().tolist())
-        for end in ends:
-            self.handle.registerTimer(end)
-        return iter(())
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        held = [tuple(r) for r in self.held.get()]
-        ready, rest = sorted(r for r in held if r[0] < end), [r for r in held if r[0] >= end]
-        if not ready:
-            return
-        before, out = self.last.get()[0] if self.last.exists() else None, []
-        for at, i, stars in ready:
+            held.append(list(zip(at.tolist(), frame["id"].tolist(), frame["stars"].tolist())))
+        passed, ready, rest, out = state.getCurrentWatermarkMs(), [], [], []
+        for r in itertools.chain(*held):
+            (ready if (r[0] // (1000 * step) + 1) * step <= passed else rest).append(r)
+        for at, i, stars in sorted(ready):
             if before is not None and stars > before:
                 out.append((key[0], at, i, stars - before, stars))
             before = stars
-        self.last.update((before,))
+        state.update((*([r[c] for r in rest] for c in range(3)), before))
         if rest:
-            self.held.put(rest)
-        else:
-            self.held.clear()
-        frame = pd.DataFrame(out, columns=["repo", "captured_at", "id", "gained", "stars"])
-        yield frame.assign(captured_at=frame["captured_at"].astype("int64").astype("datetime64[us]"))
+            state.setTimeoutTimestamp((min(r[0] for r in rest) // (1000 * step) + 1) * step - 1)
+        if out:
+            frame = pd.DataFrame(out, columns=["repo", "captured_at", "id", "gained", "stars"])
+            yield frame.assign(captured_at=frame["captured_at"].astype("int64").astype("datetime64[us]"))
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def star_velocity(snapshots: DataFrame, delay: str = "1 day", step: str = "1 hour") -> DataFrame:
     """Rises of each repository's stars against the snapshot before it by time and id, whatever the order in which snapshots come within the delay; later ones are left out.
 
-    A snapshot goes out once the watermark has passed the end of its step. Needs the RocksDB state store (see drained()).
+    A snapshot goes out once the watermark has passed the end of its step.
     """
     milliseconds = int(pd.Timedelta(step) / pd.Timedelta("1ms"))
     rows = snapshots.withWatermark("captured_at", delay).groupBy("repo")
-    return rows.transformWithStateInPandas(Rises(milliseconds), "repo long, captured_at timestamp, id long, gained long, stars long", "Append", "EventTime")
+    return rows.applyInPandasWithState(_rises(milliseconds), "repo long, captured_at timestamp, id long, gained long, stars long", "at array<long>, id array<long>, stars array<long>, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def assign_batches(spark: SparkSession, folder: str, threshold: float = DEFAULTS.threshold) -> Callable[[DataFrame, int], None]:
