@@ -1,8 +1,9 @@
 """Landed feed and API payloads as items (source_name, source_type, title, url, published_at, summary, bad, error).
 
-A payload is landed as a file below a folder named source=<name>, so that Spark reads the source from the path. Each file
-is read whole, as one answer of one source, and parsed by built-in functions. Bad payloads stop no other: one that can't
-be parsed becomes a row with bad = true and the parser's message as error.
+A payload is landed as a file below a folder named source=<name>, so that Spark reads the source from the path, or, where
+payloads are many and small, as a row of a table (see landed). Each is read whole, as one answer of one source, and parsed
+by built-in functions. Bad payloads stop no other: one that can't be parsed becomes a row with bad = true and the parser's
+message as error.
 """
 
 from __future__ import annotations
@@ -54,9 +55,23 @@ def _xml_error(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (source, path, text): each file's text as UTF-16 by its byte order mark, as Latin-1 where its prolog says so, else as UTF-8, with U+FFFD for what is none."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", False).load(path).select("path", "content", F.col("source").cast("string").alias("source"))
+#: A folder of landed files, or a table of them.
+Landed = str | DataFrame
+#: Bytes of a row group of landed payloads. A reader holds the rows of one at most, however large the payloads are.
+GROUP_BYTES = 8 << 20
+
+
+def landed(rows: DataFrame, folder: str) -> DataFrame:
+    """Payloads (source, path, content) as a written table below a folder, which readers take in place of a folder of files: its files are as few as its bytes ask for."""
+    rows = rows.select(*[F.col(c).cast(t).alias(c) for c, t in (("source", "string"), ("path", "string"), ("content", "binary"))])
+    rows.write.options(**{"compression": "zstd", "parquet.block.size": GROUP_BYTES}).mode("append").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def payloads(spark: SparkSession, path: Landed) -> DataFrame:
+    """Rows (source, path, text): each payload's text as UTF-16 by its byte order mark, as Latin-1 where its prolog says so, else as UTF-8, with U+FFFD for what is none."""
+    files = path if isinstance(path, DataFrame) else spark.read.format("binaryFile").option("recursiveFileLookup", False).load(path)
+    files = files.select("path", "content", F.col("source").cast("string").alias("source"))
     latin = F.decode(F.substring("content", 1, 200), "ISO-8859-1")
     named = F.upper(F.regexp_extract(latin, r"""^[^<]*<\?xml[^>]*encoding=["']([A-Za-z0-9_-]+)["']""", 1))
     mark = F.hex(F.substring("content", 1, 2))
@@ -73,13 +88,13 @@ def _parsed(rows: DataFrame, found: Column, error: Callable[[Column], Column]) -
     return good.unionByName(bad)
 
 
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _json(spark: SparkSession, path: Landed, schema: str) -> DataFrame:
     rows = payloads(spark, path)
     found = F.from_json("text", schema)
     return _parsed(rows, found["items"] if schema.startswith("struct") else found, _json_error)
 
 
-def _feed(spark: SparkSession, path: str) -> DataFrame:
+def _feed(spark: SparkSession, path: Landed) -> DataFrame:
     """Entries of feeds of any kind, told by what a payload holds and not by where it lies."""
     x = F.from_xml("text", FEED, {"ignoreNamespace": "true", "columnNameOfCorruptRecord": "_corrupt_record", "mode": "PERMISSIVE"})
     rows = payloads(spark, path).select("source", "path", "text", x.alias("x"))
@@ -127,12 +142,12 @@ def _summary() -> Column:
     return F.coalesce("r.description", "r.summary", "r.encoded", "r.content")
 
 
-def rss(spark: SparkSession, path: str, sources: DataFrame | None = None) -> DataFrame:
+def rss(spark: SparkSession, path: Landed, sources: DataFrame | None = None) -> DataFrame:
     """Entries of RSS 0.9, 1.0 and 2.0 and of Atom; one without a date of publication has the date of its last change."""
     return _items(_feed(spark, path), "rss", sources, or_text("r.title", "(untitled)"), _link(), _told("pubDate", "published", "issued", "updated", "modified", "date"), _summary())
 
 
-def arxiv(spark: SparkSession, path: str, sources: DataFrame | None = None) -> DataFrame:
+def arxiv(spark: SparkSession, path: Landed, sources: DataFrame | None = None) -> DataFrame:
     """As rss(), with white space inside titles as single spaces."""
     title = F.regexp_replace(or_text("r.title", "(untitled)"), SPACE, " ")
     return _items(_feed(spark, path), "arxiv", sources, title, _link(), _told("published", "updated"), stripped(_summary()))
@@ -142,17 +157,17 @@ def _filled(c: str) -> Column:
     return F.nullif(F.col(c), F.lit(""))
 
 
-def releases(spark: SparkSession, path: str, sources: DataFrame | None = None) -> DataFrame:
+def releases(spark: SparkSession, path: Landed, sources: DataFrame | None = None) -> DataFrame:
     title = F.coalesce(_filled("r.name"), _filled("r.tag_name"), F.lit("(unnamed release)"))
     return _items(_json(spark, path, RELEASES), "github_releases", sources, title, F.col("r.html_url"), parsed_time("r.published_at"), F.col("r.body"))
 
 
-def repo_search(spark: SparkSession, path: str, prefix: str, kind: str = "github_new_repos", sources: DataFrame | None = None) -> DataFrame:
+def repo_search(spark: SparkSession, path: Landed, prefix: str, kind: str = "github_new_repos", sources: DataFrame | None = None) -> DataFrame:
     title = F.concat(F.lit(f"{prefix}: "), F.coalesce(_filled("r.full_name"), F.lit("(unknown repo)")))
     return _items(_json(spark, path, REPOS), kind, sources, title, F.col("r.html_url"), parsed_time("r.created_at"), F.coalesce("r.description", F.lit("")))
 
 
-def star_rises(spark: SparkSession, path: str, sources: DataFrame | None = None, snapshots: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+def star_rises(spark: SparkSession, path: Landed, sources: DataFrame | None = None, snapshots: DataFrame | None = None, now: Column | None = None) -> DataFrame:
     """Items for repositories with more stars than in their last snapshot (repo_full_name, stars, captured_at). One without a snapshot gives none: its first one is still to be taken."""
     df = _json(spark, path, REPOS).where("error IS NOT NULL OR (r.full_name IS NOT NULL AND r.full_name <> '')")
     known = spark.createDataFrame([], "repo string, before long") if snapshots is None else snapshots.groupBy(F.col("repo_full_name").alias("repo")).agg(F.max_by("stars", "captured_at").alias("before"))
@@ -162,13 +177,13 @@ def star_rises(spark: SparkSession, path: str, sources: DataFrame | None = None,
     return _items(df, "github_star_velocity", sources, title, F.col("r.html_url"), F.current_timestamp() if now is None else now, F.coalesce("r.description", F.lit("")))
 
 
-def star_snapshots(spark: SparkSession, path: str, captured_at: Column) -> DataFrame:
+def star_snapshots(spark: SparkSession, path: Landed, captured_at: Column) -> DataFrame:
     """Rows (repo_full_name, stars, captured_at) of a repository search, for the snapshot table."""
     df = _json(spark, path, REPOS)
     return df.where("r.full_name IS NOT NULL AND r.stargazers_count IS NOT NULL").select(F.col("r.full_name").alias("repo_full_name"), F.col("r.stargazers_count").alias("stars"), captured_at.alias("captured_at"))
 
 
-def advisories(spark: SparkSession, path: str, sources: DataFrame | None = None) -> DataFrame:
+def advisories(spark: SparkSession, path: Landed, sources: DataFrame | None = None) -> DataFrame:
     name = F.coalesce(_filled("r.ghsa_id"), _filled("r.cve_id"), F.lit("advisory"))
     said = F.coalesce(_filled("r.summary"), _filled("r.description"), F.lit("(no summary)"))
     title = F.substring(F.concat(F.lit("Advisory "), name, F.lit(": "), said), 1, 300)
@@ -176,7 +191,7 @@ def advisories(spark: SparkSession, path: str, sources: DataFrame | None = None)
     return _items(_json(spark, path, ADVISORIES), "github_advisories", sources, title, F.coalesce(_filled("r.html_url"), F.col("r.url")), parsed_time("r.published_at"), F.concat(severity, F.coalesce(_filled("r.description"), said)))
 
 
-def issues(spark: SparkSession, path: str, sources: DataFrame | None = None) -> DataFrame:
+def issues(spark: SparkSession, path: Landed, sources: DataFrame | None = None) -> DataFrame:
     title = F.concat(F.when(F.col("r.pull_request").isNotNull(), "[PR] ").otherwise("[issue] "), F.coalesce(_filled("r.title"), F.lit("(untitled issue)")))
     return _items(_json(spark, path, ISSUES), "github_changes", sources, title, F.col("r.html_url"), parsed_time("r.created_at"), F.substring(F.coalesce("r.body", F.lit("")), 1, 1000))
 
@@ -192,8 +207,8 @@ READERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def all_items(spark: SparkSession, folders: dict[str, str], sources: DataFrame, snapshots: DataFrame | None = None, now: Column | None = None) -> DataFrame:
-    """Items of the enabled sources: one reader for each source type that has a folder, then a union. Rises of stars are told against snapshots, as of now."""
+def all_items(spark: SparkSession, folders: dict[str, Landed], sources: DataFrame, snapshots: DataFrame | None = None, now: Column | None = None) -> DataFrame:
+    """Items of the enabled sources: one reader for each source type that has a folder or a table, then a union. Rises of stars are told against snapshots, as of now."""
     live = sources.where("enabled").select(F.col("name").alias("live"))
     out: DataFrame | None = None
     for kind, path in folders.items():

@@ -115,3 +115,22 @@ def test_a_bad_file_stops_no_other(spark, landed):
     items = feeds.releases(spark, path).cache()
     got = {r.source_name: (r.item_count, r.error_count, r.ok, r.error) for r in run_report(items, sources).collect()}
     assert got == {"Good": (1, 0, True, None), "Bad": (0, 1, False, "JSONDecodeError: Expecting property name enclosed in double quotes: line 1 column 3 (char 2)"), "Silent": (0, 0, True, None)}
+
+
+def test_payloads_of_a_table_are_read_as_files_are(spark, landed, tmp_path):
+    texts = {"a.json": '[{"name": "é"}, {"tag_name": "v2"}]', "b.json": "[]", "c.json": "oops"}
+    for name, text in texts.items():
+        path = landed("S", name, text)
+    wide = '[{"name": "w"}]'.encode("utf-16")
+    rows = [("S", n, t.encode()) for n, t in texts.items()]
+    table = feeds.landed(spark.createDataFrame(rows, "source string, path string, content binary"), f"{tmp_path}/table")
+    asked = ("source_name", "title", "bad", "error")
+    assert sorted(map(str, feeds.releases(spark, table).select(*asked).collect())) == sorted(map(str, feeds.releases(spark, path).select(*asked).collect()))
+    more = feeds.landed(spark.createDataFrame([("007", "w", wide)], "source string, path string, content binary"), f"{tmp_path}/table")
+    assert {(r.source_name, r.title) for r in feeds.releases(spark, more).where("NOT bad").collect()} == {("S", "é"), ("S", "v2"), ("007", "w")}
+
+
+def test_many_small_payloads_are_few_files(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("concat('s', id % 20) AS source", "cast(id AS string) AS path", "cast('[]' AS binary) AS content")
+    assert feeds.payloads(spark, feeds.landed(rows, f"{tmp_path}/table")).count() == 3000
+    assert len(list((tmp_path / "table").glob("part-*"))) <= rows.rdd.getNumPartitions()
