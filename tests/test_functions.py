@@ -78,3 +78,11 @@ def test_tokens_are_those_of_the_pattern():
     words, row = vectors._tokens(texts)
     assert list(zip(words.to_pylist(), row.tolist())) == [(w, i) for i, t in enumerate(texts) for w in re.findall("[a-z0-9]+", t)]
     assert vectors._tokens([""])[0].to_pylist() == [] and vectors._tokens([])[1].tolist() == []
+
+
+def test_pieces_hold_all_tokens_in_lists_of_bounded_size():
+    texts = ["Ab1 cd, " * 40, None, "", "x" * 50, "é y", "K İz"]
+    found = [(int(rows[i]), w) for rows, some in vectors._pieces(texts, 16) for i, t in enumerate(some) for w in vectors._tokens([t])[0].to_pylist()]
+    whole, row = vectors._tokens([(t or "").lower() for t in texts])
+    assert found == list(zip(row.tolist(), whole.to_pylist()))
+    assert max(sum(map(len, some)) for _, some in vectors._pieces(texts[:1], 16)) < 16 + 4
