@@ -36,17 +36,16 @@ def _first_object(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def extracted(c: Column | str) -> Column:
-    """The JSON object in an answer that may have a fence or prose around it, else null. Answers that are one object already pass through built-in functions; only the rest is scanned."""
-    bare = stripped(F.regexp_replace(F.coalesce(col(c), F.lit("")), FENCE, "$1"))
-    whole = F.try_parse_json(bare)
-    direct = F.coalesce(F.startswith(bare, F.lit("{")) & F.schema_of_variant(whole).startswith("OBJECT"), F.lit(False))
-    return F.when(direct, bare).otherwise(_first_object(F.when(~direct, bare)))
-
-
 def _held(answers: DataFrame, text: str) -> DataFrame:
-    """answers with the object of each as a variant j, null where there is none."""
-    return answers.withColumn("j", F.try_parse_json(extracted(text)))
+    """answers with the JSON object of each as a variant j, null where there is none; a fence or prose may stand around it.
+
+    Answers that are one object already pass through built-in functions; only the rest is scanned. Each step is a column of
+    its own, so that it is worked out once.
+    """
+    out = answers.withColumn("bare_", stripped(F.regexp_replace(F.coalesce(col(text), F.lit("")), FENCE, "$1"))).withColumn("whole_", F.try_parse_json("bare_"))
+    out = out.withColumn("direct_", F.coalesce(F.startswith("bare_", F.lit("{")) & F.schema_of_variant("whole_").startswith("OBJECT"), F.lit(False)))
+    found = _first_object(F.when(~F.col("direct_"), F.col("bare_")))
+    return out.withColumn("j", F.when(F.col("direct_"), F.col("whole_")).otherwise(F.try_parse_json(found))).drop("bare_", "whole_", "direct_")
 
 
 def _at(path: str, of: str = "j") -> Column:
@@ -144,7 +143,8 @@ def by_rules(items: DataFrame) -> DataFrame:
     """The conservative enrichment of representative items: words of the stack give tags and relevance; it claims no weak signal and no graph."""
     text = F.lower(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("summary", F.lit(""))))
     out = items.withColumn("t", text)
-    out = out.withColumn("tags", F.filter(F.array(*[F.lit(w) for w in STACK_WORDS]), lambda w: F.contains(F.col("t"), w)))
+    # one call a word, not one lambda: a column that is read once is put in its place, and would be lowered anew for each word
+    out = out.withColumn("tags", F.array_compact(F.array(*[F.when(F.contains(F.col("t"), F.lit(w)), w) for w in STACK_WORDS])))
     hit = lambda *words: has_any("t", words)
     category = F.when(hit("security", "advisory", "cve"), "security").when(F.col("source_type") == "github_releases", "tool_update").when(F.col("source_type") == "arxiv", "research").otherwise("uncategorised")
     scores = {
@@ -169,8 +169,10 @@ def by_rules(items: DataFrame) -> DataFrame:
 def enriched(items: DataFrame, classify: DataFrame, summarise: DataFrame) -> DataFrame:
     """By model where both answers are good, else by rules. All three have event_id."""
     rules = by_rules(items)
-    c = classified(classify).where("ok").select("event_id", F.struct("category", "tags", *SCORES).alias("c"))
-    s = summarised(summarise).where("ok").select("event_id", F.struct("summary", "why_it_matters", "connection_to_user_work", "recommended_action").alias("s"))
+    # good answers by explode, not by a filter: a filter on ok would be taken down to the texts, and parse them anew for each field
+    good = lambda df, of, fields: df.select("event_id", F.explode(F.when(F.col("ok"), F.array(F.struct(*fields)))).alias(of))
+    c = good(classified(classify), "c", ("category", "tags", *SCORES))
+    s = good(summarised(summarise), "s", ("summary", "why_it_matters", "connection_to_user_work", "recommended_action"))
     out = rules.join(c, "event_id", "left").join(s, "event_id", "left")
     good = F.col("c").isNotNull() & F.col("s").isNotNull()
     pick = lambda side, f: F.when(good, F.col(f"{side}.{f}")).otherwise(F.col(f))

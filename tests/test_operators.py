@@ -308,3 +308,17 @@ def test_small_cells_share_a_block(spark):
     rows = [(i, i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(rng.normal(size=(1200, 8)))]
     df = spark.createDataFrame(rows, "id long, at long, vec array<double>")
     assert pruned_join.join(df, df, 0.5).where("id IS NULL").count() == 1
+
+
+def _parses(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_answers_are_parsed_once_however_many_fields_are_read(spark):
+    answer = '{"scores": {"relevance": 1, "novelty": 1, "actionability": 1, "strategic_potential": 3, "hype": 1}, "summary": "s"}'
+    items = spark.createDataFrame([(i, "python and rag", "x", "rss") for i in range(4)], "event_id long, title string, summary string, source_type string")
+    texts = spark.createDataFrame([(0, answer), (0, "no"), (1, f"Well: {answer} bye"), (2, "{"), (3, None)], "event_id long, text string")
+    out = enrich.enriched(items, texts, texts)
+    assert sorted((r.event_id, r.method, r.summary, r.relevance) for r in out.collect()) == [(0, "llm", "s", 1), (1, "llm", "s", 1), (2, "fallback", "x", 2), (3, "fallback", "x", 2)]
+    plan = _parses(out)
+    assert plan.count("_first_object") <= 2 and plan.count("parse_json") + plan.count("ParseJson") <= 8 and plan.count("lower(concat") == 1
