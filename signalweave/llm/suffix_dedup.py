@@ -376,40 +376,36 @@ def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     size = np.fromiter(map(len, strings), "i8", n)
     data = np.frombuffer(b"".join(strings), "u1")
     ends = np.cumsum(size)
-    transform, known = np.zeros(n, "u1"), np.zeros(n, bool)  # not known: yet, or because a string starts here
-    prefix = np.zeros(n, "u1")
+    code = np.cumsum(np.bincount(data, minlength=256) > 0)  # in the order of symbols, from 1 on; 0: not known yet, or a string starts here
+    data = code.astype("u1" if code[-1] < 256 else "u2")[data]
+    transform, prefix = np.zeros(n, data.dtype), np.zeros(n, "u1")
     place = np.arange(n)
     for step in range(int(size.max(initial=0))):
         live = np.flatnonzero(size > step)
         at = place[live]
-        transform[at], known[at] = data[ends[live] - 1 - step], True
-        order = np.flatnonzero(known)
-        order = order[np.argsort(transform[order], kind="stable")]  # the places of all suffixes with one more symbol
-        mine = np.zeros(len(transform), bool)
-        mine[at] = True
-        new = np.flatnonzero(mine[order])
-        of = np.empty(len(transform), "i4")
-        of[at] = live
-        place[of[order[new]]] = new + n
+        transform[at] = data[ends[live] - 1 - step]
+        order = np.argsort(transform, kind="stable")[n - len(live) :]  # the places of all suffixes with one more symbol
+        rank = np.empty(len(transform), "i4")
+        rank[order] = np.arange(len(order), dtype="i4")
+        new = rank[at].astype("i8")
+        place[live] = new + n
+        new.sort()
         # prefixes change at what is inserted and at what follows it
-        fresh = np.zeros(len(order) + 1, bool)
-        fresh[new] = fresh[new + 1] = True
-        pairs = np.flatnonzero(fresh[:-1])
-        pairs = pairs[pairs > 0]
+        after = new[np.append(new[1:] != new[:-1] + 1, new[-1] + 1 < len(order))] + 1
+        pairs = np.concatenate([new[new > 0], after])
         left, right = order[pairs - 1], order[pairs]
         alike = transform[left] == transform[right]
         told = np.zeros(len(pairs), "u1")
         told[alike] = 1 + _least(prefix, left[alike] + 1, right[alike])
         old = np.ones(n + len(order), bool)
         old[new + n] = False
-        grown, grown_known, grown_prefix = np.zeros(len(old), "u1"), np.zeros(len(old), bool), np.zeros(len(old), "u1")
-        grown[old], grown_known[old], grown_prefix[old] = transform, known, prefix
+        grown, grown_prefix = np.zeros(len(old), transform.dtype), np.zeros(len(old), "u1")
+        grown[old], grown_prefix[old] = transform, prefix
         grown_prefix[pairs + n] = told
-        transform, known, prefix = grown, grown_known, grown_prefix
+        transform, prefix = grown, grown_prefix
     # walk the finished transform once to learn which suffix stands where
-    order = np.flatnonzero(known)
     rank = np.empty(len(transform), "i8")
-    rank[order[np.argsort(transform[order], kind="stable")]] = n + np.arange(len(order))
+    rank[np.argsort(transform, kind="stable")[n:]] = np.arange(n, len(transform))
     string, start = np.empty(len(transform), "i8"), np.empty(len(transform), "i8")
     place = np.arange(n)
     string[place], start[place] = np.arange(n), size
@@ -423,14 +419,14 @@ def collection_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
 def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The least of values[first : last + 1] for each range; ranges are not empty. Minima over 1, 2, 4, ... values in a row, two of which cover a range."""
     out, wide = np.zeros(len(first), values.dtype), last - first + 1
-    level = np.frexp(wide)[1] - 1
-    held, span, k = values, 1, 0
-    while len(first):
-        some = np.flatnonzero(level == k)
+    level = (np.frexp(wide)[1] - 1).astype("u1")
+    order, held, span, start = np.argsort(level, kind="stable"), values, 1, 0
+    for k, many in enumerate(np.bincount(level).tolist()):
+        if k:
+            held, span = np.minimum(held[:-span], held[span:]), 2 * span
+        some = order[start : start + many]
         out[some] = np.minimum(held[first[some]], held[last[some] - span + 1])
-        if k == int(level.max()):
-            break
-        held, span, k = np.minimum(held[:-span], held[span:]), 2 * span, k + 1
+        start += many
     return out
 
 

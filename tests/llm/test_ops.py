@@ -337,6 +337,25 @@ def test_collection_order():
         assert prefix.tolist() == [0] + [shared(a, b) for (a, _), (b, _) in zip(order, order[1:])]
 
 
+def test_collection_order_of_all_bytes():
+    """Also where every byte occurs, so that codes of one byte do not do, and with copies and empty strings."""
+    every = bytes(range(255))
+    s = [every, bytes(range(1, 256)), b"", every, b"\xff" * 9, b""]
+    string, start, prefix = suffix_dedup.collection_order(s)
+    order = [(s[i][j:], i) for i, j in zip(string, start)]
+    assert order == sorted(order) and len(order) == sum(map(len, s)) + len(s) and prefix.max() == 255
+
+
+def test_rounds_of_a_collection_do_not_look_through_its_transform(monkeypatch):
+    """Rounds look for places among strings and what is new, not in masks over all that is inserted so far."""
+    looked, real = [], np.flatnonzero
+    r = random.Random(3)
+    s = [bytes(r.choices(b"abcd", k=60)) for _ in range(40)]
+    monkeypatch.setattr(np, "flatnonzero", lambda x: looked.append(len(x)) or real(x))
+    suffix_dedup.collection_order(s)
+    assert max(looked) <= 2 * len(s)
+
+
 def test_a_very_long_text_that_repeats(spark):
     r = random.Random(1)
     t = "".join(r.choices("abcdefgh \n", k=3_000_000))
