@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +37,12 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that are over, which it does once the driver has collected their garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:
     """docs as a written table in which every row has a number of its own, and the name of that column. Rows are told apart by it where ids are repeated or null."""
     row = fresh(docs, "row_id")[0]

@@ -1,12 +1,12 @@
-"""Edit distances held to a bound: of one pair by columns of bits, of many pairs at once by anti-diagonals."""
+"""Edit distances held to a bound: of one pair by columns of bits, of many pairs at once by furthest-reaching diagonals."""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Cells of one batch of pairs; pairs too few or too long for a batch are told singly.
-CELLS, FEWEST, LONGEST = 1 << 20, 12, 8000
-_FAR = 30_000
+#: Diagonals of one batch of pairs, about; pairs that are too few for a batch or have larger bounds are told singly.
+CELLS, FEWEST, MOST = 1 << 16, 4, 800
+_FAR = 1 << 30
 
 
 def edits(a: list | str, b: list | str, most: int | None = None) -> int:
@@ -59,7 +59,7 @@ def trimmed(a: list | str, b: list | str) -> tuple[list | str, list | str]:
 def word_edits(a: str, b: str) -> int:
     """What it takes at most to turn a into b where only words in place were changed; for other texts more than any bound."""
     x, y = a.split(" "), b.split(" ")
-    return sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) if len(x) == len(y) else _FAR * 1_000_000
+    return sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) if len(x) == len(y) else _FAR
 
 
 def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
@@ -73,31 +73,29 @@ def within(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
                 out[i] = True
             else:
                 cut.append((i, x, y, m))
-    for some in _batches([(len(c[1]), len(c[2])) for c in cut]):
-        rows = [cut[k] for k in some]
-        if len(rows) < FEWEST or max(len(rows[-1][1]), len(rows[-1][2])) > LONGEST:
-            good = [edits(x, y, m) <= m for _, x, y, m in rows]
-        else:
-            good = _batch([c[1] for c in rows], [c[2] for c in rows], np.array([c[3] for c in rows]))
-        out[[c[0] for c in rows]] = good
+    for i, x, y, m in cut:
+        if m > MOST:
+            out[i] = edits(x, y, m) <= m
+    cut = [c for c in cut if c[3] <= MOST]
+    for some in _batches(np.array([c[3] for c in cut], "i8")):
+        rows = [cut[k] for k in some.tolist()]
+        if len(rows) < FEWEST:
+            out[[c[0] for c in rows]] = [edits(x, y, m) <= m for _, x, y, m in rows]
+            continue
+        out[[c[0] for c in rows]] = _batch([c[1] for c in rows], [c[2] for c in rows], np.array([c[3] for c in rows], "i8"))
     return out
 
 
-def _batches(sizes: list[tuple[int, int]]) -> list[list[int]]:
-    """Places of pairs in batches of about equal lengths, shorter ones first in each."""
-    order = sorted(range(len(sizes)), key=lambda k: sum(sizes[k]))
-    out = []
-    while order:
-        n = max(1, CELLS // max(1, *sizes[order[-1]]))
-        out.append(order[-n:])
-        del order[-n:]
-    return out
-
-
-def _matrix(values: np.ndarray, size: np.ndarray, pad: int) -> np.ndarray:
-    """Sequences in columns, one after another in values."""
-    out = np.full((len(size), max(1, int(size.max()))), pad, values.dtype)
-    out[np.arange(out.shape[1])[None, :] < size[:, None]] = values
+def _batches(bounds: np.ndarray) -> list[np.ndarray]:
+    """Places of pairs in batches of about equal bounds."""
+    out, order = [], np.argsort(bounds, kind="stable")
+    sizes, start = bounds[order] + 3, 0
+    while start < len(order):
+        # up to twice the median of what is left: a few large bounds would mean many more rounds for all
+        stop = int(np.searchsorted(sizes, 2 * sizes[(start + len(order)) // 2], side="right"))
+        stop = min(stop, start + max(1, CELLS // int(sizes[stop - 1])))
+        out.append(order[start:stop])
+        start = stop
     return out
 
 
@@ -105,44 +103,80 @@ def _characters(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "u4"), np.array([len(x) for x in lines])
 
 
+def _coded(values: np.ndarray) -> np.ndarray:
+    """Characters as codes of one byte if there are few different ones, or else of two or four; the two largest are free."""
+    top = int(values.max(initial=0))
+    if top < 0x10000:
+        seen = np.zeros(0x10000, bool)
+        seen[values] = True
+        if np.count_nonzero(seen) < 0xFE:
+            return (np.cumsum(seen) - 1).astype("u1")[values]
+    return values.astype("u2" if top < 0xFFFE else "u4")
+
+
+def _padded(codes: np.ndarray, size: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the eight bytes from it on, and where each sequence starts; eight bytes of pad follow each."""
+    wide = 8 // codes.itemsize
+    first = np.cumsum(size + wide) - size - wide
+    held = np.full(int((size + wide).sum()) + 10 * wide, pad, codes.dtype)
+    held[np.arange(len(codes)) + np.repeat(np.arange(len(size)) * wide, size)] = codes
+    return np.ascontiguousarray(np.ndarray(len(held) - wide + 1, "<u8", held, 0, (codes.itemsize,))), first
+
+
 def _batch(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
-    """within() for pairs of about the same length: all cells of an anti-diagonal no further from the main one than the largest bound, for all pairs at once."""
+    """within() by furthest-reaching diagonals: with one edit more a round, how much of a each diagonal covers, for all pairs at once."""
     (x, n), (y, m) = _characters(a), _characters(b)
-    band, total, good = int(most.max()), n + m, np.zeros(len(a), bool)
-    top = max(x.max(initial=0), y.max(initial=0))
-    kind, free = ("u1", 0xFE) if top < 0xFE else ("u2", 0xFFFE) if top < 0xFFFE else ("u4", 0xFFFFFFFE)
-    x, y = np.ascontiguousarray(_matrix(x.astype(kind), n, free).T), np.ascontiguousarray(_matrix(y.astype(kind), m, free + 1)[:, ::-1].T)
-    rows, columns = len(x), len(y)
-    live = np.arange(len(a))
-    before, last, now = (np.full((rows + 3, len(a)), _FAR, "i2") for _ in range(3))
-    last[1] = 0  # row i + 1 holds the cell with i characters of a
-    finishes = np.bincount(total) > 0
-    for d in range(1, int(total.max()) + 1):
-        low, high = max(0, d - columns, -(-(d - band) // 2)), min(rows, d, (d + band) // 2)
-        if low > high:
+    codes = _coded(np.concatenate([x, y]))
+    free, wide, shift = int(np.iinfo(codes.dtype).max), 8 // codes.itemsize, np.uint8(codes.itemsize.bit_length() + 2)
+    (x, x_at), (y, y_at) = _padded(codes[: len(x)], n, free), _padded(codes[len(x) :], m, free - 1)
+    # a diagonal is the characters of a less those of b; only those from which the bound can be met have a cell
+    delta = n - m
+    low, high = -((most - delta) // 2), (most + delta) // 2
+    size = np.maximum(high - low + 1, 0) + 2  # and one that is never reached on either side
+    base = np.cumsum(size) - size
+    pair = np.repeat(np.arange(len(n)), size)
+    diagonal = np.arange(len(pair)) - base[pair] - 1 + low[pair]
+    cap = np.minimum(n[pair], m[pair] + diagonal)
+    x_at, y_at = x_at[pair], y_at[pair] - diagonal
+    start, stop = np.abs(diagonal), most[pair] - np.abs(delta[pair] - diagonal)
+    edge = np.concatenate([base, base + size - 1])
+    start[edge] = _FAR
+    end = base + 1 + delta - low
+    cap, start, stop, x_at, y_at = (v.astype("i4") for v in (cap, start, stop, x_at, y_at))
+    reach, now = np.full(len(pair), -_FAR, "i4"), np.full(len(pair), -_FAR, "i4")
+    good, block = np.zeros(len(n), bool), wide * np.arange(8)
+    live = np.flatnonzero(np.abs(delta) <= most)
+    for e in range(int(most.max(initial=-1)) + 1):
+        if e:
+            np.maximum(reach[:-2], reach[1:-1], out=now[1:-1])
+            now[1:-1] += 1
+            np.maximum(now[1:-1], reach[2:], out=now[1:-1])
+            np.minimum(now, cap, out=now)
+        else:
+            now[(start == 0) & (stop >= 0)] = 0
+        cells = np.flatnonzero((start <= e) & (stop >= e))
+        i, of_x, of_y = now.take(cells), x_at.take(cells), y_at.take(cells)
+        apart = x.take(of_x + i)
+        apart ^= y.take(of_y + i)
+        more = np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)) >> shift
+        i += more
+        left = np.flatnonzero(more == wide)
+        while len(left):
+            at = i[left, None] + block
+            apart = x[of_x[left, None] + at] ^ y[of_y[left, None] + at]
+            unlike = (apart != 0).argmax(axis=1)
+            apart = apart[np.arange(len(left)), unlike]
+            more = np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)) >> shift
+            i[left] += np.where(apart != 0, unlike * wide + more, 8 * wide)
+            left = left[apart == 0]
+        now[cells] = i
+        now[edge] = -_FAR
+        done = now[end[live]] >= n[live]
+        if done.any():
+            good[live[done]] = True
+            stop[good[pair]] = -1
+        live = live[~done & (most[live] > e)]
+        if not len(live):
             break
-        i, j = max(low, 1), min(high, d - 1)
-        if i <= j:
-            cell = now[i + 1 : j + 2]
-            np.minimum(last[i : j + 1], last[i + 1 : j + 2], out=cell)
-            cell += 1
-            np.minimum(cell, before[i : j + 1] + (x[i - 1 : j] != y[columns - d + i : columns - d + j + 1]), out=cell)
-        if low == 0:
-            now[1] = d
-        if high == d:
-            now[d + 1] = d
-        now[low], now[high + 2] = _FAR, _FAR
-        if finishes[d]:
-            ends = np.flatnonzero(total[live] == d)
-            who = live[ends]
-            good[who] = now[n[who] + 1, ends] <= most[who]
-        before, last, now = last, now, before
-        if d % 32 == 0:  # pairs that are done or can't meet their bound any more go
-            best = np.minimum(last[low + 1 : high + 2].min(axis=0), before[max(1, low) : high + 2].min(axis=0))
-            stay = (best <= most[live]) & (total[live] > d)
-            if 3 * stay.sum() < 2 * len(live):
-                live = live[stay]
-                if not len(live):
-                    break
-                x, y, before, last, now = (np.ascontiguousarray(v[:, stay]) for v in (x, y, before, last, now))
+        reach, now = now, reach
     return good

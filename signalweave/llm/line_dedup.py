@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalweave.llm.common import Sketch, batch_slices, dropped, fresh, numbered, parts, quoted, sketch_total, staged
+from signalweave.llm.common import Sketch, batch_slices, dropped, fresh, numbered, parts, quoted, sketch_total, staged, swept
 from signalweave.llm.components import components
 from signalweave.llm.edits import within
 from signalweave.llm.text import filled, mixed, word_hashes, words_of
@@ -37,7 +37,9 @@ BANDS, ROWS, LONG, SMALL = 10, 3, 90, 100
 RADIUS = 22
 ODD = mixed(np.arange(1, BANDS * ROWS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Groups are compared together up to so many characters; those of more classes than SPREAD are dealt one by one.
-TOGETHER, SPREAD = 1 << 21, 256
+TOGETHER, SPREAD = 1 << 23, 256
+#: A round of comparisons takes up to so many lines of a group until it has so many pairs.
+AHEAD, ENOUGH = 8, 512
 
 
 def simhashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -133,19 +135,20 @@ class _Group:
                 return later
         return np.zeros(0, "i8")
 
-    def most(self, later: np.ndarray) -> np.ndarray:
-        return (100 - self.percent) * np.maximum(self.size[later], self.size[self.at]) // 100
+    def most(self, at: int, later: np.ndarray) -> np.ndarray:
+        return (100 - self.percent) * np.maximum(self.size[later], self.size[at]) // 100
 
-    def link(self, later: np.ndarray) -> None:
+    def link(self, at: int, later: np.ndarray) -> None:
         for j in later.tolist():
-            if self.root[j] != self.root[self.at]:
-                self.root[self.root == self.root[j]] = self.root[self.at]
+            if self.root[j] != self.root[at]:
+                self.root[self.root == self.root[j]] = self.root[at]
 
 
 def forest(groups: list[tuple[list[int], list[str]]], percent: int) -> list[tuple[int, int]]:
     """Links that connect all lines of each group that edits connect. Groups are numbers of lines and their texts, and may share lines.
 
-    In each round one line of every group meets its later ones, but for those that hang together already, in whichever group that was found.
+    In each round one line of every group, or up to AHEAD where that is few pairs, meets its later ones, but for those that
+    hang together already, in whichever group that was found.
     """
     if not groups:
         return []
@@ -163,24 +166,29 @@ def forest(groups: list[tuple[list[int], list[str]]], percent: int) -> list[tupl
 
     out: list[tuple[int, int]] = []
     while live:
-        wanted = [(g, later) for g in live if len(later := g.next())]
-        live = [g for g, _ in wanted]
+        wanted: list[tuple[_Group, int, np.ndarray]] = []
+        for _ in range(AHEAD):
+            asked = [(g, g.at, later) for g in live if len(later := g.next())]
+            live = [g for g, _, _ in asked]
+            wanted += asked
+            if not asked or sum(len(later) for _, _, later in wanted) >= ENOUGH:
+                break
         pairs: dict[tuple[int, int], tuple[str, str, int]] = {}
-        for g, later in wanted:
-            mine, at = find(g.ids[g.at]), g.ids[g.at]
+        for g, i, later in wanted:
+            mine, at = find(g.ids[i]), g.ids[i]
             later = np.array([j for j in later.tolist() if find(g.ids[j]) != mine], "i8")
-            most = g.most(later)
-            near = np.abs(counts[g.base + later] - counts[g.base + g.at]).sum(axis=1) <= 4 * most
+            most = g.most(i, later)
+            near = np.abs(counts[g.base + later] - counts[g.base + i]).sum(axis=1) <= 4 * most
             for j, m in zip(later[near].tolist(), most[near].tolist()):
-                pairs[at, g.ids[j]] = g.lines[g.at], g.lines[j], m
+                pairs[at, g.ids[j]] = g.lines[i], g.lines[j], m
         a, b, most = zip(*pairs.values()) if pairs else ((), (), ())
         for (x, y), hit in zip(pairs, within(list(a), list(b), np.array(most, "i8")).tolist()):
             if hit and find(x) != find(y):
                 root[find(y)] = find(x)
                 out.append((x, y))
-        for g, later in wanted:
-            mine = find(g.ids[g.at])
-            g.link(np.array([j for j in later.tolist() if find(g.ids[j]) == mine], "i8"))
+        for g, i, later in wanted:
+            mine = find(g.ids[i])
+            g.link(i, np.array([j for j in later.tolist() if find(g.ids[j]) == mine], "i8"))
     return out
 
 
@@ -392,9 +400,12 @@ def line_groups(rows: DataFrame, min_words: int = 5, percent: int = 90) -> DataF
     of_class = [F.first(c).alias(c) for c in ("sim", "more", "length", "bands")]
     classes = lines.groupBy("key").agg(F.min(place).alias("p"), *of_class, F.count("*").alias("n"))
     classes = staged(classes.select(F.monotonically_increasing_id().alias("c"), "key", "p", "sim", "more", "length", "bands", "n"), "line-classes")
+    swept(rows.sparkSession)
     met = staged(candidates(classes, percent), "line-pairs")
+    swept(rows.sparkSession)
     ends = met.select(F.explode(F.array("a", "b")).alias("c")).where("c IS NOT NULL").distinct()
     norms = staged(texts_of(rows, classes.select("c", "p.row", "p.line").join(ends, "c", "left_semi")), "line-texts")
+    swept(rows.sparkSession)
     groups = components(staged(links(met, norms, percent), "line-links"))
     dropped(met)
     dropped(norms)

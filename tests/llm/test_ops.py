@@ -481,6 +481,31 @@ def test_bands_find_lines_that_edits_would_link(n_words):
     assert len(links) > 20 and len(met) >= 0.95 * len(links)
 
 
+def test_few_pairs_and_long_ones_are_compared_together(monkeypatch):
+    """Few pairs, and one of 7,900 characters, are told in batches of diagonals, not one by one."""
+    r = random.Random(4)
+    a = ["".join(r.choices("abcdé漢 ", k=n)) for n in (50, 60, 70, 80, 7900)]
+    b = [x[5:20] + "x" + x[20:-7] + "yz" + x[:4] for x in a]
+    most = [edits.edits(x, y) for x, y in zip(a, b)]
+    monkeypatch.setattr(edits, "edits", lambda *_: pytest.fail("told singly"))
+    a, b = [*a, *a], [*b, *b]
+    assert edits.within(a, b, np.array([*most, *(m - 1 for m in most)])).tolist() == [True] * 5 + [False] * 5
+    a, b = a[:4], b[:4]
+    assert edits.within(a, b, np.array(most[:4])).all()
+
+
+def test_word_hashes_are_those_of_the_library(monkeypatch):
+    """Also of short words, which are hashed as numbers, and of slices; the library is asked for long words and the last bytes alone."""
+    r = random.Random(5)
+    words = ["".join(r.choices("ab\0é漢\U0001F600", k=r.randint(0, 6))) for _ in range(500)] + ["abcdefgh", "abcdefghi", "a\0", "a", "", "z" * 8, "end"]
+    for x in (pa.array(words), pa.array(words)[7:-3], pa.array(words)[:0], pa.array([""])):
+        assert text.word_hashes(x).tolist() == [text.xxhash.xxh3_64_intdigest(w.encode()) for w in x.to_pylist()]
+    asked, real = [], text.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(text.xxhash, "xxh3_64_intdigest", lambda w: asked.append(w) or real(w))
+    text.word_hashes(pa.array(["short", "words", "only", "and", "a-longer-one", "the-last-one"]))
+    assert sorted(asked) == [b"a-longer-one", b"the-last-one"]
+
+
 @pytest.mark.parametrize("few", [2, 16])
 def test_op6_links_lines_by_characters(spark, tmp_path, monkeypatch, few):
     monkeypatch.setattr(line_dedup, "FEW", few)
