@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,16 @@ def dropped(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def swept(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of plans that are over, which it does once the driver has collected their garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Plans that run inside give their shuffle files up when they end, not when the driver collects their garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
 
 
 def numbered(docs: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -28,4 +28,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         dropped(labels)
         labels = after
     dropped(edges)
-    return labels.select("node", F.col("label").alias("component"))
+    out = labels.select("node", F.col("label").alias("component"))
+    out.staged_path = labels.staged_path
+    return out

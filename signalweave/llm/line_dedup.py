@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalweave.llm.common import Sketch, batch_slices, dropped, fresh, numbered, parts, quoted, sketch_total, staged, swept
+from signalweave.llm.common import Sketch, batch_slices, dropped, fresh, numbered, parts, quoted, sketch_total, staged, tidy
 from signalweave.llm.components import components
 from signalweave.llm.edits import within
 from signalweave.llm.text import filled, mixed, word_hashes, words_of
@@ -38,6 +38,8 @@ RADIUS = 22
 ODD = mixed(np.arange(1, BANDS * ROWS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Groups are compared together up to so many characters; those of more classes than SPREAD are dealt one by one.
 TOGETHER, SPREAD = 1 << 23, 256
+#: Entries of buckets that are packed together.
+TAKEN = 1 << 19
 #: A round of comparisons takes up to so many lines of a group until it has so many pairs.
 AHEAD, ENOUGH = 8, 512
 
@@ -259,6 +261,16 @@ def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(n)), n), wide.view("u8").ravel()
 
 
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """64-bit columns of one length, compressed byte by byte of their numbers: most high bytes are the same."""
+    return pa.compress(np.ascontiguousarray(np.stack(columns).view("u1").reshape(len(columns), -1, 8).transpose(0, 2, 1)), "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int, columns: int) -> np.ndarray:
+    data = np.frombuffer(pa.decompress(blob, 8 * n * columns, "zstd", asbytes=True), "u1")
+    return np.ascontiguousarray(data.reshape(columns, 8, n).transpose(0, 2, 1)).view("i8").reshape(columns, n)
+
+
 def candidates(classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes that share a band, have near SimHashes and fitting lengths; g is null. A pair may come more than once.
 
@@ -281,6 +293,8 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(zlib.decompress(fixed.value), "u4")
         noise = int(counts.mean())
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             ids, sims, more, length = (batch.column(x).to_numpy() for x in ("c", "sim", "more", "length"))
             row, b = _places(batch)
@@ -289,15 +303,32 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             at = np.repeat(np.arange(len(b)), nb)
             other = np.arange(len(at)) - np.repeat(np.cumsum(nb) - nb, nb)
             o, b, at = own.astype("i8")[at], b[at], row[at]
-            cols = [b.view("i8"), np.minimum(o, other) << 20 | np.maximum(o, other), o, ids[at], sims[at], more[at], length[at]]
-            yield pa.record_batch([pa.array(x) for x in cols], names=["bucket", "xy", "own", "c", "sim", "more", "length"])
+            xy = np.minimum(o, other) << 20 | np.maximum(o, other)
+            held.append(np.stack([b.view("i8"), xy, o, ids[at], sims[at], more[at], length[at].astype("i8")]))
+            size += len(b)
+            if size >= TAKEN:
+                yield from told(held)
+                held, size = [], 0
+        if size:
+            yield from told(held)
+
+    def told(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(held, axis=1)
+        part = (mixed(rows[0].view("u8") ^ mixed(rows[1].view("u8"))) % np.uint64(n_parts)).astype("i8")
+        rows = rows[:, np.argsort(part, kind="stable")]
+        n = np.bincount(part, minlength=n_parts)
+        end = np.cumsum(n)
+        some = np.flatnonzero(n)
+        blobs = [_packed(list(rows[:, end[i] - n[i] : end[i]])) for i in some.tolist()]
+        yield pa.record_batch({"part": pa.array(some.astype("i4")), "n": pa.array(n[some]), "blob": pa.array(blobs, pa.binary())})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        names = "bucket", "xy", "own", "c", "sim", "more", "length"
+        held = [_unpacked(blob, n, len(names)) for batch in batches for blob, n in zip(batch.column("blob").to_pylist(), batch.column("n").to_pylist())]
         if not held:
             return
-        table = pa.Table.from_batches(held)
-        c = {x: table.column(x).to_numpy() for x in table.schema.names}
+        c = dict(zip(names, np.concatenate(held, axis=1)))
+        del held
         order = np.lexsort((c["length"], c["xy"], c["bucket"]))
         c = {x: v[order] for x, v in c.items()}
         new = (c["bucket"][1:] != c["bucket"][:-1]) | (c["xy"][1:] != c["xy"][:-1])
@@ -328,8 +359,10 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
             name = mixed(c["bucket"][b].view("u8") ^ mixed(c["xy"][b].view("u8"))).view("i8")
             yield pa.record_batch([pa.array(c["c"][b]), pa.nulls(len(b), pa.int64()), pa.array(name)], names=["a", "b", "g"])
 
-    dealt = classes.select("c", "sim", "more", "length", "bands").mapInArrow(deal, "bucket long, xy long, own long, c long, sim long, more long, length int")
-    return dealt.repartition(parts(spark), "bucket", "xy").mapInArrow(meet, "a long, b long, g long")
+    # one row holds all that a task has for a part, so that few rows are shuffled
+    n_parts = parts(spark)
+    dealt = classes.select("c", "sim", "more", "length", "bands").mapInArrow(deal, "part int, n long, blob binary")
+    return dealt.repartitionById(n_parts, F.col("part")).mapInArrow(meet, "a long, b long, g long")
 
 
 def texts_of(rows: DataFrame, needed: DataFrame) -> DataFrame:
@@ -394,27 +427,35 @@ def links(met: DataFrame, norms: DataFrame, percent: int) -> DataFrame:
 
 
 def line_groups(rows: DataFrame, min_words: int = 5, percent: int = 90) -> DataFrame:
-    """From a written table (row, doc_id, text), row being different in each, rows (row, line, first) for each line that goes; first is the place (late, doc_id, row, line) of the line of its group that stays."""
-    lines = staged(line_rows(rows, min_words), "lines")
+    """From a written table (row, doc_id, text), row being different in each, a written table (row, line, first) of each line that goes; first is the place (late, doc_id, row, line) of the line of its group that stays.
+
+    What later steps need is written anew without the rest, which goes: a line's bands take more than all else of it.
+    """
+    full = staged(line_rows(rows, min_words), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("late"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "row", "line")
     of_class = [F.first(c).alias(c) for c in ("sim", "more", "length", "bands")]
-    classes = lines.groupBy("key").agg(F.min(place).alias("p"), *of_class, F.count("*").alias("n"))
-    classes = staged(classes.select(F.monotonically_increasing_id().alias("c"), "key", "p", "sim", "more", "length", "bands", "n"), "line-classes")
-    swept(rows.sparkSession)
-    met = staged(candidates(classes, percent), "line-pairs")
-    swept(rows.sparkSession)
+    found = full.groupBy("key").agg(F.min(place).alias("p"), *of_class, F.count("*").alias("n"))
+    found = staged(found.select(F.monotonically_increasing_id().alias("c"), "key", "p", "sim", "more", "length", "bands", "n"), "line-blocks")
+    lines = staged(full.select("row", "line", "key"), "line-keys")
+    dropped(full)
+    met = staged(candidates(found, percent), "line-pairs")
+    classes = staged(found.select("c", "key", "p", "n"), "line-classes")
+    dropped(found)
     ends = met.select(F.explode(F.array("a", "b")).alias("c")).where("c IS NOT NULL").distinct()
     norms = staged(texts_of(rows, classes.select("c", "p.row", "p.line").join(ends, "c", "left_semi")), "line-texts")
-    swept(rows.sparkSession)
-    groups = components(staged(links(met, norms, percent), "line-links"))
+    linked = staged(links(met, norms, percent), "line-links")
     dropped(met)
     dropped(norms)
+    groups = components(linked)
     placed = staged(groups.join(classes.select(F.col("c").alias("node"), "p"), "node"), "line-groups")
     firsts = placed.groupBy("component").agg(F.min("p").alias("first"))
     of_group = placed.select("node", "component").join(firsts, "component").select("node", "first")
     stays = classes.join(of_group, F.col("c") == F.col("node"), "left").where("n > 1 OR node IS NOT NULL")
     stays = stays.select(F.col("key").alias("of"), F.coalesce("first", "p").alias("first"))
-    return lines.join(stays, F.col("key") == F.col("of")).where("row <> first.row OR line <> first.line").select("row", "line", "first")
+    gone = staged(lines.join(stays, F.col("key") == F.col("of")).where("row <> first.row OR line <> first.line").select("row", "line", "first"), "line-gone")
+    for table in (linked, groups, placed, classes, lines):
+        dropped(table)
+    return gone
 
 
 def without(text: Column, gone: Column) -> Column:
@@ -433,7 +474,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_
     held, row = numbered(docs, "line-docs")
     gone_row, gone_lines = fresh(docs, "gone_row", "gone_lines")
     rows = held.select(F.col(row).alias("row"), quoted(id_col).cast("long").alias("doc_id"), quoted(text).alias("text"))
-    gone = line_groups(rows, min_words, percent).groupBy(F.col("row").alias(gone_row)).agg(F.collect_set("line").alias(gone_lines))
+    with tidy(docs.sparkSession):
+        gone = line_groups(rows, min_words, percent)
+    gone = gone.groupBy(F.col("row").alias(gone_row)).agg(F.collect_set("line").alias(gone_lines))
     out = held.join(gone.hint("shuffle_hash"), F.col(row) == F.col(gone_row), "left")
     count = F.when(F.col(gone_lines).isNull(), 0).otherwise(F.size(gone_lines))
     lines = F.when(quoted(text).isNull(), 0).otherwise(F.regexp_count(quoted(text), F.lit("\n")) + 1)

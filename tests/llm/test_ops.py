@@ -1,8 +1,10 @@
 import collections
 import hashlib
+import os
 import random
 import re
 import struct
+import time
 import zlib
 from fractions import Fraction
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from signalweave.llm import ann, chat, components, edits, license_scan, line_dedup, mixing, ngram_join, packing, quality, queries, suffix_dedup, text, warc
 
-from signalweave.tables import new_path
+from signalweave.tables import new_path, shared_dir
 
 SPLIT = re.compile("[\x20\x09-\x0d]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -437,6 +439,30 @@ def test_lines_of_rows_with_repeated_and_null_ids(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_lines_leave_little_on_disk(spark, docs):
+    """Once it is known which lines go, tables of other things and shuffle files are gone."""
+    jvm = spark.sparkContext._jvm
+    disk = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {x for f in jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if (x := f.getName()).endswith(".data")}
+    tables = lambda: set(os.listdir(shared_dir(spark).split(":", 1)[-1]))
+    files, before = shuffled(), tables()
+    line_dedup.line_dedup(docs)
+    for _ in range(50):
+        if shuffled() <= files:
+            break
+        time.sleep(0.2)
+    assert shuffled() <= files
+    assert {x.rsplit("-", 1)[0] for x in tables() - before} == {"line-docs", "line-gone"}
+
+
+def test_packed_columns():
+    r = np.random.default_rng(1)
+    columns = [r.integers(-(2**63), 2**63 - 1, 300), np.zeros(300, "i8"), np.arange(300) << 33]
+    blob = line_dedup._packed(columns)
+    assert len(blob) < 300 * 12 and (line_dedup._unpacked(blob, 300, 3) == np.stack(columns)).all()
+    assert line_dedup._unpacked(line_dedup._packed([np.zeros(1, "i8")]), 1, 1).tolist() == [[0]]
+
+
 def test_a_very_long_text_loses_its_repeated_lines(spark):
     r = random.Random(6)
     lines = [" ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(6)) for _ in range(20_000)]
