@@ -7,10 +7,11 @@ hash are one run, and a run's bytes stand for all its strings.
 1. Each chunk of documents lists the hashes of its runs; those that two documents share are told back to the chunk. Where
    HOT chunks or more list a hash, its runs would gather in one task: they are taken apart into their strings, each with
    a hash of its own, and those are listed and told back in the same way.
-2. Chunks send the bytes of runs with shared hashes, equal ones once, with their smallest and largest document.
-3. What is sent to a place enters bounded collections: one symbol of each run is inserted a round, last column first,
-   which updates the collection's transform and common prefixes; in the finished order equal strings are neighbours with
-   a common prefix of length or more, and the smallest document of each answers.
+2. Chunks send the bytes of runs with shared hashes, equal ones once, with their smallest and largest document. Single
+   strings are sent as two hashes of 64 bits.
+3. Of what is sent to a place, stretches whose strings come more than once enter bounded collections: one symbol of each
+   is inserted a round, last column first, which updates the collection's transform and common prefixes; in the finished
+   order equal strings are neighbours with a common prefix of length or more, and the smallest document of each answers.
 4. Chunks get the answers for their runs and cut their documents.
 
 What is told to chunks goes through files in the shared folder, written and read in sequence.
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalweave.llm.common import batch_slices, parts, quoted, staged
+from signalweave.llm.common import batch_slices, parts, quoted, staged, tidy
 from signalweave.llm.text import filled, mixed
 from signalweave.tables import new_path
 
@@ -42,7 +43,6 @@ STEP, COLLECTION, HOT, PLACE = 1 << 17, 8192, 256, 64 << 20
 _SYMBOL = mixed(np.arange(1, 257, dtype="u8"))
 _OTHER = mixed(np.arange(1001, 1257, dtype="u8"))
 _M = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.full(LENGTH, 0xD6E8FEB86659FD93, "u8"), dtype="u8")
 #: Hashes are listed by their upper 48 bits: an accidental match only sends a run that finds no equal.
 _LISTED = np.uint64(16)
 
@@ -54,16 +54,22 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return z
 
 
+def _hashes(data: np.ndarray, size: int, symbols: np.ndarray = _SYMBOL) -> np.ndarray:
+    """For each start of a string of size bytes a hash of it: from hashes of 1, 2, 4, ... bytes, two of which cover it."""
+    h, wide = symbols[data], 1
+    while 2 * wide <= size:
+        h = _pair(h[:-wide], h[wide:])
+        wide *= 2
+    if wide < size:
+        h = _pair(h[: len(h) - (size - wide)], h[size - wide :])
+    return mixed(h)
+
+
 def least_hashes(data: np.ndarray, symbols: np.ndarray = _SYMBOL) -> np.ndarray:
     """For each start of a string of LENGTH bytes the smallest hash of its grams."""
     out = np.empty(max(0, len(data) - LENGTH + 1), "u8")
     for start in range(0, len(out), STEP):
-        h = symbols[data[start : start + STEP + LENGTH - 1]]
-        size = 1
-        while size < GRAM:
-            h = _pair(h[:-size], h[size:])
-            size *= 2
-        h = mixed(h)
+        h = _hashes(data[start : start + STEP + LENGTH - 1], GRAM, symbols)
         wide, span = LENGTH - GRAM + 1, 1
         while 2 * span <= wide:
             h = np.minimum(h[:-span], h[span:])
@@ -163,22 +169,31 @@ def _listed(h: np.ndarray, doc: np.ndarray, n_places: int) -> list[tuple[int, by
     return [(i, _packed(listed[a:b])) for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
 
 
-def chunked(rows: DataFrame, n_places: int) -> DataFrame:
-    """A written table: documents with the chunk they are in, and each chunk's listed hashes in n_places ranges."""
+def chunked(rows: DataFrame) -> DataFrame:
+    """A written table: documents with the chunk they are in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, n = TaskContext.get().partitionId() << 24, 0
         for batch in batches:
             for part in batch_slices(batch, "text"):
-                chunk, n, rows = base + n, n + 1, part.num_rows
-                raw, bounds = _data(part.column("text"))
-                first, _, h = runs(np.frombuffer(raw, "u1"), bounds)
-                blobs = _listed(h, np.searchsorted(bounds, first, side="right") - 1, n_places)
-                yield pa.record_batch({"chunk": pa.array([chunk] * rows, pa.int64()), "doc_id": part.column("doc_id"), "text": part.column("text"), "place": pa.nulls(rows, pa.int32()), "blob": pa.nulls(rows, pa.binary())})
-                if blobs:
-                    yield pa.record_batch({"chunk": pa.array([chunk] * len(blobs), pa.int64()), "doc_id": pa.nulls(len(blobs), pa.int64()), "text": pa.nulls(len(blobs), pa.string()), "place": pa.array([b[0] for b in blobs], pa.int32()), "blob": pa.array([b[1] for b in blobs], pa.binary())})
+                yield pa.record_batch([pa.array([base + n] * part.num_rows, pa.int64()), part.column("doc_id"), part.column("text")], names=["chunk", "doc_id", "text"])
+                n += 1
+
+    return staged(rows.mapInArrow(run, "chunk long, doc_id long, text string"), "chunks")
+
+
+def listed(docs: DataFrame, n_places: int) -> DataFrame:
+    """Rows (chunk, place, blob): each chunk's listed hashes in n_places ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, part in _chunks(batches):
+            raw, bounds = _data(part.column("text"))
+            first, _, h = runs(np.frombuffer(raw, "u1"), bounds)
+            blobs = _listed(h, np.searchsorted(bounds, first, side="right") - 1, n_places)
+            if blobs:
+                yield pa.record_batch([pa.array([chunk] * len(blobs), pa.int64()), pa.array([b[0] for b in blobs], pa.int32()), pa.array([b[1] for b in blobs], pa.binary())], names=["chunk", "place", "blob"])
 
-    return staged(rows.mapInArrow(run, "chunk long, doc_id long, text string, place int, blob binary"), "chunks")
+    return docs.mapInArrow(run, "chunk long, place int, blob binary")
 
 
 def listed_again(docs: DataFrame, folder: str, n_places: int) -> DataFrame:
@@ -263,13 +278,14 @@ def run_hashes(strings: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, strings), "u8", len(strings))
 
 
-def string_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the LENGTH bytes from each place on."""
+def string_hashes(data: np.ndarray, at: np.ndarray, symbols: np.ndarray = _SYMBOL) -> np.ndarray:
+    """A 64-bit hash of the LENGTH bytes from each place on; places rise."""
     out = np.empty(len(at), "u8")
-    windows = np.lib.stride_tricks.sliding_window_view(data, LENGTH) if len(at) else data
-    for i in range(0, len(at), STEP // 8):
-        out[i : i + STEP // 8] = (_SYMBOL[windows[at[i : i + STEP // 8]]] * _POWERS).sum(axis=1, dtype="u8")
-    return mixed(mixed(out))
+    edges = np.searchsorted(at, np.arange(0, len(data) + STEP, STEP))
+    for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        if b > a:
+            out[a:b] = _hashes(data[i * STEP : (i + 1) * STEP + LENGTH - 1], LENGTH, symbols)[at[a:b] - i * STEP]
+    return mixed(out)
 
 
 class _Wanted:
@@ -305,7 +321,7 @@ class _Wanted:
         return self._hot(data, first[hot], many[hot])
 
     def __call__(self, chunk: int, raw: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], np.ndarray]:
-        """First starts, numbers of starts, hashes, bytes and the bytes' hashes."""
+        """First starts, numbers of starts, hashes, bytes and the bytes' hashes. Single strings have two hashes of their own, which tell them, and no bytes."""
         self._load(chunk)
         data = np.frombuffer(raw, "u1")
         first, many, h = runs(data, bounds)
@@ -315,27 +331,27 @@ class _Wanted:
         at, key = at[keep], key[keep]
         first, many, h = first[told == 1], many[told == 1], h[told == 1]
         strings = [raw[a:b] for a, b in zip(first.tolist(), (first + many + LENGTH - 1).tolist())]
-        own, one, back = np.unique(key, return_index=True, return_inverse=True)
-        single = [raw[a : a + LENGTH] for a in at[one].tolist()]
-        of = np.concatenate([run_hashes(strings), run_hashes(single)[back]])
-        strings += [single[i] for i in back.tolist()]
+        of = np.concatenate([run_hashes(strings), string_hashes(data, at, _OTHER)])
+        strings += [b""] * len(at)
         return np.concatenate([first, at]), np.concatenate([many, np.ones(len(at), "i8")]), np.concatenate([h, key]), strings, of
 
 
-def _boxed(chunk: int, h: np.ndarray, low: np.ndarray, high: np.ndarray, strings: list[bytes]) -> bytes:
-    """Runs in the order of h as one compressed value."""
+def _boxed(chunk: int, h: np.ndarray, low: np.ndarray, high: np.ndarray, of: np.ndarray, strings: list[bytes]) -> bytes:
+    """Runs in the order of h as one compressed value; what has no bytes comes with the hash of them."""
     sizes = np.fromiter(map(len, strings), "<u1", len(strings))
-    head = np.array([chunk, len(h)], "<i8").tobytes()
-    return zlib.compress(b"".join([head, np.diff(h, prepend=np.zeros(1, "u8")).astype("<u8").tobytes(), low.astype("<i8").tobytes(), (high - low).astype("<i8").tobytes(), sizes.tobytes(), *strings]), 1)
+    single = of[sizes == 0].astype("<u8")
+    head = np.array([chunk, len(h), len(single)], "<i8").tobytes()
+    return zlib.compress(b"".join([head, np.diff(h, prepend=np.zeros(1, "u8")).astype("<u8").tobytes(), low.astype("<i8").tobytes(), (high - low).astype("<i8").tobytes(), single.tobytes(), sizes.tobytes(), *strings]), 1)
 
 
-def _unboxed(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """chunk, h, low, high, sizes and bytes of the runs."""
+def _unboxed(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """chunk, h, low, high, hashes of single strings, sizes and bytes of the runs."""
     raw = zlib.decompress(blob)
-    chunk, n = np.frombuffer(raw, "<i8", 2).tolist()
-    h, low, more = (np.frombuffer(raw, kind, n, 16 + 8 * n * i) for i, kind in enumerate(("<u8", "<i8", "<i8")))
-    sizes = np.frombuffer(raw, "<u1", n, 16 + 24 * n)
-    return chunk, np.cumsum(h, dtype="u8"), low, low + more, sizes, np.frombuffer(raw, "<u1", offset=16 + 25 * n)
+    chunk, n, m = np.frombuffer(raw, "<i8", 3).tolist()
+    h, low, more = (np.frombuffer(raw, kind, n, 24 + 8 * n * i) for i, kind in enumerate(("<u8", "<i8", "<i8")))
+    single = np.frombuffer(raw, "<u8", m, 24 + 24 * n)
+    sizes = np.frombuffer(raw, "<u1", n, 24 + 24 * n + 8 * m)
+    return chunk, np.cumsum(h, dtype="u8"), low, low + more, single, sizes, np.frombuffer(raw, "<u1", offset=24 + 25 * n + 8 * m)
 
 
 def sent(docs: DataFrame, folder: str, strings_folder: str, n_places: int) -> DataFrame:
@@ -358,7 +374,7 @@ def sent(docs: DataFrame, folder: str, strings_folder: str, n_places: int) -> Da
             new = np.flatnonzero(np.concatenate([[True], of[order][1:] != of[order][:-1]]))
             low, high = order[new], order[np.append(new[1:], len(order)) - 1]
             edges = np.searchsorted(h[low] >> bits, np.arange(n_places + 1, dtype="u8"))
-            out = [(i, _boxed(chunk, h[low[a:b]], doc[low[a:b]], doc[high[a:b]], [strings[j] for j in low[a:b].tolist()])) for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
+            out = [(i, _boxed(chunk, h[low[a:b]], doc[low[a:b]], doc[high[a:b]], of[low[a:b]], [strings[j] for j in low[a:b].tolist()])) for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if b > a]
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["place", "blob"])
 
     return docs.mapInArrow(run, "place int, blob binary")
@@ -431,7 +447,35 @@ def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
 
 
 def least_documents(strings: list[bytes], low: np.ndarray) -> list[np.ndarray]:
-    """For each start in each run the smallest document among all runs that hold the same LENGTH bytes."""
+    """For each start in each run the smallest document among all runs that hold the same LENGTH bytes.
+
+    Strings whose hash comes once in the collection have no equal, and their run's document answers; what is left of the
+    runs, as stretches of starts, is put in order.
+    """
+    raw = b"".join(strings)
+    size = np.fromiter(map(len, strings), "i8", len(strings))
+    ends, many = np.cumsum(size), size - LENGTH + 1
+    starts = np.cumsum(many)
+    at = np.repeat(ends - size - (starts - many), many) + np.arange(int(many.sum()))
+    least = np.repeat(low, many)
+    key = string_hashes(np.frombuffer(raw, "u1"), at)
+    order = np.argsort(key)
+    equal = key[order[1:]] == key[order[:-1]]
+    told = np.zeros(len(at) + 1, bool)
+    told[order[1:][equal]] = told[order[:-1][equal]] = True
+    # a stretch goes on while the next start is of the same run and told too
+    on = told[:-1] & told[1:]
+    on[starts - 1] = False
+    first = np.flatnonzero(told[:-1] & ~np.concatenate([[False], on[:-1]]))
+    last = np.flatnonzero(told[:-1] & ~on)
+    if len(first):
+        held = [raw[a : b + LENGTH] for a, b in zip(at[first].tolist(), at[last].tolist())]
+        least[told[:-1]] = np.concatenate(_least_of_equal(held, least[first]))
+    return np.split(least, starts[:-1])
+
+
+def _least_of_equal(strings: list[bytes], low: np.ndarray) -> list[np.ndarray]:
+    """least_documents() of all starts, by the order of the collection."""
     string, start, prefix = collection_order(strings)
     size = np.fromiter(map(len, strings), "i8", len(strings))
     # what stands between two equal strings in the order begins with them too
@@ -487,11 +531,13 @@ def answers(rows: DataFrame, n_places: int) -> DataFrame:
         boxes = [_unboxed(b) for b in blobs]
         count = [len(x[1]) for x in boxes]
         chunk = np.repeat(np.array([x[0] for x in boxes]), count)
-        h, low, high, sizes, data = (np.concatenate([x[i] for x in boxes]) for i in range(1, 6))
+        h, low, high, single, sizes, data = (np.concatenate([x[i] for x in boxes]) for i in range(1, 7))
         ends = np.cumsum(sizes, dtype="i8")
         raw = data.tobytes()
         bytes_of = lambda rows: [raw[a:b] for a, b in zip((ends[rows] - sizes[rows]).tolist(), ends[rows].tolist())]
-        of = run_hashes(bytes_of(np.arange(len(h))))
+        of = np.empty(len(h), "u8")
+        of[sizes == 0], whole = single, np.flatnonzero(sizes)
+        of[whole] = run_hashes(bytes_of(whole))
         order = np.lexsort((low, of, h))
         chunk, h, low, high, of = chunk[order], h[order], low[order], high[order], of[order]
         first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]))
@@ -502,19 +548,21 @@ def answers(rows: DataFrame, n_places: int) -> DataFrame:
         lowest = np.minimum.reduceat(low_of, head)[group]
         least = low_of.copy()  # right where all equal starts are in equal runs
         parts: dict[int, np.ndarray] = {}
-        # a group of one document has nothing to take from a smaller one, and one of equal runs has its answer
-        some = np.flatnonzero((np.bincount(group)[group] > 1) & (np.maximum.reduceat(high_of, head)[group] > lowest))
+        # a group of one document has nothing to take from a smaller one, and one of equal runs has its answer; single strings hold no others
+        some = np.flatnonzero((sizes[order[first]] > 0) & (np.bincount(group)[group] > 1) & (np.maximum.reduceat(high_of, head)[group] > lowest))
         if len(some):
             for r, m in zip(some.tolist(), refined(bytes_of(order[first[some]]), low_of[some], high_of[some], group[some])):
                 least[r] = m[0]
                 if (m != m[0]).any():
                     least[r] = m.min()
                     parts[r] = m
+        odd_run = np.zeros(len(first), bool)
+        odd_run[list(parts)] = True
         tell = np.flatnonzero(least[same] < high)
         tell = tell[np.argsort(chunk[tell], kind="stable")]
         for rows in np.split(tell, np.flatnonzero(np.diff(chunk[tell])) + 1):
             if len(rows):
-                odd = np.isin(same[rows], np.fromiter(parts, "i8", len(parts)))
+                odd = odd_run[same[rows]]
                 plain, split = rows[~odd], rows[odd]
                 told = [np.array([len(plain), len(split)]), of[plain].view("i8"), least[same[plain]]]
                 for r in split.tolist():
@@ -600,10 +648,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_places = 1 << max(6, (total // PLACE).bit_length(), (2 * parts(spark)).bit_length())
-    table = chunked(rows, n_places)
-    texts = table.where("place IS NULL").select("chunk", "doc_id", "text")
+    texts = chunked(rows)
     hashes, strings, answered = (new_path(spark, x) for x in ("shared-hashes", "shared-strings", "answers"))
-    _told(shared(table.where("place IS NOT NULL"), n_places), hashes)
-    _told(shared(listed_again(texts, hashes, n_places), n_places), strings)
-    _told(answers(sent(texts, hashes, strings, n_places), n_places), answered)
+    with tidy(spark):  # no stage needs what an earlier one has shuffled
+        _told(shared(listed(texts, n_places), n_places), hashes)
+        _told(shared(listed_again(texts, hashes, n_places), n_places), strings)
+        _told(answers(sent(texts, hashes, strings, n_places), n_places), answered)
     return cut(texts, hashes, strings, answered)

@@ -358,6 +358,24 @@ def test_rounds_of_a_collection_do_not_look_through_its_transform(monkeypatch):
     assert max(looked) <= 2 * len(s)
 
 
+def test_only_strings_that_come_again_enter_a_collection(monkeypatch):
+    """Of runs that share a hash, what no other run has is not put in order."""
+    entered, real = [], suffix_dedup.collection_order
+    monkeypatch.setattr(suffix_dedup, "collection_order", lambda s: entered.append(list(s)) or real(s))
+    r = random.Random(4)
+    text = lambda n: bytes(r.choices(b"abcdefgh", k=n))
+    same = text(60)
+    found = suffix_dedup.least_documents([text(20) + same + text(20), text(113), same, text(80)], np.array([7, 5, 3, 1]))
+    assert entered == [[same, same]]
+    assert [x.tolist() for x in found] == [[7] * 20 + [3] * 11 + [7] * 20, [5] * 64, [3] * 11, [1] * 31]
+
+
+def test_single_strings_are_sent_without_their_bytes():
+    h, low, of = np.array([3, 9], "u8"), np.array([1, 2]), np.array([11, 12], "u8")
+    chunk, *told, data = suffix_dedup._unboxed(suffix_dedup._boxed(8, h, low, low + 1, of, [b"", b"x" * 50]))
+    assert chunk == 8 and [x.tolist() for x in told] == [[3, 9], [1, 2], [2, 3], [11], [0, 50]] and data.tobytes() == b"x" * 50
+
+
 def test_a_very_long_text_that_repeats(spark):
     r = random.Random(1)
     t = "".join(r.choices("abcdefgh \n", k=3_000_000))
