@@ -310,6 +310,27 @@ def test_small_cells_share_a_block(spark):
     assert pruned_join.join(df, df, 0.5).where("id IS NULL").count() == 1
 
 
+def test_vectors_are_not_copied_for_each_block_they_meet(spark, monkeypatch):
+    """However many blocks there are, each row is shuffled once a side; of pairs, few are multiplied in double precision."""
+    for name, size in {"BLOCK": 16, "LEFT": 16, "SMALL": 16}.items():
+        monkeypatch.setattr(pruned_join, name, size)
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal((5, 24))[rng.integers(5, size=200)] + 0.4 * rng.standard_normal((200, 24))
+    v[150:] = v[:50]
+    rows = [(i, i % 7, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "id long, at long, vec array<double>")
+    found = pruned_join.join(df, df, 0.5)
+    plan = _plan(found)
+    assert "Generate" not in plan and "CoGroup" not in plan and plan.count("Exchange") <= 1
+    told = pruned_join.work(df, 0.5).first()
+    assert told.candidates < told.bounded / 4
+    s = np.round(np.array([r[2] for r in rows]) @ np.array([r[2] for r in rows]).T, 9)
+    key = lambda i: (rows[i][1], i)
+    want = {i: min(((-s[i, j], *key(j)) for j in range(200) if key(j) < key(i) and s[i, j] >= 0.5), default=None) for i in range(200)}
+    got = {r.id: (-r.similarity, rows[r.parent][1], r.parent) for r in pruned_join.best_earlier(df, 0.5).collect()}
+    assert got == {i: w for i, w in want.items() if w}
+
+
 def _parses(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
