@@ -310,6 +310,17 @@ def test_small_cells_share_a_block(spark):
     assert pruned_join.join(df, df, 0.5).where("id IS NULL").count() == 1
 
 
+def test_events_and_their_entities_are_gathered_without_a_join(spark):
+    ends = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (4, 7)], "event_id long, entity_id long")
+    items = spark.createDataFrame([(1, "a", T0), (1, None, T0), (1, None, T0), (2, "a", T0), (3, "b", T0)], "event_id long, source_name string, published_at timestamp")
+    names = spark.createDataFrame([(7,), (8,), (9,)], "entity_id long")
+    edges = spark.createDataFrame([(7, 8, T0)], "src long, dst long, ts timestamp")
+    out = cv.convergence_of_events(names, ends, items, edges)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2  # statistics and degrees meet the entities
+    found = {r.entity_id: (r.distinct_sources, r.mentions, r.event_count, r.source_names) for r in out.collect()}
+    assert found == {7: (1, 4, 2, ["a"]), 8: (1, 3, 1, ["a"]), 9: (0, 0, 0, [])}
+
+
 def test_vectors_are_not_copied_for_each_block_they_meet(spark, monkeypatch):
     """However many blocks there are, each row is shuffled once a side; of pairs, few are multiplied in double precision."""
     for name, size in {"BLOCK": 16, "LEFT": 16, "SMALL": 16}.items():
